@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from lexspan.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from lexspan.llm.packing import op10_packing
 
 QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
+    "op10_packing": op10_packing,
 }
 
 ORACLE_SQL = {
