@@ -5,8 +5,10 @@ from __future__ import annotations
 from lexspan.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from lexspan.llm.ngram_join import op9_ngram_join
 from lexspan.llm.packing import op10_packing
+from lexspan.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
+    "op1_quality_rules": op1_quality_rules,
     "op5_exact_dedup": op5_exact_dedup,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
