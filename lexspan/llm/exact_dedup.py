@@ -32,9 +32,14 @@ def normalised(text: Column, collapse_space: bool = False, fold_case: bool = Fal
 
 
 def _runs(keyed: DataFrame, ranges: int) -> DataFrame:
-    """Rows with the size and head of their run of equal (content, salt)."""
-    dealt = keyed.repartitionByRange(ranges, "_content", "_salt")
-    ordered = Window.partitionBy("_content", "_salt").orderBy(F.col("doc_id").desc_nulls_last())
+    """Rows with the size and head of their run of equal (content, salt).
+
+    Ranges follow the first bytes, then the mark that equal texts share, so the sampled
+    splitters stay short however long the texts are; the sort and the comparison of
+    neighbours go on to the full content.
+    """
+    dealt = keyed.withColumn("_first", F.substring("_content", 1, 32)).repartitionByRange(ranges, "_first", "_mark", "_salt")
+    ordered = Window.partitionBy("_first", "_mark", "_content", "_salt").orderBy(F.col("doc_id").desc_nulls_last())
     whole = ordered.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return dealt.withColumns(
         {
@@ -74,7 +79,7 @@ def exact_groups(
 
     runs = _runs(salted, ranges).select("*", F.sha2("_content", 256).alias("text_sha256"))
     parts = (
-        _runs(salted.where("_salt >= 0").select("doc_id", "_content", "_salt"), ranges)
+        _runs(salted.where("_salt >= 0").select("doc_id", "_content", "_mark", "_salt"), ranges)
         .where("_place = 1")
         .groupBy(F.sha2("_content", 256).alias("text_sha256"))
         .agg(F.max("_head").alias("_whole_head"), F.sum("_size").alias("_whole_size"))
