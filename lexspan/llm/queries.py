@@ -5,6 +5,7 @@ from __future__ import annotations
 from lexspan.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from lexspan.llm.ngram_join import op9_ngram_join
 from lexspan.llm.packing import op10_packing
+from lexspan.llm.pii import op8_pii
 from lexspan.llm.quality_grades import op6_quality_grades
 from lexspan.llm.quality_rules import op1_quality_rules
 from lexspan.llm.toxicity import op4_toxicity
@@ -16,6 +17,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_grades": op6_quality_grades,
     "op7_warc": op7_warc,
+    "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
 }
