@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.shared import map_batches, staged
-from lexspan.llm.textbytes import chunks, mix, text_column
+from lexspan.llm.textbytes import chunks, mix, prefix_hash, text_column
 
 LENGTH = 200
 GRAM = 40
@@ -48,21 +48,6 @@ INDEX_BYTES = 1 << 20
 SET_BACK = 2
 SEPARATOR = 0xFF  # never occurs in UTF-8
 
-_CODE = np.random.default_rng(0xC0DE).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 2**64)
-_POWERS: dict[str, np.ndarray] = {}
-
-
-def _powers(count: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < count:
-        for name, base in (("up", _BASE), ("down", _BASE_INVERSE)):
-            row = np.full(count, base, np.uint64)
-            row[0] = 1
-            _POWERS[name] = np.cumprod(row, dtype=np.uint64)
-    return _POWERS["up"][:count], _POWERS["down"][:count]
-
-
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while 2 * size <= width:
@@ -114,9 +99,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, frequ
     count = len(raw) - length + 1
     if count <= 0:
         return tuple(np.empty(0, np.int64) for _ in range(5))
-    up, down = _powers(len(raw) + 1)
-    total = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum(_CODE[raw] * up[:-1], out=total[1:])
+    total, down = prefix_hash(raw)
     grams = len(raw) - gram + 1
     value = mix((total[gram:] - total[:grams]) * down[:grams]) >> np.uint64(2)
     value = frequent.set_back(value)
@@ -132,7 +115,7 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, frequ
         return (np.concatenate([least[starts], doubled(value, least, whole, length - gram + 1)]).view(np.int64),)
     windows = np.add.reduceat(whole, starts, dtype=np.int64)
     ends = starts + windows + length - 1
-    digest = mix((total[ends] - total[starts]) * down[starts] + windows.astype(np.uint64) * np.uint64(_BASE))
+    digest = mix((total[ends] - total[starts]) * down[starts] + windows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return least[starts].view(np.int64), digest.view(np.int64), starts, windows, np.searchsorted(offsets, starts, "right") - 1
 
 
@@ -198,14 +181,21 @@ def _ship(shipped):
     return run
 
 
-def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling, from ranks of eight bytes."""
+def packed(text: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place as one number (zeros behind the end)."""
     n = len(text)
     padded = np.concatenate([text, np.zeros(8, np.uint8)]).astype(np.uint64)
     key = np.zeros(n, np.uint64)
     for j in range(8):
         key = key << np.uint64(8) | padded[j : j + n]
-    order = np.argsort(key, kind="stable")
+    return key
+
+
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """The suffix array by doubling, from ranks of eight bytes."""
+    n = len(text)
+    key = packed(text)
+    order = np.argsort(key)
     step = 8
     while True:
         sorted_key = key[order]
@@ -216,17 +206,24 @@ def suffix_order(text: np.ndarray) -> np.ndarray:
         ahead = np.zeros(n, np.uint64)
         ahead[: n - step] = rank[step:]
         key = rank << np.uint64(32) | ahead
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         step *= 2
 
 
 def common_length(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length of the common start of the suffixes at ``a`` and ``b``, up to ``most``."""
-    n, found = len(text), np.zeros(len(a), np.int64)
+    """Length of the common start of the suffixes at ``a`` and ``b``, up to about ``most``."""
+    n, found, key = len(text), np.zeros(len(a), np.int64), packed(text)
+    live = np.arange(len(a))
+    while len(live):  # eight bytes at a time
+        x, y = a[live] + found[live], b[live] + found[live]
+        same = (x + 8 <= n) & (y + 8 <= n) & (found[live] < most)
+        same[same] = key[x[same]] == key[y[same]]
+        live = live[same]
+        found[live] += 8
     live = np.arange(len(a))
-    while len(live):
+    for _ in range(8):
         x, y = a[live] + found[live], b[live] + found[live]
-        same = (x < n) & (y < n) & (found[live] < most)
+        same = (x < n) & (y < n)
         same[same] = text[x[same]] == text[y[same]]
         live = live[same]
         found[live] += 1

@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[[9, 10, 11, 12, 13, 32]] = False
@@ -87,6 +87,27 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool
     return mix(np.add.reduceat(codes * powers[place], heads) + lengths.astype(np.uint64) * _STEP)
 
 
+_POWERS: dict[str, np.ndarray] = {}
+
+
+def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of an odd base modulo 2**64, and of its inverse."""
+    if not _POWERS or len(_POWERS["up"]) < count:
+        for name, base in (("up", int(_STEP)), ("down", pow(int(_STEP), -1, 2**64))):
+            row = np.full(count, base, np.uint64)
+            row[0] = 1
+            _POWERS[name] = np.cumprod(row, dtype=np.uint64)
+    return _POWERS["up"][:count], _POWERS["down"][:count]
+
+
+def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(sums, inverse powers): bytes a to b have the hash ``(sums[b] - sums[a]) * inverse[a]`` wherever they stand."""
+    up, down = powers(len(raw) + 1)
+    sums = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(_BYTE_CODE[raw] * up[:-1], out=sums[1:])
+    return sums, down
+
+
 def windows_hash(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the first word) of every run of ``width`` words within one text."""
     count = len(words) - width + 1
