@@ -8,11 +8,15 @@ from lexspan.llm.packing import op10_packing
 from lexspan.llm.pii import op8_pii
 from lexspan.llm.quality_grades import op6_quality_grades
 from lexspan.llm.quality_rules import op1_quality_rules
+from lexspan.llm.repeats import op2_repeats
+from lexspan.llm.segmentation import op3_segmentation
 from lexspan.llm.toxicity import op4_toxicity
 from lexspan.llm.warc import OP7_SQL, op7_warc
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_repeats": op2_repeats,
+    "op3_segmentation": op3_segmentation,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_grades": op6_quality_grades,

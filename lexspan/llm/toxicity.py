@@ -340,25 +340,36 @@ def _fit_line(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     return float(max(a, 0.05)), float(b)
 
 
+def batch_scores(net: Network, text: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, score of each text, its number of windows)."""
+    for low, high, raw, offsets in chunks(text):
+        starts, ends, owner = words_of(raw, offsets)
+        index, of = windows_of(np.bincount(owner, minlength=high - low))
+        if len(starts):
+            keys, sample, which = np.unique(span_hash(raw, starts, ends, lower=True), return_index=True, return_inverse=True)
+            gates = net.gates(net.inputs(keys, *grams_of(raw, starts[sample], ends[sample])))
+            index = np.where(index >= 0, np.append(which, -1)[index], -1)
+        else:
+            gates = net.gates(np.zeros((0, 2 * DIM), np.float32))
+        logit = net.window_logits(gates, index)
+        heads = np.searchsorted(of, np.arange(high - low))
+        yield low, high, net.score(np.maximum.reduceat(logit, heads)), np.diff(np.append(heads, len(of)))
+
+
 def _scoring(shipped):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net = shipped.value
         for batch in batches:
-            for low, high, raw, offsets in chunks(batch.column("text")):
-                starts, ends, owner = words_of(raw, offsets)
-                index, text = windows_of(np.bincount(owner, minlength=high - low))
-                if len(starts):
-                    keys, sample, which = np.unique(span_hash(raw, starts, ends, lower=True), return_index=True, return_inverse=True)
-                    gates = net.gates(net.inputs(keys, *grams_of(raw, starts[sample], ends[sample])))
-                    index = np.where(index >= 0, np.append(which, -1)[index], -1)
-                else:
-                    gates = net.gates(np.zeros((0, 2 * DIM), np.float32))
-                logit = net.window_logits(gates, index)
-                heads = np.searchsorted(text, np.arange(high - low))
-                worst = np.maximum.reduceat(logit, heads)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id")[low:high], pa.array(net.score(worst)), pa.array(np.diff(np.append(heads, len(text))), pa.int64())], ["doc_id", "score", "n_windows"]
-                )
+            for low, high, score, windows in batch_scores(shipped.value, batch.column("text")):
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array(score), pa.array(windows, pa.int64())], ["doc_id", "score", "n_windows"])
+
+    return run
+
+
+def _dropping(shipped, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for low, high, score, _ in batch_scores(shipped.value, batch.column("text")):
+                yield batch.slice(low, high - low).filter(pa.array(score < threshold))
 
     return run
 
@@ -389,6 +400,12 @@ def toxicity_scores(docs: DataFrame, net: Network) -> DataFrame:
 THRESHOLD = 0.3
 
 
+def drop_toxic(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
+    """The documents that score below the threshold, with all their columns; nothing is shuffled."""
+    shipped = docs.sparkSession.sparkContext.broadcast(net)
+    return map_batches(docs, _dropping(shipped, threshold), docs.schema)
+
+
 def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     net = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
