@@ -105,7 +105,7 @@ def parse_enum(text: Column, options: Column) -> Column:
 
 
 def parse_iso_date(text: Column) -> Column:
-    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(text, F.lit("yyyy-MM-dd")) if hasattr(F, "try_to_date") else F.to_date(F.try_to_timestamp(text, F.lit("yyyy-MM-dd"))))
+    return F.when(text.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), text.try_cast("date"))
 
 
 def typed_value(text: Column, output_type: Column, options: Column, written_date: Column | None = None) -> Column:

@@ -1 +1 @@
-
+"""Adapters from the given tables, and the registered queries with their SQL."""
