@@ -1,11 +1,13 @@
 """Proof of quotations: exact in the named passage, elsewhere in the document, close, or dropped.
 
 Each step works on what the one before left over, and the costly comparison comes last.
+Quotes and their passages feed every step, so they are kept; a lost part is worked out again.
 Quotes: quote_id, document_id, ordinal (named passage, may be null), quote.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,9 +28,9 @@ def _span(base: Column, start: Column, size: Column) -> tuple[Column, Column]:
 
 def verify_quotes(quotes: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Verified quotes with their place in the document; others are left out."""
-    asked = quotes.withColumn("needle", t.strip(normalised(F.col("quote"))["text"])).where("char_length(needle) >= 3").drop("quote")
+    asked = quotes.withColumn("needle", t.strip(normalised(F.col("quote"))["text"])).where("char_length(needle) >= 3").drop("quote").persist(StorageLevel.MEMORY_AND_DISK)
     passages = chunks.select(DOC, "ordinal", "char_start", "text").withColumn("n", normalised(F.col("text"))).drop("text").withColumnRenamed("char_start", "_base")
-    named = asked.join(passages, [DOC, "ordinal"])
+    named = asked.join(passages, [DOC, "ordinal"]).persist(StorageLevel.MEMORY_AND_DISK)
     at = F.instr(F.col("n.text"), F.col("needle")) - 1
     start, end = _span(F.col("_base"), at, F.char_length("needle"))
     exact = named.withColumn("at", at).where("at >= 0").select("quote_id", DOC, "ordinal", start.alias("char_start"), end.alias("char_end"), F.lit("exact").alias("match_kind"), F.lit(1.0).alias("similarity"))
