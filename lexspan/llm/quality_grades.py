@@ -23,8 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.shared import map_batches
-from lexspan.llm.textbytes import chunks, span_hash, windows_hash, word_spans
+from lexspan.llm.shared import fitted, map_batches
+from lexspan.llm.textbytes import chunks, span_hash, text_column, windows_hash, word_spans
 
 BITS = 17
 GRADES = 3
@@ -143,8 +143,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_rows: int = 12_000, seed: in
     grade = F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2)
     graded = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.max(grade).alias("grade"))
     drawn = graded.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(2 * most_rows).toPandas()
-    return train([t or "" for t in rows["text"]], rows["grade"].to_numpy(np.int64), seed=seed)
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(most_rows)
+
+    def run(table: pa.Table) -> CumulativeLink:
+        return train(text_column(table["text"]).to_pylist(), table["grade"].to_numpy().astype(np.int64), seed=seed)
+
+    return fitted(sample, run) or CumulativeLink()
 
 
 def graded(docs: DataFrame, model: CumulativeLink) -> DataFrame:

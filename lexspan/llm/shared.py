@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -42,3 +44,15 @@ def map_batches(df: DataFrame, run, schema) -> DataFrame:
     """``mapInArrow`` with batches of at most BATCH_ROWS rows, which bounds a task's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return df.mapInArrow(run, schema)
+
+
+def fitted(sample: DataFrame, fit):
+    """``fit(table)`` of a bounded sample, run in one task; only the model comes to the driver."""
+
+    def run(batches):
+        kept = [b for b in batches if b.num_rows]
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(pa.Table.from_batches(kept)))], pa.binary())], ["model"])
+
+    row = map_batches(sample.coalesce(1), run, "model binary").first()
+    return pickle.loads(row["model"]) if row else None

@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 
 CHUNK_BYTES = 1 << 20
@@ -56,6 +57,14 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         low = high
 
 
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct values as they appear, where each appears first, which one each value is); by hashing, not sorting."""
+    which, unique = pd.factorize(values)
+    first = np.empty(len(unique), np.int64)
+    first[which[::-1]] = np.arange(len(values) - 1, -1, -1)
+    return unique, first, which
+
+
 def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text index) of every word of a chunk."""
     size = len(raw)

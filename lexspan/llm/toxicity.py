@@ -11,7 +11,7 @@ The network is trained in numpy on a bounded sample of labelled rows (``most_tox
 window of every toxic text that scores highest so far, against windows of clean texts,
 among them those that score highest. Vectors start from the words' and n-grams' log-odds.
 
-Defined results: null, empty and word-free texts are one window without words. Repeated
+Defined results: null, empty and word-free texts are one window without words and score 0. Repeated
 rows get equal scores. Extra columns are ignored; ``lang``, ``source`` and labels are not
 inputs. Without a label of each kind every score is the share of toxic labels (or 0).
 """
@@ -25,8 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lexspan.llm.shared import map_batches
-from lexspan.llm.textbytes import chunks, mix, span_hash, word_spans
+from lexspan.llm.shared import fitted, map_batches
+from lexspan.llm.textbytes import chunks, distinct, mix, span_hash, text_column, word_spans
 
 WINDOW = 24
 STRIDE = 12
@@ -229,7 +229,7 @@ class _Corpus:
         self.words, self.counts = cat(words, np.int64), cat(counts, np.int64)
         self.heads = np.searchsorted(self.owner, np.arange(len(self.keys) + 1))
         index, self.text = windows_of(self.counts)
-        self.index = np.where(index >= 0, np.append(self.words, -1)[index], -1)
+        self.index = np.where(index >= 0, np.append(self.words, -1)[index], -1).astype(np.int32)
 
     def grams(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         size = self.heads[words + 1] - self.heads[words]
@@ -264,7 +264,7 @@ def _start_vectors(net: Network, corpus: _Corpus, toxic: np.ndarray) -> None:
         net.p[name][:, 0] = _log_odds(b, g, of_bad.sum() * scale / max(scale, 1), of_good.sum() * scale / max(scale, 1)) if name == "word" else _log_odds(b, g, b.sum() / scale, g.sum() / scale)
 
 
-def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 6, passes: int = 2, rate: float = 0.01, seed: int = 0) -> Network:
+def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 4, passes: int = 2, rate: float = 0.01, seed: int = 0) -> Network:
     """A calibrated network from labelled texts; one in four is set aside for the calibration."""
     net, rng = Network(seed), np.random.default_rng(seed)
     toxic = np.asarray(toxic, bool)
@@ -281,18 +281,20 @@ def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 6, passes: int =
     by_text = np.searchsorted(corpus.text, np.arange(len(corpus.counts) + 1))
     mean_odds = np.append(net.inputs(corpus.keys, corpus.bucket, corpus.owner)[:, [0, DIM]].sum(axis=1), -9)
     score = mean_odds[corpus.index].max(axis=1)
+    table = np.concatenate([corpus.index, np.full((1, WINDOW), -1, np.int32)])
     for turn in range(rounds):
         order = np.lexsort((score, corpus.text))
         worst = order[by_text[1:] - 1]
         clean_windows = np.flatnonzero(~label[corpus.text])
         chosen = np.concatenate([worst, rng.choice(clean_windows, min(len(clean_windows), 2 * len(worst)), replace=False)])
+        chosen = np.concatenate([chosen, np.full(len(chosen) // 50 + 1, len(corpus.index))])  # a window without words is clean
         target = np.concatenate([label, np.zeros(len(chosen) - len(worst), bool)]).astype(np.float32)
         heavier = np.where(target > 0, max(1.0, (1 - target).sum() / max(target.sum(), 1) / 2), 1.0).astype(np.float32)
         for _ in range(passes):
             shuffle = rng.permutation(len(chosen))
             for i in range(0, len(shuffle), 512):
                 at = shuffle[i : i + 512]
-                index = corpus.index[chosen[at]]
+                index = table[chosen[at]]
                 used, local = np.unique(index, return_inverse=True)
                 local = local.reshape(index.shape) - (1 if used[0] < 0 else 0)
                 used = used[used >= 0]
@@ -346,14 +348,15 @@ def batch_scores(net: Network, text: pa.Array) -> Iterator[tuple[int, int, np.nd
         starts, ends, owner = words_of(raw, offsets)
         index, of = windows_of(np.bincount(owner, minlength=high - low))
         if len(starts):
-            keys, sample, which = np.unique(span_hash(raw, starts, ends, lower=True), return_index=True, return_inverse=True)
+            keys, sample, which = distinct(span_hash(raw, starts, ends, lower=True))
             gates = net.gates(net.inputs(keys, *grams_of(raw, starts[sample], ends[sample])))
             index = np.where(index >= 0, np.append(which, -1)[index], -1)
         else:
             gates = net.gates(np.zeros((0, 2 * DIM), np.float32))
         logit = net.window_logits(gates, index)
         heads = np.searchsorted(of, np.arange(high - low))
-        yield low, high, net.score(np.maximum.reduceat(logit, heads)), np.diff(np.append(heads, len(of)))
+        score = np.where(index[heads, 0] >= 0, net.score(np.maximum.reduceat(logit, heads)), 0.0)
+        yield low, high, score, np.diff(np.append(heads, len(of)))
 
 
 def _scoring(shipped):
@@ -379,15 +382,19 @@ def held_out(doc_id="doc_id"):
     return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 4000, most_clean: int = 8000, seed: int = 0) -> Network:
+def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2500, most_clean: int = 4000, seed: int = 0) -> Network:
     """A network from at most so many labelled texts of each kind, drawn by a hash of their id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     drawn = None
     for kind, most in ((1, most_toxic), (0, most_clean)):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
         drawn = part if drawn is None else drawn.union(part)
-    rows = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(2 * (most_toxic + most_clean)).toPandas()
-    return train([t or "" for t in rows["text"]], rows["toxic"].to_numpy() == 1, seed=seed)
+    sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(most_toxic + most_clean)
+
+    def run(table: pa.Table) -> Network:
+        return train(text_column(table["text"]).to_pylist(), table["toxic"].to_numpy() == 1, seed=seed)
+
+    return fitted(sample, run) or train([], np.empty(0))
 
 
 def toxicity_scores(docs: DataFrame, net: Network) -> DataFrame:
