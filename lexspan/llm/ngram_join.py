@@ -13,11 +13,11 @@ linked; the result is each document's component.
    candidates that they bring, of which only those with ``l`` matches are verified).
 3. *Candidates.* Postings meet by shingle. A list pairs each document with the next
    ``REACH`` ones by size and with the smallest one; pairs must share as many prefix
-   shingles as the smaller of their two ``l``.
+   shingles as the smaller of their two ``l``, or more where their sizes demand it.
 4. *Verification.* Sets of candidates are compared in full.
 5. *Contraction.* Verified links merge nodes into components. Lists that are longer than
    ``REACH`` and still hold more than one component go round again with the pairs at the
-   next distances (twice as many each time), or, when few nodes lie outside the largest
+   next distances (four times as many each time), or, when few nodes lie outside the largest
    component, with all pairs between components; pairs inside a component need no check.
    This ends when no list can give a new pair, so no link between components is lost and
    a large group of near copies never expands into all its pairs.
@@ -37,18 +37,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.graph import components
-from lexspan.llm.shared import staged
+from lexspan.llm.shared import map_batches, staged
 from lexspan.llm.textbytes import chunks, mix, span_hash, windows_hash, word_spans
 
 WIDTH = 5
 #: Similarity as a ratio of integers: 100 * intersection >= 75 * union.
 PERCENT = 75
-SKETCH_BITS = 18
+SKETCH_BITS = 19
 BLOCK = 4096
-REACH = 32
+REACH = 8
 MOST_MATCHES = 4
 #: A list with at most so many nodes outside its largest component gives all pairs between components.
 FEW = 16
+#: Pairs that are verified together.
+BLOCK_PAIRS = 2000
+#: Bytes of each hash that verification compares.
+MEMBER_BYTES = 6
 #: Bits of the fixed-size table that keeps the sets of most documents without a candidate out of a shuffle.
 FILTER_BITS = 23
 
@@ -141,7 +145,7 @@ def _postings(width: int, sketch):
                 if not len(new):
                     continue
                 edges = np.concatenate([[0], np.cumsum(sizes)])
-                parts, matches, places = [], [], []
+                parts, matches, places, rests = [], [], [], []
                 estimate = table[value >> np.uint64(64 - SKETCH_BITS)]
                 for r in np.sort(new):
                     own, lists = value[edges[r] : edges[r + 1]], estimate[edges[r] : edges[r + 1]]
@@ -152,10 +156,11 @@ def _postings(width: int, sketch):
                     parts.append(own[order[:end]])
                     matches.append(np.full(end, asked, np.int8))
                     places.append(np.full(end, r))
+                    rests.append(np.full(end, size - end, np.int32))
                 at = np.concatenate(places)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys[at]), pa.array(sizes[at], pa.int32()), pa.array(np.concatenate(matches))],
-                    ["shingle", "node", "n", "asked"],
+                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys[at]), pa.array(sizes[at], pa.int32()), pa.array(np.concatenate(matches)), pa.array(np.concatenate(rests))],
+                    ["shingle", "node", "n", "asked", "rest"],
                 )
 
     return run
@@ -206,7 +211,7 @@ def _pairs(first: int, reach: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_lists(batches):
-            key, node, n, asked, group, outside = (table.column(c).to_numpy() for c in ("shingle", "node", "n", "asked", "group", "outside"))
+            key, node, n, asked, rest, group, outside = (table.column(c).to_numpy() for c in ("shingle", "node", "n", "asked", "rest", "group", "outside"))
             starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
             counts = np.diff(np.concatenate([starts, [len(key)]]))
             last = np.repeat(starts + counts, counts)
@@ -217,25 +222,32 @@ def _pairs(first: int, reach: int):
                 a = here[near & (here + step < last)]
                 if not len(a):
                     break
-                yield _pair_batch(node, n, asked, group, a, a + step, last[a] - begin[a] > reach + 1 if first == 1 else np.ones(len(a), bool))
+                yield _pair_batch(node, n, asked, rest, group, a, a + step, last[a] - begin[a] > reach + 1 if first == 1 else np.ones(len(a), bool))
             if first == 1:  # the smallest of each long list joins them quickly
                 a = here[here - begin > reach]
-                yield _pair_batch(node, n, asked, group, begin[a], a, np.ones(len(a), bool))
+                yield _pair_batch(node, n, asked, rest, group, begin[a], a, np.ones(len(a), bool))
             for s, c in zip(starts[~near[starts]].tolist(), counts[~near[starts]].tolist(), strict=True):
                 names, of, sizes = np.unique(group[s : s + c], return_inverse=True, return_counts=True)
                 for x in np.flatnonzero(of != np.argmax(sizes)):
                     y = np.flatnonzero(of != of[x])
                     low, high = s + np.minimum(x, y), s + np.maximum(x, y)
-                    yield _pair_batch(node, n, asked, group, low, high, np.ones(len(y), bool))
+                    yield _pair_batch(node, n, asked, rest, group, low, high, np.ones(len(y), bool))
 
     return run
 
 
-def _pair_batch(node, n, asked, group, a, b, partial) -> pa.RecordBatch:
+def _pair_batch(node, n, asked, rest, group, a, b, partial) -> pa.RecordBatch:
+    """``asked`` of a pair: the smaller of the two numbers of matches, or more where the sizes demand it.
+
+    What two sets share lies in both prefixes or in the rest behind one of the prefixes;
+    the whole must reach 3/7 of the sum of sizes.
+    """
     fits = (100 * n[a].astype(np.int64) >= PERCENT * n[b].astype(np.int64)) & (group[a] != group[b])
     a, b, partial = a[fits], b[fits], partial[fits]
+    overlap = -(-PERCENT * (n[a].astype(np.int64) + n[b]) // (100 + PERCENT))
+    least = np.maximum(np.minimum(asked[a], asked[b]), overlap - np.maximum(rest[a], rest[b]))
     return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(np.minimum(asked[a], asked[b]).astype(np.int32)), pa.array(partial, pa.bool_())],
+        [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(least.astype(np.int32)), pa.array(partial, pa.bool_())],
         ["a", "b", "asked", "partial"],
     )
 
@@ -255,23 +267,41 @@ def _sets(width: int, wanted):
                 seen = np.union1d(seen, keys[new])
                 edges = np.concatenate([[0], np.cumsum(sizes)])
                 if len(new):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array([value[edges[r] : edges[r + 1]].tobytes() for r in new], pa.binary())], ["node", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array([_packed(value[edges[r] : edges[r + 1]]) for r in new], pa.binary())], ["node", "members"])
 
     return run
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Similar pairs. Rows come by block, a block's sets before its pairs."""
+    current, sets = None, {}
     for batch in batches:
-        left, right = batch.column("left"), batch.column("right")
-        good = np.zeros(batch.num_rows, bool)
-        for i in range(batch.num_rows):
-            x, y = (np.frombuffer(c[i].as_buffer(), np.uint64) for c in (left, right))
+        good = []
+        members = batch.column("members")
+        for i, (block, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b")), strict=True)):
+            if block != current:
+                current, sets = block, {}
+            if b is None:
+                sets[a] = np.frombuffer(members[i].as_buffer(), np.uint8).reshape(-1, MEMBER_BYTES)
+                continue
+            x, y = (_members(sets[n]) for n in (a, b))
             both = np.concatenate([x, y])
             both.sort()
             shared = int((both[1:] == both[:-1]).sum())
-            good[i] = 100 * shared >= PERCENT * (len(both) - shared)
-        kept = pa.array(np.flatnonzero(good))
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(kept), batch.column("b").take(kept)], ["a", "b"])
+            if 100 * shared >= PERCENT * (len(both) - shared):
+                good.append((a, b))
+        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
+
+
+def _packed(value: np.ndarray) -> bytes:
+    """The upper MEMBER_BYTES bytes of each hash."""
+    return np.ascontiguousarray(value.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES]).tobytes()
+
+
+def _members(rows: np.ndarray) -> np.ndarray:
+    wide = np.zeros((len(rows), 8), np.uint8)
+    wide[:, :MEMBER_BYTES] = rows
+    return wide.view(">u8").ravel().astype(np.uint64)
 
 
 def _sets_of(text: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -281,14 +311,27 @@ def _sets_of(text: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     wanted = text.sparkSession.sparkContext.broadcast(table)  # 1 MB, whatever the input
-    return staged(text.mapInArrow(_sets(width, wanted), "node long, members binary").dropDuplicates(["node"]))
+    return staged(map_batches(text, _sets(width, wanted), "node long, members binary").dropDuplicates(["node"]))
 
 
 def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar."""
-    with_right = pairs.join(sets.withColumnsRenamed({"node": "b", "members": "right"}), "b")
-    with_both = with_right.join(sets.withColumnsRenamed({"node": "a", "members": "left"}), "a")
-    return staged(with_both.select("a", "b", "left", "right").mapInArrow(_verify, "a long, b long"))
+    """The pairs whose sets are similar.
+
+    Pairs go to blocks by the smallest neighbour of one of them, so most groups of mutual
+    candidates meet in one block and each set travels there once; a neighbour with many
+    pairs has several blocks of about BLOCK_PAIRS pairs.
+    """
+    both = pairs.union(pairs.select("b", "a"))
+    leaders = staged(both.groupBy("a").agg(F.min("b").alias("leader")).select("a", F.least("a", "leader").alias("leader")))
+    led = pairs.join(leaders, "a")
+    parts = staged(led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("parts")).where("parts > 1"))
+    # Nodes that are neighbours in a list have close keys, so ranges of keys part a large group with few crossings.
+    salt = F.when(F.col("parts").isNotNull(), F.floor((F.col("a") / 2.0**64 + 0.5) * F.col("parts"))).otherwise(F.lit(0))
+    blocks = staged(led.join(parts, "leader", "left").select(F.xxhash64("leader", salt).alias("block"), "a", "b"))
+    wanted = blocks.select("block", F.col("a").alias("node")).union(blocks.select("block", F.col("b").alias("node"))).distinct()
+    shipped = wanted.join(sets, "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "members")
+    rows = shipped.union(blocks.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("members")))
+    return staged(rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_verify, "a long, b long"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -313,7 +356,7 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable over links) per document."""
     spark = docs.sparkSession
     text = docs.select("doc_id", "text")
-    profile = staged(text.mapInArrow(_profile(width), "doc_id long, node long, n long, block int, counts array<long>"))
+    profile = staged(map_batches(text, _profile(width), "doc_id long, node long, n long, block int, counts array<long>"))
     members = profile.where("block IS NULL").select("doc_id", "node", "n")
     blocks = profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts array<long>")
     # 2**SKETCH_BITS numbers, whatever the input.
@@ -323,18 +366,18 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
     noise = sketch.mean()
     sketch = np.maximum(sketch - noise - 3 * noise**0.5, 1).astype(np.float32)
 
-    postings = text.mapInArrow(_postings(width, spark.sparkContext.broadcast(sketch)), "shingle long, node long, n int, asked byte")
-    live = staged(_by_list(postings).mapInArrow(_keep_lists, "shingle long, node long, n int, asked byte, in_list long"))
+    postings = map_batches(text, _postings(width, spark.sparkContext.broadcast(sketch)), "shingle long, node long, n int, asked byte, rest int")
+    live = staged(_by_list(postings).mapInArrow(_keep_lists, "shingle long, node long, n int, asked byte, rest int, in_list long"))
 
-    lists = live.withColumns({"group": F.col("node"), "outside": F.col("in_list")})
+    lists = live.withColumns({"group": F.col("node"), "outside": F.lit(FEW + 1).cast("long")})
     first, reach, links, done, sets, roots = 1, REACH, None, None, None, None
     while True:
-        found = _by_list(lists.select("shingle", "n", "node", "asked", "group", "outside")).mapInArrow(_pairs(first, reach), "a long, b long, asked int, partial boolean")
+        found = _by_list(lists.select("shingle", "n", "node", "asked", "rest", "group", "outside")).mapInArrow(_pairs(first, reach), "a long, b long, asked int, partial boolean")
         pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"), F.max("partial").alias("partial"))
         pairs = pairs.where("partial OR shared >= asked").select("a", "b")
         pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         # Lists that this round has not finished.
-        live = staged(lists.where((F.col("in_list") > first + reach) & (F.col("outside") > FEW)).select("shingle", "node", "n", "asked", "in_list"))
+        live = staged(lists.where((F.col("in_list") > first + reach) & (F.col("outside") > FEW)).select("shingle", "node", "n", "asked", "rest", "in_list"))
         if sets is None:
             nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(live.select("node"))
             sets = _sets_of(text, nodes, width)
@@ -345,7 +388,7 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
         lists = _grouped(live, roots)
         if lists.isEmpty():
             break
-        first, reach = first + reach, 2 * reach
+        first, reach = first + reach, 4 * reach
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = staged(labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_smallest")))
