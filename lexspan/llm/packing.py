@@ -19,6 +19,7 @@ queue. Repeated rows are packed as often as they occur. An empty table gives no
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -28,8 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexspan.llm.shared import staged
-from lexspan.llm.textbytes import chunks, span_hash, word_spans
+from lexspan.llm.shared import map_batches, staged
+from lexspan.llm.textbytes import chunks, distinct, span_hash, word_spans
 
 #: Rows up to which the table of queue bases is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 100_000
@@ -43,11 +44,14 @@ class WordEncoder:
     their ids in one flat array: about 20 bytes a word.
     """
 
-    def __init__(self, path: str, limit: int = 3_000_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.gap = "\x01"
+        (self.gap_id,) = self.tokenizer.encode(self.gap, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -57,32 +61,48 @@ class WordEncoder:
         self.ids = np.empty(0, np.uint16)
 
     def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        found = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
-        ids = [e.ids for e in found]
-        count = np.fromiter(map(len, ids), np.int32, len(ids))
-        flat = np.fromiter((i for x in ids for i in x), np.uint16, int(count.sum()))
+        ids, count = self._ids(words)
         first = np.cumsum(count, dtype=np.int64) - count + len(self.ids)
-        self.ids = np.concatenate([self.ids, flat])
+        self.ids = np.concatenate([self.ids, ids])
         place = np.searchsorted(self.keys, keys)
         self.keys = np.insert(self.keys, place, keys)
         self.first = np.insert(self.first, place, first)
         self.count = np.insert(self.count, place, count)
 
+    def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words, number of ids of each).
+
+        Many words go into one call, with a word between them that is one id of its own and
+        stands in none of them.
+        """
+        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if any(self.gap in w for w in words):
+            parts = [x for w in words for x in encode([w])]
+            return np.concatenate(parts), np.array([len(x) for x in parts], np.int32)
+        texts = [f" {self.gap} ".join([*words[i : i + 256], ""]) for i in range(0, len(words), 256)]
+        flat = np.concatenate([x for i in range(0, len(texts), 16) for x in encode(texts[i : i + 16])])
+        cut = np.flatnonzero(flat == self.gap_id)
+        return np.delete(flat, cut), (np.diff(np.concatenate([[-1], cut])) - 1).astype(np.int32)
+
     def encode(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts of the chunk, number of ids of each text)."""
         starts, ends, owner = word_spans(raw, offsets)
         texts = len(offsets) - 1
         if not len(starts):
             return np.empty(0, np.uint16), np.zeros(texts, np.int64)
-        keys, sample, which = np.unique(span_hash(raw, starts, ends), return_index=True, return_inverse=True)
+        starts, ends, owner = split_tails(raw, starts, ends, owner)
+        raw = raw.copy()
+        raw[starts] = _FOLD[raw[starts]]
+        keys, sample, which = distinct(span_hash(raw, starts, ends))
         if len(self.keys) + len(keys) > self.limit:
             self.clear()
         place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
         new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
         if new.any():
             data = raw.tobytes()
-            at = sample[new]
-            self._learn(keys[new], [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
+            order = np.argsort(keys[new])
+            at = sample[new][order]
+            self._learn(keys[new][order], [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
             place = np.searchsorted(self.keys, keys)
         place = place[which]
         count = self.count[place].astype(np.int64)
@@ -91,6 +111,30 @@ class WordEncoder:
         return ids, np.bincount(owner, weights=count, minlength=texts).astype(np.int64)
 
 
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_LETTER = np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_TAIL = np.zeros(256, bool)
+_TAIL[np.frombuffer(b".,;:!?", np.uint8)] = True
+
+
+def split_tails(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words with a single mark after a final ASCII letter as two spans.
+
+    The tokenizer separates letters from such a mark and folds case before it merges, so
+    this (and a small first letter) changes no id, and fewer distinct words remain.
+    """
+    tail = (ends - starts > 1) & _TAIL[raw[ends - 1]] & _LETTER[raw[np.maximum(ends - 2, 0)]]
+    at = np.flatnonzero(tail)
+    count = 1 + tail
+    begin, end = np.repeat(starts, count), np.repeat(ends, count)
+    second = at + np.arange(len(at)) + 1
+    begin[second] = ends[at] - 1
+    end[second - 1] = ends[at] - 1
+    return begin, end, np.repeat(owner, count)
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -101,7 +145,7 @@ def _tokenise(path: str, end_id: int, queues: dict[str | None, int], other: int)
         encoder, part, reached = _ENCODERS[path], TaskContext.get().partitionId(), {}
         for batch in batches:
             sources = batch.column("source").to_pylist()
-            for low, high, raw, offsets in chunks(batch.column("text"), 4 << 20):
+            for low, high, raw, offsets in chunks(batch.column("text")):
                 ids, counts = encoder.encode(raw, offsets)
                 ends = np.cumsum(counts)
                 whole = np.insert(ids, ends, np.uint16(end_id))
@@ -217,7 +261,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: in
     queues = {r["source"]: i for i, r in enumerate(largest)}
     other = len(queues)
 
-    ids = staged(docs.mapInArrow(_tokenise(tokenizer_path, end_id, queues, other), "part int, doc_id long, queue int, tokens long, begin long, ids binary"))
+    ids = staged(map_batches(docs, _tokenise(tokenizer_path, end_id, queues, other), "part int, doc_id long, queue int, tokens long, begin long, ids binary"))
     sums = staged(ids.groupBy("queue", "part").agg(F.sum("tokens").alias("here")))
     base = sums.withColumn("base", F.sum("here").over(Window.partitionBy("queue").orderBy("part")) - F.col("here")).drop("here")
     found = {r["queue"]: r["total"] for r in sums.groupBy("queue").agg(F.sum("here").alias("total")).collect()}
@@ -225,7 +269,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: in
     if sums.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
     placed = ids.join(base, ["queue", "part"]).select("doc_id", "queue", "tokens", (F.col("begin") + F.col("base")).alias("begin"), "ids")
-    return placed.mapInArrow(_cut(totals, window, with_ids), PIECE + (", ids binary" if with_ids else ""))
+    return map_batches(placed, _cut(totals, window, with_ids), PIECE + (", ids binary" if with_ids else ""))
 
 
 def pack_public(docs: DataFrame) -> DataFrame:
