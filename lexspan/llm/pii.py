@@ -5,8 +5,11 @@ pieces between the matches and the matches themselves, in turn, give every posit
 
 *Base.* The matches of the four patterns that pass their check.
 
-*Bootstrap.* A candidate is a token with a digit, an at sign or an opening bracket and an identifier's rough shape; its context is the
-two words before it. Instances (candidates' texts) that the base recognises are seeds.
+*Bootstrap.* A candidate is a token with a digit, an at sign or an opening bracket and an
+identifier's rough shape, or a run of digit groups with spaces between them that has the
+shape of a phone or card number. Its context is the two words before it. Base spans,
+whatever tokens they cover, are the seeds, each in the context before its own start;
+candidates that touch one are no instances of their own.
 Contexts and instances form a graph of which Spark scores both sides in turn: a context's
 score for a kind is the mean score of its distinct instances, held down where they are few
 or where the context has few seeds; an instance's score is that of its best context. After
@@ -43,8 +46,18 @@ CANDIDATE = r"(?<!\S)[^\s0-9@(\[{]*+[0-9@(\[{]\S*+"
 SHAPES = {
     "email": r"(?i)^[a-z0-9._%+-]+(?:@|\(at\)|\[at\]|\{at\})[a-z0-9-]+(?:(?:\.|\(dot\)|\[dot\]|\{dot\})[a-z0-9-]+)*$",
     "ip": r"^[0-9a-fA-F]*:[0-9a-fA-F:]+:[0-9a-fA-F]*$",
-    "card": r"^[0-9](?:[./_-]?[0-9]){13,18}$",
-    "phone": r"^\(?[0-9](?:[().-]?[0-9]){6,14}$",
+    "card": r"^[0-9](?:(?:[./_\x20-]|\x20-\x20)?[0-9]){13,18}$",
+    "phone": r"^\(?[0-9](?:(?:[().-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){6,14}$",
+}
+#: Marks before and after a token, which do not belong to it.
+LEAD = r"[\"'<\[,;:]"
+EDGE = r"(?=[\"'>\],;:.!?)]*+(?:\s|\z))"
+#: Where digit groups with spaces between them begin: marks and the first character.
+RUN = rf"(?<!\S){LEAD}*+(?=[0-9()./_-]++\x20)(?=\(?[0-9](?:(?:[()./_-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){{6,18}}{EDGE})[(0-9]"
+#: The longest run of such groups, by kind; a first group that is long enough alone is a token's matter.
+RUNS = {
+    kind: rf"^(?=(?:[^\s0-9]*[0-9]){{1,{most}}}[^\s0-9]*\x20)" + SHAPES[kind].strip("^$") + EDGE
+    for kind, most in (("card", 13), ("phone", 6))
 }
 ROUNDS = 3
 CONFIDENT = 0.6
@@ -118,22 +131,42 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: F.struct(k["a"].alias("start"), k["c"].alias("end"), k["d"].alias("kind"), k["e"].alias("value")))
 
 
+def _context(text: Column, start: Column) -> Column:
+    """The two words before a place, in lower case and without marks."""
+    before = F.substring(text, F.greatest(start - 80, F.lit(0)) + 1, F.least(start, F.lit(80)))
+    words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")), 1, 2)
+    return F.array_join(F.reverse(words), " ")
+
+
+def seeds_of(text: Column) -> Column:
+    """The base spans, each with its context."""
+    return F.transform(base_spans(text), lambda s: s.withField("context", _context(text, s["start"])))
+
+
 def candidates(text: Column) -> Column:
-    """Array of (start, end, value, context) of tokens that may be identifiers.
+    """Array of (start, end, value, context) of tokens and digit runs that may be identifiers.
 
-    Marks at a token's edges do not belong to it; the context is the two words before the
-    token, in lower case and without marks.
+    Marks at a token's edges do not belong to it. Runs are taken from each group on, so they
+    may overlap.
     """
-    found = matches(text, CANDIDATE)
+
+    def placed(s):
+        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), _context(text, s["start"]).alias("context"))
 
     def trimmed(s):
-        core = F.regexp_replace(F.regexp_replace(s["value"], r"^[\"'<\[,;:]+", ""), r"[\"'>\],;:.!?]+$", "")
-        lead = F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], r"^[\"'<\[,;:]+", ""))
-        before = F.substring(text, F.greatest(s["start"] - 80, F.lit(0)) + 1, F.least(s["start"], F.lit(80)))
-        words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")), 1, 2)
-        return F.struct((s["start"] + lead).alias("start"), (s["start"] + lead + F.char_length(core)).alias("end"), core.alias("value"), F.array_join(F.reverse(words), " ").alias("context"))
+        core = F.regexp_replace(F.regexp_replace(s["value"], f"^{LEAD}+", ""), r"[\"'>\],;:.!?]+$", "")
+        lead = F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], f"^{LEAD}+", ""))
+        return F.struct((s["start"] + lead).alias("start"), core.alias("value"))
+
+    def runs(s):
+        start = s["end"] - 1
+        ahead = F.substring(text, start + 1, F.lit(100))  # a run has at most 19 digits and 3 characters between two
+        return F.transform(F.array_distinct(F.array(*[F.regexp_extract(ahead, pattern, 0) for pattern in RUNS.values()])), lambda v: F.struct(start.alias("start"), v.alias("value")))
 
-    return F.filter(F.transform(found, trimmed), lambda s: (s["end"] > s["start"]) & (s["context"] != "") & _any_shape(s["value"]))
+    tokens = F.filter(F.transform(matches(text, CANDIDATE), trimmed), lambda s: _any_shape(s["value"]))
+    spaced = F.when(text.rlike(RUN), F.flatten(F.transform(matches(text, RUN), runs))).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    both = F.filter(F.concat(tokens, spaced), lambda s: s["value"] != "")
+    return F.filter(F.transform(both, placed), lambda s: s["context"] != "")
 
 
 def _any_shape(value: Column) -> Column:
@@ -148,10 +181,13 @@ def _touches(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
 
-def _seed(spans: Column, c: Column) -> Column:
-    """The kind of the base span that covers the candidate from its start, or null."""
-    own = F.filter(spans, lambda s: (s["start"] == c["start"]) & (s["end"] <= c["end"]))
-    return F.when(F.size(own) > 0, F.element_at(own, F.lit(1))["kind"])
+def _widest(spans: Column) -> Column:
+    """The spans that lie in no other one of their kind."""
+
+    def inside(a):
+        return F.exists(spans, lambda b: (a["kind"] == b["kind"]) & (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (b["end"] - b["start"] > a["end"] - a["start"]))
+
+    return F.filter(spans, lambda a: ~inside(a))
 
 
 def context_scores(occurrences: DataFrame) -> DataFrame:
@@ -177,17 +213,18 @@ def context_scores(occurrences: DataFrame) -> DataFrame:
 def find_pii(docs: DataFrame) -> DataFrame:
     """doc_id, text_mark (hash of the text), base and all spans, one row per row of ``docs``."""
     text = F.coalesce("text", F.lit(""))
-    slim = docs.select("doc_id", F.xxhash64(text).alias("text_mark"), base_spans(text).alias("base"), candidates(text).alias("tokens"))
+    slim = docs.select("doc_id", F.xxhash64(text).alias("text_mark"), seeds_of(text).alias("seeds"), candidates(text).alias("tokens"))
     slim = staged(slim)  # spans and candidates only: the texts are read once
-    seen = slim.select("doc_id", "text_mark", "base", F.explode("tokens").alias("c"))
-    occurrences = seen.select("c.context", "c.value", _seed(F.col("base"), F.col("c")).alias("kind"))
+    seeds = slim.select(F.explode("seeds").alias("s")).where("s.context != ''").select("s.context", "s.value", "s.kind")
+    slim = slim.withColumn("base", F.transform("seeds", lambda s: s.dropFields("context"))).drop("seeds")
+    seen = slim.select("doc_id", "text_mark", "base", F.explode("tokens").alias("c")).where(~_touches(F.col("base"), F.col("c")))
+    occurrences = seeds.union(seen.select("c.context", "c.value", F.lit(None).cast("string").alias("kind")))
     best = context_scores(occurrences).where(F.col("score") >= CONFIDENT).groupBy("context").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     shaped = F.lit(False)
     for kind, pattern in SHAPES.items():
         shaped = shaped | ((F.col("kind") == kind) & F.col("c.value").rlike(pattern))
     fresh = (
-        seen.where(~_touches(F.col("base"), F.col("c")))
-        .select("doc_id", "text_mark", "c", F.col("c.context").alias("context"))
+        seen.select("doc_id", "text_mark", "c", F.col("c.context").alias("context"))
         .join(staged(best), "context")
         .where(shaped)
         .groupBy("doc_id", "text_mark")
@@ -195,7 +232,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
     fresh = staged(fresh.withColumnsRenamed({"doc_id": "_id", "text_mark": "_mark"}))
     together = slim.join(fresh, slim["doc_id"].eqNullSafe(fresh["_id"]) & (slim["text_mark"] == fresh["_mark"]), "left")
-    return together.select("doc_id", "text_mark", "base", in_order(F.concat("base", F.coalesce(F.col("fresh").cast(SPAN), F.array().cast(SPAN)))).alias("spans"))
+    return together.select("doc_id", "text_mark", "base", in_order(F.concat("base", F.coalesce(_widest(F.col("fresh").cast(SPAN)), F.array().cast(SPAN)))).alias("spans"))
 
 
 def written(spans: Column) -> Column:

@@ -63,6 +63,30 @@ def test_contexts_discover_other_spellings(spark):
     assert new[101].text == "write to nobody" and new[104].text is None and new[None].text == "write to [EMAIL]"
 
 
+def test_seeds_and_candidates_of_several_tokens(spark):
+    rows = [(i, f"Please call our number +1 (415) 555-{1000 + i} today.") for i in range(20)]
+    rows += [(100 + i, f"charged to card 4111 1111 1111 {n} then") for i, n in enumerate(n for n in range(1000, 1400) if luhn(f"411111111111{n}"))]
+    rows += [
+        (1, "call our number 4155550100 now"),
+        (2, "call our number (415) 555-0100, or"),
+        (3, "call our number 415 555 0100 now"),
+        (4, "call our number 4155550100 12 times"),
+        (5, "the card 4111/1111/1111/1112 and card 4111 1111 1111 1112."),
+        (6, "charged to card 4111 1111 1111 1112 and to card 41111111 11111112."),
+        (7, "room 12 has 555 0100 chairs"),
+        (8, "call our number 12 345"),
+        (9, "call our number " + "1 " * 300),
+    ]
+    docs = spark.createDataFrame([(d + 1000 * (d < 10 and not t.startswith("Please")), t) for d, t in rows], "doc_id long, text string")
+    rows = {r.doc_id: r.spans for r in find_pii(docs).collect()}
+    got = {d - 1000: [(s.kind, s.value) for s in spans] for d, spans in rows.items() if d > 1000}
+    assert got[1] == got[4] == [("phone", "4155550100")]
+    assert got[2] == [("phone", "(415) 555-0100")] and got[3] == [("phone", "415 555 0100")]
+    assert got[6] == [("card", "4111 1111 1111 1112"), ("card", "41111111 11111112")]
+    assert got[7] == got[8] == [] and got[5] == []
+    assert got[9] == [("phone", ("1 " * 15).strip())]
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(docs).count() == 0 and masked(docs).count() == 0
