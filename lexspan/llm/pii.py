@@ -11,8 +11,9 @@ shape of a phone or card number. Its context is the two words before it. Base sp
 whatever tokens they cover, are the seeds, each in the context before its own start;
 candidates that touch one are no instances of their own.
 Contexts and instances form a graph of which Spark scores both sides in turn: a context's
-score for a kind is the mean score of its distinct instances, held down where they are few
-or where the context has few seeds; an instance's score is that of its best context. After
+score for a kind is the mean score of its distinct instances, held down where they are few;
+it counts once the context has ``FEWEST`` instances that are seeds or reach ``CONFIDENT`` in
+an earlier round, so found instances make further contexts. An instance's score is that of its best context. After
 ``ROUNDS`` rounds the contexts of at least ``CONFIDENT`` pull in those candidates of theirs
 that no base span touches and that have the kind's rough shape. Every count is combined
 before it is shuffled, so a frequent context is no hot spot.
@@ -61,7 +62,7 @@ RUNS = {
 }
 ROUNDS = 3
 CONFIDENT = 0.6
-FEWEST_SEEDS = 3
+FEWEST = 3
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
@@ -144,27 +145,37 @@ def seeds_of(text: Column) -> Column:
 
 
 def candidates(text: Column) -> Column:
-    """Array of (start, end, value, context) of tokens and digit runs that may be identifiers.
+    """Array of (start, end, value, whole, context) of tokens and digit runs that may be identifiers.
 
+    ``whole`` is the longest reading from a place on; shorter ones are no instances beside it.
     Marks at a token's edges do not belong to it. Runs are taken from each group on, so they
     may overlap.
     """
 
     def placed(s):
-        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), _context(text, s["start"]).alias("context"))
+        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), s["whole"].alias("whole"), _context(text, s["start"]).alias("context"))
 
     def trimmed(s):
         core = F.regexp_replace(F.regexp_replace(s["value"], f"^{LEAD}+", ""), r"[\"'>\],;:.!?]+$", "")
         lead = F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], f"^{LEAD}+", ""))
         return F.struct((s["start"] + lead).alias("start"), core.alias("value"))
 
+    def ahead(start):
+        return F.substring(text, start + 1, F.lit(100))  # a run has at most 19 digits and 3 characters between two
+
+    def judged(s):
+        longer = F.lit(False)
+        for pattern in RUNS.values():
+            longer = longer | ahead(s["start"]).rlike(pattern)
+        return F.struct(s["start"].alias("start"), s["value"].alias("value"), (~longer).alias("whole"))
+
     def runs(s):
         start = s["end"] - 1
-        ahead = F.substring(text, start + 1, F.lit(100))  # a run has at most 19 digits and 3 characters between two
-        return F.transform(F.array_distinct(F.array(*[F.regexp_extract(ahead, pattern, 0) for pattern in RUNS.values()])), lambda v: F.struct(start.alias("start"), v.alias("value")))
+        read = F.array_distinct(F.array(*[F.regexp_extract(ahead(start), pattern, 0) for pattern in RUNS.values()]))
+        return F.transform(read, lambda v: F.struct(start.alias("start"), v.alias("value"), (~F.exists(read, lambda o: F.char_length(o) > F.char_length(v))).alias("whole")))
 
-    tokens = F.filter(F.transform(matches(text, CANDIDATE), trimmed), lambda s: _any_shape(s["value"]))
-    spaced = F.when(text.rlike(RUN), F.flatten(F.transform(matches(text, RUN), runs))).otherwise(F.array().cast("array<struct<start:int,value:string>>"))
+    tokens = F.transform(F.filter(F.transform(matches(text, CANDIDATE), trimmed), lambda s: _any_shape(s["value"])), judged)
+    spaced = F.when(text.rlike(RUN), F.flatten(F.transform(matches(text, RUN), runs))).otherwise(F.array().cast("array<struct<start:int,value:string,whole:boolean>>"))
     both = F.filter(F.concat(tokens, spaced), lambda s: s["value"] != "")
     return F.filter(F.transform(both, placed), lambda s: s["context"] != "")
 
@@ -177,6 +188,14 @@ def _any_shape(value: Column) -> Column:
     return (F.char_length(value) <= 128) & shape
 
 
+def _shaped(kind: Column, value: Column) -> Column:
+    """Whether the value has the kind's rough shape."""
+    shaped = F.lit(False)
+    for name, pattern in SHAPES.items():
+        shaped = shaped | ((kind == name) & value.rlike(pattern))
+    return shaped
+
+
 def _touches(spans: Column, c: Column) -> Column:
     return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
 
@@ -200,13 +219,11 @@ def context_scores(occurrences: DataFrame) -> DataFrame:
     seeds = edges.where("seed IS NOT NULL").select("value", F.col("seed").alias("kind"), F.lit(1.0).alias("known")).distinct()
     instances = seeds
     for turn in range(ROUNDS):
-        gained = edges.join(instances, "value").groupBy("context", "kind").agg(
-            F.sum("known").alias("total"), F.count(F.when(F.col("seed") == F.col("kind"), 1)).alias("seeds")
-        )
-        scores = staged(gained.where(F.col("seeds") >= FEWEST_SEEDS).join(members, "context").select("context", "kind", (F.col("total") / (F.col("members") + 1)).alias("score")))
+        gained = edges.join(instances, "value").groupBy("context", "kind").agg(F.sum("known").alias("total"), F.count(F.when(F.col("known") >= CONFIDENT, 1)).alias("support"))
+        scores = staged(gained.where(F.col("support") >= FEWEST).join(members, "context").select("context", "kind", (F.col("total") / (F.col("members") + 1)).alias("score")))
         if turn + 1 < ROUNDS:
-            reached = edges.where("seed IS NULL").join(scores, "context").groupBy("value", "kind").agg(F.max("score").alias("known"))
-            instances = staged(seeds.union(reached))
+            reached = edges.where("seed IS NULL").join(scores, "context").where(_shaped(F.col("kind"), F.col("value"))).select("value", "kind", F.col("score").alias("known"))
+            instances = staged(seeds.union(reached).groupBy("value", "kind").agg(F.max("known").alias("known")))
     return scores
 
 
@@ -218,15 +235,12 @@ def find_pii(docs: DataFrame) -> DataFrame:
     seeds = slim.select(F.explode("seeds").alias("s")).where("s.context != ''").select("s.context", "s.value", "s.kind")
     slim = slim.withColumn("base", F.transform("seeds", lambda s: s.dropFields("context"))).drop("seeds")
     seen = slim.select("doc_id", "text_mark", "base", F.explode("tokens").alias("c")).where(~_touches(F.col("base"), F.col("c")))
-    occurrences = seeds.union(seen.select("c.context", "c.value", F.lit(None).cast("string").alias("kind")))
+    occurrences = seeds.union(seen.where("c.whole").select("c.context", "c.value", F.lit(None).cast("string").alias("kind")))
     best = context_scores(occurrences).where(F.col("score") >= CONFIDENT).groupBy("context").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
-    shaped = F.lit(False)
-    for kind, pattern in SHAPES.items():
-        shaped = shaped | ((F.col("kind") == kind) & F.col("c.value").rlike(pattern))
     fresh = (
         seen.select("doc_id", "text_mark", "c", F.col("c.context").alias("context"))
         .join(staged(best), "context")
-        .where(shaped)
+        .where(_shaped(F.col("kind"), F.col("c.value")))
         .groupBy("doc_id", "text_mark")
         .agg(F.collect_set(F.struct(F.col("c.start").alias("start"), F.col("c.end").alias("end"), "kind", F.col("c.value").alias("value"))).alias("fresh"))
     )

@@ -87,6 +87,18 @@ def test_seeds_and_candidates_of_several_tokens(spark):
     assert got[9] == [("phone", ("1 " * 15).strip())]
 
 
+def test_found_instances_make_further_contexts(spark):
+    spelt = [f"ann{i}(at)corp(dot)example" for i in range(8)]
+    far = [f"bob{i}(at)corp(dot)example" for i in range(2)]
+    rows = [f"please write to user{i}@mail.example.org" for i in range(20)] + [f"please write to {s}" for s in spelt]
+    rows += [f"reach me under {s}" for s in [*spelt, far[0]]]  # no base span stands in this context
+    rows += [f"reach him below {s}" for s in (*spelt[:2], far[1])]  # two instances are too few
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.spans] for r in find_pii(docs).collect()}
+    assert [got[i] for i in range(20, 37)] == [[s] for s in (*spelt, *spelt, far[0])]
+    assert got[37] == got[38] == got[39] == []
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(docs).count() == 0 and masked(docs).count() == 0
