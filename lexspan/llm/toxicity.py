@@ -264,13 +264,16 @@ def _start_vectors(net: Network, corpus: _Corpus, toxic: np.ndarray) -> None:
         net.p[name][:, 0] = _log_odds(b, g, of_bad.sum() * scale / max(scale, 1), of_good.sum() * scale / max(scale, 1)) if name == "word" else _log_odds(b, g, b.sum() / scale, g.sum() / scale)
 
 
-def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 4, passes: int = 2, rate: float = 0.01, seed: int = 0) -> Network:
-    """A calibrated network from labelled texts; one in four is set aside for the calibration."""
+def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 4, passes: int = 2, rate: float = 0.01, share: float | None = None, seed: int = 0) -> Network:
+    """A calibrated network from labelled texts; one in four is set aside for the calibration.
+
+    ``share`` is the toxic share of all labels where that of the texts given differs.
+    """
     net, rng = Network(seed), np.random.default_rng(seed)
     toxic = np.asarray(toxic, bool)
     aside = np.arange(len(texts)) % 4 == 3
     if not (toxic & ~aside).any() or not (~toxic & ~aside).any():
-        share = toxic.mean() if len(toxic) else 0.0
+        share = (toxic.mean() if len(toxic) else 0.0) if share is None else share
         net.calibration = (0.0, float(np.log(max(share, 1e-6) / max(1 - share, 1e-6))))
         return net
     corpus = _Corpus([t for t, a in zip(texts, aside, strict=True) if not a])
@@ -317,7 +320,7 @@ def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 4, passes: int =
 
     held = _Corpus([t for t, a in zip(texts, aside, strict=True) if a])
     logit, _ = held.text_logits(net)
-    net.calibration = _fit_line(logit, toxic[aside])
+    net.calibration = _fit_line(logit, toxic[aside], _importance(toxic, share)[aside])
     return net
 
 
@@ -328,14 +331,20 @@ def _adam(value, moments, rows, grad, rate, step) -> None:
     value[rows] -= rate * (m[rows] / (1 - 0.9**step)) / (np.sqrt(v[rows] / (1 - 0.99**step)) + 1e-6)
 
 
-def _fit_line(logit: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
+def _importance(toxic: np.ndarray, share: float | None) -> np.ndarray:
+    """Weights of texts, 1 on average, that give the toxic ones the share they have in all labels."""
+    own = toxic.mean()
+    return np.ones(len(toxic)) if share is None else np.where(toxic, share / own, (1 - share) / (1 - own))
+
+
+def _fit_line(logit: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a logistic curve through the texts set aside, lightly held to 1 and 0."""
     a, b = 1.0, 0.0
     y = toxic.astype(float)
     for _ in range(200):
         p = _sigmoid(a * logit + b)
-        w = np.maximum(p * (1 - p), 1e-6)
-        gradient = np.array([((p - y) * logit).sum() + (a - 1), (p - y).sum() + 0.1 * b])
+        w = weight * np.maximum(p * (1 - p), 1e-6)
+        gradient = np.array([(weight * (p - y) * logit).sum() + (a - 1), (weight * (p - y)).sum() + 0.1 * b])
         curve = np.array([[(w * logit * logit).sum() + 1, (w * logit).sum()], [(w * logit).sum(), w.sum() + 0.1]])
         change = np.linalg.solve(curve, gradient)
         a, b = a - np.clip(change[0], -1, 1), b - np.clip(change[1], -1, 1)
@@ -385,6 +394,8 @@ def held_out(doc_id="doc_id"):
 def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2500, most_clean: int = 4000, seed: int = 0) -> Network:
     """A network from at most so many labelled texts of each kind, drawn by a hash of their id."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    total, bad = known.join(docs.select("doc_id").distinct(), "doc_id", "left_semi").agg(F.count(F.lit(1)), F.sum("toxic")).first()
+    share = bad / total if total else None  # the caps below may change it
     drawn = None
     for kind, most in ((1, most_toxic), (0, most_clean)):
         part = known.where(F.col("toxic") == kind).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most)
@@ -392,7 +403,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, most_toxic: int = 2500, most_clea
     sample = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text").limit(most_toxic + most_clean)
 
     def run(table: pa.Table) -> Network:
-        return train(text_column(table["text"]).to_pylist(), table["toxic"].to_numpy() == 1, seed=seed)
+        return train(text_column(table["text"]).to_pylist(), table["toxic"].to_numpy() == 1, share=share, seed=seed)
 
     return fitted(sample, run) or train([], np.empty(0))
 

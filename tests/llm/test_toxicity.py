@@ -70,3 +70,28 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity_scores(docs, fit(docs, labels)).collect()[0].score < 0.3
     assert toxicity_scores(docs.limit(0), train([], np.array([]))).count() == 0
+
+
+def test_caps_leave_the_calibrated_share():
+    rng = np.random.default_rng(3)
+    logit = np.concatenate([rng.normal(1, 1.5, 2000), rng.normal(-1, 1.5, 16000)])
+    toxic = np.arange(len(logit)) < 2000
+    drawn = toxic | (np.arange(len(logit)) % 8 == 0)  # the clean cap leaves one in eight
+    line = lambda keep, share: toxicity._fit_line(logit[keep], toxic[keep], toxicity._importance(toxic[keep], share))
+    whole, capped = line(toxic | True, None), line(drawn, toxic.mean())
+    assert np.allclose(whole, capped, atol=0.15)
+    assert not np.allclose(whole, line(drawn, None), atol=1)
+
+
+def test_share_is_that_of_all_usable_labels(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(500)], "doc_id long, quality int, toxic int")
+    import zlib
+
+    use = [i for i in range(400) if zlib.crc32(str(i).encode()) % 4 != 2]
+    share = sum(i % 10 == 0 for i in use) / len(use)
+    seen = {}
+    monkeypatch.setattr(toxicity, "fitted", lambda sample, run: run(sample.toArrow()))
+    monkeypatch.setattr(toxicity, "train", lambda texts, toxic, **rest: seen.update(rest, bad=toxic.mean()) or Network())
+    fit(docs, labels, most_toxic=20, most_clean=20)
+    assert abs(seen["share"] - share) < 1e-9 and seen["bad"] > 2 * share
