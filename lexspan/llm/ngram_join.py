@@ -3,28 +3,35 @@
 Two texts whose sets of five-word shingles have a Jaccard similarity of at least 0.75 are
 linked; the result is each document's component.
 
-1. *Profile.* One pass over the text gives each document the size and a 64-bit key of its
-   set, and adds every shingle of the corpus to a table of ``2**SKETCH_BITS`` counters: an
-   estimate of how many documents hold a shingle. Documents with equal sets share a key
-   and are one node from here on, so exact copies cost nothing.
+1. *Profile.* One pass over the text gives each document the size and a key of its set, and
+   adds every shingle of the corpus to a table of ``2**SKETCH_BITS`` counters: an estimate
+   of how many documents hold a shingle. Documents with equal sets share a key and are one
+   node from here on, so exact copies cost nothing. A second hash of the set stands beside
+   the key; sets that differ in it are told apart.
 2. *Prefixes.* Shingles are ordered from rare to frequent by that table. In that order two
    similar sets share at least ``l`` of their first ``n - ceil(0.75 n) + l`` shingles. Each
    document takes the ``l`` whose prefix has the least estimated cost (postings plus the
    candidates that they bring, of which only those with ``l`` matches are verified).
-3. *Candidates.* Postings meet by shingle. A list pairs each document with the next
-   ``REACH`` ones by size and with the smallest one; pairs must share as many prefix
-   shingles as the smaller of their two ``l``, or more where their sizes demand it.
-4. *Verification.* Sets of candidates are compared in full.
-5. *Contraction.* Verified links merge nodes into components. Lists that are longer than
-   ``REACH`` and still hold more than one component go round again with the pairs at the
-   next distances (four times as many each time), or, when few nodes lie outside the largest
-   component, with all pairs between components; pairs inside a component need no check.
-   This ends when no list can give a new pair, so no link between components is lost and
-   a large group of near copies never expands into all its pairs.
+3. *Candidates.* Postings meet by shingle, in lists ordered by size. A list of at most
+   ``FULL`` gives all its pairs; a longer one pairs each document with the next ``NEAR`` and
+   with the smallest one. Pairs must share as many prefix shingles as the smaller of their
+   two ``l``, or more where their sizes demand it. A list whose estimate is above ``HOT`` is
+   divided by the node's key into parts of about that length, whichever tasks they fall to;
+   the smallest document of every part stands for it in one list more.
+4. *Verification.* The texts of candidates travel once to blocks of pairs and their sets are
+   compared there in full. Each block returns the links as a star.
+5. *Contraction.* Links merge nodes into components. Long lists that still hold more than
+   one component go round again with the pairs at the next distances (four times as many
+   each time); when few nodes lie outside the largest component, with all pairs between
+   components. A divided list goes round once: nodes outside its largest component visit
+   all its parts. Pairs inside a component need no check. This ends when no list can give a
+   new pair, so no link between components is lost and a large group of near copies never
+   expands into all its pairs.
 
 Defined results: null, empty or word-free text has an empty set and links to nothing. A
 text with fewer than five words has one shingle, the whole sequence. Repeated rows and ties
-are nodes with equal sets. Extra columns are ignored. An empty table gives an empty table.
+are nodes with equal sets. Very long texts are read whole; a set takes eight bytes a word
+where it is compared. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -38,22 +45,26 @@ from pyspark.sql import functions as F
 
 from lexspan.llm.graph import components
 from lexspan.llm.shared import map_batches, staged
-from lexspan.llm.textbytes import chunks, mix, span_hash, windows_hash, word_spans
+from lexspan.llm.textbytes import by_text_and_value, chunks, mix, span_hash, windows_hash, word_spans
 
 WIDTH = 5
 #: Similarity as a ratio of integers: 100 * intersection >= 75 * union.
 PERCENT = 75
 SKETCH_BITS = 19
 BLOCK = 4096
-REACH = 8
+#: A list of at most so many nodes gives all its pairs at once.
+FULL = 33
+#: Distances that a longer list gives first, and in its second round.
+NEAR = 2
+REACH = 32
 MOST_MATCHES = 4
 #: A list with at most so many nodes outside its largest component gives all pairs between components.
 FEW = 16
+#: Estimated postings from which a list is divided into parts of about that length.
+HOT = 4096
 #: Pairs that are verified together.
 BLOCK_PAIRS = 2000
-#: Bytes of each hash that verification compares.
-MEMBER_BYTES = 6
-#: Bits of the fixed-size table that keeps the sets of most documents without a candidate out of a shuffle.
+#: Bits of the fixed-size table that keeps the texts of most documents without a candidate out of a shuffle.
 FILTER_BITS = 23
 
 
@@ -72,36 +83,55 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, in
             for j in range(width - 1):
                 has = counts[short] > j
                 whole[has] = whole[has] * np.uint64(0x9E3779B97F4A7C15) + words[begin[short[has]] + j]
-            value = np.concatenate([value, mix(whole + counts[short].astype(np.uint64))])
-            text = np.concatenate([text, short])
-        order = np.lexsort((value, text))
-        value, text = value[order], text[order]
+            place = np.searchsorted(text, short)
+            value = np.insert(value, place, mix(whole + counts[short].astype(np.uint64)))
+            text = np.insert(text, place, short)
+        value = value[by_text_and_value(text, value)]
         first = np.ones(len(value), bool)
         first[1:] = (value[1:] != value[:-1]) | (text[1:] != text[:-1])
-        value, text = value[first], text[first]
-        yield low, high, value, np.bincount(text, minlength=high - low)
+        yield low, high, value[first], np.bincount(text[first], minlength=high - low)
 
 
-def set_keys(value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-    """A 64-bit key of each set (never 0 for a set with members)."""
-    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value + np.uint64(77)), dtype=np.uint64)])
+def set_keys(value: np.ndarray, sizes: np.ndarray, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """(key, check) of each set: two independent hashes; the key is 0 only for an empty set."""
     edges = np.concatenate([[0], np.cumsum(sizes)])
-    keys = mix(total[edges[1:]] - total[edges[:-1]] + sizes.astype(np.uint64))
-    return np.where(sizes > 0, np.maximum(keys, np.uint64(1)), np.uint64(0)).view(np.int64)
 
+    def total(salt: int) -> np.ndarray:
+        running = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(value ^ np.uint64(salt)), dtype=np.uint64)])
+        return mix(running[edges[1:]] - running[edges[:-1]] + sizes.astype(np.uint64))
 
-def _profile(width: int):
+    keys = np.maximum(total(0x517CC1B727220A95) >> np.uint64(64 - bits), np.uint64(1))
+    return np.where(sizes > 0, keys, np.uint64(0)).view(np.int64), total(0x2545F4914F6CDD1D).view(np.int64)
+
+
+class Names:
+    """Names sets by their key, and by key and check where different sets have one key.
+
+    Such keys are counted in the profile; of N documents about N**2 / 2**65 have one.
+    """
+
+    def __init__(self, shared: np.ndarray, bits: int):
+        self.shared, self.bits = shared, bits
+
+    def __call__(self, value: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        keys, checks = set_keys(value, sizes, self.bits)
+        return np.where(np.isin(keys, self.shared), keys ^ checks, keys) if len(self.shared) else keys
+
+
+def _profile(width: int, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << SKETCH_BITS, np.int64)
+        names = ["doc_id", "node", "check", "n", "block", "counts"]
         for batch in batches:
             for low, high, value, sizes in shingle_sets(batch.column("text"), width):
                 table += np.bincount(value >> np.uint64(64 - SKETCH_BITS), minlength=len(table))
                 none = pa.nulls(high - low, pa.int32()), pa.nulls(high - low, pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array(set_keys(value, sizes)), pa.array(sizes, pa.int64()), *none], ["doc_id", "node", "n", "block", "counts"])
+                keys, checks = set_keys(value, sizes, bits)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id")[low:high], pa.array(keys), pa.array(checks), pa.array(sizes, pa.int64()), *none], names)
         used = [i for i in range(0, len(table), BLOCK) if table[i : i + BLOCK].any()]
         if used:
-            none = [pa.nulls(len(used), pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays([*none, pa.array([i // BLOCK for i in used], pa.int32()), pa.array([table[i : i + BLOCK] for i in used], pa.list_(pa.int64()))], ["doc_id", "node", "n", "block", "counts"])
+            none = [pa.nulls(len(used), pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([*none, pa.array([i // BLOCK for i in used], pa.int32()), pa.array([table[i : i + BLOCK] for i in used], pa.list_(pa.int64()))], names)
 
     return run
 
@@ -118,56 +148,93 @@ def needed(sizes: np.ndarray) -> np.ndarray:
     return -(-PERCENT * sizes // 100)
 
 
-def choose_matches(estimates: np.ndarray, size: int) -> int:
-    """Matches to ask for, given the estimated lists of a set's shingles in prefix order.
+def choose_matches(met: np.ndarray, heads: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Matches to ask of each set, given running sums of the estimated lists in prefix order.
 
     A prefix costs its postings, and a verification (about the size of the set) for each
     candidate; candidates are at most the postings met, divided by the matches asked for.
     """
-    need = int(needed(np.array([size]))[0])
-    most = min(MOST_MATCHES, need)
-    met = np.concatenate([[0.0], np.cumsum(estimates)])
-    ends = np.minimum(size - need + np.arange(1, most + 1), size)
-    cost = ends * 4.0 + met[ends] + met[ends] / np.arange(1, most + 1) * (size / 16.0)
-    return int(np.argmin(cost)) + 1
+    need = needed(sizes)
+    costs = []
+    for asked in range(1, MOST_MATCHES + 1):
+        ends = np.minimum(sizes - need + asked, sizes)
+        lists = met[heads + ends] - met[heads]
+        costs.append(np.where(asked <= need, ends * 4.0 + lists + lists / asked * (sizes / 16.0), np.inf))
+    return np.argmin(np.stack(costs), axis=0) + 1
+
+
+def prefixes(value: np.ndarray, sizes: np.ndarray, estimate: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place of each prefix member in ``value``, its set, matches asked of each set)."""
+    heads = np.cumsum(sizes) - sizes
+    text = np.repeat(np.arange(len(sizes)), sizes)
+    # Rare first, to the sixteen upper bits of the estimate, then by hash: an order of all shingles.
+    order = np.argsort((estimate.astype(np.float32).view(np.uint32) >> np.uint32(16)).astype(np.uint16), kind="stable")
+    order = order[np.argsort(text[order], kind="stable")]
+    met = np.concatenate([[0.0], np.cumsum(estimate[order], dtype=np.float64)])
+    asked = choose_matches(met, heads, sizes)
+    ends = np.where(sizes > 0, np.minimum(sizes - needed(sizes) + asked, sizes), 0)
+    which = np.repeat(np.arange(len(sizes)), ends)
+    return order[np.arange(len(which)) - np.repeat(np.cumsum(ends) - ends, ends) + heads[which]], which, asked
+
 
+POSTING = "shingle long, part int, parts int, node long, n int, asked byte, rest int"
+
+
+def _postings(width: int, shipped):
+    """The prefix of each set, once a task."""
 
-def _postings(width: int, sketch):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sketch.value
-        seen = np.empty(0, np.int64)
+        table, name, hot = shipped.value
+        seen: set[int] = set()
         for batch in batches:
             for _, _, value, sizes in shingle_sets(batch.column("text"), width):
-                keys = set_keys(value, sizes)
-                _, new = np.unique(keys, return_index=True)
-                new = new[(keys[new] != 0) & ~np.isin(keys[new], seen)]
-                seen = np.union1d(seen, keys[new])
+                node = name(value, sizes)
+                new = _unseen(node, seen)
                 if not len(new):
                     continue
-                edges = np.concatenate([[0], np.cumsum(sizes)])
-                parts, matches, places, rests = [], [], [], []
+                value, sizes, node = value[_members(sizes, new)], sizes[new], node[new]
                 estimate = table[value >> np.uint64(64 - SKETCH_BITS)]
-                for r in np.sort(new):
-                    own, lists = value[edges[r] : edges[r + 1]], estimate[edges[r] : edges[r + 1]]
-                    order = np.lexsort((own, lists))
-                    size = len(own)
-                    asked = choose_matches(lists[order].astype(np.float64), size)
-                    end = min(size - int(needed(np.array([size]))[0]) + asked, size)
-                    parts.append(own[order[:end]])
-                    matches.append(np.full(end, asked, np.int8))
-                    places.append(np.full(end, r))
-                    rests.append(np.full(end, size - end, np.int32))
-                at = np.concatenate(places)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(parts).view(np.int64)), pa.array(keys[at]), pa.array(sizes[at], pa.int32()), pa.array(np.concatenate(matches)), pa.array(np.concatenate(rests))],
-                    ["shingle", "node", "n", "asked", "rest"],
-                )
+                at, which, asked = prefixes(value, sizes, estimate)
+                length = np.bincount(which, minlength=len(sizes))
+                parts = np.where(estimate[at] > hot, np.ceil(estimate[at] / hot), 1).astype(np.int64)
+                unit = (mix(node.view(np.uint64)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
+                arrays = [
+                    pa.array(value[at].view(np.int64)),
+                    pa.array((unit[which] * parts).astype(np.int32)),
+                    pa.array(parts.astype(np.int32)),
+                    pa.array(node[which]),
+                    pa.array(sizes[which].astype(np.int32)),
+                    pa.array(asked[which].astype(np.int8)),
+                    pa.array((sizes - length)[which].astype(np.int32)),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, ["shingle", "part", "parts", "node", "n", "asked", "rest"])
 
     return run
 
 
+def _unseen(node: np.ndarray, seen: set[int]) -> np.ndarray:
+    """The first rows of the nodes that this task has not met yet."""
+    _, first = np.unique(node, return_index=True)
+    new = [i for i, k in zip(first.tolist(), node[first].tolist(), strict=True) if k and k not in seen]
+    seen.update(node[new].tolist())
+    return np.array(sorted(new), np.int64)
+
+
+def _members(sizes: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Places of the members of the chosen sets."""
+    heads, size = (np.cumsum(sizes) - sizes)[chosen], sizes[chosen]
+    return np.arange(int(size.sum())) + np.repeat(heads - (np.cumsum(size) - size), size)
+
+
+def _heads(*keys: np.ndarray) -> np.ndarray:
+    """Where a new combination of keys begins."""
+    new = np.ones(len(keys[0]), bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in keys])
+    return np.flatnonzero(new)
+
+
 def _whole_lists(batches: Iterator[pa.RecordBatch], limit: int = 200_000) -> Iterator[pa.Table]:
-    """Runs of whole lists from a partition in the order of shingle."""
+    """Runs of whole lists from a partition in the order of shingle and part."""
     held: list[pa.RecordBatch] = []
     waiting = 0
     for batch in batches:
@@ -176,62 +243,92 @@ def _whole_lists(batches: Iterator[pa.RecordBatch], limit: int = 200_000) -> Ite
             waiting += batch.num_rows
         if waiting >= limit:
             table = pa.Table.from_batches(held)
-            key = table.column("shingle").to_numpy()
-            cut = int(np.searchsorted(key, key[-1]))  # the last list may go on
+            cut = int(_heads(table.column("shingle").to_numpy(), table.column("part").to_numpy())[-1])  # the last list may go on
             if cut:
                 yield table.slice(0, cut)
-            held, waiting = table.slice(cut).combine_chunks().to_batches(), len(key) - cut
+            held, waiting = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
             limit = max(limit, 2 * waiting)
     if waiting:
         yield pa.Table.from_batches(held)
 
 
 def _keep_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Postings of shingles that two or more nodes hold, each once, with the list's length."""
+    """Postings of shingles that two or more nodes hold, each once, with the list's length.
+
+    Parts of a divided list stay, and the first node of each goes to the list of part -1.
+    """
     for table in _whole_lists(batches):
-        key, node = table.column("shingle").to_numpy(), table.column("node").to_numpy()
-        first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-        at = np.flatnonzero(first)
-        starts = np.flatnonzero(np.concatenate([[True], key[at][1:] != key[at][:-1]]))
-        counts = np.diff(np.concatenate([starts, [len(at)]]))
+        key, part, node = (table.column(c).to_numpy() for c in ("shingle", "part", "node"))
+        at = _heads(key, part, node)
+        starts = _heads(key[at], part[at])
+        counts = np.diff(np.append(starts, len(at)))
+        divided = table.column("parts").to_numpy()[at] > 1
         size = np.repeat(counts, counts)
-        at, size = at[size > 1], size[size > 1]
-        if len(at):
-            out = table.take(pa.array(at)).combine_chunks().to_batches()[0]
-            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(size, pa.int64())], [*out.schema.names, "in_list"])
+        kept = np.flatnonzero((size > 1) | divided)
+        if len(kept):
+            yield _with_length(table, at[kept], size[kept])
+        stands = starts[divided[starts]]
+        if len(stands):
+            yield _with_length(table, at[stands], np.ones(len(stands), np.int64), -1)
+
 
+def _with_length(table: pa.Table, at: np.ndarray, size: np.ndarray, part: int | None = None) -> pa.RecordBatch:
+    out = table.take(pa.array(at)).combine_chunks().to_batches()[0]
+    columns = {n: out.column(n) for n in out.schema.names}
+    if part is not None:
+        columns["part"] = pa.array(np.full(len(at), part, np.int32))
+    return pa.RecordBatch.from_pydict(columns | {"in_list": pa.array(size, pa.int64())})
 
-def _pairs(first: int, reach: int):
-    """Pairs of different groups in each list at the distances ``first`` to ``first + reach - 1``.
 
-    Lists come in the order of size and node. From the second round on a list with few
-    nodes outside its largest group (``outside``) gives all its pairs between groups at once.
+def _first_pairs(full: int, near: int):
+    """All pairs of short lists; of longer ones those at small distances and with the smallest node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in _whole_lists(batches):
+            key, part, node, n, asked, rest = (table.column(c).to_numpy() for c in ("shingle", "part", "node", "n", "asked", "rest"))
+            starts = _heads(key, part)
+            counts = np.diff(np.append(starts, len(key)))
+            begin, last = np.repeat(starts, counts), np.repeat(starts + counts, counts)
+            long, here = last - begin > full, np.arange(len(key))
+            for step in range(1, full):
+                a = here[here + step < last]
+                if step > near:
+                    a = a[~long[a]]
+                if not len(a):
+                    break
+                yield _pair_batch(node, n, asked, rest, node, a, a + step, long[a])
+            a = here[long & (here - begin > near)]
+            yield _pair_batch(node, n, asked, rest, node, begin[a], a, long[a])
+
+    return run
+
+
+def _later_pairs(first: int, reach: int):
+    """Pairs of different components in each list at the distances ``first`` to ``first + reach - 1``.
+
+    A list with few nodes outside its largest component (``outer``), and a part of a divided
+    list, gives all pairs of those with its own nodes at once.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_lists(batches):
-            key, node, n, asked, rest, group, outside = (table.column(c).to_numpy() for c in ("shingle", "node", "n", "asked", "rest", "group", "outside"))
-            starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            counts = np.diff(np.concatenate([starts, [len(key)]]))
-            last = np.repeat(starts + counts, counts)
-            begin = np.repeat(starts, counts)
-            here = np.arange(len(key))
-            near = outside > FEW
+            names = ("shingle", "part", "parts", "node", "n", "asked", "rest", "group", "outside", "outer", "guest")
+            key, part, parts, node, n, asked, rest, group, outside, outer, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in names)
+            starts = _heads(key, part)
+            counts = np.diff(np.append(starts, len(key)))
+            last, here = np.repeat(starts + counts, counts), np.arange(len(key))
+            by_step = (outside > FEW) & (parts == 1)
             for step in range(first, first + reach):
-                a = here[near & (here + step < last)]
+                a = here[by_step & (here + step < last)]
                 if not len(a):
                     break
-                yield _pair_batch(node, n, asked, rest, group, a, a + step, last[a] - begin[a] > reach + 1 if first == 1 else np.ones(len(a), bool))
-            if first == 1:  # the smallest of each long list joins them quickly
-                a = here[here - begin > reach]
-                yield _pair_batch(node, n, asked, rest, group, begin[a], a, np.ones(len(a), bool))
-            for s, c in zip(starts[~near[starts]].tolist(), counts[~near[starts]].tolist(), strict=True):
-                names, of, sizes = np.unique(group[s : s + c], return_inverse=True, return_counts=True)
-                for x in np.flatnonzero(of != np.argmax(sizes)):
-                    y = np.flatnonzero(of != of[x])
-                    low, high = s + np.minimum(x, y), s + np.maximum(x, y)
-                    yield _pair_batch(node, n, asked, rest, group, low, high, np.ones(len(y), bool))
+                yield _pair_batch(node, n, asked, rest, group, a, a + step, np.ones(len(a), bool))
+            at_once = ~by_step[starts]
+            for s, c in zip(starts[at_once].tolist(), counts[at_once].tolist(), strict=True):
+                own = s + np.flatnonzero(~guest[s : s + c])
+                for x in (s + np.flatnonzero(outer[s : s + c])).tolist():
+                    y = own[group[own] != group[x]]
+                    yield _pair_batch(node, n, asked, rest, group, np.minimum(x, y), np.maximum(x, y), np.ones(len(y), bool))
 
     return run
 
@@ -240,7 +337,7 @@ def _pair_batch(node, n, asked, rest, group, a, b, partial) -> pa.RecordBatch:
     """``asked`` of a pair: the smaller of the two numbers of matches, or more where the sizes demand it.
 
     What two sets share lies in both prefixes or in the rest behind one of the prefixes;
-    the whole must reach 3/7 of the sum of sizes.
+    the whole must reach 3/7 of the sum of sizes. ``partial``: the list gives not all its pairs.
     """
     fits = (100 * n[a].astype(np.int64) >= PERCENT * n[b].astype(np.int64)) & (group[a] != group[b])
     a, b, partial = a[fits], b[fits], partial[fits]
@@ -252,86 +349,97 @@ def _pair_batch(node, n, asked, rest, group, a, b, partial) -> pa.RecordBatch:
     )
 
 
-def _sets(width: int, wanted):
-    """(node, sorted shingles) once a task for the nodes that the filter lets through."""
+def _texts(width: int, shipped):
+    """(node, text) once a task for the nodes that the filter lets through."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = wanted.value
-        seen = np.empty(0, np.int64)
+        bits, name = shipped.value
+        seen: set[int] = set()
         for batch in batches:
-            for _, _, value, sizes in shingle_sets(batch.column("text"), width):
-                keys = set_keys(value, sizes)
-                _, new = np.unique(keys, return_index=True)
-                slot = mix(keys[new].view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
-                new = new[(bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0) & (keys[new] != 0) & ~np.isin(keys[new], seen)]
-                seen = np.union1d(seen, keys[new])
-                edges = np.concatenate([[0], np.cumsum(sizes)])
+            for low, _, value, sizes in shingle_sets(batch.column("text"), width):
+                node = name(value, sizes)
+                new = _unseen(node, seen)
+                slot = mix(node[new].view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
+                new = new[bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0]
                 if len(new):
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[new]), pa.array([_packed(value[edges[r] : edges[r + 1]]) for r in new], pa.binary())], ["node", "members"])
+                    yield pa.RecordBatch.from_arrays([pa.array(node[new]), batch.column("text").take(pa.array(new + low)).cast(pa.string())], ["node", "text"])
 
     return run
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Similar pairs. Rows come by block, a block's sets before its pairs."""
-    current, sets = None, {}
-    for batch in batches:
-        good = []
-        members = batch.column("members")
-        for i, (block, a, b) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("block", "a", "b")), strict=True)):
-            if block != current:
-                current, sets = block, {}
-            if b is None:
-                sets[a] = np.frombuffer(members[i].as_buffer(), np.uint8).reshape(-1, MEMBER_BYTES)
-                continue
-            x, y = (_members(sets[n]) for n in (a, b))
-            both = np.concatenate([x, y])
-            both.sort()
-            shared = int((both[1:] == both[:-1]).sum())
-            if 100 * shared >= PERCENT * (len(both) - shared):
-                good.append((a, b))
-        yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in good], pa.int64()), pa.array([g[1] for g in good], pa.int64())], ["a", "b"])
-
-
-def _packed(value: np.ndarray) -> bytes:
-    """The upper MEMBER_BYTES bytes of each hash."""
-    return np.ascontiguousarray(value.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :MEMBER_BYTES]).tobytes()
-
-
-def _members(rows: np.ndarray) -> np.ndarray:
-    wide = np.zeros((len(rows), 8), np.uint8)
-    wide[:, :MEMBER_BYTES] = rows
-    return wide.view(">u8").ravel().astype(np.uint64)
-
-
-def _sets_of(text: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
-    """Sets of ``nodes`` and of a few others that share their place in the fixed-size filter."""
+def _verify(width: int):
+    """Links of each block as a star around one of its nodes. Rows come by block, a block's texts before its pairs."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, sets, root = None, {}, {}
+
+        def find(x: int) -> int:
+            while root.setdefault(x, x) != x:
+                root[x] = root[root[x]]
+                x = root[x]
+            return x
+
+        def stars() -> pa.RecordBatch:
+            links = [(find(x), x) for x in root if find(x) != x]
+            return pa.RecordBatch.from_arrays([pa.array([k[i] for k in links], pa.int64()) for i in (0, 1)], ["a", "b"])
+
+        for batch in batches:
+            block, a, b = (batch.column(c).to_pylist() for c in ("block", "a", "b"))
+            found = {}
+            with_text = np.flatnonzero(batch.column("text").is_valid().to_numpy(zero_copy_only=False))
+            for low, high, value, sizes in shingle_sets(batch.column("text").take(pa.array(with_text)), width):
+                edges = np.concatenate([[0], np.cumsum(sizes)])
+                found |= {int(with_text[low + i]): value[edges[i] : edges[i + 1]].copy() for i in range(high - low)}
+            for i in range(batch.num_rows):
+                if block[i] != current:
+                    if root:
+                        yield stars()
+                    current, sets, root = block[i], {}, {}
+                if b[i] is None:
+                    sets[a[i]] = found[i]
+                    continue
+                x, y = find(a[i]), find(b[i])
+                if x == y:
+                    continue
+                both = np.concatenate([sets[a[i]], sets[b[i]]])
+                both.sort(kind="stable")
+                shared = int((both[1:] == both[:-1]).sum())
+                if 100 * shared >= PERCENT * (len(both) - shared):
+                    root[max(x, y)] = min(x, y)
+        if root:
+            yield stars()
+
+    return run
+
+
+def _texts_of(text: DataFrame, nodes: DataFrame, width: int, name: Names) -> DataFrame:
+    """Texts of ``nodes`` and of a few others that share their place in the fixed-size filter."""
     slots = nodes.mapInArrow(_slots, "word int, bit long")
     words = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2**(FILTER_BITS - 6) rows at most
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    wanted = text.sparkSession.sparkContext.broadcast(table)  # 1 MB, whatever the input
-    return staged(map_batches(text, _sets(width, wanted), "node long, members binary").dropDuplicates(["node"]))
+    shipped = text.sparkSession.sparkContext.broadcast((table, name))  # 1 MB, whatever the input
+    return staged(map_batches(text, _texts(width, shipped), "node long, text string"))
 
 
-def _links(sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs whose sets are similar.
+def _links(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+    """Links that join whatever the similar ones of ``pairs`` join.
 
     Pairs go to blocks by the smallest neighbour of one of them, so most groups of mutual
-    candidates meet in one block and each set travels there once; a neighbour with many
+    candidates meet in one block and each text travels there once; a neighbour with many
     pairs has several blocks of about BLOCK_PAIRS pairs.
     """
     both = pairs.union(pairs.select("b", "a"))
-    leaders = staged(both.groupBy("a").agg(F.min("b").alias("leader")).select("a", F.least("a", "leader").alias("leader")))
+    leaders = both.groupBy("a").agg(F.min("b").alias("leader")).select("a", F.least("a", "leader").alias("leader"))
     led = pairs.join(leaders, "a")
-    parts = staged(led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("parts")).where("parts > 1"))
+    parts = led.groupBy("leader").agg(F.ceil(F.count(F.lit(1)) / BLOCK_PAIRS).alias("parts")).where("parts > 1")
     # Nodes that are neighbours in a list have close keys, so ranges of keys part a large group with few crossings.
     salt = F.when(F.col("parts").isNotNull(), F.floor((F.col("a") / 2.0**64 + 0.5) * F.col("parts"))).otherwise(F.lit(0))
     blocks = staged(led.join(parts, "leader", "left").select(F.xxhash64("leader", salt).alias("block"), "a", "b"))
-    wanted = blocks.select("block", F.col("a").alias("node")).union(blocks.select("block", F.col("b").alias("node"))).distinct()
-    shipped = wanted.join(sets, "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "members")
-    rows = shipped.union(blocks.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("members")))
-    return staged(rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_verify, "a long, b long"))
+    wanted = blocks.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    shipped = wanted.join(texts, "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    rows = shipped.union(blocks.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
+    return staged(map_batches(rows.repartition("block").sortWithinPartitions("block", "kind"), _verify(width), "a long, b long"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,23 +449,33 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _by_list(postings: DataFrame) -> DataFrame:
-    return postings.repartition("shingle").sortWithinPartitions("shingle", "n", "node")
+    return postings.repartition("shingle", "part").sortWithinPartitions("shingle", "part", "n", "node")
 
 
 def _grouped(live: DataFrame, roots: DataFrame) -> DataFrame:
-    """Postings of the lists with more than one component, with ``outside``: nodes not in the largest one."""
+    """Postings of the lists with more than one component.
+
+    ``outside``: nodes not in the largest one; ``outer``: is this one of them; ``guest``: a
+    node outside that visits another part of its divided list.
+    """
     named = live.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     sizes = named.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("held"))
-    lists = sizes.groupBy("shingle").agg((F.sum("held") - F.max("held")).alias("outside")).where("outside > 0")
-    return staged(named.join(staged(lists), "shingle"))
+    lists = sizes.groupBy("shingle").agg((F.sum("held") - F.max("held")).alias("outside"), F.max_by("group", F.struct("held", "group")).alias("largest")).where("outside > 0")
+    rows = named.join(lists, "shingle").withColumn("outer", F.col("group") != F.col("largest")).drop("largest")
+    others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
+    guests = rows.where("outer AND parts > 1").withColumn("part", F.explode(others)).withColumn("guest", F.lit(True))
+    return staged(rows.withColumn("guest", F.lit(False)).unionByName(guests))
+
 
+def ngram_components(docs: DataFrame, *, width: int = WIDTH, hot: int | None = None, key_bits: int = 64) -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) per document.
 
-def ngram_components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable over links) per document."""
+    ``hot``: estimated postings from which a list is divided; ``key_bits``: bits of a set's key.
+    """
     spark = docs.sparkSession
     text = docs.select("doc_id", "text")
-    profile = staged(map_batches(text, _profile(width), "doc_id long, node long, n long, block int, counts array<long>"))
-    members = profile.where("block IS NULL").select("doc_id", "node", "n")
+    profile = staged(map_batches(text, _profile(width, key_bits), "doc_id long, node long, check long, n long, block int, counts array<long>"))
+    members = profile.where("block IS NULL").select("doc_id", "node", "check", "n")
     blocks = profile.where("block IS NOT NULL").select("block", "counts").groupBy("block").applyInArrow(_add_blocks, "block int, counts array<long>")
     # 2**SKETCH_BITS numbers, whatever the input.
     sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -365,33 +483,37 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH) -> DataFrame:
         sketch[row["block"] * BLOCK : (row["block"] + 1) * BLOCK] = row["counts"]
     noise = sketch.mean()
     sketch = np.maximum(sketch - noise - 3 * noise**0.5, 1).astype(np.float32)
-
-    postings = map_batches(text, _postings(width, spark.sparkContext.broadcast(sketch)), "shingle long, node long, n int, asked byte, rest int")
-    live = staged(_by_list(postings).mapInArrow(_keep_lists, "shingle long, node long, n int, asked byte, rest int, in_list long"))
-
-    lists = live.withColumns({"group": F.col("node"), "outside": F.lit(FEW + 1).cast("long")})
-    first, reach, links, done, sets, roots = 1, REACH, None, None, None, None
+    shared = members.where("n > 0").groupBy("node").agg(F.min("check").alias("low"), F.max("check").alias("high")).where("low <> high").select("node").toPandas()
+    name = Names(shared["node"].to_numpy(np.int64), key_bits)
+    members = members.join(F.broadcast(spark.createDataFrame(shared, "node long").withColumn("twice", F.lit(True))), "node", "left") if len(shared) else members.withColumn("twice", F.lit(None).cast("boolean"))
+    members = members.select("doc_id", F.when(F.col("twice"), F.col("node").bitwiseXOR(F.col("check"))).otherwise(F.col("node")).alias("node"), "n")
+
+    postings = map_batches(text, _postings(width, spark.sparkContext.broadcast((sketch, name, hot or HOT))), POSTING)
+    live = staged(map_batches(_by_list(postings), _keep_lists, POSTING + ", in_list long"))
+    pair = "a long, b long, asked int, partial boolean"
+    found = map_batches(_by_list(live.drop("in_list", "parts")), _first_pairs(FULL, NEAR), pair)
+    live = live.where((F.col("part") >= 0) & ((F.col("in_list") > FULL) | (F.col("parts") > 1)))
+    first, reach, links, done, texts = NEAR + 1, REACH, None, None, None
     while True:
-        found = _by_list(lists.select("shingle", "n", "node", "asked", "rest", "group", "outside")).mapInArrow(_pairs(first, reach), "a long, b long, asked int, partial boolean")
         pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"), F.max("partial").alias("partial"))
         pairs = pairs.where("partial OR shared >= asked").select("a", "b")
         pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        # Lists that this round has not finished.
-        live = staged(lists.where((F.col("in_list") > first + reach) & (F.col("outside") > FEW)).select("shingle", "node", "n", "asked", "rest", "in_list"))
-        if sets is None:
-            nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(live.select("node"))
-            sets = _sets_of(text, nodes, width)
-        more = _links(sets, pairs)
+        if texts is None:
+            texts = _texts_of(text, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(live.select("node")), width, name)
+        more = _links(texts, pairs, width)
         links = more if links is None else links.union(more)
         done = pairs if done is None else done.union(pairs)
         roots = components(links)
         lists = _grouped(live, roots)
         if lists.isEmpty():
             break
+        found = map_batches(_by_list(lists.drop("in_list")), _later_pairs(first, reach), pair)
+        # Lists that this round will not have finished.
+        live = lists.where((F.col("in_list") > first + reach) & (F.col("outside") > FEW) & (F.col("parts") == 1)).select(*live.columns)
         first, reach = first + reach, 4 * reach
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    smallest = staged(labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_smallest")))
+    smallest = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_smallest"))
     return labelled.join(smallest, "root", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_smallest", "doc_id").alias("component_id"))
 
 

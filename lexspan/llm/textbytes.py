@@ -84,16 +84,93 @@ def word_spans(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends, np.searchsorted(offsets, starts, "right") - 1
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros behind the end); a view, nothing is copied eightfold."""
+    padded = np.zeros(len(raw) + 16, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 8,), "<u8", padded, 0, (1,))
+
+
+#: What remains of eight bytes when only the first so many count.
+_FIRST = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+_SEED = np.uint64(0xA0761D6478BD642F)
+
+
 def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; spans must not overlap and be in order."""
+    """A 64-bit hash of the bytes of each span.
+
+    Eight bytes at a time are scrambled, and the scrambled numbers of a span are combined two
+    by two in a tree; this is no polynomial, so no family of strings is known to collide. What
+    must be right at any size also compares the bytes, see ``equal_spans``.
+    """
     if not len(starts):
         return np.empty(0, np.uint64)
     lengths = ends - starts
-    heads = np.cumsum(lengths) - lengths
-    place = np.arange(int(lengths.sum())) - np.repeat(heads, lengths)
-    codes = _BYTE_CODE[(_LOWER[raw] if lower else raw)[place + np.repeat(starts, lengths)]]
-    powers = np.cumprod(np.full(int(lengths.max()), _STEP, np.uint64))
-    return mix(np.add.reduceat(codes * powers[place], heads) + lengths.astype(np.uint64) * _STEP)
+    view = eights(_LOWER[raw] if lower else raw)
+    out = mix((view[starts] & _FIRST[np.minimum(lengths, 8)]) ^ _SEED)
+    at = np.flatnonzero(lengths > 8)
+    if len(at):
+        counts = (lengths[at] + 7) // 8
+        heads = np.cumsum(counts) - counts
+        place = np.arange(int(counts.sum())) - np.repeat(heads, counts)
+        value = mix((view[np.repeat(starts[at], counts) + 8 * place] & _FIRST[np.minimum(np.repeat(lengths[at], counts) - 8 * place, 8)]) ^ _SEED)
+        while len(at):  # only spans of more than one number are left
+            half = (counts + 1) // 2
+            after = np.cumsum(half) - half
+            left = np.repeat(heads - 2 * after, half) + 2 * np.arange(int(half.sum()))
+            paired = left + 1 < np.repeat(heads + counts, half)
+            value = mix(mix(value[left] + _STEP) + np.where(paired, value[np.minimum(left + 1, len(value) - 1)], np.uint64(0)))
+            whole = half == 1
+            out[at[whole]] = value[after[whole]]
+            at, counts, heads = at[~whole], half[~whole], after[~whole]
+    return mix(out + lengths.astype(np.uint64) * _STEP)
+
+
+def equal_spans(raw: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans of ``raw`` at ``a`` and of ``other`` at ``b`` hold the same bytes (``lengths`` each)."""
+    left, right = eights(raw), eights(other)
+    same = (left[a] ^ right[b]) & _FIRST[np.minimum(lengths, 8)] == 0
+    long = np.flatnonzero(same & (lengths > 8))
+    if len(long):
+        counts = (lengths[long] - 1) // 8
+        heads = np.cumsum(counts) - counts
+        place = 8 * (np.arange(int(counts.sum())) - np.repeat(heads, counts) + 1)
+        differs = (left[np.repeat(a[long], counts) + place] ^ right[np.repeat(b[long], counts) + place]) & _FIRST[np.minimum(np.repeat(lengths[long], counts) - place, 8)] != 0
+        same[long] = np.add.reduceat(differs, heads) == 0
+    return same
+
+
+def span_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which distinct string each span is, a first span of each distinct string), by bytes.
+
+    Hashes bring equal spans together; every span is then compared with the one that
+    stands for it, and those that differ in spite of an equal hash are told apart by their bytes.
+    """
+    _, first, which = distinct(span_hash(raw, starts, ends))
+    if not len(starts):
+        return which, first
+    stands = first[which]
+    lengths = ends - starts
+    odd = np.flatnonzero((lengths != lengths[stands]) | ~equal_spans(raw, starts, raw, starts[stands], np.minimum(lengths, lengths[stands])))
+    if len(odd):
+        known: dict[tuple[int, bytes], int] = {}
+        more = []
+        for i in odd.tolist():
+            key = (int(which[i]), raw[starts[i] : ends[i]].tobytes())
+            if key not in known:
+                known[key] = len(first) + len(more)
+                more.append(i)
+            which[i] = known[key]
+        first = np.concatenate([first, np.array(more, np.int64)])
+    return which, first
+
+
+def by_text_and_value(text: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The order by text, then value; texts are in order already."""
+    if not len(text) or int(text[-1]) >= 1 << 16:
+        return np.lexsort((value, text))
+    order = np.argsort(value)
+    return order[np.argsort(text[order].astype(np.uint16), kind="stable")]
 
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -110,7 +187,11 @@ def powers(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sums, inverse powers): bytes a to b have the hash ``(sums[b] - sums[a]) * inverse[a]`` wherever they stand."""
+    """(sums, inverse powers): bytes a to b have the hash ``(sums[b] - sums[a]) * inverse[a]`` wherever they stand.
+
+    A polynomial modulo 2**64: different strings of a thousand bytes can be built that collide.
+    It only brings candidates together; equality is never concluded from it.
+    """
     up, down = powers(len(raw) + 1)
     sums = np.zeros(len(raw) + 1, np.uint64)
     np.cumsum(_BYTE_CODE[raw] * up[:-1], out=sums[1:])

@@ -29,9 +29,9 @@ def brute(rows):
     return {d: (len(sets[d]), find(d)) for d in sets}
 
 
-def _compare(spark, rows):
+def _compare(spark, rows, **options):
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, n_shingles string").repartition(3)
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(df).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_components(df, **options).collect()}
     assert got == brute(rows)
     return got
 
@@ -67,9 +67,21 @@ def test_against_brute_force(spark, monkeypatch):
 def test_short_lists_need_several_rounds(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "REACH", 2)
     monkeypatch.setattr(ngram_join, "FEW", 1)
+    monkeypatch.setattr(ngram_join, "FULL", 5)
+    monkeypatch.setattr(ngram_join, "NEAR", 1)
     _compare(spark, corpus(2, 90, 40))
 
 
+def test_hot_list_over_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "FULL", 4)
+    monkeypatch.setattr(ngram_join, "NEAR", 1)
+    _compare(spark, corpus(3, 160, 110), hot=6)
+
+
+def test_sets_with_one_key_are_told_apart(spark):
+    _compare(spark, corpus(4, 60, 20), key_bits=3)
+
+
 def test_repeated_rows_and_empty_table(spark):
     got = [tuple(r) for r in ngram_components(spark.createDataFrame([(1, "a b c"), (1, "a b c"), (2, "a b c")], "doc_id long, text string")).collect()]
     assert got == [(1, 1, 1), (1, 1, 1), (2, 1, 1)] or sorted(got) == [(1, 1, 1), (1, 1, 1), (2, 1, 1)]
