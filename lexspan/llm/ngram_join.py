@@ -13,20 +13,20 @@ linked; the result is each document's component.
    document takes the ``l`` whose prefix has the least estimated cost (postings plus the
    candidates that they bring, of which only those with ``l`` matches are verified).
 3. *Candidates.* Postings meet by shingle, in lists ordered by size. A list of at most
-   ``FULL`` gives all its pairs; a longer one pairs each document with the next ``NEAR`` and
-   with the smallest one. Pairs must share as many prefix shingles as the smaller of their
-   two ``l``, or more where their sizes demand it. A list whose estimate is above ``HOT`` is
+   ``FULL`` gives all its pairs; those that meet in short lists alone must share as many
+   prefix shingles as the smaller of their two ``l``, or more where their sizes demand it.
+   The postings of longer lists carry their node's whole prefix, so there the shared ones are
+   counted at once and the same condition holds. A list whose estimate is above ``HOT`` is
    divided by the node's key into parts of about that length, whichever tasks they fall to;
    the smallest document of every part stands for it in one list more.
 4. *Verification.* The texts of candidates travel once to blocks of pairs and their sets are
    compared there in full. Each block returns the links as a star.
-5. *Contraction.* Links merge nodes into components. Long lists that still hold more than
-   one component go round again with the pairs at the next distances (four times as many
-   each time); when few nodes lie outside the largest component, with all pairs between
-   components. A divided list goes round once: nodes outside its largest component visit
-   all its parts. Pairs inside a component need no check. This ends when no list can give a
-   new pair, so no link between components is lost and a large group of near copies never
-   expands into all its pairs.
+5. *Contraction.* Long lists first pair each document with the next ``NEAR`` and with the
+   smallest one. Links merge nodes into components. Then every long list that still holds
+   more than one component gives all pairs between components that meet the condition, each
+   in the first list that the two share; nodes outside the largest component of a divided
+   list visit all its parts. Pairs inside a component need no check, so no link between
+   components is lost and a large group of near copies never expands into all its pairs.
 
 Defined results: null, empty or word-free text has an empty set and links to nothing. A
 text with fewer than five words has one shingle, the whole sequence. Repeated rows and ties
@@ -54,12 +54,9 @@ SKETCH_BITS = 19
 BLOCK = 4096
 #: A list of at most so many nodes gives all its pairs at once.
 FULL = 33
-#: Distances that a longer list gives first, and in its second round.
-NEAR = 2
-REACH = 32
+#: Distances that a longer list gives first.
+NEAR = 16
 MOST_MATCHES = 4
-#: A list with at most so many nodes outside its largest component gives all pairs between components.
-FEW = 16
 #: Estimated postings from which a list is divided into parts of about that length.
 HOT = 4096
 #: Pairs that are verified together.
@@ -236,18 +233,18 @@ def _heads(*keys: np.ndarray) -> np.ndarray:
 def _whole_lists(batches: Iterator[pa.RecordBatch], limit: int = 200_000) -> Iterator[pa.Table]:
     """Runs of whole lists from a partition in the order of shingle and part."""
     held: list[pa.RecordBatch] = []
-    waiting = 0
+    waiting, most = 0, limit
     for batch in batches:
         if batch.num_rows:
             held.append(batch)
             waiting += batch.num_rows
-        if waiting >= limit:
+        if waiting >= most:
             table = pa.Table.from_batches(held)
             cut = int(_heads(table.column("shingle").to_numpy(), table.column("part").to_numpy())[-1])  # the last list may go on
             if cut:
                 yield table.slice(0, cut)
             held, waiting = table.slice(cut).combine_chunks().to_batches(), table.num_rows - cut
-            limit = max(limit, 2 * waiting)
+            most = max(limit, 2 * waiting)
     if waiting:
         yield pa.Table.from_batches(held)
 
@@ -280,75 +277,108 @@ def _with_length(table: pa.Table, at: np.ndarray, size: np.ndarray, part: int |
     return pa.RecordBatch.from_pydict(columns | {"in_list": pa.array(size, pa.int64())})
 
 
-def _first_pairs(full: int, near: int):
-    """All pairs of short lists; of longer ones those at small distances and with the smallest node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_lists(batches):
-            key, part, node, n, asked, rest = (table.column(c).to_numpy() for c in ("shingle", "part", "node", "n", "asked", "rest"))
-            starts = _heads(key, part)
-            counts = np.diff(np.append(starts, len(key)))
-            begin, last = np.repeat(starts, counts), np.repeat(starts + counts, counts)
-            long, here = last - begin > full, np.arange(len(key))
-            for step in range(1, full):
-                a = here[here + step < last]
-                if step > near:
-                    a = a[~long[a]]
-                if not len(a):
-                    break
-                yield _pair_batch(node, n, asked, rest, node, a, a + step, long[a])
-            a = here[long & (here - begin > near)]
-            yield _pair_batch(node, n, asked, rest, node, begin[a], a, long[a])
-
-    return run
-
-
-def _later_pairs(first: int, reach: int):
-    """Pairs of different components in each list at the distances ``first`` to ``first + reach - 1``.
-
-    A list with few nodes outside its largest component (``outer``), and a part of a divided
-    list, gives all pairs of those with its own nodes at once.
+def _short_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of each list, with the number of shared prefix shingles that they need."""
+    for table in _whole_lists(batches):
+        key, part, node, n, asked, rest = (table.column(c).to_numpy() for c in ("shingle", "part", "node", "n", "asked", "rest"))
+        starts = _heads(key, part)
+        counts = np.diff(np.append(starts, len(key)))
+        last, here = np.repeat(starts + counts, counts), np.arange(len(key))
+        for step in range(1, int(counts.max())):
+            a = here[here + step < last]
+            least, fits = _least(n, asked, rest, a, a + step)
+            a, b = node[a[fits]], node[a[fits] + step]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(least[fits].astype(np.int32))], ["a", "b", "asked"])
+
+
+def _least(n, asked, rest, a, b) -> tuple[np.ndarray, np.ndarray]:
+    """(prefix shingles that the pairs of rows must share, whether their sizes allow a link).
+
+    The smaller of the two numbers of matches, or more where the sizes demand it: what two
+    sets share lies in both prefixes or in the rest behind one of the prefixes, and the
+    whole must reach 3/7 of the sum of sizes.
+    """
+    x, y = n[a].astype(np.int64), n[b].astype(np.int64)
+    overlap = -(-PERCENT * (x + y) // (100 + PERCENT))
+    return np.maximum(np.minimum(asked[a], asked[b]), overlap - np.maximum(rest[a], rest[b])), 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
+
+
+class _Prefixes:
+    """Prefix members of the rows of a run of lists, as rows of 0 and 1 over those that two rows share."""
+
+    def __init__(self, table: pa.Table):
+        self.parts = []
+        for name in ("longs", "shorts"):
+            column = table.column(name).combine_chunks()
+            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+            self.parts.append((column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()))
+
+    def _of(self, part: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        edges, values = self.parts[part]
+        size = edges[rows + 1] - edges[rows]
+        at = np.arange(int(size.sum())) + np.repeat(edges[rows] - (np.cumsum(size) - size), size)
+        return np.repeat(np.arange(len(rows)), size), values[at]
+
+    def dense(self, rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
+        """(matrix over all members, matrix over those whose long lists come before ``below``)."""
+        pairs = [self._of(k, rows) for k in (0, 1)]
+        row, value = np.concatenate([pairs[0][0], pairs[1][0]]), np.concatenate([pairs[0][1], pairs[1][1]])
+        early = np.concatenate([pairs[0][1] < below, np.zeros(len(pairs[1][1]), bool)])
+        names, which, times = np.unique(value, return_inverse=True, return_counts=True)
+        place = np.cumsum(times > 1) - 1
+        kept = times[which] > 1
+        whole = np.zeros((len(rows), int((times > 1).sum())), np.float32)
+        whole[row[kept], place[which[kept]]] = 1
+        first = np.zeros(whole.shape[1], bool)
+        first[place[which[kept & early]]] = True
+        return whole, whole[:, first]
+
+
+def _long_pairs(near: int):
+    """Pairs of long lists that share enough of their prefixes.
+
+    ``near`` above 0: those at so many distances and with the smallest node. 0: all pairs
+    of different components, each in the first list that both are in.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in _whole_lists(batches):
-            names = ("shingle", "part", "parts", "node", "n", "asked", "rest", "group", "outside", "outer", "guest")
-            key, part, parts, node, n, asked, rest, group, outside, outer, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in names)
+        for table in _whole_lists(batches, 20_000):
+            key, part, node, n, asked, rest = (table.column(c).to_numpy() for c in ("shingle", "part", "node", "n", "asked", "rest"))
+            prefix = _Prefixes(table)
             starts = _heads(key, part)
-            counts = np.diff(np.append(starts, len(key)))
-            last, here = np.repeat(starts + counts, counts), np.arange(len(key))
-            by_step = (outside > FEW) & (parts == 1)
-            for step in range(first, first + reach):
-                a = here[by_step & (here + step < last)]
-                if not len(a):
-                    break
-                yield _pair_batch(node, n, asked, rest, group, a, a + step, np.ones(len(a), bool))
-            at_once = ~by_step[starts]
-            for s, c in zip(starts[at_once].tolist(), counts[at_once].tolist(), strict=True):
-                own = s + np.flatnonzero(~guest[s : s + c])
-                for x in (s + np.flatnonzero(outer[s : s + c])).tolist():
-                    y = own[group[own] != group[x]]
-                    yield _pair_batch(node, n, asked, rest, group, np.minimum(x, y), np.maximum(x, y), np.ones(len(y), bool))
+            ends = np.append(starts[1:], len(key))
+            found = []
+            if not near:
+                group, outer, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("group", "outer", "guest"))
+            for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
+                if near:
+                    whole, _ = prefix.dense(np.arange(s, e), 0)
+                    x = np.concatenate([*[np.arange(e - s - step) for step in range(1, near + 1)], np.zeros(max(e - s - near - 1, 0), np.int64)])
+                    y = np.concatenate([*[np.arange(step, e - s) for step in range(1, near + 1)], np.arange(near + 1, e - s)])
+                    least, fits = _least(n, asked, rest, s + x, s + y)
+                    x, y, least = x[fits], y[fits], least[fits]
+                    for at in range(0, len(x), 4096):
+                        shared = np.einsum("ij,ij->i", whole[x[at : at + 4096]], whole[y[at : at + 4096]])
+                        good = at + np.flatnonzero(shared >= least[at : at + 4096])
+                        found.append((s + x[good], s + y[good]))
+                    continue
+                own, outside = s + np.flatnonzero(~guest[s:e]), s + np.flatnonzero(outer[s:e])
+                for i in range(0, len(outside), 512):
+                    for j in range(0, len(own), 2048):
+                        x, y = outside[i : i + 512], own[j : j + 2048]
+                        whole, early = prefix.dense(np.concatenate([x, y]), int(key[s]))
+                        least, fits = _least(n, asked, rest, x[:, None], y[None, :])
+                        fits &= (group[x][:, None] != group[y]) & (guest[x][:, None] | ~outer[y] | (x[:, None] < y))
+                        fits &= (whole[: len(x)] @ whole[len(x) :].T >= least) & (early[: len(x)] @ early[len(x) :].T == 0)
+                        at = np.nonzero(fits)
+                        found.append((x[at[0]], y[at[1]]))
+            if found:
+                a, b = (node[np.concatenate([f[k] for f in found])] for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     return run
 
 
-def _pair_batch(node, n, asked, rest, group, a, b, partial) -> pa.RecordBatch:
-    """``asked`` of a pair: the smaller of the two numbers of matches, or more where the sizes demand it.
-
-    What two sets share lies in both prefixes or in the rest behind one of the prefixes;
-    the whole must reach 3/7 of the sum of sizes. ``partial``: the list gives not all its pairs.
-    """
-    fits = (100 * n[a].astype(np.int64) >= PERCENT * n[b].astype(np.int64)) & (group[a] != group[b])
-    a, b, partial = a[fits], b[fits], partial[fits]
-    overlap = -(-PERCENT * (n[a].astype(np.int64) + n[b]) // (100 + PERCENT))
-    least = np.maximum(np.minimum(asked[a], asked[b]), overlap - np.maximum(rest[a], rest[b]))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(np.minimum(node[a], node[b])), pa.array(np.maximum(node[a], node[b])), pa.array(least.astype(np.int32)), pa.array(partial, pa.bool_())],
-        ["a", "b", "asked", "partial"],
-    )
-
-
 def _texts(width: int, shipped):
     """(node, text) once a task for the nodes that the filter lets through."""
 
@@ -437,7 +467,7 @@ def _links(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     salt = F.when(F.col("parts").isNotNull(), F.floor((F.col("a") / 2.0**64 + 0.5) * F.col("parts"))).otherwise(F.lit(0))
     blocks = staged(led.join(parts, "leader", "left").select(F.xxhash64("leader", salt).alias("block"), "a", "b"))
     wanted = blocks.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    shipped = wanted.join(texts, "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
+    shipped = wanted.join(texts.hint("merge"), "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
     rows = shipped.union(blocks.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
     return staged(map_batches(rows.repartition("block").sortWithinPartitions("block", "kind"), _verify(width), "a long, b long"))
 
@@ -455,16 +485,16 @@ def _by_list(postings: DataFrame) -> DataFrame:
 def _grouped(live: DataFrame, roots: DataFrame) -> DataFrame:
     """Postings of the lists with more than one component.
 
-    ``outside``: nodes not in the largest one; ``outer``: is this one of them; ``guest``: a
-    node outside that visits another part of its divided list.
+    ``outer``: not in the largest component of its list; ``guest``: such a node that visits
+    another part of its divided list.
     """
     named = live.join(roots.withColumnRenamed("root", "group"), "node", "left").withColumn("group", F.coalesce("group", "node"))
     sizes = named.groupBy("shingle", "group").agg(F.count(F.lit(1)).alias("held"))
-    lists = sizes.groupBy("shingle").agg((F.sum("held") - F.max("held")).alias("outside"), F.max_by("group", F.struct("held", "group")).alias("largest")).where("outside > 0")
-    rows = named.join(lists, "shingle").withColumn("outer", F.col("group") != F.col("largest")).drop("largest")
+    lists = sizes.groupBy("shingle").agg(F.count(F.lit(1)).alias("groups"), F.max_by("group", F.struct("held", "group")).alias("largest")).where("groups > 1")
+    rows = named.join(lists, "shingle").withColumn("outer", F.col("group") != F.col("largest")).drop("largest", "groups")
     others = F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: p != F.col("part"))
     guests = rows.where("outer AND parts > 1").withColumn("part", F.explode(others)).withColumn("guest", F.lit(True))
-    return staged(rows.withColumn("guest", F.lit(False)).unionByName(guests))
+    return rows.withColumn("guest", F.lit(False)).unionByName(guests)
 
 
 def ngram_components(docs: DataFrame, *, width: int = WIDTH, hot: int | None = None, key_bits: int = 64) -> DataFrame:
@@ -490,27 +520,22 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH, hot: int | None = N
 
     postings = map_batches(text, _postings(width, spark.sparkContext.broadcast((sketch, name, hot or HOT))), POSTING)
     live = staged(map_batches(_by_list(postings), _keep_lists, POSTING + ", in_list long"))
-    pair = "a long, b long, asked int, partial boolean"
-    found = map_batches(_by_list(live.drop("in_list", "parts")), _first_pairs(FULL, NEAR), pair)
-    live = live.where((F.col("part") >= 0) & ((F.col("in_list") > FULL) | (F.col("parts") > 1)))
-    first, reach, links, done, texts = NEAR + 1, REACH, None, None, None
-    while True:
-        pairs = found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked"), F.max("partial").alias("partial"))
-        pairs = pairs.where("partial OR shared >= asked").select("a", "b")
-        pairs = staged(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if texts is None:
-            texts = _texts_of(text, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(live.select("node")), width, name)
-        more = _links(texts, pairs, width)
-        links = more if links is None else links.union(more)
-        done = pairs if done is None else done.union(pairs)
-        roots = components(links)
-        lists = _grouped(live, roots)
-        if lists.isEmpty():
-            break
-        found = map_batches(_by_list(lists.drop("in_list")), _later_pairs(first, reach), pair)
-        # Lists that this round will not have finished.
-        live = lists.where((F.col("in_list") > first + reach) & (F.col("outside") > FEW) & (F.col("parts") == 1)).select(*live.columns)
-        first, reach = first + reach, 4 * reach
+    is_long = (F.col("in_list") > FULL) | (F.col("parts") > 1)
+    short, long = live.where(~is_long), live.where(is_long).drop("in_list")
+    lists = live.where("part >= 0").groupBy("node").agg(F.collect_list(F.when(is_long, F.col("shingle"))).alias("longs"), F.collect_list(F.when(~is_long, F.col("shingle"))).alias("shorts"))
+    prefix = staged(lists.where(F.size("longs") > 0))
+
+    together = map_batches(_by_list(short.drop("in_list", "parts")), _short_pairs, "a long, b long, asked int")
+    together = together.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked")).where("shared >= asked").select("a", "b")
+    near = map_batches(_by_list(long.join(prefix, "node")), _long_pairs(NEAR), "a long, b long")
+    pairs = staged(together.union(near).distinct())
+    texts = _texts_of(text, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long.select("node")), width, name)
+    links = _links(texts, pairs, width)
+    roots = components(links)
+    rest = _by_list(_grouped(long.where("part >= 0"), roots).join(prefix, "node"))
+    more = staged(map_batches(rest, _long_pairs(0), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        roots = components(links.union(_links(texts, more, width)))
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_smallest"))

@@ -64,9 +64,7 @@ def test_against_brute_force(spark, monkeypatch):
     _compare(spark, rows)
 
 
-def test_short_lists_need_several_rounds(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "REACH", 2)
-    monkeypatch.setattr(ngram_join, "FEW", 1)
+def test_long_lists(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "FULL", 5)
     monkeypatch.setattr(ngram_join, "NEAR", 1)
     _compare(spark, corpus(2, 90, 40))
