@@ -126,9 +126,8 @@ def span_hash(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool
     return mix(out + lengths.astype(np.uint64) * _STEP)
 
 
-def equal_spans(raw: np.ndarray, a: np.ndarray, other: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Whether the spans of ``raw`` at ``a`` and of ``other`` at ``b`` hold the same bytes (``lengths`` each)."""
-    left, right = eights(raw), eights(other)
+def equal_spans(left: np.ndarray, a: np.ndarray, right: np.ndarray, b: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Whether the spans at ``a`` and ``b`` of two texts hold the same bytes; both are given as ``eights``."""
     same = (left[a] ^ right[b]) & _FIRST[np.minimum(lengths, 8)] == 0
     long = np.flatnonzero(same & (lengths > 8))
     if len(long):
@@ -151,7 +150,8 @@ def span_ids(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
         return which, first
     stands = first[which]
     lengths = ends - starts
-    odd = np.flatnonzero((lengths != lengths[stands]) | ~equal_spans(raw, starts, raw, starts[stands], np.minimum(lengths, lengths[stands])))
+    view = eights(raw)
+    odd = np.flatnonzero((lengths != lengths[stands]) | ~equal_spans(view, starts, view, starts[stands], np.minimum(lengths, lengths[stands])))
     if len(odd):
         known: dict[tuple[int, bytes], int] = {}
         more = []
