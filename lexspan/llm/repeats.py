@@ -9,7 +9,8 @@ in the same text or another. Windows (strings of that length) are the unit of wo
    corpus. Those that are so frequent that they would fill a partition are set back
    behind all others and the count is repeated; then a window has a frequent anchor only
    when it lies inside frequent text, where segments are equal and counted once a task.
-2. *Index.* A segment whose anchor occurs once can match nothing. The rest meet by anchor.
+2. *Index.* A segment whose anchor occurs once can match nothing. Where all segments of an
+   anchor are equal, their hashes travel and no bytes. The rest meet by anchor.
    Of each batch of segments a Burrows-Wheeler transform is built and compressed to its
    runs; at both ends of every run a sample holds the place in the text and the length
    of the match with the neighbouring suffix. Along the text a match shortens by one per
@@ -19,9 +20,11 @@ in the same text or another. Windows (strings of that length) are the unit of wo
 3. *Marks.* Texts are read again, segments find their marks by their hash, and the marked
    stretches of each text are merged and cut out. Judgements are made on the input only.
 
-Defined results: null text is empty; texts shorter than ``length`` lose nothing. Repeated
-rows are separate texts that repeat each other. Extra columns are ignored. An empty table
-gives an empty table.
+Segments are equal when their anchor (62 bits) and their hash modulo the prime 2**61 - 1 are.
+
+Defined results: null text is empty; texts shorter than ``length`` lose nothing. A very long
+text is cut in one chunk of its own. Repeated rows are separate texts that repeat each
+other. Extra columns are ignored. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,16 +34,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.llm.shared import map_batches, staged
-from lexspan.llm.textbytes import chunks, mix, prefix_hash, text_column
+from lexspan.llm.textbytes import PrimeSums, chunks, mix, prefix_hash, text_column
 
 LENGTH = 200
 GRAM = 40
-#: Bits of the table of anchors that occur more than once (8 MB, whatever the input). Others that
-#: share a place with one of them only cost work.
+#: Bits of the tables of anchors that occur more than once and of those with unequal segments (8 MB
+#: each, whatever the input). Others that share a place with one of them only cost work.
 FILTER_BITS = 26
 #: Bytes of segments that one index holds, unless a single anchor has more.
 INDEX_BYTES = 1 << 20
@@ -91,10 +95,11 @@ def doubled(value: np.ndarray, least: np.ndarray, whole: np.ndarray, width: int)
     return value[at[1:]][again]
 
 
-def segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, frequent: Frequent, counting: bool = False) -> tuple[np.ndarray, ...]:
+def segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, frequent: Frequent, counting: bool = False, bits: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(anchor, hash of the bytes, first byte, windows, text) of the segments of a chunk.
 
-    ``counting`` gives only the anchors, and once more those that are doubled.
+    ``counting`` gives only the first two. ``bits``: only segments with an anchor in this
+    table or one that is doubled; the latter have a negative number of windows.
     """
     count = len(raw) - length + 1
     if count <= 0:
@@ -111,20 +116,31 @@ def segments(raw: np.ndarray, offsets: np.ndarray, length: int, gram: int, frequ
     starts = np.flatnonzero(whole & ~same)
     if not len(starts):
         return tuple(np.empty(0, np.int64) for _ in range(5))
-    if counting:
-        return (np.concatenate([least[starts], doubled(value, least, whole, length - gram + 1)]).view(np.int64),)
     windows = np.add.reduceat(whole, starts, dtype=np.int64)
-    ends = starts + windows + length - 1
-    digest = mix((total[ends] - total[starts]) * down[starts] + windows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return least[starts].view(np.int64), digest.view(np.int64), starts, windows, np.searchsorted(offsets, starts, "right") - 1
+    if bits is not None:
+        again = np.isin(least[starts], doubled(value, least, whole, length - gram + 1))
+        kept = np.flatnonzero(again | _in_table(bits, least[starts].view(np.int64)))
+        starts, windows, again = starts[kept], windows[kept], again[kept]
+    digest = PrimeSums(raw).hash(starts, starts + windows + length - 1).view(np.int64)
+    anchor = least[starts].view(np.int64)
+    if counting:
+        return anchor, digest
+    if bits is not None:
+        windows = np.where(again, -windows, windows)
+    return anchor, digest, starts, windows, np.searchsorted(offsets, starts, "right") - 1
 
 
 def _count(length: int, gram: int, frequent: Frequent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, raw, offsets in chunks(batch.column("text")):
-                anchor, times = np.unique(segments(raw, offsets, length, gram, frequent, True)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(times, pa.int64())], ["anchor", "times"])
+                anchor, digest = segments(raw, offsets, length, gram, frequent, True)[:2]
+                order = np.argsort(anchor)
+                anchor, digest = anchor[order], digest[order]
+                first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else order
+                if len(first):
+                    low, high = np.minimum.reduceat(digest, first), np.maximum.reduceat(digest, first)
+                    yield pa.RecordBatch.from_arrays([pa.array(anchor[first]), pa.array(np.diff(np.append(first, len(anchor)))), pa.array(low), pa.array(high)], ["anchor", "times", "low", "high"])
 
     return run
 
@@ -133,6 +149,11 @@ def _slot(anchor: np.ndarray) -> np.ndarray:
     return mix(anchor.view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
 
 
+def _in_table(bits: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+    slot = _slot(anchor)
+    return bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1) > 0
+
+
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         slot = _slot(batch.column("anchor").to_numpy())
@@ -142,14 +163,13 @@ def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 class Scan:
     """What tasks need to cut texts into the segments that may have a match."""
 
-    def __init__(self, length: int, gram: int, frequent: Frequent, bits: np.ndarray):
-        self.length, self.gram, self.frequent, self.bits = length, gram, frequent, bits
+    def __init__(self, length: int, gram: int, frequent: Frequent, bits: np.ndarray, mixed: np.ndarray):
+        self.length, self.gram, self.frequent, self.bits, self.mixed = length, gram, frequent, bits, mixed
 
     def open_segments(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-        found = segments(raw, offsets, self.length, self.gram, self.frequent)
-        slot = _slot(found[0])
-        keep = np.flatnonzero(self.bits[(slot >> np.uint64(6)).astype(np.int64)] >> (slot & np.uint64(63)) & np.uint64(1))
-        return tuple(x[keep] for x in found)
+        """(anchor, hash, first byte, windows, text, are bytes needed) of segments that may have a match."""
+        anchor, digest, starts, windows, text = segments(raw, offsets, self.length, self.gram, self.frequent, bits=self.bits)
+        return anchor, digest, starts, np.abs(windows), text, (windows < 0) | _in_table(self.mixed, anchor)
 
 
 def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -158,25 +178,35 @@ def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-def _ship(shipped):
-    """Each segment once a task; once more, without its bytes, when it occurs again there."""
+PLACE = "key long, start int, anchor long, digest long, windows long, sent boolean, data binary"
+
+
+def _cut(shipped):
+    """Every open segment with its place. The first of its kind in a task is sent, with its bytes where they are needed; so is the second, without."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scan = shipped.value
-        once, twice = np.empty(0, np.int64), np.empty(0, np.int64)
+        once: set[int] = set()
+        twice: set[int] = set()
         for batch in batches:
-            for _, _, raw, offsets in chunks(batch.column("text")):
-                anchor, digest, starts, windows, _ = scan.open_segments(raw, offsets)
-                unique, first, times = np.unique(digest, return_index=True, return_counts=True)
-                new = ~np.isin(unique, once)
-                again = np.setdiff1d(unique[~new | (times > 1)], twice)
-                once, twice = np.union1d(once, unique), np.union1d(twice, again)
-                at = first[new]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(digest[at]), _gather(raw, starts[at], windows[at] + scan.length - 1)], ["anchor", "digest", "data"])
-                at = first[np.isin(unique, again)]
-                if len(at):
-                    yield pa.RecordBatch.from_arrays([pa.array(anchor[at]), pa.array(digest[at]), pa.nulls(len(at), pa.binary())], ["anchor", "digest", "data"])
+            keys = batch.column("key").to_numpy()
+            for low, _, raw, offsets in chunks(batch.column("text")):
+                anchor, digest, starts, windows, text, mixed = scan.open_segments(raw, offsets)
+                sent = np.zeros(len(digest), bool)
+                first = np.zeros(len(digest), bool)
+                for i, d in enumerate(digest.tolist()):
+                    if d not in once:
+                        once.add(d)
+                        first[i] = sent[i] = True
+                    elif d not in twice:
+                        twice.add(d)
+                        sent[i] = True
+                with_bytes = first & mixed
+                sizes = np.where(with_bytes, windows + scan.length - 1, 0)
+                data = _gather(raw, starts, sizes)
+                columns = [keys[low + text], (starts - offsets[text]).astype(np.int32), anchor, digest, windows, sent]
+                arrays = [*[pa.array(c) for c in columns], pc.if_else(pa.array(with_bytes), data, pa.scalar(None, pa.binary()))]
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "anchor", "digest", "windows", "sent", "data"])
 
     return run
 
@@ -192,22 +222,31 @@ def packed(text: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """The suffix array by doubling, from ranks of eight bytes."""
-    n = len(text)
+    """The suffix array by doubling, from ranks of eight bytes; settled suffixes are not sorted again."""
+    n, step = len(text), 8
     key = packed(text)
     order = np.argsort(key)
-    step = 8
-    while True:
-        sorted_key = key[order]
-        rank = np.empty(n, np.uint64)
-        rank[order] = np.concatenate([[1], 1 + np.cumsum(sorted_key[1:] != sorted_key[:-1])]) if n else []
-        if n == 0 or int(rank.max()) == n or step >= n:
-            return order
-        ahead = np.zeros(n, np.uint64)
-        ahead[: n - step] = rank[step:]
-        key = rank << np.uint64(32) | ahead
-        order = np.argsort(key)
+    rank, slot = np.empty(n, np.int64), np.arange(n)
+    key = key[order]
+    while len(slot):
+        head = np.ones(len(slot) + 1, bool)
+        head[1:-1] = key[1:] != key[:-1]
+        rank[order[slot]] = np.maximum.accumulate(np.where(head[:-1], slot, 0))
+        open_ = ~(head[:-1] & head[1:])
+        if step >= n:
+            tied = slot[open_]  # only ends of the text that zeros made equal
+            order[tied] = order[tied][np.lexsort((-order[tied], rank[order[tied]]))]
+            break
+        slot = slot[open_]
+        at = order[slot]
+        ahead = np.zeros(len(at), np.int64)
+        inside = at + step < n
+        ahead[inside] = rank[at[inside] + step] + 1
+        key = rank[at] << 32 | ahead
+        turn = np.argsort(key)
+        order[slot], key = at[turn], key[turn]
         step *= 2
+    return order
 
 
 def common_length(text: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
@@ -298,25 +337,24 @@ def _index(length: int):
 
         def close_group():
             nonlocal held
-            for digest, (data, times) in group.items():
-                if data is None:
-                    continue
-                if len(group) == 1 and times > 1:  # nothing else to match
-                    sole.append((current, digest, [0, len(data)]))
+            for digest, (data, times, size) in group.items():
+                if data is None or (len(group) == 1 and times > 1):  # nothing else to match
+                    if times > 1:
+                        sole.append((current, digest, [0, size]))
                 else:
                     waiting.append((current, digest, data, times > 1))
                     held += len(data)
 
         for batch in batches:
             data = batch.column("data")
-            for i, (anchor, digest) in enumerate(zip(batch.column("anchor").to_pylist(), batch.column("digest").to_pylist(), strict=True)):
+            for i, (anchor, digest, windows) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("anchor", "digest", "windows")), strict=True)):
                 if anchor != current:
                     close_group()
                     group, current = {}, anchor
                     if held >= INDEX_BYTES:
                         yield flush()
                         waiting, held = [], 0
-                entry = group.setdefault(digest, [None, 0])
+                entry = group.setdefault(digest, [None, 0, windows + length - 1])
                 entry[1] += 1
                 if entry[0] is None and data[i].is_valid:
                     entry[0] = data[i].as_py()
@@ -332,18 +370,6 @@ def _index(length: int):
     return run
 
 
-def _occurrences(shipped):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scan = shipped.value
-        for batch in batches:
-            keys = batch.column("key").to_numpy()
-            for low, _, raw, offsets in chunks(batch.column("text")):
-                anchor, digest, starts, _, text = scan.open_segments(raw, offsets)
-                yield pa.RecordBatch.from_arrays([pa.array(keys[low + text]), pa.array((starts - offsets[text]).astype(np.int32)), pa.array(anchor), pa.array(digest)], ["key", "start", "anchor", "digest"])
-
-    return run
-
-
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
 
@@ -385,18 +411,23 @@ def _scan_for(text: DataFrame, length: int, gram: int) -> Scan:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frequent = Frequent(np.empty(0, np.uint64))
     for turn in range(SET_BACK + 1):
-        counts = staged(map_batches(text, _count(length, gram, frequent), "anchor long, times long").groupBy("anchor").agg(F.sum("times").alias("times")))
+        counts = staged(map_batches(text, _count(length, gram, frequent), "anchor long, times long, low long, high long").groupBy("anchor").agg(F.sum("times").alias("times"), (F.min("low") < F.max("high")).alias("mixed")).where("times > 1"))
         total = counts.agg(F.sum("times")).first()[0] or 0
-        # By their share of all segments, no more than 16 * parts anchors can be this frequent.
-        hot = counts.where(F.col("times") > max(200.0, total / (16 * parts))).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)
+        # By their share of the repeated segments, no more than 16 * parts anchors can be this frequent.
+        hot = counts.where("mixed").where(F.col("times") > max(200.0, total / (16 * parts))).select("anchor").toPandas()["anchor"].to_numpy(np.int64).view(np.uint64)
         hot = hot[hot < np.uint64(1 << 62)]
         if not len(hot) or turn == SET_BACK:
             break
         frequent = Frequent(np.concatenate([frequent.anchors, hot]))
-    words = map_batches(counts.where("times > 1").select("anchor"), _slots, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    return Scan(length, gram, frequent, _table(counts), _table(counts.where("mixed")))
+
+
+def _table(counts: DataFrame) -> np.ndarray:
+    """A bit for every anchor (and for others in the same place)."""
+    words = map_batches(counts.select("anchor"), _slots, "word int, bit long").groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     bits[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
-    return Scan(length, gram, frequent, bits)
+    return bits
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, with_text: bool = False) -> DataFrame:
@@ -408,9 +439,10 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     text = keyed.select("key", "text")
     shipped = spark.sparkContext.broadcast(_scan_for(text.select("text"), length, gram))
-    sent = map_batches(text.select("text"), _ship(shipped), "anchor long, digest long, data binary")
+    cut = staged(map_batches(text, _cut(shipped), PLACE))
+    sent = cut.where("sent").select("anchor", "digest", "windows", "data")
     marks = staged(map_batches(sent.repartition("anchor").sortWithinPartitions("anchor", "digest"), _index(length), "anchor long, digest long, cuts array<int>"))
-    places = map_batches(text, _occurrences(shipped), "key long, start int, anchor long, digest long").distinct()
+    places = cut.select("key", "start", "anchor", "digest").distinct()
     cuts = places.join(marks, ["anchor", "digest"]).select("key", F.transform("cuts", lambda c: c + F.col("start")).alias("cuts"))
     cuts = staged(cuts.groupBy("key").agg(F.flatten(F.collect_list("cuts")).alias("cuts")))
     return map_batches(keyed.join(cuts, "key", "left").select("doc_id", "text", "cuts"), _cut_out(with_text), RESULT + (", kept binary" if with_text else ""))

@@ -198,6 +198,62 @@ def prefix_hash(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return sums, down
 
 
+_PRIME = (1 << 61) - 1
+_BASE = 0x12345678ABCDEF5 % _PRIME  # fixed, so that tasks agree
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2**61 - 1 of numbers below it."""
+    low, high = np.uint64((1 << 32) - 1), np.uint64(32)
+    a0, a1, b0, b1 = a & low, a >> high, b & low, b >> high
+    middle = a1 * b0 + a0 * b1  # below 2**62
+    rest = a0 * b0
+    total = (a1 * b1 << np.uint64(3)) + (middle >> np.uint64(29)) + ((middle & np.uint64((1 << 29) - 1)) << high) + (rest >> np.uint64(61)) + (rest & np.uint64(_PRIME))
+    total = (total & np.uint64(_PRIME)) + (total >> np.uint64(61))
+    return np.where(total >= np.uint64(_PRIME), total - np.uint64(_PRIME), total)
+
+
+class PrimeSums:
+    """Hashes of any stretches of some bytes, modulo the prime 2**61 - 1.
+
+    Strings of n bytes that differ have equal hashes for at most n of the 2**61 bases.
+    """
+
+    _tables: dict[int, tuple] = {}
+
+    def __init__(self, raw: np.ndarray):
+        # Limbs of the powers, short enough that their sums stay exact.
+        self.bits = 31 if len(raw) < 1 << 23 else 21
+        limbs, self.down = self._powers(len(raw) + 1, self.bits)
+        code = raw.astype(np.uint64) + np.uint64(1)
+        self.sums = []
+        for limb in limbs:
+            row = np.zeros(len(raw) + 1, np.uint64)
+            np.cumsum(code * limb[: len(raw)], out=row[1:])
+            self.sums.append(row)
+
+    @classmethod
+    def _powers(cls, count: int, bits: int) -> tuple[list[np.ndarray], np.ndarray]:
+        """(limbs of the powers of the base, powers of its inverse), at least ``count`` of each."""
+        if bits not in cls._tables or len(cls._tables[bits][1]) < count:
+            rows = []
+            for base in (_BASE, pow(_BASE, -1, _PRIME)):
+                row = np.ones(1, np.uint64)
+                while len(row) < count:
+                    row = np.concatenate([row, _times(row, np.uint64(pow(base, len(row), _PRIME)))])
+                rows.append(row)
+            mask = np.uint64((1 << bits) - 1)
+            cls._tables[bits] = [rows[0] >> np.uint64(shift) & mask for shift in range(0, 61, bits)], rows[1]
+        return cls._tables[bits]
+
+    def hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(starts), np.uint64)
+        for k, row in enumerate(self.sums):
+            part = (row[ends] - row[starts]) % np.uint64(_PRIME)
+            total += _times(part, np.uint64(1 << k * self.bits)) if k else part
+        return _times(total % np.uint64(_PRIME), self.down[starts])
+
+
 def windows_hash(words: np.ndarray, owner: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, index of the first word) of every run of ``width`` words within one text."""
     count = len(words) - width + 1
