@@ -13,8 +13,13 @@ partition, tokens of its queue in earlier partitions, and nothing else; document
 tokenised once, in place, and their ids are staged without a shuffle.
 
 Defined results: null text counts as empty and gives the single end id; a null source is a
-queue of its own. Sources beyond the ``max_queues - 1`` largest (by bytes) share the last
-queue. Repeated rows are packed as often as they occur. An empty table gives no pieces.
+queue of its own, as is every other source. Repeated rows are packed as often as they
+occur, ties in their order of reading. Very long texts are encoded whole and cut into as
+many pieces as windows take them. Columns other than doc_id, source and text are ignored.
+An empty table gives no pieces.
+
+The target proportions are the sources' shares of all tokens: the only ones that every
+window can keep when every token is packed once. The driver holds one number a source.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.llm.shared import map_batches, staged
-from lexspan.llm.textbytes import chunks, distinct, span_hash, word_spans
+from lexspan.llm.textbytes import chunks, eights, equal_spans, span_hash, span_ids, word_spans
 
 #: Rows up to which the table of queue bases is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 100_000
@@ -41,7 +46,7 @@ class WordEncoder:
 
     The tokenizer drops white space and never joins across it, so the ids of a text are
     those of its words in order. Known words are a sorted array of 64-bit hashes with
-    their ids in one flat array: about 20 bytes a word.
+    their bytes and ids in flat arrays; a word is known when its bytes are.
     """
 
     def __init__(self, path: str, limit: int = 1_000_000):
@@ -50,24 +55,47 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.limit = limit
+        self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.gap = "\x01"
         (self.gap_id,) = self.tokenizer.encode(self.gap, add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
         self.keys = np.empty(0, np.uint64)
+        self.at = np.empty(0, np.int64)
+        self.size = np.empty(0, np.int64)
         self.first = np.empty(0, np.int64)
         self.count = np.empty(0, np.int32)
-        self.ids = np.empty(0, np.uint16)
-
-    def _learn(self, keys: np.ndarray, words: list[str]) -> None:
-        ids, count = self._ids(words)
+        self.ids = np.empty(0, self.kind)
+        self.bytes = np.empty(0, np.uint8)
+
+    def _look(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(where each word stands, whether it is known)."""
+        if not len(self.keys):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        place = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        known = (self.keys[place] == keys) & (self.size[place] == size)
+        at = np.flatnonzero(known)
+        known[at] = equal_spans(eights(raw), starts[at], eights(self.bytes), self.at[place[at]], size[at])
+        return place, known
+
+    def _learn(self, raw: np.ndarray, keys: np.ndarray, starts: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Encodes words and gives where their ids begin, and how many there are."""
+        data = raw.tobytes()
+        ids, count = self._ids([data[a : a + n].decode("utf-8", "replace") for a, n in zip(starts.tolist(), size.tolist(), strict=True)])
         first = np.cumsum(count, dtype=np.int64) - count + len(self.ids)
         self.ids = np.concatenate([self.ids, ids])
         place = np.searchsorted(self.keys, keys)
-        self.keys = np.insert(self.keys, place, keys)
-        self.first = np.insert(self.first, place, first)
-        self.count = np.insert(self.count, place, count)
+        # Of words with one hash only the first is kept; the others are encoded whenever they come.
+        fresh = (self.keys[np.minimum(place, len(self.keys) - 1)] != keys) if len(self.keys) else np.ones(len(keys), bool)
+        fresh[1:] &= keys[1:] != keys[:-1]
+        at = np.cumsum(size[fresh]) - size[fresh]
+        inside = np.arange(int(size[fresh].sum())) - np.repeat(at, size[fresh])
+        self.at = np.insert(self.at, place[fresh], at + len(self.bytes))
+        self.bytes = np.concatenate([self.bytes, raw[np.repeat(starts[fresh], size[fresh]) + inside]])
+        for name, value in (("size", size), ("first", first), ("count", count), ("keys", keys)):
+            setattr(self, name, np.insert(getattr(self, name), place[fresh], value[fresh]))
+        return np.stack([first, count.astype(np.int64)])
 
     def _ids(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all words, number of ids of each).
@@ -75,7 +103,7 @@ class WordEncoder:
         Many words go into one call, with a word between them that is one id of its own and
         stands in none of them.
         """
-        encode = lambda texts: [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        encode = lambda texts: [np.array(e.ids, self.kind) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         if any(self.gap in w for w in words):
             parts = [x for w in words for x in encode([w])]
             return np.concatenate(parts), np.array([len(x) for x in parts], np.int32)
@@ -89,25 +117,25 @@ class WordEncoder:
         starts, ends, owner = word_spans(raw, offsets)
         texts = len(offsets) - 1
         if not len(starts):
-            return np.empty(0, np.uint16), np.zeros(texts, np.int64)
+            return np.empty(0, self.kind), np.zeros(texts, np.int64)
         starts, ends, owner = split_tails(raw, starts, ends, owner)
         raw = raw.copy()
         raw[starts] = _FOLD[raw[starts]]
-        keys, sample, which = distinct(span_hash(raw, starts, ends))
-        if len(self.keys) + len(keys) > self.limit:
+        which, sample = span_ids(raw, starts, ends)
+        if len(self.keys) + len(sample) > self.limit:
             self.clear()
-        place = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        new = self.keys[place] != keys if len(self.keys) else np.ones(len(keys), bool)
-        if new.any():
-            data = raw.tobytes()
-            order = np.argsort(keys[new])
-            at = sample[new][order]
-            self._learn(keys[new][order], [data[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            place = np.searchsorted(self.keys, keys)
-        place = place[which]
-        count = self.count[place].astype(np.int64)
+        begin, size = starts[sample], (ends - starts)[sample]
+        keys = span_hash(raw, begin, ends[sample])
+        place, known = self._look(raw, keys, begin, size)
+        where = np.zeros((2, len(sample)), np.int64)  # first id and number of ids of each distinct word
+        where[:, known] = self.first[place[known]], self.count[place[known]]
+        new = np.flatnonzero(~known)
+        if len(new):
+            new = new[np.argsort(keys[new], kind="stable")]
+            where[:, new] = self._learn(raw, keys[new], begin[new], size[new])
+        first, count = where[:, which]
         heads = np.cumsum(count) - count
-        ids = self.ids[np.arange(int(count.sum())) + np.repeat(self.first[place] - heads, count)]
+        ids = self.ids[np.arange(int(count.sum())) + np.repeat(first - heads, count)]
         return ids, np.bincount(owner, weights=count, minlength=texts).astype(np.int64)
 
 
@@ -138,7 +166,7 @@ def split_tails(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, owner: np
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
-def _tokenise(path: str, end_id: int, queues: dict[str | None, int], other: int):
+def _tokenise(path: str, end_id: int, queues: dict[str | None, int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if path not in _ENCODERS:
             _ENCODERS[path] = WordEncoder(path)
@@ -148,14 +176,14 @@ def _tokenise(path: str, end_id: int, queues: dict[str | None, int], other: int)
             for low, high, raw, offsets in chunks(batch.column("text")):
                 ids, counts = encoder.encode(raw, offsets)
                 ends = np.cumsum(counts)
-                whole = np.insert(ids, ends, np.uint16(end_id))
+                whole = np.insert(ids, ends, encoder.kind(end_id))
                 lengths = counts + 1
-                queue = [queues.get(s, other) for s in sources[low:high]]
+                queue = [queues[s] for s in sources[low:high]]
                 begins = []
                 for q, n in zip(queue, lengths.tolist(), strict=True):
                     begins.append(reached.get(q, 0))
                     reached[q] = begins[-1] + n
-                edges = np.concatenate([[0], np.cumsum(lengths)]) * 2
+                edges = np.concatenate([[0], np.cumsum(lengths)]) * whole.itemsize
                 blob = pa.LargeBinaryArray.from_buffers(pa.large_binary(), high - low, [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(whole.tobytes())])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([part] * (high - low), pa.int32()), batch.column("doc_id")[low:high], pa.array(queue, pa.int32()), pa.array(lengths, pa.int64()), pa.array(begins, pa.int64()), blob.cast(pa.binary())],
@@ -204,15 +232,22 @@ class RoundRobin:
         return max(0, position * self.total // (self.window * max(self.totals[queue], 1)) - 2 * len(self.totals) * (queue == self.slack) - 2)
 
 
+def _runs(queue: np.ndarray, begin: np.ndarray, tokens: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(queue, rows in its order) of rows that lie close together, so that few windows lie between."""
+    order = np.lexsort((begin, queue))
+    gap = begin[order][1:] - (begin + tokens)[order][:-1]
+    cut = np.flatnonzero((queue[order][1:] != queue[order][:-1]) | (gap > 4 * window)) + 1
+    for rows in np.split(order, cut) if len(order) else ():
+        yield int(queue[rows[0]]), rows
+
+
 def _cut(totals: list[int], window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = RoundRobin(totals, window)
         for batch in batches:
             docs, queue, tokens, begin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "queue", "tokens", "begin"))
             blobs = batch.column("ids")
-            for q in np.unique(queue):
-                rows = np.flatnonzero(queue == q)
-                rows = rows[np.argsort(begin[rows], kind="stable")]
+            for q, rows in _runs(queue, begin, tokens, window):
                 low, high = begin[rows], begin[rows] + tokens[rows]
                 lo, hi = plan.window_of(q, int(low[0])), plan.window_of(q, int(high[-1])) + 4 * len(totals) + 6
                 w = np.arange(lo, min(hi, plan.windows) + 1)
@@ -227,8 +262,10 @@ def _cut(totals: list[int], window: int, with_ids: bool):
                 ahead = (done[:q, 1:] - done[:q, :-1]).sum(axis=0) if q else np.zeros(len(w) - 1, np.int64)
                 start, length = at - low[which], end - at
                 pieces = []
-                for r, a, n in zip(rows[which].tolist(), (start * 2).tolist(), (length * 2).tolist(), strict=True):
-                    pieces.append(np.frombuffer(blobs[r].as_buffer(), np.uint16, n // 2, a).astype("<u4").tobytes())
+                for r, a, n in zip(rows[which].tolist(), start.tolist(), length.tolist(), strict=True):
+                    data = blobs[r].as_buffer()
+                    kind = np.dtype(np.uint16 if data.size == 2 * tokens[r] else np.uint32)
+                    pieces.append(np.frombuffer(data, kind, n, a * kind.itemsize).astype("<u4").tobytes())
                 columns = {
                     "doc_id": pa.array(docs[rows[which]]),
                     "start": pa.array(start),
@@ -249,23 +286,22 @@ def _cut(totals: list[int], window: int, with_ids: bool):
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: int = 2, max_queues: int = 32, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, *, window: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence.
 
     ``with_ids`` adds the piece's ids (little-endian unsigned 32-bit integers), from which
     sequences are put together by ``sequence_id`` and ``offset``.
     """
     docs = docs.select("doc_id", "source", "text")
-    # At most max_queues - 1 rows reach the driver.
-    largest = docs.groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")).orderBy(F.desc("b"), F.asc_nulls_first("source")).limit(max_queues - 1).collect()
-    queues = {r["source"]: i for i, r in enumerate(largest)}
-    other = len(queues)
+    # One row a source, the largest first.
+    sources = docs.groupBy("source").agg(F.sum(F.octet_length(F.coalesce("text", F.lit("")))).alias("b")).orderBy(F.desc("b"), F.asc_nulls_first("source")).collect()
+    queues = {r["source"]: i for i, r in enumerate(sources)}
 
-    ids = staged(map_batches(docs, _tokenise(tokenizer_path, end_id, queues, other), "part int, doc_id long, queue int, tokens long, begin long, ids binary"))
+    ids = staged(map_batches(docs, _tokenise(tokenizer_path, end_id, queues), "part int, doc_id long, queue int, tokens long, begin long, ids binary"))
     sums = staged(ids.groupBy("queue", "part").agg(F.sum("tokens").alias("here")))
     base = sums.withColumn("base", F.sum("here").over(Window.partitionBy("queue").orderBy("part")) - F.col("here")).drop("here")
     found = {r["queue"]: r["total"] for r in sums.groupBy("queue").agg(F.sum("here").alias("total")).collect()}
-    totals = [found.get(q, 0) for q in range(other + 1)]
+    totals = [found.get(q, 0) for q in range(len(queues))]
     if sums.count() <= BROADCAST_ROWS:
         base = F.broadcast(base)
     placed = ids.join(base, ["queue", "part"]).select("doc_id", "queue", "tokens", (F.col("begin") + F.col("base")).alias("begin"), "ids")

@@ -7,7 +7,7 @@ pieces between the matches and the matches themselves, in turn, give every posit
 
 *Bootstrap.* A candidate is a token with a digit, an at sign or an opening bracket and an
 identifier's rough shape, or a run of digit groups with spaces between them that has the
-shape of a phone or card number. Its context is the two words before it. Base spans,
+shape of a phone or card number. Its context is the two words before it, however long. Base spans,
 whatever tokens they cover, are the seeds, each in the context before its own start;
 candidates that touch one are no instances of their own.
 Contexts and instances form a graph of which Spark scores both sides in turn: a context's
@@ -19,7 +19,9 @@ that no base span touches and that have the kind's rough shape. Every count is c
 before it is shuffled, so a frequent context is no hot spot.
 
 Defined results: null text counts as empty and has no spans. Repeated rows get equal
-results and count once as an instance. Extra columns are ignored. The possessive
+results and count once as an instance. An empty table gives an empty table. Extra columns
+are ignored. A very long text takes time in proportion to its length and matches: places,
+contexts and masks are worked out in passes over them that copy at most ``PART`` at a time. The possessive
 quantifiers match what the greedy ones of the contract match, without recursion, and the
 heads let a match begin only where a run of its first class begins or the last match
 ended, so long runs take linear time; the matches are the same.
@@ -42,10 +44,9 @@ PATTERNS = {
 }
 #: What a text must contain for the pattern to be tried.
 NEEDS = {"email": "@", "ip": ".", "phone": "+"}
-CANDIDATE = r"(?<!\S)[^\s0-9@(\[{]*+[0-9@(\[{]\S*+"
 #: Rough shapes of identifiers that the fixed patterns miss, by kind.
 SHAPES = {
-    "email": r"(?i)^[a-z0-9._%+-]+(?:@|\(at\)|\[at\]|\{at\})[a-z0-9-]+(?:(?:\.|\(dot\)|\[dot\]|\{dot\})[a-z0-9-]+)*$",
+    "email": r"(?i)^[a-z0-9._%+-]++(?:@|\(at\)|\[at\]|\{at\})[a-z0-9-]++(?:(?:\.|\(dot\)|\[dot\]|\{dot\})[a-z0-9-]++)*+$",
     "ip": r"^[0-9a-fA-F]*:[0-9a-fA-F:]+:[0-9a-fA-F]*$",
     "card": r"^[0-9](?:(?:[./_\x20-]|\x20-\x20)?[0-9]){13,18}$",
     "phone": r"^\(?[0-9](?:(?:[().-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){6,14}$",
@@ -53,8 +54,11 @@ SHAPES = {
 #: Marks before and after a token, which do not belong to it.
 LEAD = r"[\"'<\[,;:]"
 EDGE = r"(?=[\"'>\],;:.!?)]*+(?:\s|\z))"
+#: A token with a digit, an at sign or a bracket; the group is what follows its leading marks (a run has
+#: at most 19 digits and 3 characters between two).
+CANDIDATE = rf"(?<!\S)(?={LEAD}*+((?s:.{{0,100}})))[^\s0-9@(\[{{]*+[0-9@(\[{{]\S*+"
 #: Where digit groups with spaces between them begin: marks and the first character.
-RUN = rf"(?<!\S){LEAD}*+(?=[0-9()./_-]++\x20)(?=\(?[0-9](?:(?:[()./_-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){{6,18}}{EDGE})[(0-9]"
+RUN = rf"(?<!\S){LEAD}*+(?=[0-9()./_-]++\x20)(?=\(?[0-9](?:(?:[()./_-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){{6,18}}{EDGE})(?=((?s:.{{0,100}})))[(0-9]"
 #: The longest run of such groups, by kind; a first group that is long enough alone is a token's matter.
 RUNS = {
     kind: rf"^(?=(?:[^\s0-9]*[0-9]){{1,{most}}}[^\s0-9]*\x20)" + SHAPES[kind].strip("^$") + EDGE
@@ -63,23 +67,68 @@ RUNS = {
 ROUNDS = 3
 CONFIDENT = 0.6
 FEWEST = 3
-SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
+SPAN = "struct<start:int,end:int,kind:string,value:string>"
+SEED = "struct<start:int,end:int,kind:string,value:string,context:string>"
+TOKEN = "struct<start:int,end:int,value:string,whole:boolean,context:string>"
+#: Elements that a pass over an array copies at a time, and characters of a block that is masked.
+PART = 64
+BLOCK = 1024
+NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
-def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches; code points, end exclusive."""
+def _empty(element: str) -> Column:
+    return F.array().cast(f"array<{element}>")
+
+
+def _pass(items: Column, element: str, zero: Column, step) -> Column:
+    """Elements that one pass over ``items`` gives; ``step(state, x)`` is (next state, keep it, element).
+
+    What is kept waits in a short array that moves as a whole, so the cost does not grow
+    with the square of the number of elements.
+    """
+
+    def one(s, x):
+        state, keep, out = step(s["state"], x)
+        part = F.when(keep, F.concat(s["part"], F.array(out))).otherwise(s["part"])
+        whole = keep & (F.size(s["part"]) >= PART - 1)
+        return F.struct(state.alias("state"), F.when(whole, F.concat(s["full"], F.array(part))).otherwise(s["full"]).alias("full"), F.when(whole, _empty(element)).otherwise(part).alias("part"))
+
+    begin = F.struct(zero.alias("state"), _empty(f"array<{element}>").alias("full"), _empty(element).alias("part"))
+    return F.aggregate(items, begin, one, lambda s: F.flatten(F.concat(s["full"], F.array(s["part"]))))
+
+
+def _last_words(text: Column, most: int = 3) -> Column:
+    """The last words of a text, other characters between them as one space (also behind the last).
+
+    Of four parts at least the last two words are whole, whatever stands before the text.
+    """
+    return F.array_join(F.reverse(F.slice(F.reverse(F.split(text, NOT_WORD, -1)), 1, most)), " ")
+
+
+def matches(text: Column, pattern: str, ahead: bool = False) -> Column:
+    """Array of (start, end, value, context, ahead) of the pattern's matches; code points, end exclusive.
+
+    ``context`` is the two words before, in lower case; ``ahead`` the pattern's group.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
-    parts = F.arrays_zip(F.transform(between, lambda x: F.char_length(x)).alias("gap"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    between = F.split(text, pattern, -1)
+    groups = F.regexp_extract_all(text, F.lit(pattern), F.lit(1)) if ahead else values
+    parts = F.transform(
+        F.arrays_zip(between.alias("gap"), values.alias("value"), groups.alias("ahead")),
+        lambda p: F.struct(F.char_length(p["gap"]).alias("gap"), _last_words(F.lower(p["gap"]), 4).alias("words"), p["value"].alias("value"), p["ahead"].alias("ahead")),
+    )
+    zero = F.struct(F.lit(0).alias("at"), F.lit("").alias("tail"))
 
-    def step(state, part):
-        begin = state["at"] + part["0"]
-        end = begin + F.char_length(part["1"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), part["1"].alias("value")))).alias("found"))
+    def step(state, p):
+        begin = state["at"] + p["gap"]
+        end = begin + F.char_length(p["value"])
+        before = _last_words(F.concat(state["tail"], p["words"]))
+        context = F.array_join(F.reverse(F.slice(F.reverse(F.filter(F.split(before, " "), lambda w: w != "")), 1, 2)), " ")
+        out = F.struct(begin.alias("start"), end.alias("end"), p["value"].alias("value"), context.alias("context"), p["ahead"].alias("ahead"))
+        after = F.struct(F.coalesce(end, begin).alias("at"), F.concat(before, _last_words(F.lower(F.coalesce(p["value"], F.lit(""))), 4)).alias("tail"))
+        return after, p["value"].isNotNull(), out
 
-    zipped = F.transform(parts, lambda p: F.struct(p["gap"].alias("0"), p["value"].alias("1")))
-    return F.aggregate(zipped, start, step, lambda s: s["found"])
+    return _pass(parts, "struct<start:int,end:int,value:string,context:string,ahead:string>", zero, step)
 
 
 def _luhn(digits: Column) -> Column:
@@ -112,36 +161,25 @@ def _passes(kind: str, value: Column) -> Column:
 
 def _checked(kind: str, found: Column) -> Column:
     kept = F.filter(found, lambda s: _passes(kind, s["value"]))
-    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value")))
+    return F.transform(kept, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind"), s["value"].alias("value"), s["context"].alias("context")))
 
 
-def base_spans(text: Column) -> Column:
-    """All spans of the four patterns, by start, then kind as listed."""
-    none = F.array().cast(SPAN)
+def seeds_of(text: Column) -> Column:
+    """All spans of the four patterns with their contexts, by start, then kind as listed."""
     found = []
     for kind in KINDS:
         ranked = _checked(kind, matches(text, PATTERNS[kind]))
         may = text.contains(NEEDS[kind]) if kind in NEEDS else text.rlike("[0-9][ -]?[0-9]")
-        found.append(F.when(may, ranked.cast(SPAN)).otherwise(none))
-    return in_order(F.concat(*found))
+        found.append(F.when(may, ranked.cast(f"array<{SEED}>")).otherwise(_empty(SEED)))
+    rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
+    keyed = F.transform(F.concat(*found), lambda s: F.struct(s["start"].alias("a"), rank[s["kind"]].alias("b"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
 def in_order(spans: Column) -> Column:
     rank = F.create_map(*[x for i, k in enumerate(KINDS) for x in (F.lit(k), F.lit(i))])
-    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), rank[s["kind"]].alias("b"), s["end"].alias("c"), s["kind"].alias("d"), s["value"].alias("e")))
-    return F.transform(F.array_sort(keyed), lambda k: F.struct(k["a"].alias("start"), k["c"].alias("end"), k["d"].alias("kind"), k["e"].alias("value")))
-
-
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case and without marks."""
-    before = F.substring(text, F.greatest(start - 80, F.lit(0)) + 1, F.least(start, F.lit(80)))
-    words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")), 1, 2)
-    return F.array_join(F.reverse(words), " ")
-
-
-def seeds_of(text: Column) -> Column:
-    """The base spans, each with its context."""
-    return F.transform(base_spans(text), lambda s: s.withField("context", _context(text, s["start"])))
+    keyed = F.transform(spans, lambda s: F.struct(s["start"].alias("a"), rank[s["kind"]].alias("b"), s["end"].alias("c"), s.alias("s")))
+    return F.transform(F.array_sort(keyed), lambda k: k["s"])
 
 
 def candidates(text: Column) -> Column:
@@ -152,40 +190,35 @@ def candidates(text: Column) -> Column:
     may overlap.
     """
 
-    def placed(s):
-        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), s["whole"].alias("whole"), _context(text, s["start"]).alias("context"))
+    def token(start, value, whole, context):
+        return F.struct(start.alias("start"), (start + F.char_length(value)).alias("end"), value.alias("value"), whole.alias("whole"), context.alias("context"))
 
     def trimmed(s):
-        core = F.regexp_replace(F.regexp_replace(s["value"], f"^{LEAD}+", ""), r"[\"'>\],;:.!?]+$", "")
-        lead = F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], f"^{LEAD}+", ""))
-        return F.struct((s["start"] + lead).alias("start"), core.alias("value"))
-
-    def ahead(start):
-        return F.substring(text, start + 1, F.lit(100))  # a run has at most 19 digits and 3 characters between two
+        bare = F.regexp_replace(s["value"], f"^{LEAD}+", "")
+        core = F.regexp_replace(bare, r"(?<![\"'>\],;:.!?])[\"'>\],;:.!?]++$", "")
+        return F.struct((s["end"] - F.char_length(bare)).alias("start"), core.alias("value"), s["context"].alias("context"), s["ahead"].alias("ahead"))
 
     def judged(s):
         longer = F.lit(False)
         for pattern in RUNS.values():
-            longer = longer | ahead(s["start"]).rlike(pattern)
-        return F.struct(s["start"].alias("start"), s["value"].alias("value"), (~longer).alias("whole"))
+            longer = longer | s["ahead"].rlike(pattern)
+        return token(s["start"], s["value"], ~longer, s["context"])
 
     def runs(s):
-        start = s["end"] - 1
-        read = F.array_distinct(F.array(*[F.regexp_extract(ahead(start), pattern, 0) for pattern in RUNS.values()]))
-        return F.transform(read, lambda v: F.struct(start.alias("start"), v.alias("value"), (~F.exists(read, lambda o: F.char_length(o) > F.char_length(v))).alias("whole")))
+        read = F.array_distinct(F.array(*[F.regexp_extract(s["ahead"], pattern, 0) for pattern in RUNS.values()]))
+        return F.transform(read, lambda v: token(s["end"] - 1, v, ~F.exists(read, lambda o: F.char_length(o) > F.char_length(v)), s["context"]))
 
-    tokens = F.transform(F.filter(F.transform(matches(text, CANDIDATE), trimmed), lambda s: _any_shape(s["value"])), judged)
-    spaced = F.when(text.rlike(RUN), F.flatten(F.transform(matches(text, RUN), runs))).otherwise(F.array().cast("array<struct<start:int,value:string,whole:boolean>>"))
-    both = F.filter(F.concat(tokens, spaced), lambda s: s["value"] != "")
-    return F.filter(F.transform(both, placed), lambda s: s["context"] != "")
+    tokens = F.transform(F.filter(F.transform(matches(text, CANDIDATE, True), trimmed), lambda s: _any_shape(s["value"])), judged)
+    spaced = F.when(text.rlike(RUN), F.flatten(F.transform(matches(text, RUN, True), runs))).otherwise(_empty(TOKEN))
+    return F.filter(F.concat(tokens.cast(f"array<{TOKEN}>"), spaced.cast(f"array<{TOKEN}>")), lambda s: (s["value"] != "") & (s["context"] != ""))
 
 
 def _any_shape(value: Column) -> Column:
-    """Short enough to be an identifier, and either a base match's shape or a rough one."""
+    """Either a base match's shape or a rough one."""
     shape = F.lit(False)
     for pattern in (*PATTERNS.values(), *SHAPES.values()):
         shape = shape | value.rlike(pattern if pattern.startswith(("^", "(?i)^")) else f"^(?:{pattern})$")
-    return (F.char_length(value) <= 128) & shape
+    return shape
 
 
 def _shaped(kind: Column, value: Column) -> Column:
@@ -196,17 +229,26 @@ def _shaped(kind: Column, value: Column) -> Column:
     return shaped
 
 
-def _touches(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+def _untouched(tokens: Column, spans: Column) -> Column:
+    """The tokens that no span touches: one pass forwards and one backwards over both in order."""
+    item = f"struct<start:int,loose:boolean,token:{TOKEN}>"
+    plain = F.transform(spans, lambda s: F.struct(s["start"].alias("start"), F.lit(False).alias("loose"), F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("").alias("value"), F.lit(False).alias("whole"), F.lit("").alias("context")).alias("token")))
+    loose = F.transform(tokens, lambda t: F.struct(t["start"].alias("start"), F.lit(True).alias("loose"), t.alias("token")))
+    both = F.array_sort(F.concat(plain.cast(f"array<{item}>"), loose.cast(f"array<{item}>")))
+    ahead = _pass(both, item, F.lit(0), lambda reach, x: (F.when(x["loose"], reach).otherwise(F.greatest(reach, x["token"]["end"])), ~x["loose"] | (x["start"] >= reach), x))
+    back = _pass(F.reverse(ahead), TOKEN, F.lit(2**31 - 1), lambda next_, x: (F.when(x["loose"], next_).otherwise(x["start"]), x["loose"] & (x["token"]["end"] <= next_), x["token"]))
+    return F.reverse(back)
 
 
 def _widest(spans: Column) -> Column:
     """The spans that lie in no other one of their kind."""
 
-    def inside(a):
-        return F.exists(spans, lambda b: (a["kind"] == b["kind"]) & (b["start"] <= a["start"]) & (a["end"] <= b["end"]) & (b["end"] - b["start"] > a["end"] - a["start"]))
+    def of_kind(kind):
+        own = F.filter(spans, lambda s: s["kind"] == kind)
+        keyed = F.array_sort(F.transform(own, lambda s: F.struct(s["start"].alias("a"), (-s["end"]).alias("b"), s.alias("s"))))
+        return _pass(keyed, SPAN, F.lit(-1), lambda reach, x: (F.greatest(reach, x["s"]["end"]), x["s"]["end"] > reach, x["s"]))
 
-    return F.filter(spans, lambda a: ~inside(a))
+    return F.concat(*[of_kind(k) for k in KINDS])
 
 
 def context_scores(occurrences: DataFrame) -> DataFrame:
@@ -233,8 +275,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     slim = docs.select("doc_id", F.xxhash64(text).alias("text_mark"), seeds_of(text).alias("seeds"), candidates(text).alias("tokens"))
     slim = staged(slim)  # spans and candidates only: the texts are read once
     seeds = slim.select(F.explode("seeds").alias("s")).where("s.context != ''").select("s.context", "s.value", "s.kind")
-    slim = slim.withColumn("base", F.transform("seeds", lambda s: s.dropFields("context"))).drop("seeds")
-    seen = slim.select("doc_id", "text_mark", "base", F.explode("tokens").alias("c")).where(~_touches(F.col("base"), F.col("c")))
+    seen = slim.where("size(tokens) > 0").select("doc_id", "text_mark", F.explode(_untouched(F.col("tokens"), F.col("seeds"))).alias("c"))
+    slim = slim.select("doc_id", "text_mark", F.transform("seeds", lambda s: s.dropFields("context")).alias("base"))
     occurrences = seeds.union(seen.where("c.whole").select("c.context", "c.value", F.lit(None).cast("string").alias("kind")))
     best = context_scores(occurrences).where(F.col("score") >= CONFIDENT).groupBy("context").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     fresh = (
@@ -246,7 +288,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     )
     fresh = staged(fresh.withColumnsRenamed({"doc_id": "_id", "text_mark": "_mark"}))
     together = slim.join(fresh, slim["doc_id"].eqNullSafe(fresh["_id"]) & (slim["text_mark"] == fresh["_mark"]), "left")
-    return together.select("doc_id", "text_mark", "base", in_order(F.concat("base", F.coalesce(_widest(F.col("fresh").cast(SPAN)), F.array().cast(SPAN)))).alias("spans"))
+    return together.select("doc_id", "text_mark", "base", in_order(F.concat("base", F.coalesce(_widest(F.col("fresh").cast(f"array<{SPAN}>")), _empty(SPAN)))).alias("spans"))
 
 
 def written(spans: Column) -> Column:
@@ -254,23 +296,58 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _masked_text(text: Column, spans: Column) -> Column:
+    """The text with a label in place of each span, block by block.
+
+    Spans may overlap; the part that an earlier one has covered is not written again.
+    """
+    label = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    gone = "struct<start:int,end:int,label:string>"
+    ranges = _pass(
+        spans, gone, F.lit(0),
+        lambda at, s: (F.greatest(at, s["end"]), s["end"] > at, F.struct(F.greatest(at, s["start"]).alias("start"), s["end"].alias("end"), F.when(s["start"] >= at, label(s)).otherwise("").alias("label"))),
+    )
+    number = lambda place: F.floor(place / BLOCK).cast("int")
+    piece = "struct<block:int,start:int,end:int,label:string>"
+
+    def pieces(r):
+        def inside(k):
+            return F.struct(
+                k.alias("block"), (F.greatest(r["start"], k * BLOCK) - k * BLOCK).alias("start"), (F.least(r["end"], (k + 1) * BLOCK) - k * BLOCK).alias("end"),
+                F.when(k == number(r["start"]), r["label"]).otherwise("").alias("label"),
+            )
+
+        return F.transform(F.sequence(number(r["start"]), number(r["end"] - 1)), inside)
+
+    def deal(state, p):
+        same = p["block"] == state["block"]
+        skipped = F.array_repeat(_empty(piece), p["block"] - state["block"] - 1)
+        return F.struct(
+            p["block"].alias("block"),
+            F.when(same, state["full"]).otherwise(F.concat(state["full"], F.array(state["part"]), skipped)).alias("full"),
+            F.when(same, F.concat(state["part"], F.array(p))).otherwise(F.array(p)).alias("part"),
+        )
+
+    zero = F.struct(F.lit(0).alias("block"), _empty(f"array<{piece}>").alias("full"), _empty(piece).alias("part"))
+    dealt = F.aggregate(F.flatten(F.transform(ranges, pieces)), zero, deal, lambda s: F.concat(s["full"], F.array(s["part"])))
+
+    def write(block, own):
+        def step(state, p):
+            return F.struct(p["end"].alias("at"), F.concat(state["out"], F.substring(block, state["at"] + 1, p["start"] - state["at"]), p["label"]).alias("out"))
+
+        begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+        return F.when(F.size(own) > 0, F.aggregate(own, begin, step, lambda s: F.concat(s["out"], F.substring(block, s["at"] + 1, F.lit(BLOCK))))).otherwise(block)
+
+    blocks = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{BLOCK}}}"), F.lit(0))
+    return F.array_join(F.zip_with(blocks, dealt, write), "")
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; n_chars follows the new text."""
     found = find_pii(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"), "spans").dropDuplicates(["_id", "_mark"])
     text = F.coalesce("text", F.lit(""))
     joined = docs.join(staged(found), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state, s):
-        # Spans may overlap; the part that an earlier one has covered is not written again.
-        gap = F.substring(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        label = F.when(s["start"] >= state["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise("")
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, label).alias("out"))
-
-    def close(state):
-        return F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
-
-    new = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step, close)).otherwise(F.col("text"))
+    new = F.when(F.col("spans").isNotNull(), _masked_text(text, F.col("spans"))).otherwise(F.col("text"))
     size = F.when(F.col("spans").isNotNull(), F.char_length("_new")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
     columns = [F.col("_new").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return joined.withColumn("_new", new).select(*columns)

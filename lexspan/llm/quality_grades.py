@@ -11,7 +11,9 @@ and not toxic (toxic rows of poor quality: 0).
 
 Defined results: null, empty and word-free texts have the value of no evidence, which is
 that of the thresholds alone, and zero words. Repeated rows get equal results. Extra
-columns are ignored. Without labels all probabilities are 0.5 by definition.
+columns are ignored. Very long texts are graded whole. An empty table gives an empty
+table. Without labels all weights are 0 and the thresholds 0 and 1, so every document has
+tail probabilities of 0.5 and 0.269.
 """
 
 from __future__ import annotations

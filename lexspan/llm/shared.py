@@ -11,14 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path below ``spark.checkpoint.dir``.
+    """A fresh path below ``spark.checkpoint.dir``, the folder that driver and executors share.
 
-    Only where the setting is absent (tests on one machine) a temporary folder is used.
+    Where the setting is absent a temporary folder serves a session on one machine (tests);
+    on a cluster its absence is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(root)
     return f"{root.rstrip('/')}/lexspan/{uuid.uuid4().hex}"

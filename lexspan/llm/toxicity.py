@@ -11,9 +11,11 @@ The network is trained in numpy on a bounded sample of labelled rows (``most_tox
 window of every toxic text that scores highest so far, against windows of clean texts,
 among them those that score highest. Vectors start from the words' and n-grams' log-odds.
 
-Defined results: null, empty and word-free texts are one window without words and score 0. Repeated
-rows get equal scores. Extra columns are ignored; ``lang``, ``source`` and labels are not
-inputs. Without a label of each kind every score is the share of toxic labels (or 0).
+Defined results: null, empty and word-free texts are one window without words and score 0.
+Repeated rows and equal texts get equal scores. Very long texts are scored whole, in as
+many windows as they need. Extra columns are ignored; ``lang``, ``source`` and labels are not
+inputs. An empty table gives an empty table. Without a label of each kind every score is
+the share of toxic labels (or 0).
 """
 
 from __future__ import annotations
@@ -264,7 +266,7 @@ def _start_vectors(net: Network, corpus: _Corpus, toxic: np.ndarray) -> None:
         net.p[name][:, 0] = _log_odds(b, g, of_bad.sum() * scale / max(scale, 1), of_good.sum() * scale / max(scale, 1)) if name == "word" else _log_odds(b, g, b.sum() / scale, g.sum() / scale)
 
 
-def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 4, passes: int = 2, rate: float = 0.01, share: float | None = None, seed: int = 0) -> Network:
+def train(texts: list[str], toxic: np.ndarray, *, rounds: int = 6, passes: int = 2, rate: float = 0.01, share: float | None = None, seed: int = 0) -> Network:
     """A calibrated network from labelled texts; one in four is set aside for the calibration.
 
     ``share`` is the toxic share of all labels where that of the texts given differs.
