@@ -5,9 +5,9 @@ One partitioning by document serves all windows; text is carried once and sliced
 
 from __future__ import annotations
 
-import re
-from collections.abc import Iterator
+import os
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,10 +36,15 @@ def page_from_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return joined.select(DOC, F.lit(1).alias("page_number"), F.array_join(F.col("p")["_text"], "\n\n").alias("text"))
 
 
-def flag_scanned(words: DataFrame, least: int = 100) -> DataFrame:
-    """Pages with fewer extractable characters than ``least``; a document is flagged if any page is."""
-    pages = words.groupBy(DOC, "page_number").agg(F.sum(F.char_length(t.strip(F.col("token")))).alias("chars"))
-    flagged = pages.withColumn("is_ocr", F.coalesce("chars", F.lit(0)) < least)
+def flag_scanned(words: DataFrame, pages: DataFrame | None = None, least: int = 100) -> DataFrame:
+    """Pages with fewer extractable characters than ``least``; a document is flagged if any page is.
+
+    ``pages`` lists the pages (document, number); without it a page without any word is unknown.
+    """
+    counted = words.groupBy(DOC, "page_number").agg(F.sum(F.char_length(t.strip(F.col("token")))).alias("chars"))
+    if pages is not None:
+        counted = pages.select(DOC, "page_number").distinct().join(counted, [DOC, "page_number"], "left")
+    flagged = counted.withColumn("chars", F.coalesce("chars", F.lit(0))).withColumn("is_ocr", F.col("chars") < least)
     return flagged.withColumn("document_is_ocr", F.max("is_ocr").over(Window.partitionBy(DOC)))
 
 
@@ -127,112 +132,107 @@ def outline(chunks: DataFrame, most: int = 80) -> DataFrame:
     return first.withColumn("place", place).where(F.col("place") <= most)
 
 
-_SENTENCE = re.compile(r"(?<=[.;:!?])\s+(?=[A-Z(\d\"'])")
+#: Where a sentence ends and the next one begins.
+SENTENCE_GAP = r"(?U)(?<=[.;:!?])\s+(?=[A-Z(\d\"'])"
+SENTENCE_LAST = r"[.;:!?]$"
+SENTENCE_FIRST = r"(?U)^[A-Z(\d\"']"
+
+
+def with_sentences(blocks: DataFrame) -> DataFrame:
+    """Blocks with the lengths of their sentences and of the gaps between, and whether one begins with the block."""
+    before = F.lag("text").over(Window.partitionBy(DOC).orderBy("char_start"))
+    return blocks.withColumns(
+        {
+            "sentences": F.transform(F.split("text", SENTENCE_GAP, -1), F.char_length),
+            "gaps": F.transform(F.regexp_extract_all("text", F.lit(SENTENCE_GAP), F.lit(0)), F.char_length),
+            "opens": F.coalesce(before.rlike(SENTENCE_LAST) & F.col("text").rlike(SENTENCE_FIRST), F.lit(False)),
+        }
+    )
 
 
-def _size(characters: int) -> int:
-    return max(1, (characters + 3) // 4)
+def tokens_of(length):
+    """Estimated tokens of so many characters."""
+    return np.maximum(1, (np.asarray(length) + 3) // 4)
 
 
-def _fragments(text: str, base: int, most: int) -> Iterator[tuple[int, int]]:
-    """A block in parts of at most ``most`` tokens, cut between sentences, else by length."""
-    if _size(len(text)) <= most:
-        yield base, base + len(text)
-        return
-    ends = [m.end() for m in _SENTENCE.finditer(text)]
-    if not ends:
-        for at in range(0, len(text), 4 * most):
-            yield base + at, base + min(at + 4 * most, len(text))
-        return
-    begin = last = 0
-    for end in [*ends, len(text)]:
-        if last > begin and _size(end - begin) > most:
-            yield base + begin, base + last
-            begin = last
-        last = max(last, end)
-    yield base + begin, base + len(text)
+def _starts_within(first: int, sentences: np.ndarray, gaps: np.ndarray) -> np.ndarray:
+    """Places at which the second and later sentences of a block begin."""
+    return first + np.cumsum(np.asarray(sentences, int)[:-1] + np.asarray(gaps, int))
 
 
-def _shared_path(paths: list[str]) -> str:
-    split = [p.split(" > ") if p else [] for p in paths]
-    depth = 0
-    while all(len(p) > depth for p in split) and len({p[depth] for p in split}) == 1:
-        depth += 1
-    return " > ".join(split[0][:depth])
+def _steps(weight: np.ndarray, most: int) -> list[int]:
+    """Where groups of neighbours begin that are as long as ``most`` allows (one at least)."""
+    total, at, found = np.cumsum(weight), 0, []
+    while at < len(weight):
+        found.append(at)
+        spent = total[at - 1] if at else 0
+        at = max(at + 1, int(np.searchsorted(total, spent + most, "right")))
+    return found
+
+
+def _cut_places(start: int, end: int, inner: np.ndarray, most: int) -> np.ndarray:
+    """Where the pieces of a block begin: at sentences if it has several, else at equal distances."""
+    if end - start <= 4 * most:
+        return np.array([start])
+    if not len(inner):
+        return np.arange(start, end, 4 * most)
+    edges = np.concatenate([[start], inner, [end]])
+    return edges[_steps(np.diff(edges), 4 * most)]
 
 
 def _packer(target: int, most: int):
-    """Blocks of one document to chunk offsets.
+    """Offsets, section paths and flags of one document's blocks to chunk offsets.
 
-    Sections (from one hard boundary to the next) that fit the target share chunks while the
-    root stays; larger ones are cut between pieces. Each chunk may reach back over the last
-    sentence of the chunk before it.
+    What may share a chunk is a unit: a whole section (from one hard boundary to the next)
+    that fits the target, or a piece of a larger one. Neighbouring units share chunks while
+    they have one key: the root for whole sections, the section for pieces. Each chunk may
+    reach back over the last sentence of the chunk before it.
     """
 
     def pack(blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("char_start")
-        pieces = []
-        for b in blocks.itertuples():
-            for k, (s, e) in enumerate(_fragments(b.text, b.char_start, most)):
-                pieces.append((s, e, b.section_path, b.root, bool(b.hard_boundary) and k == 0))
-        sections: list[list] = []
-        for p in pieces:
-            if p[4] or not sections:
-                sections.append([])
-            sections[-1].append(p)
-        weight = lambda group: sum(_size(e - s) for s, e, *_ in group)
-        groups, shared = [], []
-        for section in sections:
-            if weight(section) <= target:
-                if shared and (shared[0][3] != section[0][3] or weight(shared) + weight(section) > target):
-                    groups.append(shared)
-                    shared = []
-                shared = shared + section
-                continue
-            if shared:
-                groups.append(shared)
-                shared = []
-            run, load = [], 0
-            for p in section:
-                own = _size(p[1] - p[0])
-                if run and load + own > target:
-                    groups.append(run)
-                    run, load = [], 0
-                run.append(p)
-                load += own
-            groups.append(run)
-        if shared:
-            groups.append(shared)
-        texts = [(b.char_start, b.char_end, b.text) for b in blocks.itertuples()]
-        out = []
-        for n, group in enumerate(groups):
-            start, end = group[0][0], group[-1][1]
-            if n and not group[0][4] and groups[n - 1][-1][2].split(" > ")[0] == group[0][2].split(" > ")[0]:
-                back = _last_sentence(texts, out[-1][1], out[-1][2])
-                if back < start and _size(end - back) <= most:
+        blocks = blocks.sort_values("char_start", ignore_index=True)
+        first, last = blocks["char_start"].to_numpy(), blocks["char_end"].to_numpy()
+        inner = [_starts_within(f, s, g) for f, s, g in zip(first, blocks["sentences"], blocks["gaps"], strict=True)]
+        cuts = [_cut_places(f, e, i, most) for f, e, i in zip(first, last, inner, strict=True)]
+        block = np.repeat(np.arange(len(blocks)), [len(c) for c in cuts])
+        begin = np.concatenate(cuts)
+        end = np.where(np.append(block[1:] != block[:-1], True), last[block], np.append(begin[1:], 0))
+        head = np.concatenate([[True], block[1:] != block[:-1]])
+        hard = blocks["hard_boundary"].to_numpy(bool)[block] & head
+
+        size = tokens_of(end - begin)
+        section = np.cumsum(hard)
+        whole = np.bincount(section, weights=size)[section] <= target
+        unit_head = ~whole | np.concatenate([[True], section[1:] != section[:-1]])
+        at = np.flatnonzero(unit_head)
+        weight = np.add.reduceat(size, at)
+        root = pd.factorize(blocks["root"], use_na_sentinel=False)[0][block[at]]
+        key = np.where(whole[at], root, -1 - section[at])
+        runs = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        chunk_units = np.concatenate([r + np.array(_steps(w, target)) for r, w in zip(runs, np.split(weight, runs[1:]), strict=True)])
+
+        pieces = np.append(at[chunk_units], len(begin))
+        paths = [p.split(" > ") if p else [] for p in blocks["section_path"]]
+        sentence = np.sort(np.concatenate([*inner, first[blocks["opens"].to_numpy(bool)]]))
+        rows = []
+        for n, (a, b) in enumerate(zip(pieces[:-1].tolist(), pieces[1:].tolist(), strict=True)):
+            start, stop = int(begin[a]), int(end[b - 1])
+            if n and not hard[a] and paths[block[a - 1]][:1] == paths[block[a]][:1]:
+                spot = int(np.searchsorted(sentence, rows[-1][2])) - 1
+                back = max(int(sentence[spot]) if spot >= 0 else 0, rows[-1][1])
+                if back < start and tokens_of(stop - back) <= most:
                     start = back
-            out.append((n, start, end, _shared_path([p[2] for p in group]), _size(end - start)))
-        frame = pd.DataFrame(out, columns=["ordinal", "char_start", "char_end", "section_path", "token_count"])
+            rows.append((n, start, stop, " > ".join(os.path.commonprefix([paths[k] for k in block[a:b]])), int(tokens_of(stop - start))))
+        frame = pd.DataFrame(rows, columns=["ordinal", "char_start", "char_end", "section_path", "token_count"])
         frame.insert(0, DOC, blocks[DOC].iloc[0])
         return frame
 
     return pack
 
 
-def _last_sentence(texts: list[tuple[int, int, str]], start: int, end: int) -> int:
-    """Where the last sentence inside a slice begins; blocks are rejoined with blank text between."""
-    inside = [(max(s, start), min(e, end), x[max(s, start) - s : min(e, end) - s]) for s, e, x in texts if e > start and s < end]
-    whole, at = "", start
-    for s, e, x in inside:
-        whole += "\n" * (s - at) + x
-        at = e
-    starts = [m.end() for m in _SENTENCE.finditer(whole)]
-    return start + (starts[-1] if starts else 0)
-
-
 def chunk_documents(pages: DataFrame, target: int = 800, most: int = 1500) -> DataFrame:
     """Chunks of pages that carry ``char_offset``: text, offsets, pages, path, tokens."""
-    blocks = section_paths(blocks_from_pages(pages)).select(DOC, "text", "char_start", "char_end", "section_path", "root", "hard_boundary")
+    blocks = with_sentences(section_paths(blocks_from_pages(pages))).select(DOC, "char_start", "char_end", "section_path", "root", "hard_boundary", "sentences", "gaps", "opens")
     schema = f"{DOC} long, ordinal int, char_start int, char_end int, section_path string, token_count int"
     if dict(pages.dtypes)[DOC] == "string":
         schema = schema.replace(f"{DOC} long", f"{DOC} string")
