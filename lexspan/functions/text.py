@@ -8,6 +8,19 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: English function words, which word search passes over; words of contracts (party, clause) are searched for.
+FUNCTION_WORDS = (
+    "a", "about", "above", "after", "again", "against", "all", "am", "an", "and", "any", "are", "as", "at",
+    "be", "because", "been", "before", "being", "below", "between", "both", "but", "by", "can", "did", "do",
+    "does", "doing", "down", "during", "each", "few", "for", "from", "further", "had", "has", "have",
+    "having", "he", "her", "here", "hers", "him", "his", "how", "i", "if", "in", "into", "is", "it", "its",
+    "just", "me", "more", "most", "my", "no", "nor", "not", "now", "of", "off", "on", "once", "only", "or",
+    "other", "our", "out", "over", "own", "same", "she", "should", "so", "some", "such", "than", "that",
+    "the", "their", "them", "then", "there", "these", "they", "this", "those", "through", "to", "too",
+    "under", "until", "up", "very", "was", "we", "were", "what", "when", "where", "which", "while", "who",
+    "whom", "why", "will", "with", "you", "your",
+)
+
 # Words that carry no meaning in a question, symbols, answer words.
 STOP_WORDS = (
     "the a an of and or is are what which does do this that in to for any with be by on it its as at who how when there under agreement contract "
@@ -137,7 +150,8 @@ def value_text(text: Column, output_type: Column, typed: Column) -> Column:
 def cache_key(sha: Column, question: Column, output_type: Column, options: Column, model: Column, version: Column) -> Column:
     """SHA-256 of the canonical form: fields joined by unit separators, options sorted."""
     separator = "\x1f"
-    joined = F.concat_ws(separator, sha, collapse_ws(question), output_type, F.array_join(F.array_sort(F.coalesce(options, F.array().cast("array<string>"))), "\x1e"), model, version)
+    fields = sha, collapse_ws(question), output_type, F.array_join(F.array_sort(F.coalesce(options, F.array().cast("array<string>"))), "\x1e"), model, version
+    joined = F.concat_ws(separator, *[F.coalesce(f, F.lit("\x00")) for f in fields])  # a null field keeps its place
     return F.sha2(joined, 256)
 
 

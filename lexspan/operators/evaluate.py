@@ -7,20 +7,23 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import helpers
 from lexspan.functions import text as t
+from lexspan.operators.grid import with_written_dates
 
 NOT_PRESENT = "not present"
 
 
-def judge(cells: DataFrame, golden: DataFrame) -> DataFrame:
+def judge(cells: DataFrame, golden: DataFrame, default_date: str | None = None) -> DataFrame:
     """correct, hallucinated and expected_present per (document_id, key) of ``golden``.
 
     The similarity ratio is computed only for text answers that containment leaves open.
+    With ``default_date`` expected dates in words are read too.
     """
     rows = cells.join(golden.select("document_id", "key", "expected"), ["document_id", "key"])
     present = F.lower(F.trim(F.col("expected"))) != NOT_PRESENT
     flat = lambda c: F.trim(F.regexp_replace(F.replace(F.lower(c), F.lit("’"), F.lit("'")), r"(?U)\s+", " "))
     rows = rows.withColumns({"expected_present": present, "_p": flat(F.coalesce("value_text", F.lit(""))), "_t": flat(F.col("expected"))})
-    want = t.typed_value(t.collapse_ws(F.col("expected")), F.col("output_type"), F.array().cast("array<string>"))
+    rows = with_written_dates(rows, t.collapse_ws(F.col("expected")), default_date)
+    want = t.typed_value(t.collapse_ws(F.col("expected")), F.col("output_type"), F.array().cast("array<string>"), F.col("_written"))
     kind, got = F.col("output_type"), F.col("value_json")
     typed = (
         F.when(kind == "boolean", got["bool_value"].eqNullSafe(want["bool_value"]) & want["bool_value"].isNotNull())
@@ -42,7 +45,7 @@ def judge(cells: DataFrame, golden: DataFrame) -> DataFrame:
         .otherwise(F.col("_contained") | F.coalesce(F.col("_ratio") >= 0.8, F.lit(False)) | digits)
     )
     wrong = (F.col("status") == "done") & ~F.col("expected_present") & ~F.col("not_found")
-    return settled.unionByName(unsettled).withColumns({"correct": correct, "hallucinated": wrong}).drop("_p", "_t", "_typed", "_open", "_contained", "_ratio")
+    return settled.unionByName(unsettled).withColumns({"correct": correct, "hallucinated": wrong}).drop("_p", "_t", "_written", "_typed", "_open", "_contained", "_ratio")
 
 
 def _rates(frame) -> list:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.functions import helpers
 from lexspan.functions import text as t
 
 CELL = ["review_id", "document_id", "column_id"]
@@ -91,14 +92,28 @@ def match_answers(targets: DataFrame, answers: DataFrame) -> DataFrame:
     return matched.withColumns({"status": F.when(missing, "failed").otherwise("done"), "error": F.when(missing, F.lit("the model returned no answer for this column"))})
 
 
-def apply_answers(answers: DataFrame, citations: DataFrame) -> DataFrame:
-    """Cells: verified if not found or if any of its quotes held; a value that was not found is blank."""
+def with_written_dates(rows: DataFrame, text, default_date: str | None) -> DataFrame:
+    """``rows`` with ``_written``: the date in words of those of type date that are no ISO dates; only these go to the helper."""
+    none = F.lit(None).cast("date")
+    if default_date is None:
+        return rows.withColumn("_written", none)
+    open_ = F.coalesce((F.col("output_type") == "date") & t.parse_iso_date(text).isNull(), F.lit(False))
+    worded = rows.where(open_).withColumn("_written", helpers.parse_written_date(default_date)(text))
+    return rows.where(~open_).withColumn("_written", none).unionByName(worded)
+
+
+def apply_answers(answers: DataFrame, citations: DataFrame, default_date: str | None = None) -> DataFrame:
+    """Cells: verified if not found or if any of its quotes held; a value that was not found is blank.
+
+    With ``default_date`` dates in words are read too; it supplies the parts that they leave out.
+    """
     held = citations.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_citations"))
     cells = answers.join(held, CELL, "left").withColumn("n_citations", F.coalesce("n_citations", F.lit(0)))
     flat = t.collapse_ws(F.coalesce(F.col("value"), F.lit("")))
-    typed = t.typed_value(flat, F.col("output_type"), F.col("enum_options"))
+    cells = with_written_dates(cells, flat, default_date)
+    typed = t.typed_value(flat, F.col("output_type"), F.col("enum_options"), F.col("_written"))
     cells = cells.withColumns({"value_json": F.when(~F.col("not_found"), typed), "verified": F.col("not_found") | (F.col("n_citations") > 0)})
-    return cells.withColumn("value_text", F.when(F.col("not_found"), "").otherwise(t.value_text(flat, F.col("output_type"), F.col("value_json"))))
+    return cells.withColumn("value_text", F.when(F.col("not_found"), "").otherwise(t.value_text(flat, F.col("output_type"), F.col("value_json")))).drop("_written")
 
 
 def grid_table(cells: DataFrame, column_ids: list, row: str = "document_id") -> DataFrame:

@@ -32,6 +32,7 @@ PAGES = LINES + (
     ", chunks AS (SELECT document_id, page_number - 1 AS ordinal, text, char_offset AS char_start, char_offset + length(text) AS char_end FROM pages)"
 )
 STOPS = "[" + ", ".join(f"'{w}'" for w in t.STOP_WORDS) + "]"
+FUNCTION_WORDS = "[" + ", ".join(f"'{w}'" for w in t.FUNCTION_WORDS) + "]"
 QUESTIONS = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark ORDER BY item_id LIMIT 5)"
 STEM = "x"
 for _suffix in reversed(t.SUFFIXES):
@@ -243,7 +244,7 @@ def ingested(spark, d):
 
 # --- retrieval ----------------------------------------------------------------------------
 
-TERMS = QUESTIONS + f", terms AS (SELECT DISTINCT question_id, lower(w) AS term FROM (SELECT question_id, unnest(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9''-]+')) AS w FROM questions) WHERE length(w) > 2 AND NOT list_contains({STOPS}, lower(w)))"
+TERMS = QUESTIONS + f", terms AS (SELECT DISTINCT question_id, lower(w) AS term FROM (SELECT question_id, unnest(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9''-]+')) AS w FROM questions) WHERE length(w) > 2 AND NOT list_contains({FUNCTION_WORDS}, lower(w)))"
 HITS = f"WITH {PAGES}, {TERMS}, tok AS (SELECT document_id, ordinal, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]+'))) AS term FROM chunks), hits AS (SELECT question_id, document_id, ordinal, count(*) AS positions, count(DISTINCT term) AS terms FROM tok JOIN terms USING (term) GROUP BY 1, 2, 3)"
 LEXICAL = HITS + ", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, document_id ORDER BY positions DESC, terms DESC, document_id, ordinal) - 1 AS rank FROM hits) WHERE rank < 3)"
 

@@ -97,3 +97,22 @@ def test_answer_pieces():
         seen = [jobs.answer_so_far(whole[:i]) for i in range(0, len(whole) + size, size)]
         assert seen[-1] == 'line\none "two" — done'
         assert all(seen[-1].startswith(s) for s in seen)
+
+
+def test_written_dates_in_cells(spark):
+    from lexspan.operators import grid
+
+    answers = spark.createDataFrame([(7, 1, 1, "date", "1 March 2025", False), (7, 1, 2, "date", "2024-05-06", False), (7, 1, 3, "text", "1 March", False)], "review_id int, document_id int, column_id int, output_type string, value string, not_found boolean")
+    answers = answers.withColumn("enum_options", F.array().cast("array<string>"))
+    none = spark.createDataFrame([], "review_id int, document_id int, column_id int")
+    got = {r.column_id: str(r.value_json.date_value) for r in grid.apply_answers(answers, none, default_date="2000-01-01").collect()}
+    assert got == {1: "2025-03-01", 2: "2024-05-06", 3: "None"}
+    assert {r.column_id: str(r.value_json.date_value) for r in grid.apply_answers(answers, none).collect()}[1] == "None"
+
+
+def test_pages_without_words_are_scanned(spark):
+    from lexspan.operators import ingest
+
+    words = spark.createDataFrame([(1, 1, "x" * 200)], "document_id int, page_number int, token string")
+    pages = spark.createDataFrame([(1, 1), (1, 2)], "document_id int, page_number int")
+    assert {r.page_number: (r.is_ocr, r.document_is_ocr) for r in ingest.flag_scanned(words, pages).collect()} == {1: (False, True), 2: (True, True)}
