@@ -9,8 +9,9 @@ Only DataFrame functions are used.
 
 Defined results: null text counts as empty, and all empty texts are equal. A row with null
 ``doc_id`` never stays unless its whole group has none. Repeated rows (same id, same text)
-count in ``group_size``; one of them stays. An empty table gives an empty table. Extra
-columns are carried along untouched unless they bear a result's name, which replaces them.
+count in ``group_size``; one of them stays. Very long texts are compared whole. An empty
+table gives an empty table. ``exact_groups`` carries the extra columns it is asked for,
+unless they bear a result's name; ``drop_exact_copies`` keeps all columns of its input.
 """
 
 from __future__ import annotations
@@ -95,10 +96,9 @@ def exact_groups(
 
 
 def drop_exact_copies(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay, with their own columns."""
-    columns = [c for c in docs.columns if c not in RESULT]
-    groups = exact_groups(docs, carry=tuple(columns), **options)
-    return groups.where("kept").select(*columns)
+    """The documents that stay, with all their own columns, whatever their names."""
+    rows = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    return exact_groups(rows, carry=("_row",), **options).where("kept").select("_row.*")
 
 
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
