@@ -19,8 +19,11 @@ linked; the result is each document's component.
    counted at once and the same condition holds. A list whose estimate is above ``HOT`` is
    divided by the node's key into parts of about that length, whichever tasks they fall to;
    the smallest document of every part stands for it in one list more.
-4. *Verification.* The texts of candidates travel once to blocks of pairs and their sets are
-   compared there in full. Each block returns the links as a star.
+4. *Verification.* First the outlines of candidates travel to blocks of pairs: how many
+   members a set has in each of equal ranges of the hash. Two sets share at most the sum of
+   the lesser counts, which rules most pairs out for good. The texts of the rest follow, once
+   to a block, and their sets are compared there in full. Each block returns the links as a
+   star.
 5. *Contraction.* Long lists first pair each document with the next ``NEAR`` and with the
    smallest one. Links merge nodes into components. Then every long list that still holds
    more than one component gives all pairs between components that meet the condition, each
@@ -63,6 +66,8 @@ HOT = 4096
 BLOCK_PAIRS = 2000
 #: Bits of the fixed-size table that keeps the texts of most documents without a candidate out of a shuffle.
 FILTER_BITS = 23
+#: Members of a set for each range of its outline, at most; there are more than half as many.
+PER_RANGE = 4
 
 
 def shingle_sets(column: pa.Array, width: int = WIDTH) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -379,8 +384,8 @@ def _long_pairs(near: int):
     return run
 
 
-def _texts(width: int, shipped):
-    """(node, text) once a task for the nodes that the filter lets through."""
+def _chosen(width: int, shipped, give):
+    """What ``give`` makes of the nodes that the filter lets through, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits, name = shipped.value
@@ -392,11 +397,59 @@ def _texts(width: int, shipped):
                 slot = mix(node[new].view(np.uint64)) >> np.uint64(64 - FILTER_BITS)
                 new = new[bits[slot >> np.uint64(6)] >> (slot & np.uint64(63)) & np.uint64(1) > 0]
                 if len(new):
-                    yield pa.RecordBatch.from_arrays([pa.array(node[new]), batch.column("text").take(pa.array(new + low)).cast(pa.string())], ["node", "text"])
+                    columns = give(batch.column("text"), new + low, value[_members(sizes, new)], sizes[new])
+                    yield pa.RecordBatch.from_pydict({"node": pa.array(node[new])} | columns)
 
     return run
 
 
+def _give_text(text: pa.Array, rows: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> dict[str, pa.Array]:
+    return {"text": text.take(pa.array(rows)).cast(pa.string())}
+
+
+def _give_outline(text: pa.Array, rows: np.ndarray, value: np.ndarray, sizes: np.ndarray) -> dict[str, pa.Array]:
+    return {"n": pa.array(sizes, pa.int64()), "outline": outlines(value, sizes)}
+
+
+def outlines(value: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    """Of each set its counts in 2**k equal ranges of the hash, one byte each; 255 stands for that or more."""
+    bits = np.maximum(np.ceil(np.log2(np.maximum(sizes, 1) / PER_RANGE)), 1).astype(np.int64)
+    edges = np.concatenate([[0], np.cumsum(1 << bits)])
+    place = (value >> np.repeat(64 - bits, sizes).astype(np.uint64)).astype(np.int64) + np.repeat(edges[:-1], sizes)
+    counts = np.minimum(np.bincount(place, minlength=int(edges[-1])), 255).astype(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int32)), pa.py_buffer(counts)])
+
+
+def may_link(x: np.ndarray, y: np.ndarray, sizes: int) -> bool:
+    """Whether sets with these outlines, of so many members together, may be similar."""
+    if len(x) > len(y):
+        x, y = y, x
+    if len(y) > len(x):
+        y = y.reshape(len(x), -1).sum(axis=1)
+    return (100 + PERCENT) * int(np.minimum(x, y).sum()) >= PERCENT * sizes
+
+
+def _possible(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that outlines do not rule out. Rows come by block, a block's outlines before its pairs."""
+    current, held = None, {}
+    for batch in batches:
+        block, a, b, n, outline = (batch.column(c).to_pylist() for c in ("block", "a", "b", "n", "outline"))
+        kept = []
+        for i in range(batch.num_rows):
+            if block[i] != current:
+                current, held = block[i], {}
+            if b[i] is None:
+                counts = np.frombuffer(outline[i], np.uint8).astype(np.int64)
+                held[a[i]] = np.where(counts == 255, n[i], counts), n[i]
+                continue
+            (x, size_x), (y, size_y) = held[a[i]], held[b[i]]
+            if may_link(x, y, size_x + size_y):
+                kept.append(i)
+        if kept:
+            at = pa.array(kept)
+            yield pa.RecordBatch.from_arrays([batch.column(c).take(at) for c in ("block", "a", "b")], ["block", "a", "b"])
+
+
 def _verify(width: int):
     """Links of each block as a star around one of its nodes. Rows come by block, a block's texts before its pairs."""
 
@@ -442,17 +495,30 @@ def _verify(width: int):
     return run
 
 
-def _texts_of(text: DataFrame, nodes: DataFrame, width: int, name: Names) -> DataFrame:
-    """Texts of ``nodes`` and of a few others that share their place in the fixed-size filter."""
+def _of_nodes(text: DataFrame, nodes: DataFrame, width: int, name: Names, give, schema: str) -> DataFrame:
+    """Texts or outlines of ``nodes`` and of a few others that share their place in the fixed-size filter."""
     slots = nodes.mapInArrow(_slots, "word int, bit long")
     words = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()  # 2**(FILTER_BITS - 6) rows at most
     table = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     table[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64).view(np.uint64)
     shipped = text.sparkSession.sparkContext.broadcast((table, name))  # 1 MB, whatever the input
-    return staged(map_batches(text, _texts(width, shipped), "node long, text string"))
+    return staged(map_batches(text, _chosen(width, shipped, give), f"node long, {schema}"))
+
+
+def _nodes(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("node"))
 
 
-def _links(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
+def _in_blocks(blocks: DataFrame, held: DataFrame) -> DataFrame:
+    """Each block's pairs behind what ``held`` has of their nodes, once each."""
+    wanted = blocks.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
+    columns = [c for c in held.columns if c != "node"]
+    first = wanted.join(held.hint("merge"), "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), *columns)
+    pairs = blocks.select("block", F.lit(1).alias("kind"), "a", "b")
+    return first.unionByName(pairs, allowMissingColumns=True).repartition("block").sortWithinPartitions("block", "kind")
+
+
+def _links(text: DataFrame, outline: DataFrame, pairs: DataFrame, width: int, name: Names) -> DataFrame:
     """Links that join whatever the similar ones of ``pairs`` join.
 
     Pairs go to blocks by the smallest neighbour of one of them, so most groups of mutual
@@ -466,10 +532,9 @@ def _links(texts: DataFrame, pairs: DataFrame, width: int) -> DataFrame:
     # Nodes that are neighbours in a list have close keys, so ranges of keys part a large group with few crossings.
     salt = F.when(F.col("parts").isNotNull(), F.floor((F.col("a") / 2.0**64 + 0.5) * F.col("parts"))).otherwise(F.lit(0))
     blocks = staged(led.join(parts, "leader", "left").select(F.xxhash64("leader", salt).alias("block"), "a", "b"))
-    wanted = blocks.select("block", F.explode(F.array("a", "b")).alias("node")).distinct()
-    shipped = wanted.join(texts.hint("merge"), "node").select("block", F.lit(0).alias("kind"), F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "text")
-    rows = shipped.union(blocks.select("block", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("string").alias("text")))
-    return staged(map_batches(rows.repartition("block").sortWithinPartitions("block", "kind"), _verify(width), "a long, b long"))
+    possible = staged(map_batches(_in_blocks(blocks, outline), _possible, "block long, a long, b long"))
+    texts = _of_nodes(text, _nodes(possible), width, name, _give_text, "text string")
+    return staged(map_batches(_in_blocks(possible, texts), _verify(width), "a long, b long"))
 
 
 def _slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -529,13 +594,13 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH, hot: int | None = N
     together = together.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked")).where("shared >= asked").select("a", "b")
     near = map_batches(_by_list(long.join(prefix, "node")), _long_pairs(NEAR), "a long, b long")
     pairs = staged(together.union(near).distinct())
-    texts = _texts_of(text, pairs.select(F.explode(F.array("a", "b")).alias("node")).union(long.select("node")), width, name)
-    links = _links(texts, pairs, width)
+    outline = _of_nodes(text, _nodes(pairs).union(long.select("node")), width, name, _give_outline, "n long, outline binary")
+    links = _links(text, outline, pairs, width, name)
     roots = components(links)
     rest = _by_list(_grouped(long.where("part >= 0"), roots).join(prefix, "node"))
     more = staged(map_batches(rest, _long_pairs(0), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     if not more.isEmpty():
-        roots = components(links.union(_links(texts, more, width)))
+        roots = components(links.union(_links(text, outline, more, width, name)))
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_smallest"))

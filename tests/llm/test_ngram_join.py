@@ -87,3 +87,22 @@ def test_repeated_rows_and_empty_table(spark):
     assert ngram_components(empty).count() == 0
     kept = one_of_each_group(spark.createDataFrame([(1, "a b c"), (2, "a b c"), (3, None), (4, None)], "doc_id long, text string"))
     assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+
+
+def test_outlines_never_rule_out_a_link():
+    rng = np.random.default_rng(5)
+    for size in (1, 2, 5, 9, 40, 700, 3000):
+        pool = np.unique(rng.integers(0, 2**63, 3 * size + 9, dtype=np.uint64) * np.uint64(2))
+        rng.shuffle(pool)
+        if size == 700:
+            pool[:400] >>= np.uint64(30)  # more than 255 in one range
+        for kept in (0.5, 0.74, 0.8, 0.86, 1.0):
+            x, y = np.sort(pool[:size]), np.sort(np.concatenate([pool[: int(kept * size)], pool[size : size + int((1 - kept) * size) + 1]]))
+            sizes = np.array([len(x), len(y)])
+            counts = [np.frombuffer(o, np.uint8).astype(np.int64) for o in ngram_join.outlines(np.concatenate([x, y]), sizes).to_pylist()]
+            counts = [np.where(c == 255, n, c) for c, n in zip(counts, sizes, strict=True)]
+            shared = len(np.intersect1d(x, y))
+            if 100 * shared >= 75 * (len(x) + len(y) - shared):
+                assert ngram_join.may_link(*counts, len(x) + len(y))
+            elif kept == 0.5 and size == 3000:
+                assert not ngram_join.may_link(*counts, len(x) + len(y))
