@@ -115,7 +115,7 @@ def values(spark, d):
     return rows.select("event_id", "x.bool_value", "x.amount", "x.currency", F.col("x.date_value").cast("string").alias("date_value"), "x.text_value", t.value_text(F.col("v"), F.col("k"), F.col("x")).alias("value_text"))
 
 
-@register("t8d_written_dates")
+@register("t8d_written_dates", "SELECT event_id, strftime(ts::DATE, '%Y-%m-%d') AS day, strftime(ts::DATE, '%Y-%m-%d') AS \"right\" FROM events")
 def written_dates(spark, d):
     e = a.table(spark, d, "events")
     return e.select("event_id", helpers.parse_written_date()(F.date_format("ts", "'signed on' d MMMM yyyy")).cast("string").alias("day"), F.to_date("ts").cast("string").alias("right"))
@@ -256,11 +256,10 @@ def lexical(spark, d):
 
 def _vectors(spark, d):
     e = a.table(spark, d, "embeddings").select(F.col("label").alias("document_id"), F.col("vec_id").cast("int").alias("ordinal"), "embedding")
-    first = e.groupBy("document_id").agg(F.min("ordinal").alias("ordinal"))
-    return e, e.join(first, ["document_id", "ordinal"]).select(F.col("ordinal").alias("question_id"), "document_id", "embedding")
+    return e, e.where("ordinal % 50 = 0").select(F.col("ordinal").alias("question_id"), "document_id", "embedding")
 
 
-VECTORS = "WITH q AS (SELECT vec_id AS question_id, label, embedding FROM embeddings WHERE vec_id IN (SELECT min(vec_id) FROM embeddings GROUP BY label)), p AS (SELECT q.question_id, e.label AS document_id, e.vec_id AS ordinal, 1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS distance FROM embeddings e JOIN q ON e.label = q.label)"
+VECTORS = "WITH q AS (SELECT vec_id AS question_id, label, embedding FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT q.question_id, e.label AS document_id, e.vec_id AS ordinal, round(1 - list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 12) AS distance FROM embeddings e JOIN q ON e.label = q.label)"
 
 
 @register("r2_vector_topk", VECTORS + " SELECT question_id::INT AS question_id, document_id, ordinal::INT AS ordinal, round(distance, 6) AS distance, (row_number() OVER (PARTITION BY question_id ORDER BY distance, document_id, ordinal) - 1)::INT AS rank FROM p QUALIFY rank < 5")

@@ -124,10 +124,10 @@ def counts(spark, d):
     return grid.grid_counts(kept, "workspace_id")
 
 
-@register("g12_detail", "SELECT o_orderkey AS document_id, count(l_linenumber) AS n_citations, coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber), '') AS listed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey AND l_linenumber <= 3 GROUP BY 1")
+@register("g12_detail", "SELECT o_orderkey AS document_id, count(l_linenumber) AS n_citations, coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber), '') AS listed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def detail(spark, d):
     orders = a.table(spark, d, "orders").select(_review(), F.col("o_orderkey").alias("document_id"), F.lit(0).alias("column_id"))
-    quotes = a.table(spark, d, "lineitem").where("l_linenumber <= 3").select(_review(), F.col("l_orderkey").alias("document_id"), F.lit(0).alias("column_id"), F.col("l_linenumber").alias("quote_pos"), F.col("l_returnflag").alias("quoted_text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
+    quotes = a.table(spark, d, "lineitem").select(_review(), F.col("l_orderkey").alias("document_id"), F.lit(0).alias("column_id"), F.col("l_linenumber").alias("quote_pos"), F.col("l_returnflag").alias("quoted_text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
     rows = grid.review_detail(orders, quotes)
     listed = F.coalesce(F.array_join(F.transform("citations", lambda c: c["quote_pos"].cast("string")), ","), F.lit(""))
     return rows.select("document_id", F.greatest(F.size("citations"), F.lit(0)).cast("long").alias("n_citations"), listed.alias("listed"))
