@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from lexspan.llm.exact_dedup import OP5_SQL, op5_exact_dedup
+from lexspan.llm.merkle import OP13_SQL, op13_merkle_manifest
 from lexspan.llm.ngram_join import op9_ngram_join
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.pii import op8_pii
@@ -24,9 +25,11 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op7_warc": OP7_SQL,
+    "op13_merkle_manifest": OP13_SQL,
 }
