@@ -7,6 +7,7 @@ from lexspan.llm.merkle import OP13_SQL, op13_merkle_manifest
 from lexspan.llm.ngram_join import op9_ngram_join
 from lexspan.llm.packing import op10_packing
 from lexspan.llm.pii import op8_pii
+from lexspan.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from lexspan.llm.quality_grades import op6_quality_grades
 from lexspan.llm.quality_rules import op1_quality_rules
 from lexspan.llm.repeats import op2_repeats
@@ -25,11 +26,13 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
+    "op11_prefix_trie": op11_prefix_trie,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
 ORACLE_SQL = {
     "op5_exact_dedup": OP5_SQL,
     "op7_warc": OP7_SQL,
+    "op11_prefix_trie": OP11_SQL,
     "op13_merkle_manifest": OP13_SQL,
 }
