@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lexspan.llm.best_fit import op12_best_fit
 from lexspan.llm.exact_dedup import OP5_SQL, op5_exact_dedup
 from lexspan.llm.merkle import OP13_SQL, op13_merkle_manifest
 from lexspan.llm.ngram_join import op9_ngram_join
@@ -27,6 +28,7 @@ QUERIES = {
     "op9_ngram_join": op9_ngram_join,
     "op10_packing": op10_packing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_best_fit": op12_best_fit,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
