@@ -165,7 +165,7 @@ def _down(stages: list[DataFrame], payload: tuple[str, ...], above: DataFrame) -
 
 def manifest(docs: DataFrame, *, columns: tuple[str, ...], tree: str, order: str, tampered: dict[str, Column] | None = None) -> DataFrame:
     """One row a document: id, leaf, subroot, root, path (per level the digests left and right of it) and altered leaf."""
-    nodes = ranked(leaves(docs, columns, tree, order, tampered or {}), "id", "digest")
+    nodes = ranked(staged(leaves(docs, columns, tree, order, tampered or {})), "id", "digest")
     stages = _stages(staged(nodes))
     trees = staged(ranked(stages[-1].select(F.lit("").alias("tree"), F.col("tree").alias("name"), "digest"), "name"))
     upper = _stages(trees)

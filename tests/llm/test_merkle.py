@@ -78,7 +78,7 @@ def _key(row):
     return tuple(str(x) for x in row)
 
 
-@pytest.mark.parametrize("digits", [4, 1, 2])
+@pytest.mark.parametrize("digits", [4, 1])
 def test_trees_of_many_shapes(spark, tmp_path, monkeypatch, digits):
     monkeypatch.setattr(merkle, "DIGITS", digits)
     monkeypatch.setattr(merkle, "BLOCK", 8**digits)
