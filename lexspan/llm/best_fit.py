@@ -38,12 +38,17 @@ ODD_SPACE = b"\xc2\x85|\xc2\xa0|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PLACED = PIECE + ", key long, sequence_id long, offset long, part long, bins long, bound long, free long"
 
+_LETTER, _TAIL = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[65:91] = _LETTER[97:123] = True
+_TAIL[np.frombuffer(b".,;:!?", np.uint8)] = True
+
 
 def split_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, text) of stretches that the tokenizer treats apart, in order and without gaps.
 
     Its pattern lets a word take one space before it. Other white space before a word is
     split into all but its last character and the last; at the end of a text it stays whole.
+    A single mark behind a final ASCII letter stands alone.
     """
     starts, ends, owner = word_spans(raw, offsets)
     texts = len(offsets) - 1
@@ -58,9 +63,10 @@ def split_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     last = np.where((gap > 0) & ~takes, starts - 1, word)  # before the single last character of other white space
     tail = offsets[:-1].copy()
     tail[owner] = ends  # of repeated places the last one counts
-    begin = np.stack([before, last, word], 1).ravel()
-    end = np.stack([last, word, ends], 1).ravel()
-    text = np.repeat(owner, 3)
+    mark = ends - ((ends - starts > 1) & _TAIL[raw[ends - 1]] & _LETTER[raw[np.maximum(ends - 2, 0)]]) if len(ends) else ends
+    begin = np.stack([before, last, word, mark], 1).ravel()
+    end = np.stack([last, word, mark, ends], 1).ravel()
+    text = np.repeat(owner, 4)
     place = np.concatenate([np.arange(len(begin)), np.searchsorted(text, np.arange(texts), "right") - 0.5])
     begin, end, text = np.concatenate([begin, tail]), np.concatenate([end, offsets[1:]]), np.concatenate([text, np.arange(texts)])
     order = np.argsort(place, kind="stable")
@@ -71,7 +77,7 @@ def split_units(raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 class ByteEncoder:
     """Token ids of texts, each distinct unit encoded once; units are equal when their bytes are."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 1_000_000):
         import json
         import re
 
@@ -85,6 +91,7 @@ class ByteEncoder:
             raise ValueError(f"{path} is no byte-level vocabulary without normaliser and prefix space")
         self.odd = re.compile(b"|".join([ODD_SPACE, *[re.escape(t["content"].encode()) for t in parts["added_tokens"]]]))
         self.limit = limit
+        (self.line,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.clear()
 
     def clear(self) -> None:
@@ -92,9 +99,27 @@ class ByteEncoder:
         self.ids, self.bytes = np.empty(0, np.uint32), np.empty(0, np.uint8)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-        count = np.array([len(x) for x in found], np.int64)
-        return np.fromiter((i for x in found for i in x), np.uint32, int(count.sum())), count
+        found = [np.array(x.ids, np.uint32) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(found), np.array([len(x) for x in found], np.int64)
+
+    def _encoded_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """As ``_encoded``; many units go into one text, a line end behind each, which is one id of its own there."""
+        solid = np.array([not u.isspace() for u in units])
+        kept = [u for u, s in zip(units, solid.tolist(), strict=True) if s]
+        flat, _ = self._encoded(["\n".join([*kept[i : i + 256], ""]) for i in range(0, len(kept), 256)] or [""])
+        ends = np.flatnonzero(flat == self.line)
+        count = np.zeros(len(units), np.int64)
+        count[solid] = np.diff(ends, prepend=-1) - 1
+        ids, blank = np.delete(flat, ends), np.flatnonzero(~solid)
+        if len(blank):
+            more, count[blank] = self._encoded([units[i] for i in blank.tolist()])
+            heads = np.cumsum(count) - count
+            at = np.zeros(int(count.sum()), bool)
+            at[np.arange(len(more)) + np.repeat(heads[blank] - np.cumsum(count[blank]) + count[blank], count[blank])] = True
+            out = np.empty(len(at), np.uint32)
+            out[at], out[~at] = more, ids
+            ids = out
+        return ids, count
 
     def _units(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids of new and known units, where each unit's ids begin, how many there are)."""
@@ -109,7 +134,7 @@ class ByteEncoder:
         new = np.flatnonzero(~known)
         if len(new):
             data = raw.tobytes()
-            ids, many = self._encoded([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
+            ids, many = self._encoded_units([data[a:b].decode() for a, b in zip(starts[new].tolist(), ends[new].tolist(), strict=True)])
             first[new], count[new] = np.cumsum(many) - many + len(self.ids), many
             self.ids = np.concatenate([self.ids, ids])
             # Of units with one hash the first is kept, the others are encoded whenever they come.
