@@ -3,10 +3,10 @@
 Every source is a queue of tokens. Each window (sequence) takes from every queue the
 queue's quantum, ``window * share`` tokens; the fraction that integer tokens cannot
 deliver stays in the queue's deficit counter and is delivered by a later window. Because
-the quanta are constant, the counter after ``w`` rounds has a closed form: a queue has
-delivered ``floor(w * window * share)`` tokens. So any partition can take up the round
-robin at any window with the exact deficits, without knowing what other partitions do.
-The largest queue absorbs what rounding leaves, so that every window but the last is full.
+the quanta are constant, the counters after any number of rounds follow from the times at
+which tokens are due, see ``RoundRobin``. So any partition can take up the round robin at
+any window with the exact deficits, without knowing what other partitions do, and every
+window but the last is full.
 
 The queue position of a document follows from three sums: tokens before it in its
 partition, tokens of its queue in earlier partitions, and nothing else; documents are
@@ -54,6 +54,8 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        if self.tokenizer.normalizer is None or self.tokenizer.normalizer.normalize_str("Ab") != "ab":
+            raise ValueError(f"{path} does not fold case; its words can't be encoded by their lower-case form")
         self.limit = limit
         self.kind = np.uint16 if self.tokenizer.get_vocab_size() <= 1 << 16 else np.uint32
         self.gap = "\x01"
@@ -194,95 +196,130 @@ def _tokenise(path: str, end_id: int, queues: dict[str | None, int]):
 
 
 class RoundRobin:
-    """Tokens that each queue has delivered before a window, and places inside windows."""
+    """Tokens that each queue has delivered before a window.
+
+    Token ``j`` of a queue of ``n`` is due at time ``(j + 0.5) / n``; tokens are delivered in
+    the order of their times, those of one time in the order of the queues. A queue's count
+    is so a rank that never falls and never exceeds its total, and at any time it is within
+    half a token of its share, however many queues there are.
+    """
 
     def __init__(self, totals: list[int], window: int):
-        self.totals, self.window = totals, window
-        self.total = sum(totals)
+        self.totals, self.window = np.array(totals, np.int64), window
+        self.total = int(self.totals.sum())
         self.windows = -(-self.total // window)
-        self.slack = max(range(len(totals)), key=totals.__getitem__) if totals else 0
-        self.late = None
-        if self.windows > 1:  # before a short last window rounding may ask too much of the slack queue
-            state = [int(self._plain(q, np.array([self.windows - 1], object))[0]) for q in range(len(totals))]
-            state[self.slack] = (self.windows - 1) * window - (sum(state) - state[self.slack])
-            excess = state[self.slack] - totals[self.slack]
-            for q in range(len(totals)) if excess > 0 else ():
-                if q != self.slack:
-                    more = min(excess, totals[q] - state[q])
-                    state[q], excess = state[q] + more, excess - more
-                    state[self.slack] -= more
-            self.late = state
-
-    def _plain(self, queue: int, w: np.ndarray) -> np.ndarray:
-        whole, rest = divmod(self.window * self.totals[queue], self.total)
-        return np.minimum(w * whole + (w * rest) // self.total, self.totals[queue])
+        self.margin = 2 + len(totals) // window
+
+    def _due(self, times: np.ndarray) -> np.ndarray:
+        """[queue, time]: tokens due before each time."""
+        due = np.ceil(self.totals[:, None] * times[None, :] - 0.5).astype(np.int64)
+        return np.clip(due, 0, self.totals[:, None])
 
     def delivered(self, w: np.ndarray) -> np.ndarray:
         """[queue, window]: tokens delivered before each window of ``w``."""
-        kind = np.int64 if self.total < 10**11 else object  # products beyond 64 bits need Python's integers
-        w = np.minimum(w, self.windows).astype(kind)
-        out = np.stack([self._plain(q, w) for q in range(len(self.totals))])
-        out[self.slack] = np.minimum(w * self.window, self.total) - (out.sum(axis=0) - out[self.slack])
-        if self.late is not None:
-            out[:, w == self.windows - 1] = np.array(self.late, kind)[:, None]
-        return out.astype(np.int64)
-
-    def window_of(self, queue: int, position: int) -> int:
-        """A window at or before the one that takes the token at ``position``."""
-        return max(0, position * self.total // (self.window * max(self.totals[queue], 1)) - 2 * len(self.totals) * (queue == self.slack) - 2)
-
-
-def _runs(queue: np.ndarray, begin: np.ndarray, tokens: np.ndarray, window: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(queue, rows in its order) of rows that lie close together, so that few windows lie between."""
-    order = np.lexsort((begin, queue))
-    gap = begin[order][1:] - (begin + tokens)[order][:-1]
-    cut = np.flatnonzero((queue[order][1:] != queue[order][:-1]) | (gap > 4 * window)) + 1
-    for rows in np.split(order, cut) if len(order) else ():
-        yield int(queue[rows[0]]), rows
+        target = np.minimum(np.asarray(w, np.int64) * self.window, self.total)
+        slack = len(self.totals) + 1
+        low, high = np.clip((target - slack) / max(self.total, 1), 0, 1), np.clip((target + slack) / max(self.total, 1), 0, 1)
+        for _ in range(64):
+            middle = (low + high) / 2
+            open_ = np.flatnonzero((middle > low) & (middle < high))
+            if not len(open_):
+                break
+            found = self._due(middle[open_]).sum(axis=0)
+            low[open_] = np.where(found <= target[open_], middle[open_], low[open_])
+            high[open_] = np.where(found >= target[open_], middle[open_], high[open_])
+        out = self._due(low)
+        # What is due at one and the same time is delivered in the order of the queues.
+        short = np.flatnonzero(out.sum(axis=0) < target)
+        if len(short):
+            more = self._due(high[short]) - out[:, short]
+            out[:, short] += np.clip(target[short] - out[:, short].sum(axis=0) - (np.cumsum(more, axis=0) - more), 0, more)
+        return out
+
+    def near(self, queue: np.ndarray, position: np.ndarray) -> np.ndarray:
+        """A window at most ``margin`` away from the one that takes the token at ``position`` of its queue."""
+        out = np.empty(len(queue), np.int64)
+        for rows in _blocks(len(queue), len(self.totals)):
+            out[rows] = self._due((position[rows] + 0.5) / self.totals[queue[rows]]).sum(axis=0) // self.window
+        return out
+
+
+#: Entries of the tables (queues x windows) that a task holds at once, about: 32 MB each.
+TABLE = 1 << 22
+
+
+def _blocks(size: int, width: int) -> Iterator[slice]:
+    step = max(1, TABLE // max(width, 1))
+    return (slice(a, min(a + step, size)) for a in range(0, size, step))
+
+
+def _touched(first: np.ndarray, last: np.ndarray, queues: int) -> Iterator[tuple[int, int]]:
+    """Ranges of windows, of bounded size, that together hold all ranges ``first`` to ``last``."""
+    order = np.argsort(first)
+    reach = np.maximum.accumulate(last[order])
+    heads = np.flatnonzero(np.concatenate([[True], first[order][1:] > reach[:-1]]))
+    for a, b in zip(first[order][heads].tolist(), reach[np.append(heads[1:], len(order)) - 1].tolist(), strict=True):
+        for block in _blocks(b - a, queues):
+            yield a + block.start, a + block.stop
 
 
 def _cut(totals: list[int], window: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         plan = RoundRobin(totals, window)
         for batch in batches:
+            if not batch.num_rows:
+                continue
             docs, queue, tokens, begin = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "queue", "tokens", "begin"))
             blobs = batch.column("ids")
-            for q, rows in _runs(queue, begin, tokens, window):
-                low, high = begin[rows], begin[rows] + tokens[rows]
-                lo, hi = plan.window_of(q, int(low[0])), plan.window_of(q, int(high[-1])) + 4 * len(totals) + 6
-                w = np.arange(lo, min(hi, plan.windows) + 1)
-                done = plan.delivered(w)
-                cuts = done[q]
-                points = np.unique(np.concatenate([low, high, cuts[(cuts > low[0]) & (cuts < high[-1])]]))
-                at = points[:-1]
-                which = np.searchsorted(low, at, "right") - 1
-                inside = at < high[which]  # between rows that are not neighbours in the queue
-                at, end, which = at[inside], points[1:][inside], which[inside]
-                turn = np.searchsorted(cuts, at, "right") - 1
-                ahead = (done[:q, 1:] - done[:q, :-1]).sum(axis=0) if q else np.zeros(len(w) - 1, np.int64)
-                start, length = at - low[which], end - at
-                pieces = []
-                for r, a, n in zip(rows[which].tolist(), start.tolist(), length.tolist(), strict=True):
-                    data = blobs[r].as_buffer()
-                    kind = np.dtype(np.uint16 if data.size == 2 * tokens[r] else np.uint32)
-                    pieces.append(np.frombuffer(data, kind, n, a * kind.itemsize).astype("<u4").tobytes())
-                columns = {
-                    "doc_id": pa.array(docs[rows[which]]),
-                    "start": pa.array(start),
-                    "length": pa.array(length),
-                    "ids_crc32": pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
-                    "doc_tokens": pa.array(tokens[rows[which]]),
-                    "sequence_id": pa.array(w[turn]),
-                    "offset": pa.array(ahead[turn] + at - cuts[turn]),
-                    "queue": pa.array(np.full(len(at), q, np.int32)),
-                }
-                if with_ids:
-                    columns["ids"] = pa.array(pieces, pa.binary())
-                yield pa.RecordBatch.from_pydict(columns)
+            first = np.maximum(plan.near(queue, begin) - plan.margin, 0)
+            last = np.minimum(plan.near(queue, begin + tokens - 1) + plan.margin + 1, plan.windows)
+            by_queue = np.lexsort((begin, queue))
+            for w0, w1 in _touched(first, last, len(totals)):
+                done = plan.delivered(np.arange(w0, w1 + 1))
+                before = np.cumsum(np.diff(done, axis=1), axis=0)  # tokens of a queue and those before it, by window
+                rows = by_queue[(first[by_queue] < w1) & (last[by_queue] > w0)]
+                for q, own in zip(*_groups(queue[rows], rows), strict=True):
+                    cuts = done[q]
+                    low, high = np.maximum(begin[own], cuts[0]), np.minimum(begin[own] + tokens[own], cuts[-1])
+                    own, low, high = own[low < high], low[low < high], high[low < high]
+                    if not len(own):
+                        continue
+                    points = np.unique(np.concatenate([low, high, cuts[(cuts > low[0]) & (cuts < high[-1])]]))
+                    at = points[:-1]
+                    which = np.searchsorted(low, at, "right") - 1
+                    inside = at < high[which]  # not between rows that are no neighbours in the queue
+                    at, end, which = at[inside], points[1:][inside], which[inside]
+                    turn = np.searchsorted(cuts, at, "right") - 1
+                    ahead = before[q - 1] if q else np.zeros(w1 - w0, np.int64)
+                    row = own[which]
+                    start, length = at - begin[row], end - at
+                    pieces = []
+                    for r, a, n in zip(row.tolist(), start.tolist(), length.tolist(), strict=True):
+                        data = blobs[r].as_buffer()
+                        kind = np.dtype(np.uint16 if data.size == 2 * tokens[r] else np.uint32)
+                        pieces.append(np.frombuffer(data, kind, n, a * kind.itemsize).astype("<u4").tobytes())
+                    columns = {
+                        "doc_id": pa.array(docs[row]),
+                        "start": pa.array(start),
+                        "length": pa.array(length),
+                        "ids_crc32": pa.array([zlib.crc32(x) for x in pieces], pa.int64()),
+                        "doc_tokens": pa.array(tokens[row]),
+                        "sequence_id": pa.array(w0 + turn),
+                        "offset": pa.array(ahead[turn] + at - cuts[turn]),
+                        "queue": pa.array(np.full(len(at), q, np.int32)),
+                    }
+                    if with_ids:
+                        columns["ids"] = pa.array(pieces, pa.binary())
+                    yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+def _groups(queue: np.ndarray, rows: np.ndarray) -> tuple[list[int], list[np.ndarray]]:
+    heads = np.flatnonzero(np.concatenate([[True], queue[1:] != queue[:-1]])) if len(rows) else np.empty(0, np.int64)
+    return queue[heads].tolist(), np.split(rows, heads[1:]) if len(rows) else []
+
+
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, queue int"
 
 

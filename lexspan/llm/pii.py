@@ -255,10 +255,14 @@ def written(spans: Column) -> Column:
 
 
 def masked(docs: DataFrame) -> DataFrame:
-    """``docs`` with every found span replaced by its kind in brackets; n_chars follows the new text."""
+    """``docs`` with every found span replaced by its kind in brackets; n_chars follows the new text.
+
+    All other columns stay as they are, whatever their names.
+    """
     found = find_pii(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"), "spans").dropDuplicates(["_id", "_mark"])
     text = F.coalesce("text", F.lit(""))
-    joined = docs.join(staged(found), docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    joined = whole.join(staged(found), whole["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):
@@ -271,9 +275,9 @@ def masked(docs: DataFrame) -> DataFrame:
         return F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
 
     new = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step, close)).otherwise(F.col("text"))
-    size = F.when(F.col("spans").isNotNull(), F.char_length("_new")).otherwise(F.col("n_chars")).cast("long") if "n_chars" in docs.columns else None
-    columns = [F.col("_new").alias(c) if c == "text" else size.alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return joined.withColumn("_new", new).select(*columns)
+    size = F.when(F.col("spans").isNotNull(), F.char_length("_new")).otherwise(F.col("_row.n_chars")).cast("long") if "n_chars" in docs.columns else None
+    fields = {"text": F.col("_new"), "n_chars": size}
+    return joined.withColumn("_new", new).select(*[fields.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def _count(kind: str) -> Column:

@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import pytest
 
-from lexspan.llm.packing import RoundRobin, pack
+from lexspan.llm.packing import RoundRobin, WordEncoder, pack
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -53,9 +53,29 @@ def test_empty_and_single(spark):
     _check(spark, [(1, None, None, None)])
 
 
-def test_deficits_are_carried():
-    for totals in ([5, 1, 1], [1000, 3, 77, 500], [64 * 9, 64], [10**6] + [7] * 31):
-        plan = RoundRobin(totals, 64)
-        at = plan.delivered(np.arange(plan.windows + 1))
-        assert (np.diff(at, axis=1) >= 0).all() and (at[:, -1] == totals).all()
-        assert (np.diff(at.sum(axis=0))[:-1] == 64).all()
+@pytest.mark.parametrize("kind", ["equal", "lognormal", "ones", "giant"])
+@pytest.mark.parametrize("queues", [1, 2, 33, 150, 5000])
+def test_deficits_are_carried(kind, queues):
+    rng = np.random.default_rng(queues)
+    totals = {"equal": [251] * queues, "lognormal": (1 + rng.lognormal(3, 2, queues)).astype(int).tolist(), "ones": [1] * queues, "giant": [10**6, *[7] * (queues - 1)]}[kind]
+    plan = RoundRobin(totals, 64)
+    w = np.unique(np.linspace(0, plan.windows, 400).astype(int)) if plan.windows > 400 else np.arange(plan.windows + 1)
+    for part in (w, np.arange(min(plan.windows, 50) + 1)):
+        at = plan.delivered(part)
+        assert (np.diff(at, axis=1) >= 0).all() and (at >= 0).all() and (at <= plan.totals[:, None]).all()
+        assert (at.sum(axis=0) == np.minimum(part * 64, plan.total)).all()
+        share = plan.totals[:, None] * (at.sum(axis=0) / plan.total)[None, :]
+        assert np.abs(at - share).max() <= 1 + queues / plan.total * plan.totals.max()
+    assert (plan.delivered(np.array([plan.windows]))[:, 0] == totals).all()
+
+
+def test_many_equal_sources(spark):
+    rows = [(i, f"s{i % 150}", f"word {i} " * 10, "x") for i in range(900)] + [(900, "s3", "word 3 " * 10, ""), (900, "s3", "word 3 " * 10, "")][:1]
+    by_seq = _check(spark, rows, window=256)
+    sources = {i: r[1] for i, r in enumerate(rows)}
+    assert min(len({sources[p.doc_id] for p in ps}) for s, ps in by_seq.items() if s < max(by_seq)) == 150
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="fold case"):
+        WordEncoder(public_tokenizers.path("byte_bpe_50k.json"))

@@ -103,3 +103,11 @@ def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(docs).count() == 0 and masked(docs).count() == 0
     assert hashlib.sha256(b"").hexdigest()
+
+
+def test_masked_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail bob@example.org now", 9, "a", "b", "c", "d", "e"), (2, None, None, "a", "b", "c", "d", "e"), (None, "plain", 5, "a", "b", "c", "d", "e")], "doc_id long, text string, n_chars long, spans string, _id string, _mark string, _new string, `x.y` string")
+    out = masked(docs)
+    assert out.columns == docs.columns
+    got = sorted(map(tuple, out.collect()), key=str)
+    assert got == sorted([(1, "mail [EMAIL] now", 16, "a", "b", "c", "d", "e"), (2, None, None, "a", "b", "c", "d", "e"), (None, "plain", 5, "a", "b", "c", "d", "e")], key=str)
