@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as t
-from lexspan.operators.grid import scored_sentences
+from lexspan.operators.grid import sentence_overlap, with_sentence
 
 
 def thread_documents(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -21,15 +21,25 @@ def history(messages: DataFrame, n: int = 8) -> DataFrame:
     return messages.withColumn("_back", back).where(F.col("_back") <= n).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("position", "role", "content"))).alias("messages"))
 
 
+#: Fixed value: what is said where nothing answers.
+NO_ANSWER = "The selected documents do not appear to address this question."
+
+
+def chat_sentences(passages: DataFrame, questions: DataFrame, *on: str, most: int = 2) -> DataFrame:
+    """Per question its best sentences over all passages of its scope, with the mark of each."""
+    asked = questions.select(*on, "question_id", t.keywords(F.col("question")).alias("_keys"))
+    order = Window.partitionBy("question_id").orderBy(F.desc("overlap"), "document_id", "ordinal", "sentence_no")
+    picked = sentence_overlap(passages, asked, *on).withColumn("marker", F.row_number().over(order)).where(F.col("marker") <= most)
+    return with_sentence(picked, passages)
+
+
 def chat_answers(passages: DataFrame, questions: DataFrame, *on: str) -> DataFrame:
     """Per question its two best sentences with marks; none: insufficient."""
-    scored = scored_sentences(passages, questions, *on)
-    order = Window.partitionBy("question_id").orderBy(F.desc("overlap"), "document_id", "ordinal", "sentence_no")
-    picked = scored.withColumn("marker", F.row_number().over(order)).where("marker <= 2")
     said = F.format_string("In %s: %s [%d]", F.col("document_id").cast("string"), F.col("sentence"), F.col("marker"))
+    picked = chat_sentences(passages, questions, *on)
     joined = picked.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("marker", said.alias("said"))))["said"], " ").alias("answer"), F.count(F.lit(1)).alias("n_citations"))
     every = questions.select("question_id").join(joined, "question_id", "left")
-    return every.withColumns({"insufficient": F.col("answer").isNull(), "answer": F.coalesce("answer", F.lit("The selected documents do not appear to address this question.")), "n_citations": F.coalesce("n_citations", F.lit(0))})
+    return every.withColumns({"insufficient": F.col("answer").isNull(), "answer": F.coalesce("answer", F.lit(NO_ANSWER)), "n_citations": F.coalesce("n_citations", F.lit(0))})
 
 
 def verify_messages(messages: DataFrame, citations: DataFrame, held: DataFrame) -> DataFrame:

@@ -49,25 +49,47 @@ def newest(rows: DataFrame, keys: list[str], at: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.max(whole).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
-def scored_sentences(passages: DataFrame, questions: DataFrame, *on: str) -> DataFrame:
-    """Sentences of passages with the number of keywords they share with each question."""
-    split = passages.select("*", F.posexplode(t.sentences(F.col("text"))).alias("sentence_no", "_raw")).withColumn("sentence", t.strip(F.col("_raw"))).where("char_length(sentence) > 20")
-    worded = split.withColumn("_words", t.keywords(F.col("sentence"))).drop("text", "_raw")
-    asked = questions.withColumn("_keys", t.keywords(F.col("question")))
-    return worded.join(asked, list(on)).withColumn("overlap", F.size(F.array_intersect("_words", "_keys"))).drop("_words", "_keys").where("overlap > 0")
+#: How a date and an amount look in a sentence.
+DATE = r"\b\d{1,2} \w+ \d{4}\b|\b\d{4}-\d{2}-\d{2}\b"
+MONEY = r"[£$€]\s?[\d,]+(?:\.\d+)?(?: per \w+)?"
+#: Shorter sentences answer nothing.
+SHORTEST = 20
 
 
-def extractive_answers(passages: DataFrame, questions: DataFrame, *on: str) -> DataFrame:
-    """The first sentence that shares most keywords with a question, as its answer and quote.
+def sentence_overlap(passages: DataFrame, asked: DataFrame, *on: str) -> DataFrame:
+    """For each sentence and each key of ``asked`` how many of its words they share: ids and ``overlap`` only.
 
-    ``max_by`` keeps one candidate per document and question before the shuffle.
+    ``asked`` has the columns ``on``, an id and the array ``_keys``. Words meet words by
+    equality, so sentences that share none with a question are never paired with it, and
+    words that nobody asks for are dropped by the join before anything is shuffled.
     """
-    scored = scored_sentences(passages, questions, *on)
+    ids = [c for c in asked.columns if c not in (*on, "_keys")]
+    split = passages.select(*on, *[c for c in ("document_id", "ordinal") if c not in on], F.posexplode(t.sentences(F.col("text"))).alias("sentence_no", "_raw")).withColumn("_raw", t.strip(F.col("_raw")))
+    words = split.where(F.char_length("_raw") > SHORTEST).withColumn("_word", F.explode(t.keywords(F.col("_raw")))).drop("_raw")
+    keys = asked.withColumn("_word", F.explode("_keys")).drop("_keys")
+    return words.join(keys, [*on, "_word"]).groupBy(*ids, "document_id", "ordinal", "sentence_no").agg(F.count(F.lit(1)).cast("int").alias("overlap"))
+
+
+def with_sentence(rows: DataFrame, passages: DataFrame, *carry: str) -> DataFrame:
+    """``rows`` (document_id, ordinal, sentence_no) with their sentence, cut from its passage, and columns of the passage."""
+    texts = passages.select("document_id", "ordinal", F.col("text").alias("_text"), *carry)
+    return rows.join(texts, ["document_id", "ordinal"]).withColumn("sentence", t.strip(F.get(t.sentences(F.col("_text")), F.col("sentence_no")))).drop("_text")
+
+
+def best_sentences(overlap: DataFrame, *keys: str) -> DataFrame:
+    """Per document and key the first of the sentences that share most words; partial maxima before the shuffle."""
     first = F.struct(F.col("overlap"), -F.col("ordinal"), -F.col("sentence_no"))
-    best = scored.groupBy("document_id", "column_id").agg(F.max_by(F.struct("sentence", "ordinal", "sentence_no", "overlap", "output_type", "enum_options"), first).alias("b")).select("document_id", "column_id", "b.*")
+    best = overlap.groupBy("document_id", *keys).agg(F.max_by(F.struct("ordinal", "sentence_no", "overlap"), first).alias("b"))
+    return best.select("document_id", *keys, "b.*")
+
+
+def extractive_answers(passages: DataFrame, questions: DataFrame, *on: str) -> DataFrame:
+    """The first sentence that shares most keywords with a question, as its answer and quote."""
+    asked = questions.select(*on, "column_id", t.keywords(F.col("question")).alias("_keys"))
+    best = best_sentences(sentence_overlap(passages, asked, *on), "column_id")
+    best = with_sentence(best, passages).join(questions.select("column_id", "output_type", "enum_options"), "column_id")
     option = F.filter("enum_options", lambda o: F.contains(F.lower("sentence"), F.lower(o)))
-    day = F.regexp_extract("sentence", r"\b\d{1,2} \w+ \d{4}\b|\b\d{4}-\d{2}-\d{2}\b", 0)
-    money = F.regexp_extract("sentence", r"[£$€]\s?[\d,]+(?:\.\d+)?(?: per \w+)?", 0)
+    day, money = F.regexp_extract("sentence", DATE, 0), F.regexp_extract("sentence", MONEY, 0)
     value = (
         F.when(F.col("output_type") == "boolean", "yes")
         .when((F.col("output_type") == "enum") & (F.size("enum_options") > 0), F.coalesce(F.get(option, F.lit(0)), F.get("enum_options", F.lit(0))))

@@ -6,20 +6,25 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lexspan.functions import text as t
+from lexspan.operators.grid import best_sentences, sentence_overlap, with_sentence
 
 SEVERITY = ["high", "medium", "low", "none"]
 
 
+# Sentences of the findings.
+NOT_ADDRESSED = "The document does not appear to address "
+CLAUSE_READS = "The clause reads: "
+NO_FINDING = "No finding was returned for this rule."
+
+
 def playbook_findings(passages: DataFrame, rules: DataFrame, *on: str) -> DataFrame:
     """The sentence that shares most words with a rule, and the position it is closest to."""
-    split = passages.select("*", F.posexplode(t.sentences(F.col("text"))).alias("sentence_no", "_raw")).withColumn("sentence", t.strip(F.col("_raw"))).where("char_length(sentence) > 20")
-    worded = split.withColumn("_words", t.keywords(F.col("sentence"))).drop("text", "_raw")
-    keyed = rules.withColumns({f"_{p}": t.keywords(F.col(f"{p}_position")) for p in ("preferred", "fallback", "unacceptable")})
-    keyed = keyed.withColumn("_keys", F.array_union(t.keywords(F.col("topic")), F.col("_preferred")))
-    scored = worded.join(keyed, list(on)).withColumn("overlap", F.size(F.array_intersect("_keys", "_words"))).where("overlap > 0")
-    near = {p: F.size(F.array_intersect("_words", f"_{p}")) for p in ("preferred", "fallback", "unacceptable")}
-    first = F.struct(F.col("overlap"), -F.col("ordinal"), -F.col("sentence_no"))
-    best = scored.groupBy("document_id", "rule_id").agg(F.max_by(F.struct("sentence", "ordinal", "section_path", "overlap", *[near[p].alias(p) for p in near]), first).alias("b")).select("document_id", "rule_id", "b.*")
+    positions = ("preferred", "fallback", "unacceptable")
+    keyed = rules.select("rule_id", *on, "topic", *[t.keywords(F.col(f"{p}_position")).alias(f"_{p}") for p in positions])
+    asked = keyed.select(*on, "rule_id", F.array_union(t.keywords(F.col("topic")), F.col("_preferred")).alias("_keys"))
+    best = with_sentence(best_sentences(sentence_overlap(passages, asked, *on), "rule_id"), passages, "section_path")
+    words = t.keywords(F.col("sentence"))
+    best = best.join(keyed.drop("topic", *on), "rule_id").withColumns({p: F.size(F.array_intersect(words, f"_{p}")) for p in positions}).drop(*[f"_{p}" for p in positions])
     targets = passages.select("document_id", *[c for c in on if c != "document_id"]).distinct().join(rules, list(on))
     rows = targets.join(best, ["document_id", "rule_id"], "left")
     lost = F.coalesce(F.col("overlap") < 2, F.lit(True))
@@ -32,7 +37,7 @@ def playbook_findings(passages: DataFrame, rules: DataFrame, *on: str) -> DataFr
     rows = rows.withColumn("matched_position", position)
     severity = F.when(lost, "medium").when(F.col("matched_position") == "preferred", "none").when(F.col("matched_position") == "fallback", "low").otherwise("high")
     last_part = F.element_at(F.split(F.coalesce("section_path", F.lit("")), " > "), -1)
-    rationale = F.when(lost, F.concat(F.lit("The document does not appear to address "), F.lower("topic"), F.lit("."))).otherwise(F.concat(F.lit("The clause reads: "), F.substring("sentence", 1, 160)))
+    rationale = F.when(lost, F.concat(F.lit(NOT_ADDRESSED), F.lower("topic"), F.lit("."))).otherwise(F.concat(F.lit(CLAUSE_READS), F.substring("sentence", 1, 160)))
     return rows.select("document_id", "rule_id", "ordinal_no", "matched_position", severity.alias("severity"), F.when(lost, "").otherwise(F.substring(last_part, 1, 120)).alias("clause_reference"), rationale.alias("rationale"), F.when(~lost, F.col("sentence")).alias("quote"), F.when(~lost, F.col("ordinal")).alias("chunk_ordinal"), F.when(F.col("matched_position") == "preferred", "").otherwise(F.col("preferred_position")).alias("suggested_language"))
 
 
@@ -41,7 +46,7 @@ def assemble_findings(targets: DataFrame, findings: DataFrame, verified: DataFra
     kept = verified.groupBy("document_id", "rule_id").agg(F.min_by("quoted_text", "quote_pos").alias("quoted_text"))
     rows = targets.join(findings, ["document_id", "rule_id"], "left").join(kept, ["document_id", "rule_id"], "left")
     position = F.coalesce("matched_position", F.lit("not_addressed"))
-    return rows.select("document_id", "rule_id", position.alias("matched_position"), F.coalesce("severity", F.lit("medium")).alias("severity"), F.coalesce("rationale", F.lit("No finding was returned for this rule.")).alias("rationale"), "quoted_text", ((position == "not_addressed") | F.col("quoted_text").isNotNull()).alias("verified"))
+    return rows.select("document_id", "rule_id", position.alias("matched_position"), F.coalesce("severity", F.lit("medium")).alias("severity"), F.coalesce("rationale", F.lit(NO_FINDING)).alias("rationale"), "quoted_text", ((position == "not_addressed") | F.col("quoted_text").isNotNull()).alias("verified"))
 
 
 def issues_list(findings: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexspan.operators.ingest import with_offsets
@@ -24,25 +24,55 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return with_offsets(texts)
 
 
+#: Benchmark items that make up one review (or playbook): its columns (or rules).
+PER_REVIEW = 5
+
+
+def review_of(spark: SparkSession, sf_dir: str, key) -> Column:
+    """The review of a document or item: all items are dealt over reviews, and so are all documents."""
+    return F.pmod(key, F.lit(max(1, table(spark, sf_dir, "benchmark").count() // PER_REVIEW))).cast("long")
+
+
 def page_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages taken as passages."""
-    return pages(spark, sf_dir).select("document_id", (F.col("page_number") - 1).alias("ordinal"), "text", F.lit("").alias("section_path"), F.col("char_offset").alias("char_start"), (F.col("char_offset") + F.char_length("text")).alias("char_end"))
+    """Pages taken as passages, each in the review of its document."""
+    review = review_of(spark, sf_dir, F.col("document_id")).alias("review_id")
+    return pages(spark, sf_dir).select("document_id", review, (F.col("page_number") - 1).alias("ordinal"), "text", F.lit("").alias("section_path"), F.col("char_offset").alias("char_start"), (F.col("char_offset") + F.char_length("text")).alias("char_end"))
+
+
+def _with_vector(spark: SparkSession, sf_dir: str, rows: DataFrame, number: Column) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("long").alias("_vec"), "embedding")
+    return rows.withColumn("_vec", F.pmod(number, F.lit(vectors.count())).cast("long")).join(vectors, "_vec").drop("_vec")
 
 
-def questions(spark: SparkSession, sf_dir: str, n: int = 5) -> DataFrame:
-    """The texts of the n lowest benchmark items are the questions of the review."""
-    return table(spark, sf_dir, "benchmark").orderBy("item_id").limit(n).select(F.col("item_id").alias("question_id"), F.col("text").alias("question"))
+def chunk_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages without their text, each with one of the given vectors."""
+    return _with_vector(spark, sf_dir, page_chunks(spark, sf_dir).drop("text"), F.col("document_id") * 31 + F.col("ordinal") * 7)
+
+
+def question_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _with_vector(spark, sf_dir, questions(spark, sf_dir), F.col("question_id") * 13)
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item is a question of its review."""
+    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("question_id"), review_of(spark, sf_dir, F.col("item_id")).alias("review_id"), F.col("text").alias("question"))
 
 
 def columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The questions as columns of one review."""
-    return questions(spark, sf_dir).select(F.lit(1).alias("review_id"), F.col("question_id").alias("column_id"), "question", F.lit("text").alias("output_type"), F.array().cast("array<string>").alias("enum_options"), F.col("question_id").alias("ordinal_no"))
+    """The questions as columns of their reviews."""
+    return questions(spark, sf_dir).select("review_id", F.col("question_id").alias("column_id"), "question", F.lit("text").alias("output_type"), F.array().cast("array<string>").alias("enum_options"), F.col("question_id").alias("ordinal_no"))
+
+
+def indexed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of each review, numbered from 1."""
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), review_of(spark, sf_dir, F.col("doc_id")).alias("review_id"))
+    return ids.withColumn("doc_index", F.row_number().over(Window.partitionBy("review_id").orderBy("document_id")))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with workspace (source), matter (language) and content hash."""
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("workspace_id"), F.col("lang").alias("matter_id"), F.col("doc_id").alias("document_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
+    return d.select(F.col("source").alias("workspace_id"), review_of(spark, sf_dir, F.col("doc_id")).alias("review_id"), F.col("lang").alias("matter_id"), F.col("doc_id").alias("document_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), "text")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

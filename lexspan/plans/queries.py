@@ -24,16 +24,17 @@ def register(name: str, sql: str | None = None):
     return wrap
 
 
-#: Shared parts of the SQL: lines, pages with offsets, the five questions.
+#: Shared parts of the SQL: reviews, lines, pages with offsets, questions.
+REVIEW = f"({{}} % (SELECT greatest(1, count(*) // {a.PER_REVIEW}) FROM benchmark))"
 LINES = "lines AS (SELECT doc_id, i - 1 AS ln, l[i] AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents) d, unnest(range(1, len(l) + 1)) AS u(i))"
 PAGES = LINES + (
     ", raw_pages AS (SELECT doc_id AS document_id, (ln // 5 + 1)::INT AS page_number, string_agg(line, chr(10) || chr(10) ORDER BY ln) AS text FROM lines GROUP BY 1, 2)"
     ", pages AS (SELECT *, coalesce(sum(length(text) + 1) OVER (PARTITION BY document_id ORDER BY page_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS char_offset FROM raw_pages)"
-    ", chunks AS (SELECT document_id, page_number - 1 AS ordinal, text, char_offset AS char_start, char_offset + length(text) AS char_end FROM pages)"
+    f", chunks AS (SELECT document_id, page_number - 1 AS ordinal, text, char_offset AS char_start, char_offset + length(text) AS char_end, {REVIEW.format('document_id')} AS review_id FROM pages)"
 )
 STOPS = "[" + ", ".join(f"'{w}'" for w in t.STOP_WORDS) + "]"
 FUNCTION_WORDS = "[" + ", ".join(f"'{w}'" for w in t.FUNCTION_WORDS) + "]"
-QUESTIONS = "questions AS (SELECT item_id AS question_id, text AS question FROM benchmark ORDER BY item_id LIMIT 5)"
+QUESTIONS = f"questions AS (SELECT item_id AS question_id, text AS question, {REVIEW.format('item_id')} AS review_id FROM benchmark)"
 STEM = "x"
 for _suffix in reversed(t.SUFFIXES):
     STEM = f"CASE WHEN suffix(x, '{_suffix}') AND length(x) - {len(_suffix)} >= 4 THEN x[1:length(x) - {len(_suffix)}]{' || chr(121)' if _suffix == 'ies' else ''} ELSE {STEM} END"
@@ -123,10 +124,10 @@ def written_dates(spark, d):
 
 @register(
     "t9_cache_key",
-    "SELECT doc_id, item_id, sha256(concat_ws(chr(31), sha256(coalesce(d.text, '')), trim(regexp_replace(b.text, '\\s+', ' ', 'g')), 'text', 'a' || chr(30) || 'b', 'fake', 'v2')) AS cache_key FROM documents d, (SELECT item_id, text FROM benchmark ORDER BY item_id LIMIT 5) b",
+    "SELECT doc_id, item_id, sha256(concat_ws(chr(31), sha256(coalesce(d.text, '')), trim(regexp_replace(b.text, '\\s+', ' ', 'g')), 'text', 'a' || chr(30) || 'b', 'fake', 'v2')) AS cache_key FROM documents d JOIN benchmark b ON " + REVIEW.format("d.doc_id") + " = " + REVIEW.format("b.item_id"),
 )
 def cache_keys(spark, d):
-    targets = grid.grid_targets(a.documents(spark, d).withColumn("review_id", F.lit(1)), a.columns(spark, d))
+    targets = grid.grid_targets(a.documents(spark, d), a.columns(spark, d))
     key = t.cache_key(F.col("sha256"), F.col("question"), F.col("output_type"), F.array(F.lit("b"), F.lit("a")), F.lit("fake"), F.lit("v2"))
     return targets.select(F.col("document_id").alias("doc_id"), F.col("column_id").alias("item_id"), key.alias("cache_key"))
 
@@ -244,14 +245,16 @@ def ingested(spark, d):
 
 # --- retrieval ----------------------------------------------------------------------------
 
-TERMS = QUESTIONS + f", terms AS (SELECT DISTINCT question_id, lower(w) AS term FROM (SELECT question_id, unnest(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9''-]+')) AS w FROM questions) WHERE length(w) > 2 AND NOT list_contains({FUNCTION_WORDS}, lower(w)))"
-HITS = f"WITH {PAGES}, {TERMS}, tok AS (SELECT document_id, ordinal, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]+'))) AS term FROM chunks), hits AS (SELECT question_id, document_id, ordinal, count(*) AS positions, count(DISTINCT term) AS terms FROM tok JOIN terms USING (term) GROUP BY 1, 2, 3)"
+TERMS = QUESTIONS + f", terms AS (SELECT DISTINCT question_id, review_id, lower(w) AS term FROM (SELECT question_id, review_id, unnest(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9''-]+')) AS w FROM questions) WHERE length(w) > 2 AND NOT list_contains({FUNCTION_WORDS}, lower(w)))"
+TOKENS = "tok AS (SELECT document_id, ordinal, review_id, lower(unnest(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]+'))) AS term FROM chunks)"
+HITS = f"WITH {PAGES}, {TERMS}, {TOKENS}, hits AS (SELECT question_id, document_id, ordinal, count(*) AS positions, count(DISTINCT term) AS terms FROM tok JOIN terms USING (term, review_id) GROUP BY 1, 2, 3)"
 LEXICAL = HITS + ", top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id, document_id ORDER BY positions DESC, terms DESC, document_id, ordinal) - 1 AS rank FROM hits) WHERE rank < 3)"
+REVIEWED = ("review_id",)
 
 
 @register("r1_lexical_topk", LEXICAL + " SELECT question_id, document_id, ordinal::INT AS ordinal, positions, terms, rank::INT AS rank FROM top")
 def lexical(spark, d):
-    return retrieve.lexical_topk(a.page_chunks(spark, d), a.questions(spark, d), 3)
+    return retrieve.lexical_topk(a.page_chunks(spark, d), a.questions(spark, d), 3, on=REVIEWED)
 
 
 def _vectors(spark, d):
@@ -274,46 +277,103 @@ def vector_across(spark, d):
     return retrieve.vector_topk(passages, queries, 5, max_distance=0.6, across=True).select("question_id", "document_id", "ordinal", F.round("distance", 6).alias("distance"), "rank")
 
 
-SECOND = ", byterm AS (SELECT question_id, document_id, ordinal, row_number() OVER (PARTITION BY question_id, document_id ORDER BY terms DESC, ordinal) - 1 AS rank FROM hits QUALIFY rank < 3), fused AS (SELECT question_id, document_id, ordinal, sum(1.0::DOUBLE / (61 + rank)) AS score FROM (SELECT question_id, document_id, ordinal, rank FROM top UNION ALL SELECT * FROM byterm) GROUP BY 1, 2, 3)"
+#: Vectors of passages and questions, their distances inside a review, and both rankings fused.
+VECTORED = (
+    ", cv AS (SELECT c.document_id, c.ordinal, c.review_id, e.embedding FROM chunks c JOIN embeddings e ON e.vec_id = (c.document_id * 31 + c.ordinal * 7) % (SELECT count(*) FROM embeddings))"
+    ", qv AS (SELECT q.question_id, q.review_id, e.embedding FROM questions q JOIN embeddings e ON e.vec_id = q.question_id * 13 % (SELECT count(*) FROM embeddings))"
+    ", near AS (SELECT question_id, document_id, ordinal, round(1 - list_cosine_similarity(cv.embedding::DOUBLE[], qv.embedding::DOUBLE[]), 12) AS distance FROM cv JOIN qv USING (review_id))"
+)
+FUSED = (
+    VECTORED
+    + ", vtop AS (SELECT *, row_number() OVER (PARTITION BY question_id, document_id ORDER BY distance, document_id, ordinal) - 1 AS rank FROM near QUALIFY rank < 3)"
+    + ", fused AS (SELECT question_id, document_id, ordinal, max(l) AS l, max(v) AS v, coalesce(1.0::DOUBLE / (61 + max(l)), 0.0) + coalesce(1.0::DOUBLE / (61 + max(v)), 0.0) AS score"
+    " FROM (SELECT question_id, document_id, ordinal, rank AS l, NULL AS v FROM top UNION ALL SELECT question_id, document_id, ordinal, NULL, rank FROM vtop) GROUP BY 1, 2, 3)"
+    ", best AS (SELECT *, row_number() OVER (PARTITION BY question_id, document_id ORDER BY score DESC, l NULLS LAST, v NULLS LAST, document_id, ordinal) AS place FROM fused QUALIFY place <= 3)"
+)
 
 
-def _two_rankings(spark, d):
-    chunks, questions = a.page_chunks(spark, d), a.questions(spark, d)
-    first = retrieve.lexical_topk(chunks, questions, 3)
-    every = retrieve.lexical_topk(chunks, questions, 1_000_000)
-    by_terms = every.withColumn("rank", F.row_number().over(Window.partitionBy("question_id", "document_id").orderBy(F.desc("terms"), "ordinal")) - 1).where("rank < 3")
-    return chunks, retrieve.rrf(first, by_terms)
+def _vector_hits(spark, d, k=3):
+    return retrieve.vector_topk(a.chunk_vectors(spark, d), a.question_vectors(spark, d), k, on=REVIEWED)
 
 
-@register("r3_rrf", LEXICAL + SECOND + " SELECT question_id, document_id, ordinal::INT AS ordinal, round(score, 9) AS score FROM fused")
+@register("r3_rrf", LEXICAL + FUSED + " SELECT question_id, document_id, ordinal::INT AS ordinal, round(score, 9) AS score, place::INT AS place FROM best")
 def fused(spark, d):
-    return _two_rankings(spark, d)[1].select("question_id", "document_id", "ordinal", F.round("score", 9).alias("score"))
+    words = retrieve.lexical_topk(a.page_chunks(spark, d), a.questions(spark, d), 3, on=REVIEWED)
+    best = retrieve.fused_topk(retrieve.rrf(words, _vector_hits(spark, d)), 3)
+    return best.select("question_id", "document_id", "ordinal", F.round("score", 9).alias("score"), "place")
 
 
 @register("r4_neighbours", LEXICAL + " SELECT DISTINCT question_id, c.document_id, c.ordinal::INT AS ordinal FROM top JOIN chunks c ON c.document_id = top.document_id AND c.ordinal BETWEEN top.ordinal - 1 AND top.ordinal + 1")
 def neighbours(spark, d):
     chunks = a.page_chunks(spark, d)
-    return retrieve.with_neighbours(retrieve.lexical_topk(chunks, a.questions(spark, d), 3), chunks).select("question_id", "document_id", "ordinal")
+    return retrieve.with_neighbours(retrieve.lexical_topk(chunks, a.questions(spark, d), 3, on=REVIEWED), chunks).select("question_id", "document_id", "ordinal")
 
 
 @register(
     "r5_context",
-    LEXICAL.replace("hits AS (", "size AS (SELECT document_id, greatest(1, (max(char_end) + 3) // 4) AS tokens FROM chunks GROUP BY 1), hits AS (")
-    + """, long AS (SELECT c.* FROM chunks c JOIN size USING (document_id) WHERE tokens > 500), found AS (SELECT DISTINCT c.document_id, c.ordinal FROM top JOIN long c ON c.document_id = top.document_id AND c.ordinal BETWEEN top.ordinal - 1 AND top.ordinal + 1)
+    LEXICAL
+    + FUSED
+    + """, size AS (SELECT document_id, greatest(1, (max(char_end) + 3) // 4) AS tokens FROM chunks GROUP BY 1), long AS (SELECT c.* FROM chunks c JOIN size USING (document_id) WHERE tokens > 500), found AS (SELECT DISTINCT c.document_id, c.ordinal FROM best JOIN long c ON c.document_id = best.document_id AND c.ordinal BETWEEN best.ordinal - 1 AND best.ordinal + 1)
     SELECT document_id, ordinal::INT AS ordinal, 'full' AS mode, 'c' || ordinal AS label FROM chunks JOIN size USING (document_id) WHERE tokens <= 500 UNION ALL SELECT document_id, ordinal::INT, 'retrieval', 'c' || ordinal FROM found
     UNION ALL SELECT document_id, ordinal::INT, 'opening', 'c' || ordinal FROM long WHERE ordinal < 3 AND document_id NOT IN (SELECT document_id FROM found)""",
 )
 def contexts(spark, d):
-    return retrieve.build_context(a.page_chunks(spark, d), a.questions(spark, d), limit=500, k=3)
+    return retrieve.build_context(a.page_chunks(spark, d), a.questions(spark, d), limit=500, k=3, vector_hits=_vector_hits(spark, d), on=REVIEWED)
 
 
-@register("r6_retrieve_across")
+@register(
+    "r5_context_words",
+    LEXICAL
+    + """, size AS (SELECT document_id, greatest(1, (max(char_end) + 3) // 4) AS tokens FROM chunks GROUP BY 1), long AS (SELECT c.* FROM chunks c JOIN size USING (document_id) WHERE tokens > 500), found AS (SELECT DISTINCT c.document_id, c.ordinal FROM top JOIN long c ON c.document_id = top.document_id AND c.ordinal BETWEEN top.ordinal - 1 AND top.ordinal + 1)
+    SELECT document_id, ordinal::INT AS ordinal, 'full' AS mode, 'c' || ordinal AS label FROM chunks JOIN size USING (document_id) WHERE tokens <= 500 UNION ALL SELECT document_id, ordinal::INT, 'retrieval', 'c' || ordinal FROM found
+    UNION ALL SELECT document_id, ordinal::INT, 'opening', 'c' || ordinal FROM long WHERE ordinal < 3 AND document_id NOT IN (SELECT document_id FROM found)""",
+)
+def word_contexts(spark, d):
+    return retrieve.build_context(a.page_chunks(spark, d), a.questions(spark, d), limit=500, k=3, on=REVIEWED)
+
+
+ACROSS_K = 16
+ACROSS = (
+    HITS
+    + VECTORED
+    + f""", lx AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY positions DESC, terms DESC, document_id, ordinal) - 1 AS rank FROM hits QUALIFY rank < {2 * ACROSS_K}),
+    vx AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY distance, document_id, ordinal) - 1 AS rank FROM near WHERE distance <= 0.6 QUALIFY rank < {2 * ACROSS_K}),
+    fx AS (SELECT question_id, document_id, ordinal, max(l) AS l, max(v) AS v, coalesce(1.0::DOUBLE / (61 + max(l)), 0.0) + coalesce(1.0::DOUBLE / (61 + max(v)), 0.0) AS score
+      FROM (SELECT question_id, document_id, ordinal, rank AS l, NULL AS v FROM lx UNION ALL SELECT question_id, document_id, ordinal, NULL, rank FROM vx) GROUP BY 1, 2, 3),
+    qw AS (SELECT question_id, {keys_sql('question', False)} AS k FROM questions), cw AS (SELECT c.document_id, c.ordinal, {keys_sql('c.text', False)} AS w FROM chunks c SEMI JOIN fx ON fx.document_id = c.document_id AND fx.ordinal = c.ordinal),
+    sx AS (SELECT fx.* REPLACE (score + 0.05::DOUBLE * (len(list_intersect(k, w))::DOUBLE / greatest(len(k), 1)) AS score) FROM fx JOIN qw USING (question_id) JOIN cw USING (document_id, ordinal)),
+    best AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, l NULLS LAST, v NULLS LAST, document_id, ordinal) AS place FROM sx QUALIFY place <= {ACROSS_K}),
+    nb AS (SELECT b.question_id, b.document_id, c.ordinal, b.score / 2 AS score FROM best b JOIN chunks c ON c.document_id = b.document_id AND abs(c.ordinal - b.ordinal) = 1 WHERE place <= 4),
+    every AS (SELECT question_id, document_id, ordinal, coalesce(max(score) FILTER (NOT near), max(score)) AS score, bool_and(near) AS neighbour FROM (SELECT question_id, document_id, ordinal, score, false AS near FROM best UNION ALL SELECT *, true FROM nb) GROUP BY 1, 2, 3),
+    ix AS (SELECT doc_id AS document_id, row_number() OVER (PARTITION BY {REVIEW.format('doc_id')} ORDER BY doc_id) AS doc_index FROM documents)"""
+)
+
+
+@register("r6_retrieve_across", ACROSS + " SELECT question_id, document_id, ordinal::INT AS ordinal, round(score, 9) AS score, neighbour, 'd' || doc_index || 'c' || ordinal AS label, row_number() OVER (PARTITION BY question_id ORDER BY doc_index, ordinal)::INT AS place FROM every JOIN ix USING (document_id)")
 def across(spark, d):
-    return retrieve.retrieve_across(a.page_chunks(spark, d), a.questions(spark, d), 16).withColumn("score", F.round("score", 9))
+    near = retrieve.vector_topk(a.chunk_vectors(spark, d), a.question_vectors(spark, d), 2 * ACROSS_K, max_distance=0.6, on=REVIEWED, per=())
+    rows = retrieve.retrieve_across(a.page_chunks(spark, d), a.questions(spark, d), ACROSS_K, documents=a.indexed_documents(spark, d), vector_hits=near, on=REVIEWED)
+    return rows.withColumn("score", F.round("score", 9))
+
 
+#: Every other turn of a user is asked by its first letters alone and has no vector.
+ASKED = "SELECT conv_id * 1000 + turn AS question_id, CASE WHEN turn % 4 = 0 THEN left(text, 4) ELSE text END AS question, turn % 4 <> 0 AS has_vector, conv_id FROM conversations WHERE role = 'user'"
 
-@register("r7_unanswerable", HITS.replace("SELECT item_id AS question_id, text AS question FROM benchmark ORDER BY item_id LIMIT 5", "SELECT conv_id * 1000 + turn AS question_id, text AS question FROM conversations WHERE role = 'user'") + " SELECT question_id, question FROM questions WHERE question_id NOT IN (SELECT question_id FROM hits)")
+
+@register(
+    "r7_unanswerable",
+    f"WITH {PAGES}, asked AS ({ASKED}), {TOKENS}, words AS (SELECT DISTINCT term FROM tok), terms AS (SELECT question_id, lower(unnest(regexp_extract_all(question, '[A-Za-z0-9][A-Za-z0-9''-]+'))) AS term FROM asked),"
+    f" hit AS (SELECT question_id FROM terms JOIN words USING (term) WHERE length(term) > 2 AND NOT list_contains({FUNCTION_WORDS}, term)),"
+    " qv AS (SELECT question_id, embedding FROM asked JOIN embeddings ON vec_id = conv_id % (SELECT count(*) FROM embeddings) WHERE has_vector),"
+    " near AS (SELECT question_id FROM qv JOIN embeddings e ON round(1 - list_cosine_similarity(e.embedding::DOUBLE[], qv.embedding::DOUBLE[]), 12) <= 0.6)"
+    " SELECT question_id, question FROM asked WHERE question_id NOT IN (SELECT question_id FROM hit) AND question_id NOT IN (SELECT question_id FROM near)",
+)
 def refused(spark, d):
-    asked = a.table(spark, d, "conversations").where("role = 'user'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.col("text").alias("question"))
-    terms = retrieve.lexical_topk(a.page_chunks(spark, d), asked, 1, across=True)
-    return retrieve.unanswerable(asked, terms).select("question_id", "question")
+    turns = a.table(spark, d, "conversations").where("role = 'user'")
+    asked = turns.select((F.col("conv_id") * 1000 + F.col("turn")).alias("question_id"), F.expr("CASE WHEN turn % 4 = 0 THEN left(text, 4) ELSE text END").alias("question"), "conv_id", "turn")
+    passages, _ = _vectors(spark, d)
+    vectors = a.table(spark, d, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
+    queries = asked.where("turn % 4 <> 0").withColumn("_vec", F.pmod("conv_id", F.lit(vectors.count()))).join(vectors, "_vec")
+    words = retrieve.lexical_topk(a.page_chunks(spark, d), asked, 1, across=True)
+    near = retrieve.vector_topk(passages, queries, 1, max_distance=0.6, across=True)
+    return retrieve.unanswerable(asked, words, near).select("question_id", "question")

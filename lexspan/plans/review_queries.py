@@ -8,38 +8,37 @@ from pyspark.sql import functions as F
 from lexspan.functions import text as t
 from lexspan.operators import assistant, evaluate, grid, listing, playbook, verify
 from lexspan.plans import adapters as a
-from lexspan.plans.queries import PAGES, QUESTIONS, keys_sql, register
+from lexspan.plans.queries import PAGES, QUESTIONS, REVIEW, keys_sql, register
 
 
-def _review():
-    return F.lit(1).alias("review_id")
+DOC_REVIEW = REVIEW.format("doc_id")
 
 
 def _targets(spark, d):
-    docs = a.documents(spark, d).select(_review(), "document_id", "sha256")
+    docs = a.documents(spark, d).select("review_id", "document_id", "sha256")
     return grid.grid_targets(docs, a.columns(spark, d).withColumnRenamed("ordinal_no", "ordinal"))
 
 
-@register("g1_g2_targets", f"WITH {QUESTIONS} SELECT doc_id AS document_id, question_id AS column_id, 'batch' AS mode, (rn // 2)::BIGINT AS group_no, 'q' || (rn % 2 + 1) AS label FROM (SELECT doc_id, question_id, row_number() OVER (PARTITION BY doc_id ORDER BY question_id) - 1 AS rn FROM documents, questions)")
+@register("g1_g2_targets", f"WITH {QUESTIONS} SELECT doc_id AS document_id, question_id AS column_id, CASE WHEN count(*) OVER (PARTITION BY review_id) > 100 THEN 'batch' ELSE 'interactive' END AS mode, (rn // 2)::BIGINT AS group_no, 'q' || (rn % 2 + 1) AS label FROM (SELECT doc_id, question_id, review_id, row_number() OVER (PARTITION BY doc_id ORDER BY question_id) - 1 AS rn FROM documents JOIN questions ON review_id = {DOC_REVIEW})")
 def targets(spark, d):
     return grid.group_columns(_targets(spark, d), 2).select("document_id", "column_id", "mode", "group_no", "label")
 
 
-@register("g3_g4_cache", f"WITH {QUESTIONS}, o AS (SELECT event_id, user_id % 5 AS k, ts FROM events), c AS (SELECT k AS column_id, max(struct_pack(t := ts, e := event_id)).e AS newest FROM o GROUP BY 1) SELECT doc_id AS document_id, question_id AS column_id, newest, newest IS NOT NULL AS hit FROM documents CROSS JOIN questions LEFT JOIN c ON c.column_id = question_id")
+@register("g3_g4_cache", f"WITH {QUESTIONS}, o AS (SELECT event_id, user_id % 50 AS k, ts FROM events), c AS (SELECT k AS column_id, max(struct_pack(t := ts, e := event_id)).e AS newest FROM o GROUP BY 1) SELECT doc_id AS document_id, question_id AS column_id, newest, newest IS NOT NULL AS hit FROM documents JOIN questions ON review_id = {DOC_REVIEW} LEFT JOIN c ON c.column_id = question_id")
 def cache(spark, d):
-    events = a.table(spark, d, "events").select((F.col("user_id") % 5).cast("string").alias("cache_key"), F.col("ts").alias("updated_at"), F.col("event_id").alias("newest"))
+    events = a.table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("cache_key"), F.col("ts").alias("updated_at"), F.col("event_id").alias("newest"))
     half = events.where("event_id % 2 = 0") if "event_id" in events.columns else events.where("newest % 2 = 0")
     merged = grid.cache_upsert(half, events.where("newest % 2 = 1"), "updated_at")
     hits, misses = grid.cache_split(_targets(spark, d).withColumn("cache_key", F.col("column_id").cast("string")), merged.select("cache_key", "newest"))
     return hits.select("document_id", "column_id", "newest", F.lit(True).alias("hit")).unionByName(misses.select("document_id", "column_id", F.lit(None).cast("long").alias("newest"), F.lit(False).alias("hit")))
 
 
-SENTENCES = f"WITH {PAGES}, {QUESTIONS}, s AS (SELECT document_id, ordinal, i - 1 AS no, trim(l[i], ' ' || chr(10)) AS sentence FROM (SELECT document_id, ordinal, string_split(regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM chunks), unnest(range(1, len(l) + 1)) AS u(i)), w AS (SELECT *, {keys_sql('sentence')} AS k FROM s WHERE length(sentence) > 20), qk AS (SELECT question_id, {keys_sql('question')} AS k FROM questions), scored AS (SELECT w.document_id, question_id, ordinal, no, sentence, len(list_intersect(w.k, qk.k)) AS overlap FROM w, qk)"
+SENTENCES = f"WITH {PAGES}, {QUESTIONS}, s AS (SELECT document_id, ordinal, review_id, i - 1 AS no, trim(l[i], ' ' || chr(10)) AS sentence FROM (SELECT document_id, ordinal, review_id, string_split(regexp_replace(text, '([.;:!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM chunks), unnest(range(1, len(l) + 1)) AS u(i)), w AS (SELECT *, {keys_sql('sentence')} AS k FROM s WHERE length(sentence) > 20), qk AS (SELECT question_id, review_id, {keys_sql('question')} AS k FROM questions), scored AS (SELECT w.document_id, question_id, ordinal, no, sentence, len(list_intersect(w.k, qk.k)) AS overlap FROM w JOIN qk USING (review_id))"
 BEST = SENTENCES + ", best AS (SELECT * FROM scored WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY document_id, question_id ORDER BY overlap DESC, ordinal, no) = 1)"
 
 
 def _answers(spark, d):
-    return grid.extractive_answers(a.page_chunks(spark, d).withColumn("review_id", F.lit(1)), a.columns(spark, d), "review_id")
+    return grid.extractive_answers(a.page_chunks(spark, d), a.columns(spark, d), "review_id")
 
 
 @register("g5_answers", BEST + " SELECT document_id, question_id AS column_id, md5(sentence) AS quote, overlap::INT AS overlap, CASE WHEN overlap >= 3 THEN 'high' WHEN overlap = 2 THEN 'medium' ELSE 'low' END AS confidence FROM best")
@@ -61,7 +60,8 @@ def _cells(spark, d):
     documents = ingest_documents(spark, d)
     quotes = found.select(F.concat_ws(":", "document_id", "column_id").alias("quote_id"), "document_id", F.col("chunk_ordinal").alias("ordinal"), "quote", "column_id")
     proved = verify.verify_quotes(quotes.drop("column_id"), a.page_chunks(spark, d), documents)
-    citations = proved.select(_review(), "document_id", F.element_at(F.split("quote_id", ":"), 2).cast("long").alias("column_id"), "match_kind")
+    review = a.review_of(spark, d, F.col("document_id")).alias("review_id")
+    citations = proved.select(review, "document_id", F.element_at(F.split("quote_id", ":"), 2).cast("long").alias("column_id"), "match_kind")
     rows = grid.with_not_found(_targets(spark, d), found.drop("overlap")).withColumns({"status": F.lit("done"), "model": F.lit("fake")})
     return grid.apply_answers(rows, citations), citations
 
@@ -72,7 +72,7 @@ def ingest_documents(spark, d):
     return assemble_text(a.pages(spark, d))
 
 
-CELLS = BEST + ", cells AS (SELECT doc_id AS document_id, q.question_id AS column_id, best.sentence, best.question_id IS NULL AS not_found FROM documents CROSS JOIN questions q LEFT JOIN best ON best.document_id = doc_id AND best.question_id = q.question_id)"
+CELLS = BEST + f", cells AS (SELECT doc_id AS document_id, q.question_id AS column_id, q.review_id, best.sentence, best.question_id IS NULL AS not_found FROM documents JOIN questions q ON q.review_id = {DOC_REVIEW} LEFT JOIN best ON best.document_id = doc_id AND best.question_id = q.question_id)"
 
 
 @register("g7_g8_cells", CELLS + " SELECT document_id, column_id, not_found, true AS verified, CASE WHEN not_found THEN '' ELSE md5(trim(regexp_replace(sentence, '\\s+', ' ', 'g'))) END AS value_text FROM cells")
@@ -106,18 +106,20 @@ def fuzzy_quotes(spark, d):
     return verify.verify_quotes(quotes, a.page_chunks(spark, d), ingest_documents(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
-@register("g9_grid_table", CELLS + " SELECT document_id, " + ", ".join(f"max(CASE WHEN column_id = {k} THEN CASE WHEN not_found THEN 'Not found' ELSE trim(regexp_replace(sentence, '\\s+', ' ', 'g')) END END) AS \"c{k}\"" for k in range(5)) + " FROM cells GROUP BY 1")
+@register("g9_grid_table", CELLS + ", p AS (SELECT question_id, row_number() OVER (PARTITION BY review_id ORDER BY question_id) - 1 AS pos FROM questions) SELECT document_id, " + ", ".join(f"max(CASE WHEN pos = {k} THEN CASE WHEN not_found THEN 'Not found' ELSE trim(regexp_replace(sentence, '\\s+', ' ', 'g')) || CASE WHEN column_id % 4 = 3 THEN ' [UNVERIFIED]' ELSE '' END END END) AS \"c{k}\"" for k in range(a.PER_REVIEW)) + " FROM cells JOIN p ON question_id = column_id GROUP BY 1")
 def table(spark, d):
-    ids = [r["question_id"] for r in a.questions(spark, d).collect()]  # five columns
-    rows = grid.with_not_found(_targets(spark, d), _answers(spark, d)).select("document_id", "column_id", F.lit("done").alias("status"), t.collapse_ws(F.col("value")).alias("value_text"), "not_found", F.lit(True).alias("verified"))
-    wide = grid.grid_table(rows, ids)
-    return wide.select("document_id", *[F.col(str(i)).alias(f"c{i}") for i in ids])
+    """The columns of every review in their order; every fourth question counts as unproved."""
+    place = a.columns(spark, d).select("column_id", (F.row_number().over(Window.partitionBy("review_id").orderBy("ordinal_no")) - 1).alias("pos"))
+    rows = grid.with_not_found(_targets(spark, d), _answers(spark, d)).join(place, "column_id")
+    rows = rows.select("document_id", F.col("pos").alias("column_id"), F.lit("done").alias("status"), t.collapse_ws(F.col("value")).alias("value_text"), "not_found", (F.col("column_id") % 4 != 3).alias("verified"))
+    wide = grid.grid_table(rows, list(range(a.PER_REVIEW)))
+    return wide.select("document_id", *[F.col(str(i)).alias(f"c{i}") for i in range(a.PER_REVIEW)])
 
 
-@register("g10_g11_counts", CELLS + ", kept AS (SELECT * FROM cells WHERE column_id NOT IN (SELECT max(question_id) FROM questions)) SELECT source AS workspace_id, count(DISTINCT document_id) AS documents, count(DISTINCT column_id) AS columns, 0::BIGINT AS in_flight, count(*) FILTER (NOT not_found AND column_id % 2 = 1) AS unverified, true AS demo FROM kept JOIN documents ON doc_id = document_id GROUP BY 1")
+@register("g10_g11_counts", CELLS + ", kept AS (SELECT * FROM cells WHERE column_id NOT IN (SELECT max(question_id) FROM questions GROUP BY review_id)) SELECT source AS workspace_id, count(DISTINCT document_id) AS documents, count(DISTINCT column_id) AS columns, 0::BIGINT AS in_flight, count(*) FILTER (NOT not_found AND column_id % 2 = 1) AS unverified, true AS demo FROM kept JOIN documents ON doc_id = document_id GROUP BY 1")
 def counts(spark, d):
     old = a.columns(spark, d)
-    last = old.agg(F.max("column_id")).first()[0]
+    last = F.max("column_id").over(Window.partitionBy("review_id"))
     new = old.withColumn("question", F.when(F.col("column_id") == last, F.concat("question", F.lit("?"))).otherwise(F.col("question"))).withColumn("name", F.lit("renamed"))
     rows = grid.with_not_found(_targets(spark, d), _answers(spark, d)).withColumns({"status": F.lit("done"), "model": F.lit("fake"), "verified": F.col("column_id") % 2 == 0})
     kept = grid.invalidate_cells(rows, old, new).join(a.documents(spark, d).select("document_id", "workspace_id"), "document_id")
@@ -126,8 +128,8 @@ def counts(spark, d):
 
 @register("g12_detail", "SELECT o_orderkey AS document_id, count(l_linenumber) AS n_citations, coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber), '') AS listed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
 def detail(spark, d):
-    orders = a.table(spark, d, "orders").select(_review(), F.col("o_orderkey").alias("document_id"), F.lit(0).alias("column_id"))
-    quotes = a.table(spark, d, "lineitem").select(_review(), F.col("l_orderkey").alias("document_id"), F.lit(0).alias("column_id"), F.col("l_linenumber").alias("quote_pos"), F.col("l_returnflag").alias("quoted_text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
+    orders = a.table(spark, d, "orders").select(F.lit(1).alias("review_id"), F.col("o_orderkey").alias("document_id"), F.lit(0).alias("column_id"))
+    quotes = a.table(spark, d, "lineitem").select(F.lit(1).alias("review_id"), F.col("l_orderkey").alias("document_id"), F.lit(0).alias("column_id"), F.col("l_linenumber").alias("quote_pos"), F.col("l_returnflag").alias("quoted_text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
     rows = grid.review_detail(orders, quotes)
     listed = F.coalesce(F.array_join(F.transform("citations", lambda c: c["quote_pos"].cast("string")), ","), F.lit(""))
     return rows.select("document_id", F.greatest(F.size("citations"), F.lit(0)).cast("long").alias("n_citations"), listed.alias("listed"))
@@ -151,8 +153,7 @@ def history(spark, d):
 
 @register("a3_chat", SENTENCES + ", p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, document_id, ordinal, no) AS marker FROM scored WHERE overlap > 0 QUALIFY marker <= 2) SELECT question_id, md5(string_agg('In ' || document_id || ': ' || sentence || ' [' || marker || ']', ' ' ORDER BY marker)) AS answer, count(*) AS n_citations FROM p GROUP BY 1")
 def chat(spark, d):
-    asked = a.questions(spark, d).withColumn("review_id", F.lit(1))
-    rows = assistant.chat_answers(a.page_chunks(spark, d).withColumn("review_id", F.lit(1)), asked, "review_id")
+    rows = assistant.chat_answers(a.page_chunks(spark, d), a.questions(spark, d), "review_id")
     return rows.where("NOT insufficient").select("question_id", F.md5("answer").alias("answer"), "n_citations")
 
 
@@ -174,21 +175,22 @@ def thread_summary(spark, d):
 
 # --- playbooks ----------------------------------------------------------------------------
 
-RULES = "rules AS (SELECT item_id AS rule_id, left(text, 40) AS topic, text AS preferred, substr(text, 41, 60) AS fallback, substr(text, 101, 60) AS bad FROM benchmark ORDER BY item_id LIMIT 4)"
+RULES = f"rules AS (SELECT item_id AS rule_id, {REVIEW.format('item_id')} AS review_id, left(text, 40) AS topic, text AS preferred, substr(text, 41, 60) AS fallback, substr(text, 101, 60) AS bad FROM benchmark)"
 
 
 def _findings(spark, d):
-    b = a.table(spark, d, "benchmark").orderBy("item_id").limit(4)
-    rules = b.select(F.col("item_id").alias("rule_id"), F.col("item_id").alias("ordinal_no"), F.substring("text", 1, 40).alias("topic"), F.col("text").alias("preferred_position"), F.substring("text", 41, 60).alias("fallback_position"), F.substring("text", 101, 60).alias("unacceptable_position"), F.lit(1).alias("playbook_id"))
-    return playbook.playbook_findings(a.page_chunks(spark, d).withColumn("playbook_id", F.lit(1)), rules, "playbook_id")
+    """Every benchmark item is a rule; the playbook of a document is the review it belongs to."""
+    b = a.table(spark, d, "benchmark")
+    rules = b.select(F.col("item_id").alias("rule_id"), F.col("item_id").alias("ordinal_no"), F.substring("text", 1, 40).alias("topic"), F.col("text").alias("preferred_position"), F.substring("text", 41, 60).alias("fallback_position"), F.substring("text", 101, 60).alias("unacceptable_position"), a.review_of(spark, d, F.col("item_id")).alias("playbook_id"))
+    return playbook.playbook_findings(a.page_chunks(spark, d).withColumnRenamed("review_id", "playbook_id"), rules, "playbook_id")
 
 
 FINDINGS = (
     SENTENCES
-    + f", {RULES}, rk AS (SELECT rule_id, list_distinct(list_concat({keys_sql('topic')}, {keys_sql('preferred')})) AS k, {keys_sql('preferred')} AS kp, {keys_sql('fallback')} AS kf, {keys_sql('bad')} AS kb FROM rules)"
-    + ", sc AS (SELECT document_id, rule_id, ordinal, no, sentence, len(list_intersect(w.k, rk.k)) AS overlap, len(list_intersect(w.k, kp)) AS p, len(list_intersect(w.k, kf)) AS f, len(list_intersect(w.k, kb)) AS b FROM w, rk)"
+    + f", {RULES}, rk AS (SELECT rule_id, review_id, list_distinct(list_concat({keys_sql('topic')}, {keys_sql('preferred')})) AS k, {keys_sql('preferred')} AS kp, {keys_sql('fallback')} AS kf, {keys_sql('bad')} AS kb FROM rules)"
+    + ", sc AS (SELECT document_id, rule_id, ordinal, no, sentence, len(list_intersect(w.k, rk.k)) AS overlap, len(list_intersect(w.k, kp)) AS p, len(list_intersect(w.k, kf)) AS f, len(list_intersect(w.k, kb)) AS b FROM w JOIN rk USING (review_id))"
     + ", top AS (SELECT * FROM sc WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY document_id, rule_id ORDER BY overlap DESC, ordinal, no) = 1)"
-    + ", findings AS (SELECT doc_id AS document_id, r.rule_id, CASE WHEN coalesce(overlap, 0) < 2 THEN 'not_addressed' WHEN p >= f AND p >= b THEN 'preferred' WHEN f >= b THEN 'fallback' ELSE 'unacceptable' END AS matched_position, sentence FROM documents CROSS JOIN rules r LEFT JOIN top ON top.document_id = doc_id AND top.rule_id = r.rule_id)"
+    + f", findings AS (SELECT doc_id AS document_id, r.rule_id, CASE WHEN coalesce(overlap, 0) < 2 THEN 'not_addressed' WHEN p >= f AND p >= b THEN 'preferred' WHEN f >= b THEN 'fallback' ELSE 'unacceptable' END AS matched_position, sentence FROM documents JOIN rules r ON r.review_id = {DOC_REVIEW} LEFT JOIN top ON top.document_id = doc_id AND top.rule_id = r.rule_id)"
 )
 
 

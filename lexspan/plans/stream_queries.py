@@ -42,12 +42,12 @@ def scanned_pages(spark, d):
 
 @register(
     "s7_t1b_requests",
-    f"""WITH {PAGES}, {QUESTIONS}, p AS (SELECT document_id, string_agg('[c' || ordinal || '] ' || text, chr(10) || chr(10) ORDER BY ordinal) AS passages FROM chunks GROUP BY 1), q AS (SELECT string_agg(question, chr(10) ORDER BY question_id) AS asked, sum(length(question)) AS n FROM questions)
-    SELECT document_id, 'run-0001-' || document_id || '-00000' AS custom_id, ((12 + length(passages) + n) // 4 + 500)::BIGINT AS request_tokens, md5(passages || chr(10) || chr(10) || asked) AS content FROM p, q""",
+    f"""WITH {PAGES}, {QUESTIONS}, p AS (SELECT document_id, any_value(review_id) AS review_id, string_agg('[c' || ordinal || '] ' || text, chr(10) || chr(10) ORDER BY ordinal) AS passages FROM chunks GROUP BY 1), q AS (SELECT review_id, string_agg(question, chr(10) ORDER BY question_id) AS asked, sum(length(question)) AS n FROM questions GROUP BY 1)
+    SELECT document_id, 'run-0001-' || document_id || '-00000' AS custom_id, ((12 + length(passages) + n) // 4 + 500)::BIGINT AS request_tokens, md5(passages || chr(10) || chr(10) || asked) AS content FROM p JOIN q USING (review_id)""",
 )
 def requests(spark, d):
-    asked = [r["question"] for r in a.questions(spark, d).orderBy("question_id").collect()]  # five questions
-    plan = a.documents(spark, d).select("document_id", F.lit(0).alias("group_no"), F.array(*[F.lit(q) for q in asked]).alias("questions"))
+    asked = a.questions(spark, d).groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("question_id", "question")))["question"].alias("questions"))
+    plan = a.documents(spark, d).select("document_id", "review_id", F.lit(0).alias("group_no")).join(asked, "review_id")
     lines = files.batch_requests(plan, a.page_chunks(spark, d), "run-0001-x", "Be truthful.")
     return lines.select("document_id", "custom_id", "request_tokens", F.md5(F.get_json_object("line", "$.body.input[1].content")).alias("content"))
 
