@@ -6,15 +6,19 @@ One partitioning by document serves all windows; text is carried once and sliced
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lexspan.functions import helpers
 from lexspan.functions import text as t
 
 DOC = "document_id"
+#: The plug point for a model: texts of a batch to their vectors.
+Embedder = Callable[[pd.Series], pd.Series]
 
 
 def pages_from_words(words: DataFrame) -> DataFrame:
@@ -105,12 +109,19 @@ def _page_at(offset: Column) -> Column:
 def bboxes_for_span(spans: DataFrame, pages: DataFrame) -> DataFrame:
     """Boxes of the words that each (document, span_id, char_start, char_end) overlaps, by page.
 
-    The join is an equality on the document; the overlap is its residual condition.
+    A span is first taken apart into the pages that it touches, on the short list of a
+    document's page ends; words then meet it by an equality on document and page, so the work
+    is per page however long the document is.
     """
-    words = pages.select(DOC, "page_number", "char_offset", F.posexplode("words").alias("word_no", "w")).where("w.x1 > w.x0 OR w.y1 > w.y0")
-    words = words.select(DOC, "page_number", "word_no", (F.col("char_offset") + F.col("w.start")).alias("_s"), (F.col("char_offset") + F.col("w.end")).alias("_e"), F.array("w.x0", "w.y0", "w.x1", "w.y1").alias("box"))
-    hit = spans.join(words, DOC).where((F.col("_e") > F.col("char_start")) & (F.col("_s") < F.col("char_end")))
-    paged = hit.groupBy(DOC, "span_id", "page_number").agg(F.array_sort(F.collect_list(F.struct("word_no", "box")))["box"].alias("boxes"))
+    ends = pages.select(DOC, "page_number", "char_offset", (F.col("char_offset") + F.char_length("text") if "text" in pages.columns else F.get(F.col("words.end"), F.size("words") - 1) + F.col("char_offset")).alias("_stop"))
+    listed = ends.groupBy(DOC).agg(F.collect_list(F.struct("page_number", "char_offset", "_stop")).alias("_pages"))
+    touched = F.filter("_pages", lambda p: (p["_stop"] > F.col("char_start")) & (p["char_offset"] < F.col("char_end")))
+    parts = spans.join(listed, DOC).withColumn("_p", F.explode(touched)).select(DOC, "span_id", F.col("_p.page_number").alias("page_number"), (F.col("char_start") - F.col("_p.char_offset")).alias("_a"), (F.col("char_end") - F.col("_p.char_offset")).alias("_b"))
+    on_page = parts.join(pages.select(DOC, "page_number", "words"), [DOC, "page_number"])
+    solid = lambda w: (w["x1"] > w["x0"]) | (w["y1"] > w["y0"])
+    covered = F.filter("words", lambda w: (w["end"] > F.col("_a")) & (w["start"] < F.col("_b")) & solid(w))
+    boxes = F.transform(covered, lambda w: F.array(w["x0"], w["y0"], w["x1"], w["y1"]))
+    paged = on_page.select(DOC, "span_id", "page_number", boxes.alias("boxes")).where(F.size("boxes") > 0)
     return paged.groupBy(DOC, "span_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("page_number", "boxes")))).alias("bboxes"))
 
 
@@ -245,12 +256,53 @@ def chunk_documents(pages: DataFrame, target: int = 800, most: int = 1500) -> Da
     )
 
 
-def ingest(pages: DataFrame, target: int = 800, most: int = 1500) -> tuple[DataFrame, DataFrame]:
-    """(documents with status and error, chunks); problems are rows, not exceptions."""
-    placed = with_offsets(pages)
-    chunks = chunk_documents(placed, target, most)
-    problems = check_offsets(placed, chunks).groupBy(DOC).agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("error"))
-    counts = chunks.groupBy(DOC).agg(F.count(F.lit(1)).alias("n_chunks"))
+def embed_chunks(chunks: DataFrame, embedder: Embedder, *, dim: int = 1536, batch: int = 96, stored: DataFrame | None = None) -> DataFrame:
+    """``chunks`` with ``embedding`` and ``embed_error``.
+
+    ``stored`` (document_id, ordinal, text, embedding) are chunks of an earlier run: one whose
+    text is still the same and whose vector is there is not embedded again.
+    """
+    key = [DOC, "ordinal"]
+    ask = helpers.embed_batches(embedder, dim, batch)
+    open_, kept = chunks, None
+    if stored is not None:
+        have = stored.where("embedding IS NOT NULL").select(*key, F.xxhash64("text").alias("_same"), "embedding")
+        marked = chunks.withColumn("_same", F.xxhash64("text"))
+        kept = marked.join(have, [*key, "_same"]).select(*chunks.columns, "embedding", F.lit(None).cast("string").alias("embed_error"))
+        open_ = marked.join(have.select(*key, "_same"), [*key, "_same"], "left_anti").select(*chunks.columns)
+    new = open_.withColumn("_e", ask(t.embedding_input(F.col("section_path"), F.col("text")))).select(*chunks.columns, F.col("_e.vector").alias("embedding"), F.col("_e.error").alias("embed_error"))
+    return new if kept is None else kept.unionByName(new)
+
+
+def document_status(pages: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Documents with status and error from their pages and (stored) chunks; problems are rows, not exceptions.
+
+    Chunks that carry ``embed_error`` make their document fail with it; without vectors a
+    document is ready when its chunks are right.
+    """
+    placed = pages if "char_offset" in pages.columns else with_offsets(pages)
+    problems = check_offsets(placed, chunks)
+    counted = [F.count(F.lit(1)).alias("n_chunks")]
+    if "embedding" in chunks.columns:
+        counted.append(F.count("embedding").alias("n_vectors"))
+        problems = problems.unionByName(chunks.where("embed_error IS NOT NULL").select(DOC, F.col("embed_error").alias("problem")))
+    problems = problems.groupBy(DOC).agg(F.array_join(F.array_sort(F.collect_set("problem")), "; ").alias("error"))
+    counts = chunks.groupBy(DOC).agg(*counted)
     documents = pages.groupBy(DOC).agg(F.count(F.lit(1)).alias("page_count")).join(counts, DOC, "left").join(problems, DOC, "left")
     status = F.when(F.col("error").isNull(), "ready").otherwise("failed")
-    return documents.select(DOC, "page_count", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"), status.alias("status"), F.substring("error", 1, 2000).alias("error")), chunks
+    numbers = [F.coalesce(c, F.lit(0)).alias(c) for c in ("n_chunks", "n_vectors") if c in documents.columns]
+    return documents.select(DOC, "page_count", *numbers, status.alias("status"), F.substring("error", 1, 2000).alias("error"))
+
+
+def ingest(pages: DataFrame, target: int = 800, most: int = 1500, *, embedder: Embedder | None = None, stored: DataFrame | None = None, dim: int = 1536, batch: int = 96) -> tuple[DataFrame, DataFrame]:
+    """(documents with status and error, chunks).
+
+    With an ``embedder`` (texts of a batch to vectors) chunks carry vectors; those of ``stored``
+    are taken over. Both results are lazy: a job that writes them writes the chunks first and
+    takes ``document_status`` of what it wrote, so that nothing is embedded twice.
+    """
+    placed = with_offsets(pages)
+    chunks = chunk_documents(placed, target, most)
+    if embedder is not None:
+        chunks = embed_chunks(chunks, embedder, dim=dim, batch=batch, stored=stored)
+    return document_status(placed, chunks), chunks

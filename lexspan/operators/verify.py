@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lexspan.functions import helpers, text as t
+from lexspan.operators.ingest import bboxes_for_span, page_for_offset
 
 DOC = "document_id"
 FOUND = ["quote_id", DOC, "ordinal", "char_start", "char_end", "match_kind", "similarity"]
@@ -52,6 +53,17 @@ def verify_quotes(quotes: DataFrame, chunks: DataFrame, documents: DataFrame, th
     return exact.unionByName(relocated).unionByName(fuzzy)
 
 
+def located(found: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """Verified quotes with the words of the source, their page and the boxes they cover on each page.
+
+    ``pages`` carry char_offset and words. The page of a quote is the last one that begins at
+    or before it; boxes come from every page that it touches.
+    """
+    paged = page_for_offset(found, pages, "char_start").withColumnRenamed("char_start_page", "page")
+    boxes = bboxes_for_span(found.select(DOC, F.col("quote_id").alias("span_id"), "char_start", "char_end"), pages)
+    return with_source(paged, documents).join(boxes.withColumnRenamed("span_id", "quote_id"), [DOC, "quote_id"], "left")
+
+
 def with_source(found: DataFrame, documents: DataFrame) -> DataFrame:
     """Verified quotes with the words of the source."""
     return found.join(documents.select(DOC, F.col("text").alias("_text")), DOC).withColumn("quoted_text", F.substring("_text", F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))).drop("_text")

@@ -106,6 +106,29 @@ def fuzzy_quotes(spark, d):
     return verify.verify_quotes(quotes, a.page_chunks(spark, d), ingest_documents(spark, d)).withColumn("similarity", F.round("similarity", 6))
 
 
+#: Places of the words of each page, in the document.
+PLACES = "wp AS (SELECT document_id, page_number, s, s + length(tok) AS e FROM (SELECT document_id, page_number, tok, char_offset + coalesce(sum(length(tok) + 1) OVER (PARTITION BY document_id, page_number ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM (SELECT document_id, page_number, char_offset, i, string_split(text, ' ')[i] AS tok FROM pages, unnest(range(1, len(string_split(text, ' ')) + 1)) AS u(i))) WHERE tok <> '')"
+
+
+@register(
+    "g8_v4_located",
+    BEST
+    + f""", {PLACES}, b AS (SELECT best.document_id, question_id AS column_id, best.ordinal, sentence, c.char_start + instr(c.text, sentence) - 1 AS char_start, c.page_number AS page FROM best JOIN (SELECT *, ordinal + 1 AS page_number FROM chunks) c ON c.document_id = best.document_id AND c.ordinal = best.ordinal WHERE question_id % 3 <> 0 AND length(sentence) <= 300),
+    k AS (SELECT b.document_id, b.column_id, count(*) AS n_boxes FROM b JOIN wp ON wp.document_id = b.document_id AND wp.page_number = b.page AND wp.e > b.char_start AND wp.s < b.char_start + length(sentence) GROUP BY 1, 2)
+    SELECT b.document_id, b.column_id, b.page::INT AS page, b.char_start::INT AS char_start, (b.char_start + length(sentence))::INT AS char_end, md5(sentence) AS quoted_text, 'exact' AS match_kind, k.n_boxes FROM b JOIN k USING (document_id, column_id)""",
+)
+def located(spark, d):
+    """Quotes of up to 300 letters with page and boxes; every third question's are written backwards, must be turned down and are not among them."""
+    found = _answers(spark, d).where("char_length(quote) <= 300")
+    forged = F.when(F.col("column_id") % 3 == 0, F.reverse("quote")).otherwise(F.col("quote"))
+    quotes = found.select(F.concat_ws(":", "document_id", "column_id").alias("quote_id"), "document_id", F.col("chunk_ordinal").alias("ordinal"), forged.alias("quote"))
+    documents = ingest_documents(spark, d)
+    proved = verify.verify_quotes(quotes, a.page_chunks(spark, d), documents)
+    rows = verify.located(proved, documents, a.pages_with_words(spark, d))
+    boxes = F.aggregate(F.map_values("bboxes"), F.lit(0), lambda s, x: s + F.size(x)).cast("long")
+    return rows.select("document_id", F.element_at(F.split("quote_id", ":"), 2).cast("long").alias("column_id"), "page", "char_start", "char_end", F.md5("quoted_text").alias("quoted_text"), "match_kind", boxes.alias("n_boxes"))
+
+
 @register("g9_grid_table", CELLS + ", p AS (SELECT question_id, row_number() OVER (PARTITION BY review_id ORDER BY question_id) - 1 AS pos FROM questions) SELECT document_id, " + ", ".join(f"max(CASE WHEN pos = {k} THEN CASE WHEN not_found THEN 'Not found' ELSE trim(regexp_replace(sentence, '\\s+', ' ', 'g')) || CASE WHEN column_id % 4 = 3 THEN ' [UNVERIFIED]' ELSE '' END END END) AS \"c{k}\"" for k in range(a.PER_REVIEW)) + " FROM cells JOIN p ON question_id = column_id GROUP BY 1")
 def table(spark, d):
     """The columns of every review in their order; every fourth question counts as unproved."""
