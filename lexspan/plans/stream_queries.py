@@ -1,13 +1,14 @@
-"""Registered queries of sources, sinks and streaming jobs, on their batch side."""
+"""Registered queries of sources, sinks and streaming jobs."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from lexspan.functions import helpers
 from lexspan.operators import ingest
 from lexspan.plans import adapters as a
 from lexspan.plans.queries import PAGES, QUESTIONS, register
-from lexspan.sources import files
+from lexspan.sources import files, versions
 from lexspan.streaming import jobs
 
 
@@ -69,28 +70,79 @@ def cell_state(spark, d):
     return jobs.latest_cells(e, "user_id", "event_type").select("user_id", "event_type", "status", "demo")
 
 
-@register("st3_run_progress", "SELECT user_id AS run_id, 20::BIGINT AS total_cells, least(count(*), 20) AS done_cells, CASE WHEN count(*) >= 20 THEN 'done' ELSE 'running' END AS status FROM events GROUP BY 1")
+def _stream(spark, d, name):
+    """A given table as a file stream; the pattern lets the table be one file or a folder of files."""
+    return spark.readStream.schema(a.table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
+
+
+UPDATES = ("user_id AS run_id", "event_id AS update_id", "CAST(ts AS timestamp) AS event_time", "CAST(1 AS bigint) AS n", "CAST(20 AS bigint) AS total_cells")
+PROGRESS = """WITH o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) SELECT user_id AS run_id, 20::BIGINT AS total_cells, least(count(*), 20) AS done_cells, CASE WHEN count(*) >= 20 THEN 'done' ELSE 'running' END AS status,
+    strftime(max(CASE WHEN k = 20 THEN ts END), '%Y-%m-%d %H:%M:%S') AS completed_at FROM o GROUP BY 1"""
+
+
+def _shown(rows):
+    return rows.select("run_id", "total_cells", "done_cells", "status", F.date_format("completed_at", "yyyy-MM-dd HH:mm:ss").alias("completed_at"))
+
+
+@register("st3_run_progress", PROGRESS)
 def progress(spark, d):
-    e = a.table(spark, d, "events").select(F.col("user_id").alias("run_id"), F.lit(1).alias("n"), F.lit(20).cast("long").alias("total_cells"))
-    return jobs.run_progress(e)
+    return _shown(jobs.run_progress(a.table(spark, d, "events").selectExpr(*UPDATES)))
+
+
+@register("st3_run_progress_stream", PROGRESS)
+def progress_stream(spark, d):
+    path = jobs.work_dir(spark)
+    jobs.run_progress_stream(_stream(spark, d, "events").selectExpr(*UPDATES), f"{path}/t", f"{path}/c")
+    return _shown(files.read_documents(spark, f"{path}/t", "run_id"))
 
 
-@register("st4_rate_windows", "WITH c AS (SELECT event_id AS call_id, user_id, epoch_us(ts) AS t, (props->>'$.k')::BIGINT AS k FROM events) SELECT call_id, count(*) OVER w AS requests, sum(k) OVER w AS tokens FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+RATES = "WITH c AS (SELECT event_id AS call_id, user_id, epoch_us(ts) AS t, coalesce((props->>'$.k')::BIGINT, 0) AS k FROM events) SELECT call_id, count(*) OVER w AS requests, sum(k) OVER w AS tokens FROM c WINDOW w AS (PARTITION BY user_id ORDER BY t RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)"
+
+
+@register("st4_rate_windows", RATES)
 def rates(spark, d):
-    return jobs.rate_windows(a.calls(spark, d), 300, 400_000, "user_id").select("call_id", "requests", F.col("tokens").cast("double").alias("tokens"))
+    calls = a.calls(spark, d).withColumn("input_tokens", F.coalesce("input_tokens", F.lit(0)))
+    return jobs.rate_windows(calls, 300, 400_000, "user_id").select("call_id", "requests", F.col("tokens").cast("double").alias("tokens"))
+
+
+@register("st4_rate_stream", RATES)
+def rates_of_stream(spark, d):
+    path = jobs.work_dir(spark)
+    calls = _stream(spark, d, "events").select(F.col("event_id").alias("call_id"), F.col("ts").cast("timestamp").alias("ts"), "user_id", F.get_json_object("props", "$.k").cast("long").alias("input_tokens"))
+    jobs.rate_stream(calls, f"{path}/t", f"{path}/c", 300, 400_000)
+    return files.read_documents(spark, f"{path}/t", "call_id").select("call_id", "requests", F.col("tokens").cast("double").alias("tokens"))
 
 
-@register("st5_answer_text", "SELECT conv_id, turn, text AS answer FROM conversations")
+@register("st5_answer_text", "SELECT conv_id || ':' || turn AS message_id, coalesce(text, '') AS answer, true AS done FROM conversations")
 def answer_text(spark, d):
-    c = a.table(spark, d, "conversations").select("conv_id", "turn", F.to_json(F.struct(F.lit("answer").alias("kind"), F.col("text").alias("answer"))).alias("json"))
-    return c.select("conv_id", "turn", F.get_json_object("json", "$.answer").alias("answer"))
+    """Every turn as a JSON text that comes in pieces of 7 letters through the stream."""
+    path = jobs.work_dir(spark)
+    text = F.to_json(F.struct(F.lit("answer").alias("kind"), F.coalesce("text", F.lit("")).alias("answer"), F.lit(1).alias("n")))
+    turns = _stream(spark, d, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("message_id"), text.alias("json"), F.timestamp_seconds(F.lit(1_700_000_000)).alias("event_time"))
+    pieces = F.transform(F.sequence(F.lit(0), F.floor((F.char_length("json") - 1) / 7)), lambda i: F.struct(i.alias("seq"), F.substring("json", i * 7 + 1, F.lit(7)).alias("delta")))
+    deltas = turns.select("message_id", "event_time", F.explode(pieces).alias("p")).select("message_id", F.col("p.seq").alias("seq"), F.col("p.delta").alias("delta"), "event_time")
+    jobs.run_available(jobs.answer_field_stream(deltas), lambda batch, n: versions.write(batch, f"{path}/t", n), f"{path}/c", "update")
+    return jobs.answers(spark.read.parquet(f"{path}/t/data").drop("version"))
 
 
 @register("st7_registrations", "SELECT lang AS matter_id, sha256(coalesce(text, '')) AS sha256, min(doc_id) AS document_id FROM documents GROUP BY 1, 2")
 def registrations(spark, d):
-    from lexspan.operators.listing import dedupe_documents
-
-    kept = dedupe_documents(a.documents(spark, d), ["matter_id"], ["document_id"]).where("NOT duplicate")
-    return kept.select("matter_id", "sha256", "document_id")
-
-
+    path = jobs.work_dir(spark)
+    stamped = F.timestamp_seconds(F.lit(1_700_000_000) + F.col("doc_id")).alias("created_at")
+    rows = _stream(spark, d, "documents").select(F.col("lang").alias("matter_id"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"), F.col("doc_id").alias("document_id"), stamped)
+    jobs.dedupe_stream(rows, f"{path}/t", f"{path}/c")
+    return versions.current(spark, f"{path}/t", "matter_id", "sha256").select("matter_id", "sha256", "document_id")
+
+
+@register("st1_ingest_stream", f"WITH {PAGES}, c AS (SELECT document_id, count(*) AS page_count, trim(string_agg(text, ''), ' ' || chr(10)) = '' AS blank FROM chunks GROUP BY 1) SELECT document_id, page_count, CASE WHEN blank THEN 'failed' ELSE 'ready' END AS status, CASE WHEN blank THEN 'no text' END AS error FROM c")
+def ingested_stream(spark, d):
+    """All documents as a stream of pages, through chunks, vectors and status."""
+    path = jobs.work_dir(spark)
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int"))
+    page = F.transform(numbers, lambda i: F.struct((i + 1).alias("page_number"), F.array_join(F.slice(lines, i * 5 + 1, F.lit(5)), "\n\n").alias("text")))
+    pages = _stream(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.explode(page).alias("p")).select("document_id", "p.page_number", "p.text")
+    jobs.ingest_stream(pages, path, f"{path}/c", target=200, most=400, embedder=helpers.hash_vectors(64), dim=64)
+    done = files.read_documents(spark, f"{path}/documents")
+    ready = (F.col("status") == "ready") & (F.col("n_vectors") == F.col("n_chunks")) & (F.col("n_chunks") > 0)
+    return done.select("document_id", "page_count", F.when(ready, "ready").otherwise("failed").alias("status"), "error")

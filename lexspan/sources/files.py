@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lexspan.sources import versions
+
 #: Accepted kinds of files.
 MIME = {".pdf": "application/pdf", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document"}
 
@@ -19,28 +21,14 @@ def scan_files(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(name.alias("filename"), F.col("length").alias("size_bytes"), F.sha2("content", 256).alias("sha256"), kind.alias("mime_type"), kind.isNotNull().alias("accepted"))
 
 
-def replace_documents(rows: DataFrame, path: str, buckets: int = 16, key: str = "document_id") -> None:
-    """Write rows so that a document's earlier rows go: only its buckets are rewritten.
-
-    Rows of other documents in those buckets are carried over through a staged copy, because
-    a job must not overwrite what it reads.
-    """
-    spark = rows.sparkSession
-    placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
-    merged = placed
-    if _exists(spark, path):
-        old = spark.read.parquet(path)
-        touched = placed.select("bucket").distinct()  # at most ``buckets`` rows
-        kept = old.join(F.broadcast(touched), "bucket", "left_semi").join(placed.select(key).distinct(), key, "left_anti")
-        merged = kept.unionByName(placed)
-        merged.write.mode("overwrite").parquet(f"{path.rstrip('/')}_staging")
-        merged = spark.read.parquet(f"{path.rstrip('/')}_staging")
-    merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop)
+def replace_documents(rows: DataFrame, path: str, key: str = "document_id", version: int | None = None) -> None:
+    """Write rows so that a document's earlier rows go; see ``versions`` for what readers see meanwhile."""
+    versions.replace(rows, path, key, version=version)
+
+
+def read_documents(spark: SparkSession, path: str, key: str = "document_id", before: int | None = None) -> DataFrame | None:
+    """The rows of a table that ``replace_documents`` writes."""
+    return versions.current(spark, path, key, before=before)
 
 
 def export_grid_csv(table: DataFrame, path: str) -> None:

@@ -74,7 +74,7 @@ def test_listing_and_files(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     files.replace_documents(docs.select("document_id", "matter_id"), path)
     files.replace_documents(spark.createDataFrame([(2, "z"), (9, "y")], "document_id long, matter_id string"), path)
-    assert sorted((r.document_id, r.matter_id) for r in spark.read.parquet(path).collect()) == [(1, "m"), (2, "z"), (3, "n"), (9, "y")]
+    assert sorted((r.document_id, r.matter_id) for r in files.read_documents(spark, path).collect()) == [(1, "m"), (2, "z"), (3, "n"), (9, "y")]
     files.export_grid_csv(docs.select("document_id", "matter_id").coalesce(1), f"file://{tmp_path}/csv")
     text = next((tmp_path / "csv").glob("part-*.csv")).read_text(encoding="utf-8")
     assert text.startswith("﻿document_id,matter_id\n1,m\n")
@@ -88,15 +88,7 @@ def test_streams(spark, tmp_path):
     jobs.cell_state_stream(spark.readStream.schema(schema).parquet(source), table, f"{tmp_path}/c", "user")
     spark.sql("SELECT 1L AS user, timestamp'2024-01-01 00:00:03' AS event_time, 'late' AS status, false AS demo UNION ALL SELECT 2L, timestamp'2024-01-01 00:00:03', 'x', false").write.mode("append").parquet(source)
     jobs.cell_state_stream(spark.readStream.schema(schema).parquet(source), table, f"{tmp_path}/c", "user")
-    assert sorted((r.user, r.status, r.demo) for r in spark.read.parquet(table).collect()) == [(1, "new", True), (2, "x", False)]
-
-
-def test_answer_pieces():
-    whole = '{"kind": "answer", "answer": "line\\none \\"two\\" \\u2014 done", "x": 1}'
-    for size in (1, 2, 3, 5, 7, 11):
-        seen = [jobs.answer_so_far(whole[:i]) for i in range(0, len(whole) + size, size)]
-        assert seen[-1] == 'line\none "two" — done'
-        assert all(seen[-1].startswith(s) for s in seen)
+    assert sorted((r.user, r.status, r.demo) for r in files.read_documents(spark, table, "_key").collect()) == [(1, "new", True), (2, "x", False)]
 
 
 def test_written_dates_in_cells(spark):
