@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import text as t
 from lexspan.operators.grid import sentence_overlap, with_sentence
+from lexspan.operators.verify import verify_quotes
 
 
 def thread_documents(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -53,9 +54,32 @@ def verify_messages(messages: DataFrame, citations: DataFrame, held: DataFrame)
     return rows.withColumns({"content": t.strip_markers(F.col("content"), F.col("dropped")), "verified": F.col("insufficient") | ((F.col("kept") > 0) & (F.size("dropped") == 0))})
 
 
+def prove_messages(messages: DataFrame, citations: DataFrame, hits: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """(messages without the marks of citations that did not hold, the citations that held).
+
+    ``citations`` (message_id, marker, label, quote) name passages by the labels of ``hits``
+    (message_id, label, document_id, ordinal); one with an unknown label does not hold. Quotes
+    are looked for as those of cells are: in the named passage, then in its document.
+    """
+    named = citations.withColumn("quote_id", F.concat_ws(":", "message_id", "marker"))
+    asked = named.join(hits, ["message_id", "label"]).select("quote_id", "document_id", F.col("ordinal").cast("int").alias("ordinal"), "quote")
+    held = verify_quotes(asked, chunks, documents, threshold)
+    shown = named.select("message_id", "marker", "quote_id").join(held, "quote_id")
+    return verify_messages(messages, named.select("message_id", "marker", "quote_id"), held.select("quote_id")), shown
+
+
 def thread_summary(threads: DataFrame, links: DataFrame, messages: DataFrame) -> DataFrame:
-    """Counts per thread, each summed before the join; an untitled thread takes its first question, cut at 80."""
+    """Counts per thread, newest thread first (``place``), and whether a stand-in answered in it.
+
+    Sides are summed before the join; an untitled thread takes its first question, cut at 80.
+    """
     documents = links.groupBy("thread_id").agg(F.count(F.lit(1)).alias("documents"))
-    spoken = messages.groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages"), F.min_by(F.when(F.col("role") == "user", F.col("content")), F.when(F.col("role") == "user", F.col("position"))).alias("_first"))
+    user = F.col("role") == "user"
+    fake = F.col("model") == "fake" if "model" in messages.columns else F.lit(False)
+    spoken = messages.groupBy("thread_id").agg(F.count(F.lit(1)).alias("messages"), F.min_by(F.when(user, F.col("content")), F.when(user, F.col("position"))).alias("_first"), F.coalesce(F.bool_or(fake), F.lit(False)).alias("_demo"))
     rows = threads.join(documents, "thread_id", "left").join(spoken, "thread_id", "left")
-    return rows.select("thread_id", F.coalesce("title", F.substring("_first", 1, 80)).alias("title"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("messages", F.lit(0)).alias("messages"))
+    created = F.col("created_at") if "created_at" in threads.columns else F.lit(None)
+    scope = [c for c in ("matter_id",) if c in threads.columns]
+    place = F.row_number().over(Window.partitionBy(*scope).orderBy(F.desc_nulls_last("created_at"), "thread_id")) if scope else F.lit(None).cast("int")
+    title = F.coalesce("title", F.substring(t.strip(F.col("_first")), 1, 80))
+    return rows.withColumn("created_at", created).select("thread_id", *scope, title.alias("title"), F.coalesce("documents", F.lit(0)).alias("documents"), F.coalesce("messages", F.lit(0)).alias("messages"), F.coalesce("_demo", F.lit(False)).alias("demo"), place.alias("place"))

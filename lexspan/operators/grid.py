@@ -111,7 +111,7 @@ def match_answers(targets: DataFrame, answers: DataFrame) -> DataFrame:
     """Answers by group label; unknown labels drop out, targets without an answer fail."""
     matched = targets.join(answers, ["document_id", "group_no", "label"], "left")
     missing = F.col("value").isNull() & F.coalesce(~F.col("not_found"), F.lit(True))
-    return matched.withColumns({"status": F.when(missing, "failed").otherwise("done"), "error": F.when(missing, F.lit("the model returned no answer for this column"))})
+    return matched.withColumns({"status": F.when(missing, "failed").otherwise("done"), "error": F.when(missing, F.lit("model returned no answer for this question"))})
 
 
 def with_written_dates(rows: DataFrame, text, default_date: str | None) -> DataFrame:
@@ -124,18 +124,38 @@ def with_written_dates(rows: DataFrame, text, default_date: str | None) -> DataF
     return rows.where(~open_).withColumn("_written", none).unionByName(worded)
 
 
+def reset_cells(existing: DataFrame, targets: DataFrame) -> DataFrame:
+    """Cells of a review when a run begins: those of its targets wait without an error, new ones are added, the others stay."""
+    waiting = targets.select(*CELL).withColumns({"status": F.lit("pending"), "error": F.lit(None).cast("string")})
+    kept = existing.join(targets.select(*CELL), CELL, "left_anti")
+    back = waiting.join(existing.drop("status", "error"), CELL, "left")
+    return kept.unionByName(back.select(*kept.columns))
+
+
+def fail_unready(cells: DataFrame, documents: DataFrame) -> DataFrame:
+    """``cells`` (status, error, ...) of documents that are not ready have failed, whatever was answered."""
+    state = documents.select("document_id", F.col("status").alias("_state"))
+    unready = F.coalesce(F.col("_state") != "ready", F.lit(True))
+    why = F.concat(F.lit("document is "), F.coalesce("_state", F.lit("missing")), F.lit(", not ready"))
+    return cells.join(state, "document_id", "left").withColumns({"status": F.when(unready, "failed").otherwise(F.col("status")), "error": F.when(unready, why).otherwise(F.col("error"))}).drop("_state")
+
+
 def apply_answers(answers: DataFrame, citations: DataFrame, default_date: str | None = None) -> DataFrame:
     """Cells: verified if not found or if any of its quotes held; a value that was not found is blank.
 
-    With ``default_date`` dates in words are read too; it supplies the parts that they leave out.
+    Answers with ``status`` failed have no value and are not verified; ``from_cache`` is kept
+    (false where it is missing). With ``default_date`` dates in words are read too; it
+    supplies the parts that they leave out.
     """
     held = citations.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_citations"))
-    cells = answers.join(held, CELL, "left").withColumn("n_citations", F.coalesce("n_citations", F.lit(0)))
+    cells = answers.join(held, CELL, "left")
+    bad = F.coalesce(F.col("status") == "failed", F.lit(False)) if "status" in answers.columns else F.lit(False)
+    lost, blank = F.coalesce("not_found", F.lit(False)), bad | F.coalesce("not_found", F.lit(False))
     flat = t.collapse_ws(F.coalesce(F.col("value"), F.lit("")))
-    cells = with_written_dates(cells, flat, default_date)
+    cells = with_written_dates(cells.withColumn("n_citations", F.when(bad, 0).otherwise(F.coalesce("n_citations", F.lit(0)))), flat, default_date)
     typed = t.typed_value(flat, F.col("output_type"), F.col("enum_options"), F.col("_written"))
-    cells = cells.withColumns({"value_json": F.when(~F.col("not_found"), typed), "verified": F.col("not_found") | (F.col("n_citations") > 0)})
-    return cells.withColumn("value_text", F.when(F.col("not_found"), "").otherwise(t.value_text(flat, F.col("output_type"), F.col("value_json")))).drop("_written")
+    cells = cells.withColumns({"value_json": F.when(~blank, typed), "verified": ~bad & (lost | (F.col("n_citations") > 0)), "from_cache": F.coalesce("from_cache", F.lit(False)) if "from_cache" in answers.columns else F.lit(False)})
+    return cells.withColumn("value_text", F.when(blank, "").otherwise(t.value_text(flat, F.col("output_type"), F.col("value_json")))).drop("_written")
 
 
 def grid_table(cells: DataFrame, column_ids: list, row: str = "document_id") -> DataFrame:
@@ -165,11 +185,34 @@ def grid_counts(cells: DataFrame, *keys: str) -> DataFrame:
     )
 
 
-def review_detail(cells: DataFrame, citations: DataFrame) -> DataFrame:
+def with_citations(cells: DataFrame, citations: DataFrame) -> DataFrame:
     """Cells with their citations nested, in order."""
-    nested = citations.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct("quote_pos", "quoted_text", "char_start", "char_end"))).alias("citations"))
+    fields = [c for c in ("quote_pos", "quoted_text", "page", "char_start", "char_end", "match_kind") if c in citations.columns]
+    nested = citations.groupBy(*CELL).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("citations"))
     return cells.join(nested, CELL, "left")
 
 
+def review_detail(rows: DataFrame, documents: DataFrame, columns: DataFrame, cells: DataFrame, citations: DataFrame, runs: DataFrame, last: int = 5) -> DataFrame:
+    """A review as shown: one row per document in row order, with all that belongs to it nested.
+
+    ``rows`` (review_id, document_id, row_order) without their document drop out. ``cells`` are
+    an array in column order, of every column, empty where there is no cell yet, with the
+    citations inside. ``runs`` are the review's newest, newest first; ``demo`` tells whether
+    any of its cells comes from a stand-in. Each side is summed before it is joined; a row
+    never holds more than one document's cells.
+    """
+    asked = columns.groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "column_id", "question"))).alias("columns"))
+    shown = with_citations(cells, citations)
+    fields = [c for c in shown.columns if c not in ("review_id", "document_id")]
+    cell = shown.groupBy("review_id", "document_id").agg(F.map_from_entries(F.collect_list(F.struct("column_id", F.struct(*fields).alias("cell")))).alias("_cells"))
+    newest_runs = runs.withColumn("_place", F.row_number().over(Window.partitionBy("review_id").orderBy(F.desc("created_at"), F.desc("run_id")))).where(F.col("_place") <= last)
+    listed = newest_runs.groupBy("review_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("_place", "run_id", "status"))), lambda r: r.dropFields("_place")).alias("runs"))
+    demo = cells.groupBy("review_id").agg(F.coalesce(F.bool_or(F.col("model") == "fake"), F.lit(False)).alias("demo"))
+    known = rows.join(documents.select("document_id", F.col("status").alias("document_status"), "page_count"), "document_id")
+    whole = known.join(asked, "review_id", "left").join(cell, ["review_id", "document_id"], "left").join(listed, "review_id", "left").join(demo, "review_id", "left")
+    in_order = F.transform("columns", lambda c: F.struct(c["column_id"].alias("column_id"), F.try_element_at(F.col("_cells"), c["column_id"]).alias("cell")))
+    return whole.select("review_id", "document_id", "row_order", "document_status", "page_count", "columns", in_order.alias("cells"), "runs", F.coalesce("demo", F.lit(False)).alias("demo"))
+
+
 def is_set(column: Column) -> Column:
     return F.coalesce(column, F.lit("")) != ""

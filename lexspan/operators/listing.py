@@ -34,11 +34,20 @@ def latest(rows: DataFrame, keys: list[str], order: list, n: int) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("place") <= n)
 
 
-def append_rows(existing: DataFrame, new: DataFrame, review: str = "review_id") -> DataFrame:
-    """New documents of a review, numbered on from its last row."""
-    last = existing.groupBy(review).agg(F.max("row_order").alias("_last"))
-    fresh = new.join(existing, [review, "document_id"], "left_anti").join(last, review, "left")
-    return fresh.withColumn("row_order", F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy(review).orderBy("document_id"))).drop("_last")
+def append_rows(existing: DataFrame, new: DataFrame, review: str = "review_id", matter: str | None = None) -> tuple[DataFrame, DataFrame] | DataFrame:
+    """New documents of a review, numbered on from its last row.
+
+    With ``matter``, a column of ``new`` and of ``existing``, documents of another matter than
+    their review's are refused: (rows to append, refused rows).
+    """
+    held = [F.max("row_order").alias("_last"), *([F.max(matter).alias("_matter")] if matter else [])]
+    last = existing.groupBy(review).agg(*held)
+    fresh = new.join(existing.select(review, "document_id"), [review, "document_id"], "left_anti").join(last, review, "left")
+    number = F.coalesce("_last", F.lit(0)) + F.row_number().over(Window.partitionBy(review).orderBy("document_id"))
+    if matter is None:
+        return fresh.withColumn("row_order", number).drop("_last")
+    foreign = F.coalesce(F.col(matter) != F.col("_matter"), F.lit(False))
+    return fresh.where(~foreign).withColumn("row_order", number).drop("_last", "_matter"), fresh.where(foreign).drop("_last", "_matter")
 
 
 def cascade_delete(ids: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:

@@ -30,7 +30,9 @@ def _span(base: Column, start: Column, size: Column) -> tuple[Column, Column]:
 def verify_quotes(quotes: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = 0.9) -> DataFrame:
     """Verified quotes with their place in the document; others are left out."""
     asked = quotes.withColumn("needle", t.strip(normalised(F.col("quote"))["text"])).where("char_length(needle) >= 3").drop("quote").persist(StorageLevel.MEMORY_AND_DISK)
-    passages = chunks.select(DOC, "ordinal", "char_start", "text").withColumn("n", normalised(F.col("text"))).drop("text").withColumnRenamed("char_start", "_base")
+    # Only passages that a quote names are normalised.
+    quoted = chunks.select(DOC, "ordinal", "char_start", "text").join(asked.select(DOC, "ordinal").distinct(), [DOC, "ordinal"], "left_semi")
+    passages = quoted.withColumn("n", normalised(F.col("text"))).drop("text").withColumnRenamed("char_start", "_base")
     named = asked.join(passages, [DOC, "ordinal"]).persist(StorageLevel.MEMORY_AND_DISK)
     at = F.instr(F.col("n.text"), F.col("needle")) - 1
     start, end = _span(F.col("_base"), at, F.char_length("needle"))

@@ -9,6 +9,8 @@ from lexspan.functions import text as t
 from lexspan.operators import assistant, evaluate, grid, listing, playbook, verify
 from lexspan.plans import adapters as a
 from lexspan.plans.queries import PAGES, QUESTIONS, REVIEW, keys_sql, register
+from lexspan.sources import files
+from lexspan.streaming import jobs
 
 
 DOC_REVIEW = REVIEW.format("doc_id")
@@ -149,13 +151,85 @@ def counts(spark, d):
     return grid.grid_counts(kept, "workspace_id")
 
 
-@register("g12_detail", "SELECT o_orderkey AS document_id, count(l_linenumber) AS n_citations, coalesce(string_agg(l_linenumber, ',' ORDER BY l_linenumber), '') AS listed FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1")
+FLAT = "trim(regexp_replace(sentence, '\\s+', ' ', 'g'))"
+#: The answered grid: documents divisible by five are not ready; every third question's quotes do not hold; every fourth comes from the cache.
+DETAIL = (
+    CELLS
+    + f""", g AS (SELECT *, document_id % 5 = 0 AS unready, CASE WHEN document_id % 5 = 0 OR not_found THEN '' ELSE {FLAT} END AS value_text, CASE WHEN document_id % 5 <> 0 AND NOT not_found AND column_id % 3 <> 0 THEN 1 ELSE 0 END AS n FROM cells),
+    shown AS (SELECT document_id, any_value(review_id) AS review_id, any_value(unready) AS unready, string_agg(column_id || ':' || CASE WHEN unready THEN 'failed:document is failed, not ready' ELSE 'done:' END || ':' || (NOT unready AND (not_found OR n > 0)) || ':' || (column_id % 4 = 0) || ':' || n || ':' || md5(value_text), '|' ORDER BY column_id) AS cells FROM g GROUP BY 1),
+    runs AS (SELECT review_id, string_agg(event_id, ',' ORDER BY k) AS runs FROM (SELECT {REVIEW.format('user_id')} AS review_id, event_id, row_number() OVER (PARTITION BY {REVIEW.format('user_id')} ORDER BY ts DESC, event_id DESC) AS k FROM events) WHERE k <= 5 GROUP BY 1)"""
+)
+
+
+def _detail_cells(spark, d):
+    """(cells, citations) of the grid of DETAIL."""
+    found = _answers(spark, d)
+    rows = grid.with_not_found(_targets(spark, d), found.drop("overlap")).withColumns({"status": F.lit("done"), "error": F.lit(None).cast("string"), "model": F.lit("fake"), "from_cache": F.col("column_id") % 4 == 0})
+    documents = a.documents(spark, d).select("document_id", F.when(F.col("document_id") % 5 == 0, "failed").otherwise("ready").alias("status"))
+    rows = grid.fail_unready(rows, documents)
+    held = found.where("column_id % 3 <> 0 AND document_id % 5 <> 0").select(a.review_of(spark, d, F.col("document_id")).alias("review_id"), "document_id", "column_id", F.lit(0).alias("quote_pos"), F.col("quote").alias("quoted_text"))
+    return grid.apply_answers(rows, held), held, documents
+
+
+@register("g12_detail", DETAIL + " SELECT s.document_id, s.review_id, row_number() OVER (PARTITION BY s.review_id ORDER BY s.document_id)::INT AS row_order, CASE WHEN unready THEN 'failed' ELSE 'ready' END AS document_status, s.cells, coalesce(r.runs, '') AS runs, true AS demo FROM shown s LEFT JOIN runs r USING (review_id)")
 def detail(spark, d):
-    orders = a.table(spark, d, "orders").select(F.lit(1).alias("review_id"), F.col("o_orderkey").alias("document_id"), F.lit(0).alias("column_id"))
-    quotes = a.table(spark, d, "lineitem").select(F.lit(1).alias("review_id"), F.col("l_orderkey").alias("document_id"), F.lit(0).alias("column_id"), F.col("l_linenumber").alias("quote_pos"), F.col("l_returnflag").alias("quoted_text"), F.lit(0).alias("char_start"), F.lit(1).alias("char_end"))
-    rows = grid.review_detail(orders, quotes)
-    listed = F.coalesce(F.array_join(F.transform("citations", lambda c: c["quote_pos"].cast("string")), ","), F.lit(""))
-    return rows.select("document_id", F.greatest(F.size("citations"), F.lit(0)).cast("long").alias("n_citations"), listed.alias("listed"))
+    cells, citations, documents = _detail_cells(spark, d)
+    rows = a.indexed_documents(spark, d).withColumnRenamed("doc_index", "row_order")
+    runs = a.table(spark, d, "events").select(a.review_of(spark, d, F.col("user_id")).alias("review_id"), F.col("event_id").alias("run_id"), F.col("ts").alias("created_at"), F.lit("done").alias("status"))
+    kept = cells.select(*grid.CELL, "status", "error", "verified", "from_cache", "value_text", "model")
+    whole = grid.review_detail(rows, documents.withColumn("page_count", F.lit(1)), a.columns(spark, d).withColumnRenamed("ordinal_no", "ordinal"), kept, citations, runs)
+    text = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    one = lambda c: F.concat_ws(":", text(c["column_id"]), text(c["cell"]["status"]), text(c["cell"]["error"]), text(c["cell"]["verified"]), text(c["cell"]["from_cache"]), F.coalesce(F.size(c["cell"]["citations"]), F.lit(0)).cast("string"), F.md5(c["cell"]["value_text"]))
+    shown = F.array_join(F.transform("cells", one), "|")
+    return whole.select("document_id", "review_id", "row_order", "document_status", shown.alias("cells"), F.array_join(F.coalesce(F.transform("runs", lambda r: r["run_id"].cast("string")), F.array().cast("array<string>")), ",").alias("runs"), "demo")
+
+
+# --- batches ------------------------------------------------------------------------------
+
+#: One request a document; by document the result is missing, an error, in the error file, no JSON, or answers. The first review's batch expires.
+BATCH = (
+    CELLS
+    + f""", g AS (SELECT *, document_id % 7 AS k, CASE WHEN review_id = 0 THEN 'batch expired' WHEN document_id % 7 = 0 THEN 'missing from batch output' WHEN document_id % 7 = 1 THEN 'status 500' WHEN document_id % 7 = 2 THEN '{{"code":"boom"}}'
+      WHEN document_id % 7 = 3 THEN 'unparseable output' WHEN not_found AND column_id % 2 = 1 THEN 'model returned no answer for this question' END AS error FROM cells)"""
+)
+
+
+def _batch(spark, d):
+    """(answers of all cells, failed batches): what the batch gave back, through lines of JSON."""
+    found = grid.with_not_found(_targets(spark, d), _answers(spark, d).drop("overlap"))
+    columns = found.groupBy("review_id", "document_id").agg(F.array_sort(F.collect_list("column_id")).alias("column_ids"))
+    plan = columns.select(F.col("review_id").alias("run_id"), F.col("document_id").cast("string").alias("custom_id"), "document_id", "column_ids")
+    label = F.concat(F.lit("q"), F.row_number().over(Window.partitionBy("document_id").orderBy("column_id")).cast("string"))
+    quote = F.when(F.col("column_id") % 3 == 0, F.reverse("quote")).otherwise(F.col("quote"))
+    quotes = F.when(F.col("not_found"), F.array().cast("array<struct<chunk_id:string,text:string>>")).otherwise(F.array(F.struct(F.concat(F.lit("c"), F.col("chunk_ordinal").cast("string")).alias("chunk_id"), quote.alias("text"))))
+    answer = F.struct(label.alias("column_id"), F.coalesce("value", F.lit("")).alias("value"), quotes.alias("quotes"), "confidence", "not_found")
+    given = found.withColumn("answer", answer).where("NOT not_found OR column_id % 2 = 0")
+    stray = F.array(F.struct(F.lit("q99").alias("column_id"), F.lit("stray").alias("value"), F.array().cast("array<struct<chunk_id:string,text:string>>").alias("quotes"), F.lit("low").alias("confidence"), F.lit(False).alias("not_found")))
+    texts = plan.join(given.groupBy("document_id").agg(F.collect_list("answer").alias("answers")), "document_id", "left").select("document_id", "custom_id", F.to_json(F.struct(F.concat(F.coalesce("answers", F.array().cast("array<struct<column_id:string,value:string,quotes:array<struct<chunk_id:string,text:string>>,confidence:string,not_found:boolean>>")), stray).alias("answers"))).alias("text"))
+    kind = F.col("document_id") % 7
+    part = F.struct(F.lit("output_text").alias("type"), F.when(kind == 3, "no JSON").otherwise(F.col("text")).alias("text"))
+    body = F.struct(F.lit("fake").alias("model"), F.array(F.struct(F.lit("message").alias("type"), F.array(part).alias("content"))).alias("output"))
+    lines = texts.where("document_id % 7 NOT IN (0, 2)").select(F.to_json(F.struct("custom_id", F.struct(F.when(kind == 1, 500).otherwise(200).alias("status_code"), body.alias("body")).alias("response"))).alias("value"))
+    errors = texts.where("document_id % 7 = 2").select(F.concat(F.lit('{"custom_id":"'), "custom_id", F.lit('","error":{"code":"boom"}}')).alias("value"))
+    failed = a.questions(spark, d).where("review_id = 0").select(F.col("review_id").alias("run_id"), F.lit("expired").alias("detail")).distinct()
+    return jobs.batch_answers(plan, files.parse_answers(files.read_batch_output(lines, errors)), failed), failed
+
+
+@register("st6_batch_cells", BATCH + f" SELECT document_id, column_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error, error IS NULL AND (not_found OR column_id % 3 <> 0) AS verified, md5(CASE WHEN error IS NULL AND NOT not_found THEN {FLAT} ELSE '' END) AS value_text FROM g")
+def batch_cells(spark, d):
+    """From lines of results to proved cells."""
+    answers, _ = _batch(spark, d)
+    asked = answers.select("document_id", "column_id", F.posexplode("quotes").alias("quote_pos", "q"))
+    quotes = asked.select(F.concat_ws(":", "document_id", "column_id", "quote_pos").alias("quote_id"), "document_id", F.regexp_extract("q.chunk_id", "^c([0-9]+)$", 1).try_cast("int").alias("ordinal"), F.col("q.text").alias("quote"))
+    proved = verify.verify_quotes(quotes, a.page_chunks(spark, d), ingest_documents(spark, d))
+    citations = proved.select(a.review_of(spark, d, F.col("document_id")).alias("review_id"), "document_id", F.element_at(F.split("quote_id", ":"), 2).cast("long").alias("column_id"))
+    typed = answers.withColumnRenamed("run_id", "review_id").join(a.columns(spark, d).select("column_id", "output_type", "enum_options"), "column_id")
+    return grid.apply_answers(typed, citations).select("document_id", "column_id", "status", "error", "verified", F.md5("value_text").alias("value_text"))
+
+
+@register("st6_batch_runs", BATCH + " SELECT review_id AS run_id, count(*) AS total_cells, count(*) FILTER (review_id <> 0 AND k > 3) AS done_cells, CASE WHEN review_id = 0 THEN 'failed' ELSE 'done' END AS status, CASE WHEN review_id = 0 THEN 'expired' END AS error FROM g GROUP BY 1")
+def batch_run_rows(spark, d):
+    return jobs.batch_runs(*_batch(spark, d))
 
 
 # --- threads ------------------------------------------------------------------------------
@@ -180,20 +254,34 @@ def chat(spark, d):
     return rows.where("NOT insufficient").select("question_id", F.md5("answer").alias("answer"), "n_citations")
 
 
-@register("a4_verified_messages", "SELECT event_id AS message_id, regexp_replace('Said [1] and [2].', CASE event_id % 3 WHEN 1 THEN '\\s?\\[1\\]' WHEN 2 THEN '\\s?\\[[12]\\]' ELSE 'zzz' END, '', 'g') AS content, event_id % 3 = 0 AS verified FROM events")
+PROVED = SENTENCES + """, p AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY overlap DESC, document_id, ordinal, no) AS marker FROM scored WHERE overlap > 0 QUALIFY marker <= 2), c AS (SELECT *, question_id % 3 = 0 AND marker = 2 AS dropped FROM p)"""
+
+
+@register("a4_verified_messages", PROVED + " SELECT question_id AS message_id, md5(string_agg('In ' || document_id || ': ' || sentence || CASE WHEN dropped THEN '' ELSE ' [' || marker || ']' END, ' ' ORDER BY marker) || CASE WHEN question_id % 2 = 1 THEN ' Also.' ELSE '' END) AS content, question_id % 2 = 0 AND NOT bool_or(dropped) AS verified, count(*) FILTER (NOT dropped) AS kept FROM c GROUP BY question_id")
 def verified_messages(spark, d):
-    e = a.table(spark, d, "events").select(F.col("event_id").alias("message_id"))
-    citations = e.select("message_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("marker")).withColumn("quote_id", F.concat_ws(":", "message_id", "marker"))
-    held = citations.where("message_id % 3 = 0 OR (message_id % 3 = 1 AND marker = 2)")
-    said = e.withColumns({"content": F.lit("Said [1] and [2]."), "insufficient": F.lit(False)})
-    return assistant.verify_messages(said, citations, held).select("message_id", "content", "verified")
+    """Answers of the assistant; every third question's second quote is written backwards, and odd ones cite a passage that was never shown."""
+    passages = a.page_chunks(spark, d)
+    asked = a.questions(spark, d)
+    picked = assistant.chat_sentences(passages, asked, "review_id").select(F.col("question_id").alias("message_id"), "marker", F.concat(F.lit("d"), F.col("document_id").cast("string"), F.lit("c"), F.col("ordinal").cast("string")).alias("label"), "document_id", "ordinal", "sentence")
+    stray = F.col("question_id") % 2 == 1
+    said = assistant.chat_answers(passages, asked, "review_id").where("NOT insufficient").select(F.col("question_id").alias("message_id"), F.concat("answer", F.when(stray, " Also [3].").otherwise("")).alias("content"), "insufficient")
+    cited = picked.select("message_id", "marker", "label", F.when((F.col("message_id") % 3 == 0) & (F.col("marker") == 2), F.reverse("sentence")).otherwise(F.col("sentence")).alias("quote"))
+    unknown = said.where("message_id % 2 = 1").select("message_id", F.lit(3).alias("marker"), F.lit("d0c0x").alias("label"), F.lit("any words at all").alias("quote"))
+    done, held = assistant.prove_messages(said, cited.unionByName(unknown), picked.select("message_id", "label", "document_id", "ordinal").distinct(), passages, ingest_documents(spark, d))
+    return done.select("message_id", F.md5("content").alias("content"), "verified", F.col("kept").cast("long").alias("kept"))
 
 
-@register("a5_thread_summary", "WITH m AS (SELECT * FROM conversations WHERE role <> 'system'), f AS (SELECT conv_id, left(min_by(text, turn), 80) AS title FROM m WHERE role = 'user' GROUP BY 1), c AS (SELECT conv_id, count(*) AS n FROM m GROUP BY 1) SELECT t.conv_id AS thread_id, f.title, 1::BIGINT AS documents, coalesce(c.n, 0) AS messages FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN f USING (conv_id) LEFT JOIN c USING (conv_id)")
+@register(
+    "a5_thread_summary",
+    """WITH m AS (SELECT * FROM conversations WHERE role <> 'system'), f AS (SELECT conv_id, left(regexp_replace(min_by(text, turn), '^\\s+|\\s+$', '', 'g'), 80) AS title FROM m WHERE role = 'user' GROUP BY 1), c AS (SELECT conv_id, count(*) AS n, bool_or(role = 'assistant' AND conv_id % 4 = 0) AS demo FROM m GROUP BY 1)
+    SELECT t.conv_id AS thread_id, t.conv_id % 3 AS matter_id, f.title, 1::BIGINT AS documents, coalesce(c.n, 0) AS messages, coalesce(c.demo, false) AS demo, row_number() OVER (PARTITION BY t.conv_id % 3 ORDER BY t.conv_id DESC)::INT AS place FROM (SELECT DISTINCT conv_id FROM conversations) t LEFT JOIN f USING (conv_id) LEFT JOIN c USING (conv_id)""",
+)
 def thread_summary(spark, d):
     threads = a.table(spark, d, "conversations").select(F.col("conv_id").alias("thread_id")).distinct()
     links = threads.withColumn("document_id", F.lit(1))
-    return assistant.thread_summary(threads.withColumn("title", F.lit(None).cast("string")), links, a.messages(spark, d))
+    made = threads.withColumns({"title": F.lit(None).cast("string"), "matter_id": F.col("thread_id") % 3, "created_at": F.timestamp_seconds("thread_id")})
+    spoken = a.messages(spark, d).withColumn("model", F.when((F.col("role") == "assistant") & (F.col("thread_id") % 4 == 0), "fake"))
+    return assistant.thread_summary(made, links, spoken)
 
 
 # --- playbooks ----------------------------------------------------------------------------
@@ -326,11 +414,20 @@ def latest(spark, d):
     return listing.latest(a.table(spark, d, "orders"), ["o_custkey"], [F.desc("o_orderdate"), F.asc("o_orderkey")], 5).select("o_custkey", "o_orderkey", "place")
 
 
-@register("l5_append", "SELECT source AS review_id, doc_id AS document_id, ((SELECT count(*) FROM documents e WHERE e.source = d.source AND e.doc_id % 2 = 0) + row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS row_order FROM documents d WHERE doc_id % 2 = 1")
+@register(
+    "l5_append",
+    """WITH r AS (SELECT doc_id, lang, source || '-' || CASE WHEN doc_id % 10 = 1 THEN 'en' ELSE lang END AS review_id FROM documents WHERE doc_id % 2 = 1),
+    e AS (SELECT source || '-' || lang AS review_id, max(lang) AS lang, count(*) AS n FROM documents WHERE doc_id % 2 = 0 GROUP BY 1), j AS (SELECT r.doc_id, r.review_id, e.n, e.lang IS NOT NULL AND e.lang <> r.lang AS refused FROM r LEFT JOIN e USING (review_id))
+    SELECT review_id, doc_id AS document_id, CASE WHEN NOT refused THEN (coalesce(n, 0) + row_number() OVER (PARTITION BY review_id, refused ORDER BY doc_id))::INT END AS row_order, refused FROM j""",
+)
 def appended(spark, d):
-    docs = a.documents(spark, d).select(F.col("workspace_id").alias("review_id"), "document_id")
-    old = docs.where("document_id % 2 = 0").withColumn("row_order", F.row_number().over(Window.partitionBy("review_id").orderBy("document_id")))
-    return listing.append_rows(old, docs)
+    """Every tenth document is offered to the English review of its workspace, which refuses it if it belongs to another matter."""
+    docs = a.documents(spark, d).select("workspace_id", "matter_id", "document_id")
+    old = docs.where("document_id % 2 = 0").withColumn("review_id", F.concat_ws("-", "workspace_id", "matter_id"))
+    old = old.withColumn("row_order", F.row_number().over(Window.partitionBy("review_id").orderBy("document_id")))
+    new = docs.where("document_id % 2 = 1").withColumn("review_id", F.concat_ws("-", "workspace_id", F.when(F.col("document_id") % 10 == 1, "en").otherwise(F.col("matter_id"))))
+    added, refused = listing.append_rows(old, new, matter="matter_id")
+    return added.select("review_id", "document_id", F.col("row_order").cast("int").alias("row_order"), F.lit(False).alias("refused")).unionByName(refused.select("review_id", "document_id", F.lit(None).cast("int").alias("row_order"), F.lit(True).alias("refused")))
 
 
 @register("l6_cascade", "SELECT l_orderkey, l_linenumber, CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_suppkey END AS l_suppkey FROM lineitem WHERE l_orderkey % 4 <> 0")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import helpers
 from lexspan.operators import ingest
 from lexspan.plans import adapters as a
-from lexspan.plans.queries import PAGES, QUESTIONS, register
+from lexspan.plans.queries import LINES, PAGES, QUESTIONS, register
 from lexspan.sources import files, versions
 from lexspan.streaming import jobs
 
@@ -30,10 +30,19 @@ def word_pages(spark, d):
     return ingest.pages_from_words(_words(spark, d)).select("document_id", "page_number", F.md5("text").alias("text"))
 
 
-@register("s3_page_from_paragraphs", f"WITH {PAGES} SELECT doc_id AS document_id, md5(string_agg(CASE WHEN ln % 4 = 0 THEN line || ' | ' || ln ELSE line END, chr(10) || chr(10) ORDER BY ln)) AS text FROM lines WHERE trim(line) <> '' OR ln % 4 = 0 GROUP BY 1")
+@register(
+    "s3_page_from_paragraphs",
+    f"""WITH {LINES}, t AS (SELECT doc_id, ln, CASE WHEN ln % 4 = 0 AND trim(line) <> '' THEN trim(line) || ' | ' || ln WHEN ln % 4 = 0 THEN ln::VARCHAR ELSE trim(line) END AS txt FROM lines WHERE trim(line) <> '' OR ln % 4 = 0),
+    s AS (SELECT doc_id, sum(len(list_filter(string_split(txt, ' '), lambda x: x <> ''))) AS n FROM t GROUP BY 1), j AS (SELECT doc_id, string_agg(txt, chr(10) || chr(10) ORDER BY ln) AS txt FROM t GROUP BY 1)
+    SELECT doc_id AS document_id, md5(txt) AS text, n::BIGINT AS n_words, md5(array_to_string(list_filter(string_split(replace(txt, chr(10) || chr(10), ' '), ' '), lambda x: x <> ''), '|')) AS words FROM j JOIN s USING (doc_id)""",
+)
 def paragraph_pages(spark, d):
+    """The words are cut from the page at their offsets."""
     rows = a.lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("ln").alias("position"), F.when(F.col("ln") % 4 == 0, "tr").otherwise("p").alias("kind"), F.col("line").alias("text"), F.array("line", F.col("ln").cast("string")).alias("cells"))
-    return ingest.page_from_paragraphs(rows).select("document_id", F.md5("text").alias("text"))
+    page = ingest.page_from_paragraphs(rows)
+    cut = F.transform("words", lambda w: F.substring(F.col("text"), w["start"] + 1, w["end"] - w["start"]))
+    page = page.withColumn("cut", cut)  # before ``text`` gets another meaning
+    return page.select("document_id", F.md5("text").alias("text"), F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("cut", "|")).alias("words"))
 
 
 @register("s4_flag_scanned", f"WITH {PAGES}, {WORDS}, p AS (SELECT doc_id, (ln // 5)::INT AS page_number, sum(length(token)) < 100 AS is_ocr FROM words GROUP BY 1, 2) SELECT doc_id AS document_id, page_number, is_ocr, bool_or(is_ocr) OVER (PARTITION BY doc_id) AS document_is_ocr FROM p")

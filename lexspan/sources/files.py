@@ -49,16 +49,35 @@ def batch_requests(plan: DataFrame, passages: DataFrame, run_id: str, system: st
     return joined.select("document_id", "group_no", custom.alias("custom_id"), F.to_json(F.struct(custom.alias("custom_id"), body.alias("body"))).alias("line"), tokens.cast("long").alias("request_tokens"))
 
 
-OUTPUT = "custom_id string, response struct<status_code:int,body:struct<output:array<struct<type:string,content:array<struct<type:string,text:string>>>>>>, error struct<message:string>"
+ANSWERS = "answers array<struct<column_id:string,value:string,quotes:array<struct<chunk_id:string,text:string>>,confidence:string,not_found:boolean>>"
+OUTPUT = "custom_id string, response struct<status_code:int,body:struct<model:string,output:array<struct<type:string,content:array<struct<type:string,text:string>>>>>>, error struct<message:string>"
 
 
-def read_batch_output(lines: DataFrame) -> DataFrame:
-    """custom_id, text and error of each result line (column ``value``)."""
-    parsed = lines.select(F.from_json("value", OUTPUT, {"mode": "PERMISSIVE"}).alias("r"), "value")
+def read_batch_output(lines: DataFrame, errors: DataFrame | None = None) -> DataFrame:
+    """custom_id, text, model and error of each result line (column ``value``).
+
+    ``errors`` are the lines of the batch's error file; what it says of a request is that
+    request's error. Blank lines are no results.
+    """
+    parsed = lines.where("trim(value) <> ''").select(F.from_json("value", OUTPUT, {"mode": "PERMISSIVE"}).alias("r"))
     parts = F.flatten(F.transform(F.filter("r.response.body.output", lambda o: o["type"] == "message"), lambda o: F.transform(F.filter(o["content"], lambda c: c["type"] == "output_text"), lambda c: c["text"])))
     text = F.array_join(parts, "")
     error = F.when(F.col("r.custom_id").isNull(), "unreadable line").when(F.col("r.error.message").isNotNull(), F.col("r.error.message")).when(F.coalesce(F.col("r.response.status_code"), F.lit(0)) != 200, F.concat(F.lit("status "), F.coalesce(F.col("r.response.status_code").cast("string"), F.lit("none"))))
-    return parsed.select("r.custom_id", F.when(error.isNull(), text).alias("text"), error.alias("error"))
+    rows = parsed.select("r.custom_id", F.when(error.isNull(), text).alias("text"), F.when(error.isNull(), F.col("r.response.body.model")).alias("model"), error.alias("error"))
+    if errors is None:
+        return rows
+    told = errors.where("trim(value) <> ''").select(F.get_json_object("value", "$.custom_id").alias("custom_id"), F.coalesce(F.get_json_object("value", "$.error"), F.lit("null")).alias("error"))
+    told = told.groupBy("custom_id").agg(F.max("error").alias("error"))
+    none = F.lit(None).cast("string")
+    return rows.join(told.select("custom_id"), "custom_id", "left_anti").unionByName(told.select("custom_id", none.alias("text"), none.alias("model"), "error"))
+
+
+def parse_answers(results: DataFrame) -> DataFrame:
+    """``read_batch_output`` with the answers in the texts as rows' arrays; a text that is no set of answers is an error."""
+    parsed = F.from_json("text", ANSWERS, {"mode": "PERMISSIVE"})["answers"]
+    rows = results.withColumn("answers", parsed)
+    bad = F.col("error").isNull() & F.col("answers").isNull()
+    return rows.withColumn("error", F.when(bad, "unparseable output").otherwise(F.col("error")))
 
 
 def write_eval(summary: DataFrame, per_question: DataFrame, path: str) -> None:

@@ -332,6 +332,41 @@ def batch_poll(plan: DataFrame, results: DataFrame) -> DataFrame:
     return joined.select("custom_id", "document_id", "column_id", F.when(failed, "failed").otherwise("done").alias("status"), F.when(failed, F.coalesce("error", F.lit("no result for this request"))).alias("error"))
 
 
+#: Errors of cells.
+MISSING, NO_ANSWER = "missing from batch output", "model returned no answer for this question"
+
+
+def batch_answers(plan: DataFrame, results: DataFrame, failed: DataFrame) -> DataFrame:
+    """One row a cell of a batch: run_id, document_id, column_id, answered (its request has a result), status, error and the answer.
+
+    ``plan`` (run_id, custom_id, document_id, column_ids) are the submitted requests, whose
+    columns are labelled q1, q2 ... in order; ``results`` come from ``parse_answers``;
+    ``failed`` (run_id, detail) are batches that failed as a whole. Answers to labels that
+    were not asked drop out; of several answers to one label the last one counts.
+    """
+    asked = plan.select("run_id", "custom_id", "document_id", F.posexplode("column_ids").alias("_i", "column_id")).withColumn("label", F.concat(F.lit("q"), (F.col("_i") + 1).cast("string")))
+    given = results.select("custom_id", F.posexplode("answers").alias("_n", "a")).groupBy("custom_id", F.col("a.column_id").alias("label")).agg(F.max_by("a", "_n").alias("a"))
+    outcome = results.select("custom_id", F.col("error").alias("_error"), F.lit(True).alias("_came"))
+    rows = asked.join(outcome, "custom_id", "left").join(failed.select("run_id", "detail"), "run_id", "left").join(given, ["custom_id", "label"], "left")
+    error = (
+        F.when(F.col("detail").isNotNull(), F.concat(F.lit("batch "), "detail"))
+        .when(F.col("_came").isNull(), MISSING)
+        .when(F.col("_error").isNotNull(), F.col("_error"))
+        .when(F.col("a").isNull(), NO_ANSWER)
+    )
+    answered = F.col("detail").isNull() & F.col("_came").isNotNull() & F.col("_error").isNull()
+    good = error.isNull()
+    fields = [F.when(good, F.col(f"a.{c}")).alias(c) for c in ("value", "quotes", "confidence", "not_found")]
+    return rows.select("run_id", "document_id", "column_id", answered.alias("answered"), F.when(good, "done").otherwise("failed").alias("status"), error.alias("error"), *fields)
+
+
+def batch_runs(answers: DataFrame, failed: DataFrame) -> DataFrame:
+    """Per run its cells, those whose request was answered, and its status."""
+    counts = answers.groupBy("run_id").agg(F.count(F.lit(1)).alias("total_cells"), F.count_if("answered").alias("done_cells"))
+    rows = counts.join(failed.select("run_id", "detail"), "run_id", "left")
+    return rows.select("run_id", "total_cells", "done_cells", F.when(F.col("detail").isNull(), "done").otherwise("failed").alias("status"), F.col("detail").alias("error"))
+
+
 def dedupe_stream(registrations: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     """The first registration (created_at, then id) of each content in a matter, into a table.
 
