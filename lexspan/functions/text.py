@@ -21,16 +21,32 @@ FUNCTION_WORDS = (
     "whom", "why", "will", "with", "you", "your",
 )
 
-# Words that carry no meaning in a question, symbols, answer words.
+# Words that carry no meaning in a question of a grid, and in one of the assistant; answer words, symbols,
+# suffixes; how roman numbers, amounts and the headings of sections look.
 STOP_WORDS = (
-    "the a an of and or is are what which does do this that in to for any with be by on it its as at who how when there under agreement contract "
-    "document party parties clause provision please state specify identify if has have"
-).split()
+    "the", "a", "an", "of", "and", "or", "is", "are", "what", "which", "does", "do", "this", "that",
+    "in", "to", "for", "any", "with", "be", "by", "on", "it", "its", "as", "at", "who", "how", "when",
+    "there", "under", "agreement", "contract", "document", "party", "parties", "clause", "provision",
+    "please", "state", "specify", "identify", "if", "has", "have",
+)
+ASSISTANT_STOP_WORDS = (
+    "the", "a", "an", "of", "and", "or", "is", "are", "what", "which", "does", "do", "this", "that",
+    "in", "to", "for", "any", "with", "be", "by", "on", "it", "its", "as", "at", "who", "how", "when",
+    "there", "under", "agreement", "contract", "document", "documents", "clause", "please", "tell",
+    "me", "about", "can", "you", "i", "we", "they", "he", "she", "from",
+)
 YES = ("yes", "true", "y", "affirmative")
 NO = ("no", "false", "n", "negative", "none")
 CURRENCY = {"£": "GBP", "$": "USD", "€": "EUR", "¥": "JPY"}
 SUFFIXES = ("ies", "ing", "ment", "tion", "es", "ed", "s")
 ROMAN = r"(?=[IVXLC])M*(?:C[MD]|D?C{0,3})(?:X[CL]|L?X{0,3})(?:I[XV]|V?I{0,3})"
+MONEY = r"([£$€¥])?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*((?i)GBP|USD|EUR|AUD|CAD|CHF|JPY)?"
+ARTICLE = rf"^\s*(?:ARTICLE|Article|SECTION|Section|PART|Part)\s+(?:{ROMAN}|\d+)\b[.:\-\s]*(.*)$"
+DECIMAL = r"^\s*(\d+(?:\.\d+)*)(\.)?\s+(\S.*)$"
+BARE_DECIMAL = r"^\s*(\d+(?:\.\d+)+)\s*$"
+LETTER = r"^\s*\(([a-z])\)\s+(\S.*)$"
+ROMAN_LETTER = rf"(?i)^\s*\(({ROMAN.lower()})\)\s+(\S.*)$"
+CAPITALS = r"^[A-Z][A-Z0-9 ,&'\-/()]{3,80}$"
 MAX_LABEL = 72
 
 VALUE = "struct<bool_value:boolean,date_value:date,amount:double,currency:string,text_value:string>"
@@ -64,10 +80,10 @@ def stem(word: Column) -> Column:
 
 
 def keywords(text: Column, stemmed: bool = True) -> Column:
-    """Distinct meaningful words in lower case, sorted."""
-    pattern = "[a-z0-9£$€%]+" if stemmed else "[a-z0-9]+"
+    """Distinct meaningful words in lower case, sorted; without stems, those that the assistant's search looks at."""
+    pattern, stops = ("[a-z0-9£$€%]+", STOP_WORDS) if stemmed else ("[a-z0-9]+", ASSISTANT_STOP_WORDS)
     words = F.regexp_extract_all(F.lower(text), F.lit(pattern), F.lit(0))
-    kept = F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin(*STOP_WORDS))
+    kept = F.filter(words, lambda w: (F.char_length(w) > 2) & ~w.isin(*stops))
     return F.array_sort(F.array_distinct(F.transform(kept, stem) if stemmed else kept))
 
 
@@ -92,17 +108,14 @@ def parse_boolean(text: Column) -> Column:
     return F.when(head.isin(*YES), True).when(head.isin(*NO), False)
 
 
-_MONEY = r"([£$€¥])?\s*([0-9][0-9,]*(?:\.[0-9]+)?)\s*((?i)GBP|USD|EUR|AUD|CAD|CHF|JPY)?"
-
-
 def parse_amount(text: Column) -> Column:
     """The first number anywhere, thousands separators dropped."""
-    digits = F.regexp_replace(F.regexp_extract(text, _MONEY, 2), ",", "")
+    digits = F.regexp_replace(F.regexp_extract(text, MONEY, 2), ",", "")
     return F.when(digits != "", digits.cast("double"))
 
 
 def parse_currency(text: Column) -> Column:
-    code, sign = F.upper(F.regexp_extract(text, _MONEY, 3)), F.regexp_extract(text, _MONEY, 1)
+    code, sign = F.upper(F.regexp_extract(text, MONEY, 3)), F.regexp_extract(text, MONEY, 1)
     of_sign = F.lit(None).cast("string")
     for symbol, name in CURRENCY.items():
         of_sign = F.when(sign == symbol, name).otherwise(of_sign)
@@ -187,12 +200,7 @@ def detect_marker(block: Column) -> Column:
     """struct(depth, label) of a block that begins with a heading or clause number, else null."""
     whole = strip(block)
     line = F.element_at(F.split(whole, "\n"), 1)
-    article = rf"^\s*(?:ARTICLE|Article|SECTION|Section|PART|Part)\s+(?:{ROMAN}|\d+)\b[.:\-\s]*(.*)$"
-    decimal = r"^\s*(\d+(?:\.\d+)*)(\.)?\s+(\S.*)$"
-    bare = r"^\s*(\d+(?:\.\d+)+)\s*$"
-    alpha = r"^\s*\(([a-z])\)\s+(\S.*)$"
-    roman = rf"(?i)^\s*\(({ROMAN.lower()})\)\s+(\S.*)$"
-    capitals = r"^[A-Z][A-Z0-9 ,&'\-/()]{3,80}$"
+    article, decimal, bare, alpha, roman, capitals = ARTICLE, DECIMAL, BARE_DECIMAL, LETTER, ROMAN_LETTER, CAPITALS
     number, title = F.regexp_extract(line, decimal, 1), F.regexp_extract(line, decimal, 3)
     levels = F.char_length(number) - F.char_length(F.replace(number, F.lit("."))) + 1
     dotted = F.regexp_extract(line, decimal, 2) != ""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lexspan.functions import text as t
 from lexspan.operators.grid import sentence_overlap, with_sentence
 from lexspan.operators.verify import verify_quotes
+from lexspan.settings import DEFAULTS
 
 
 def thread_documents(links: DataFrame, documents: DataFrame) -> DataFrame:
@@ -16,7 +17,7 @@ def thread_documents(links: DataFrame, documents: DataFrame) -> DataFrame:
     return ready.withColumn("doc_index", F.row_number().over(Window.partitionBy("thread_id").orderBy("position", "document_id")))
 
 
-def history(messages: DataFrame, n: int = 8) -> DataFrame:
+def history(messages: DataFrame, n: int = DEFAULTS.history) -> DataFrame:
     """The last n messages of each thread, oldest first."""
     back = F.row_number().over(Window.partitionBy("thread_id").orderBy(F.desc("position")))
     return messages.withColumn("_back", back).where(F.col("_back") <= n).groupBy("thread_id").agg(F.array_sort(F.collect_list(F.struct("position", "role", "content"))).alias("messages"))
@@ -54,7 +55,7 @@ def verify_messages(messages: DataFrame, citations: DataFrame, held: DataFrame)
     return rows.withColumns({"content": t.strip_markers(F.col("content"), F.col("dropped")), "verified": F.col("insufficient") | ((F.col("kept") > 0) & (F.size("dropped") == 0))})
 
 
-def prove_messages(messages: DataFrame, citations: DataFrame, hits: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = 0.9) -> tuple[DataFrame, DataFrame]:
+def prove_messages(messages: DataFrame, citations: DataFrame, hits: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> tuple[DataFrame, DataFrame]:
     """(messages without the marks of citations that did not hold, the citations that held).
 
     ``citations`` (message_id, marker, label, quote) name passages by the labels of ``hits``

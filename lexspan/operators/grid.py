@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import helpers
 from lexspan.functions import text as t
+from lexspan.settings import DEFAULTS
 
 CELL = ["review_id", "document_id", "column_id"]
 
 
-def grid_targets(documents: DataFrame, columns: DataFrame, *, document_ids=None, column_ids=None, batch_from: int = 100) -> DataFrame:
+def grid_targets(documents: DataFrame, columns: DataFrame, *, document_ids=None, column_ids=None, batch_from: int = DEFAULTS.batch_threshold_cells) -> DataFrame:
     """Every document of a review with each of its columns; ``mode`` is batch for large reviews.
 
     The join is on the review; a review has at most a few hundred columns.
@@ -25,7 +26,7 @@ def grid_targets(documents: DataFrame, columns: DataFrame, *, document_ids=None,
     return rows.join(totals, "review_id").withColumn("mode", F.when(F.col("total_cells") > batch_from, "batch").otherwise("interactive"))
 
 
-def group_columns(targets: DataFrame, size: int = 6) -> DataFrame:
+def group_columns(targets: DataFrame, size: int = DEFAULTS.columns_per_call) -> DataFrame:
     """Consecutive groups of columns per document, and each column's label in its group."""
     place = F.row_number().over(Window.partitionBy("review_id", "document_id").orderBy("ordinal", "column_id")) - 1
     return targets.withColumn("_p", place).withColumns({"group_no": F.floor(F.col("_p") / size), "label": F.concat(F.lit("q"), (F.col("_p") % size + 1).cast("string"))}).drop("_p")

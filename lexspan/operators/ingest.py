@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import helpers
 from lexspan.functions import text as t
+from lexspan.settings import DEFAULTS
 
 DOC = "document_id"
 #: The plug point for a model: texts of a batch to their vectors.
@@ -53,7 +54,7 @@ def page_from_paragraphs(paragraphs: DataFrame) -> DataFrame:
     return joined.join(words, DOC, "left").select(DOC, F.lit(1).alias("page_number"), F.array_join(F.col("p")["_text"], "\n\n").alias("text"), "words")
 
 
-def flag_scanned(words: DataFrame, pages: DataFrame | None = None, least: int = 100) -> DataFrame:
+def flag_scanned(words: DataFrame, pages: DataFrame | None = None, least: int = DEFAULTS.ocr_min_chars) -> DataFrame:
     """Pages with fewer extractable characters than ``least``; a document is flagged if any page is.
 
     ``pages`` lists the pages (document, number); without it a page without any word is unknown.
@@ -254,7 +255,7 @@ def _packer(target: int, most: int):
     return pack
 
 
-def chunk_documents(pages: DataFrame, target: int = 800, most: int = 1500) -> DataFrame:
+def chunk_documents(pages: DataFrame, target: int = DEFAULTS.chunk_target_tokens, most: int = DEFAULTS.chunk_max_tokens) -> DataFrame:
     """Chunks of pages that carry ``char_offset``: text, offsets, pages, path, tokens."""
     blocks = with_sentences(section_paths(blocks_from_pages(pages))).select(DOC, "char_start", "char_end", "section_path", "root", "hard_boundary", "sentences", "gaps", "opens")
     schema = f"{DOC} long, ordinal int, char_start int, char_end int, section_path string, token_count int"
@@ -269,7 +270,7 @@ def chunk_documents(pages: DataFrame, target: int = 800, most: int = 1500) -> Da
     )
 
 
-def embed_chunks(chunks: DataFrame, embedder: Embedder, *, dim: int = 1536, batch: int = 96, stored: DataFrame | None = None) -> DataFrame:
+def embed_chunks(chunks: DataFrame, embedder: Embedder, *, dim: int = DEFAULTS.embed_dim, batch: int = DEFAULTS.embed_batch, stored: DataFrame | None = None) -> DataFrame:
     """``chunks`` with ``embedding`` and ``embed_error``.
 
     ``stored`` (document_id, ordinal, text, embedding) are chunks of an earlier run: one whose
@@ -307,7 +308,7 @@ def document_status(pages: DataFrame, chunks: DataFrame) -> DataFrame:
     return documents.select(DOC, "page_count", *numbers, status.alias("status"), F.substring("error", 1, 2000).alias("error"))
 
 
-def ingest(pages: DataFrame, target: int = 800, most: int = 1500, *, embedder: Embedder | None = None, stored: DataFrame | None = None, dim: int = 1536, batch: int = 96) -> tuple[DataFrame, DataFrame]:
+def ingest(pages: DataFrame, target: int = DEFAULTS.chunk_target_tokens, most: int = DEFAULTS.chunk_max_tokens, *, embedder: Embedder | None = None, stored: DataFrame | None = None, dim: int = DEFAULTS.embed_dim, batch: int = DEFAULTS.embed_batch) -> tuple[DataFrame, DataFrame]:
     """(documents with status and error, chunks).
 
     With an ``embedder`` (texts of a batch to vectors) chunks carry vectors; those of ``stored``

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from lexspan.functions import helpers, text as t
 from lexspan.operators.ingest import bboxes_for_span, page_for_offset
+from lexspan.settings import DEFAULTS
 
 DOC = "document_id"
 FOUND = ["quote_id", DOC, "ordinal", "char_start", "char_end", "match_kind", "similarity"]
@@ -27,7 +28,7 @@ def _span(base: Column, start: Column, size: Column) -> tuple[Column, Column]:
     return (base + F.get(places, start)).cast("int"), (base + F.get(places, start + size - 1) + 1).cast("int")
 
 
-def verify_quotes(quotes: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = 0.9) -> DataFrame:
+def verify_quotes(quotes: DataFrame, chunks: DataFrame, documents: DataFrame, threshold: float = DEFAULTS.fuzzy_threshold) -> DataFrame:
     """Verified quotes with their place in the document; others are left out."""
     asked = quotes.withColumn("needle", t.strip(normalised(F.col("quote"))["text"])).where("char_length(needle) >= 3").drop("quote").persist(StorageLevel.MEMORY_AND_DISK)
     # Only passages that a quote names are normalised.

@@ -34,6 +34,7 @@ PAGES = LINES + (
     f", chunks AS (SELECT document_id, page_number - 1 AS ordinal, text, char_offset AS char_start, char_offset + length(text) AS char_end, {REVIEW.format('document_id')} AS review_id FROM pages)"
 )
 STOPS = "[" + ", ".join(f"'{w}'" for w in t.STOP_WORDS) + "]"
+CHAT_STOPS = "[" + ", ".join(f"'{w}'" for w in t.ASSISTANT_STOP_WORDS) + "]"
 FUNCTION_WORDS = "[" + ", ".join(f"'{w}'" for w in t.FUNCTION_WORDS) + "]"
 QUESTIONS = f"questions AS (SELECT item_id AS question_id, text AS question, {REVIEW.format('item_id')} AS review_id FROM benchmark)"
 STEM = "x"
@@ -43,7 +44,7 @@ for _suffix in reversed(t.SUFFIXES):
 
 def keys_sql(column: str, stemmed: bool = True) -> str:
     pattern = "[a-z0-9£$€%]+" if stemmed else "[a-z0-9]+"
-    kept = f"list_filter(regexp_extract_all(lower({column}), '{pattern}'), lambda x: length(x) > 2 AND NOT list_contains({STOPS}, x))"
+    kept = f"list_filter(regexp_extract_all(lower({column}), '{pattern}'), lambda x: length(x) > 2 AND NOT list_contains({STOPS if stemmed else CHAT_STOPS}, x))"
     return f"list_sort(list_distinct({f'list_transform({kept}, lambda x: {STEM})' if stemmed else kept}))"
 
 
@@ -78,6 +79,12 @@ def keyword_sets(spark, d):
     return k.select("doc_id", F.size("k").alias("n_keywords"), F.md5(F.array_join("k", ",")).alias("keywords"))
 
 
+@register("t5_assistant_keywords", f"SELECT doc_id, len(k) AS n_keywords, md5(array_to_string(k, ',')) AS keywords FROM (SELECT doc_id, {keys_sql('text', False)} AS k FROM documents)")
+def assistant_keyword_sets(spark, d):
+    k = a.table(spark, d, "documents").select("doc_id", t.keywords(F.col("text"), stemmed=False).alias("k"))
+    return k.select("doc_id", F.size("k").alias("n_keywords"), F.md5(F.array_join("k", ",")).alias("keywords"))
+
+
 @register(
     "t6_lexical_terms",
     "SELECT item_id, CASE WHEN len(k) > 0 THEN array_to_string(k, ' OR ') ELSE text END AS query FROM (SELECT item_id, text, list_sort(list_distinct(list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9''-]+'), lambda x: length(x) > 2), lambda x: lower(x)))) AS k FROM benchmark)",

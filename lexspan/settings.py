@@ -25,3 +25,7 @@ class Settings:
     max_distance: float = 0.6
     rrf_k: int = 60
     default_date: str = "2000-01-01"
+
+
+#: What the operators take where a job says nothing else.
+DEFAULTS = Settings()

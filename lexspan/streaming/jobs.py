@@ -20,6 +20,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from lexspan.operators import ingest
 from lexspan.operators.grid import newest
+from lexspan.settings import DEFAULTS
 from lexspan.sources import versions
 from lexspan.sources.files import read_documents, replace_documents
 
@@ -46,7 +47,7 @@ STAGES = ("chunk", "embed", "status")
 
 
 def ingest_stream(
-    pages: DataFrame, path: str, checkpoint: str, *, target: int = 800, most: int = 1500, embedder: ingest.Embedder | None = None, dim: int = 1536, after: Callable[[str, int], None] | None = None
+    pages: DataFrame, path: str, checkpoint: str, *, target: int = DEFAULTS.chunk_target_tokens, most: int = DEFAULTS.chunk_max_tokens, embedder: ingest.Embedder | None = None, dim: int = DEFAULTS.embed_dim, after: Callable[[str, int], None] | None = None
 ) -> StreamingQuery:
     """New pages to chunks, vectors and document status; a document that comes again replaces what it had.
 
@@ -156,7 +157,7 @@ def run_progress_stream(updates: DataFrame, path: str, checkpoint: str) -> Strea
     return run_available(rows, each, checkpoint, "update")
 
 
-def rate_windows(calls: DataFrame, requests: int = 300, tokens: int = 400_000, *keys: str) -> DataFrame:
+def rate_windows(calls: DataFrame, requests: int = DEFAULTS.requests_per_minute, tokens: int = DEFAULTS.tokens_per_minute, *keys: str) -> DataFrame:
     """Requests and tokens of the sixty seconds up to each call; a call leaves at sixty seconds of age."""
     span = Window.partitionBy(*keys).orderBy(F.unix_micros(F.col("ts").cast("timestamp"))).rangeBetween(-59_999_999, 0)
     rows = calls.withColumns({"requests": F.count(F.lit(1)).over(span), "tokens": F.sum("input_tokens").over(span)})
@@ -166,7 +167,7 @@ def rate_windows(calls: DataFrame, requests: int = 300, tokens: int = 400_000, *
 SPAN = 60_000_000
 
 
-def rate_stream(calls: DataFrame, path: str, checkpoint: str, requests: int = 300, tokens: int = 400_000, key: str = "user_id") -> StreamingQuery:
+def rate_stream(calls: DataFrame, path: str, checkpoint: str, requests: int = DEFAULTS.requests_per_minute, tokens: int = DEFAULTS.tokens_per_minute, key: str = "user_id") -> StreamingQuery:
     """The same from a stream of (call_id, ts, ``key``, input_tokens), exactly, into a table by call.
 
     The state of a key is its calls that a later one may still count: those younger than the
