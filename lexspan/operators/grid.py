@@ -12,16 +12,19 @@ from lexspan.settings import DEFAULTS
 CELL = ["review_id", "document_id", "column_id"]
 
 
-def grid_targets(documents: DataFrame, columns: DataFrame, *, document_ids=None, column_ids=None, batch_from: int = DEFAULTS.batch_threshold_cells) -> DataFrame:
+def grid_targets(documents: DataFrame, columns: DataFrame, *, document_ids=None, column_ids=None, cells: DataFrame | None = None, batch_from: int = DEFAULTS.batch_threshold_cells) -> DataFrame:
     """Every document of a review with each of its columns; ``mode`` is batch for large reviews.
 
-    The join is on the review; a review has at most a few hundred columns.
+    The join is on the review; a review has at most a few hundred columns. ``cells`` are
+    single cells (review_id, document_id, column_id): only these are targets, each once.
     """
     rows = documents.join(columns, "review_id")
     if document_ids is not None:
         rows = rows.where(F.col("document_id").isin(*document_ids))
     if column_ids is not None:
         rows = rows.where(F.col("column_id").isin(*column_ids))
+    if cells is not None:
+        rows = rows.join(cells.select(*CELL), CELL, "left_semi")
     totals = rows.groupBy("review_id").agg(F.count(F.lit(1)).alias("total_cells"))
     return rows.join(totals, "review_id").withColumn("mode", F.when(F.col("total_cells") > batch_from, "batch").otherwise("interactive"))
 

@@ -60,6 +60,11 @@ def issue_counts(findings: DataFrame) -> DataFrame:
     return findings.groupBy("document_id").agg(F.count(F.lit(1)).alias("topics"), F.count_if(F.col("matched_position") != "preferred").alias("deviations"))
 
 
-def list_runs(runs: DataFrame, documents: DataFrame) -> DataFrame:
-    """Runs of each matter through its documents, newest first."""
-    return runs.join(documents.select("document_id", "matter_id"), "document_id").withColumn("place", F.row_number().over(Window.partitionBy("matter_id").orderBy(F.desc("created_at"), "run_id")))
+def list_runs(runs: DataFrame, documents: DataFrame, by: str = "matter_id") -> DataFrame:
+    """Runs of each document, or of each matter through its documents, newest first.
+
+    A run of an unknown document is in no matter's list but in that document's own.
+    """
+    if by != "document_id":
+        runs = runs.join(documents.select("document_id", by), "document_id")
+    return runs.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(F.desc("created_at"), "run_id")))

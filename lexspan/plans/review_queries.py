@@ -26,6 +26,14 @@ def targets(spark, d):
     return grid.group_columns(_targets(spark, d), 2).select("document_id", "column_id", "mode", "group_no", "label")
 
 
+@register("g1_cells", f"WITH {QUESTIONS}, c AS (SELECT doc_id AS document_id, question_id AS column_id, review_id FROM documents JOIN questions ON review_id = {DOC_REVIEW} WHERE doc_id % 3 = question_id % 3) SELECT document_id, column_id, count(*) OVER (PARTITION BY review_id) AS total_cells FROM c")
+def single_cells(spark, d):
+    """Scope by cell: each document is asked the columns that have its remainder of three."""
+    ids = a.documents(spark, d).select("document_id", "review_id")
+    asked = ids.join(a.columns(spark, d).select("review_id", "column_id"), "review_id").where("document_id % 3 = column_id % 3")
+    return grid.grid_targets(ids, a.columns(spark, d), cells=asked.union(asked)).select("document_id", "column_id", "total_cells")
+
+
 @register("g3_g4_cache", f"WITH {QUESTIONS}, o AS (SELECT event_id, user_id % 50 AS k, ts FROM events), c AS (SELECT k AS column_id, max(struct_pack(t := ts, e := event_id)).e AS newest FROM o GROUP BY 1) SELECT doc_id AS document_id, question_id AS column_id, newest, newest IS NOT NULL AS hit FROM documents JOIN questions ON review_id = {DOC_REVIEW} LEFT JOIN c ON c.column_id = question_id")
 def cache(spark, d):
     events = a.table(spark, d, "events").select((F.col("user_id") % 50).cast("string").alias("cache_key"), F.col("ts").alias("updated_at"), F.col("event_id").alias("newest"))
@@ -326,6 +334,12 @@ def runs(spark, d):
     return playbook.list_runs(rows, docs).select("run_id", "document_id", "matter_id", "place")
 
 
+@register("p4_runs_of_document", "SELECT o_orderkey AS run_id, o_custkey AS document_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey)::INT AS place FROM orders")
+def runs_of_document(spark, d):
+    rows = a.table(spark, d, "orders").select(F.col("o_orderkey").alias("run_id"), F.col("o_custkey").alias("document_id"), F.col("o_orderdate").alias("created_at"))
+    return playbook.list_runs(rows, rows, "document_id").select("run_id", "document_id", "place")
+
+
 # --- evaluation ---------------------------------------------------------------------------
 
 KEYS = ("quality", "toxic")

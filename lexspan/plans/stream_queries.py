@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lexspan.functions import helpers
-from lexspan.operators import ingest
+from lexspan.operators import grid, ingest
 from lexspan.plans import adapters as a
 from lexspan.plans.queries import LINES, PAGES, QUESTIONS, register
-from lexspan.sources import files, versions
+from lexspan.sources import files, requests, versions
 from lexspan.streaming import jobs
 
 
@@ -50,16 +51,87 @@ def scanned_pages(spark, d):
     return ingest.flag_scanned(_words(spark, d).where("trim(token) <> ''")).select("document_id", "page_number", "is_ocr", "document_is_ocr")
 
 
+#: Every seventh line of a document serves as its outline, every other page has a section.
+PASSAGE = "SELECT document_id, any_value(review_id) AS review_id, string_agg('[c' || ordinal || ']' || CASE WHEN ordinal % 2 = 1 THEN ' (Part ' || ordinal || ')' ELSE '' END || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) AS shown, sum(length(text)) AS letters FROM chunks GROUP BY 1"
+PARTS = f"{PAGES}, {QUESTIONS}, sh AS ({PASSAGE}), ol AS (SELECT doc_id AS document_id, string_agg('- ' || line, chr(10) || chr(10) ORDER BY ln) AS outline FROM lines WHERE ln % 7 = 0 AND trim(line) <> '' GROUP BY 1), parts AS (SELECT document_id, review_id, letters, '# Document: Document ' || document_id || coalesce(chr(10) || chr(10) || '## Outline' || chr(10) || chr(10) || outline, '') || chr(10) || chr(10) || '## Passages' || chr(10) || chr(10) || shown AS part FROM sh LEFT JOIN ol USING (document_id))"
+
+
+def _number(key, order):
+    return f"'run0001abcde-' || lpad((row_number() OVER (ORDER BY md5({key}::VARCHAR)[1:3], {order}) - 1)::VARCHAR, 5, '0')"
+
+
+def _passages(spark, d):
+    section = F.when(F.col("ordinal") % 2 == 1, F.concat(F.lit("Part "), F.col("ordinal").cast("string"))).otherwise("")
+    return a.page_chunks(spark, d).select("document_id", "review_id", "ordinal", F.format_string("c%d", "ordinal").alias("label"), section.alias("section_path"), "text")
+
+
+def _document_parts(spark, d):
+    titles = a.documents(spark, d).select("document_id", F.concat(F.lit("Document "), F.col("document_id").cast("string")).alias("title"))
+    heads = a.lines(spark, d).where("ln % 7 = 0 AND trim(line) <> ''").groupBy(F.col("doc_id").alias("document_id")).agg(F.array_sort(F.collect_list(F.struct("ln", "line")))["line"].alias("lines"))
+    return requests.document_parts(titles, _passages(spark, d), heads)
+
+
+def _contents(line):
+    """Roles and contents of a request's messages as one hash."""
+    messages = F.from_json(line, "body struct<model:string,input:array<struct<role:string,content:string>>,metadata:map<string,string>>")["body"]
+    said = F.array_join(F.transform(messages["input"], lambda m: F.concat(m["role"], F.lit(": "), m["content"])), "\n")
+    return F.md5(said).alias("content"), F.array_join(F.array_sort(F.map_values(messages["metadata"])), "|").alias("metadata")
+
+
 @register(
     "s7_t1b_requests",
-    f"""WITH {PAGES}, {QUESTIONS}, p AS (SELECT document_id, any_value(review_id) AS review_id, string_agg('[c' || ordinal || '] ' || text, chr(10) || chr(10) ORDER BY ordinal) AS passages FROM chunks GROUP BY 1), q AS (SELECT review_id, string_agg(question, chr(10) ORDER BY question_id) AS asked, sum(length(question)) AS n FROM questions GROUP BY 1)
-    SELECT document_id, 'run-0001-' || document_id || '-00000' AS custom_id, ((12 + length(passages) + n) // 4 + 500)::BIGINT AS request_tokens, md5(passages || chr(10) || chr(10) || asked) AS content FROM p JOIN q USING (review_id)""",
+    f"""WITH {PARTS}, q AS (SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY question_id) - 1 AS k, question FROM questions),
+    g AS (SELECT review_id, k // 2 AS group_no, string_agg('q' || (k % 2 + 1) || ' | type: ' || CASE k % 2 WHEN 0 THEN 'enum | options: yes, no' ELSE 'text' END || ' | ' || question, chr(10) ORDER BY k) AS asked, sum(length(question)) AS n FROM q GROUP BY 1, 2)
+    SELECT document_id, group_no::BIGINT AS group_no, {_number('document_id', 'document_id, group_no')} AS custom_id, ((length('Be truthful.') + length('Prefer short terms') + letters + n) // 4 + 500)::BIGINT AS request_tokens,
+    md5('system: Be truthful.' || chr(10) || chr(10) || '# Firm playbook' || chr(10) || 'Prefer short terms' || chr(10) || 'user: ' || part || chr(10) || 'user: ## Questions' || chr(10) || asked || chr(10) || 'Answer every question above by its label, with verbatim quotes and passage labels.') AS content,
+    array_to_string(list_sort([review_id::VARCHAR, document_id::VARCHAR]), '|') AS metadata FROM parts JOIN g USING (review_id)""",
+)
+def review_requests(spark, d):
+    columns = a.columns(spark, d).withColumnRenamed("ordinal_no", "ordinal")
+    targets = grid.group_columns(grid.grid_targets(a.documents(spark, d).select("document_id", "review_id"), columns), 2)
+    first = F.col("label") == "q1"
+    question = F.struct("ordinal", "label", F.when(first, "enum").otherwise("text").alias("output_type"), F.when(first, F.array(F.lit("yes"), F.lit("no"))).otherwise(F.col("enum_options")).alias("enum_options"), "question")
+    plan = targets.groupBy("review_id", "document_id", "group_no").agg(F.array_sort(F.collect_list(F.struct("ordinal", question.alias("q"))))["q"].alias("questions"))
+    lines = requests.review_requests(plan, _document_parts(spark, d), "run0001-abcdef-1", "Be truthful.", model="m", playbook="Prefer short terms")
+    return lines.select("document_id", "group_no", "custom_id", "request_tokens", *_contents("line"))
+
+
+@register(
+    "s7_playbook_requests",
+    f"""WITH {PARTS}, r AS (SELECT review_id, row_number() OVER (PARTITION BY review_id ORDER BY question_id) AS k, question FROM questions),
+    b AS (SELECT review_id, string_agg('## r' || k || ' — Topic ' || k || chr(10) || 'Preferred: ' || question || CASE WHEN k % 2 = 0 THEN chr(10) || 'Fallback: ' || k ELSE '' END || CASE WHEN k % 3 = 0 THEN chr(10) || 'Unacceptable: ' || k ELSE '' END, chr(10) ORDER BY k) AS rules, string_agg('r' || k, ', ' ORDER BY k) AS labels, sum(length(question)) AS n FROM r GROUP BY 1)
+    SELECT document_id, {_number('document_id', 'document_id')} AS custom_id, (length('Be truthful.') // 4 + 800 + letters // 4 + n // 4)::BIGINT AS request_tokens, 'run0001-abcdef-1' AS metadata,
+    md5('system: Be truthful.' || chr(10) || chr(10) || '# Playbook: Book ' || review_id || chr(10) || rules || chr(10) || 'user: ' || part || chr(10) || 'user: Produce exactly one finding per playbook rule, by rule label (' || labels || '), following the rules above.') AS content FROM parts JOIN b USING (review_id)""",
+)
+def playbook_requests(spark, d):
+    k = F.row_number().over(Window.partitionBy("review_id").orderBy("question_id"))
+    text = F.col("k").cast("string")
+    rules = a.questions(spark, d).withColumn("k", k).select(F.col("review_id").alias("playbook_id"), F.col("k").alias("ordinal"), F.concat(F.lit("r"), text).alias("label"), F.concat(F.lit("Topic "), text).alias("topic"), F.col("question").alias("preferred_position"), F.when(F.col("k") % 2 == 0, text).alias("fallback_position"), F.when(F.col("k") % 3 == 0, text).otherwise("").alias("unacceptable_position"))
+    books = rules.select("playbook_id").distinct().withColumn("playbook_name", F.concat(F.lit("Book "), F.col("playbook_id").cast("string")))
+    plan = a.documents(spark, d).select("document_id", F.col("review_id").alias("playbook_id"))
+    lines = requests.playbook_requests(plan, _document_parts(spark, d), books, rules, "run0001-abcdef-1", "Be truthful.", model="m")
+    return lines.select("document_id", "custom_id", "request_tokens", *_contents("line"))
+
+
+@register(
+    "s7_chat_requests",
+    f"""WITH {PAGES}, m AS (SELECT conv_id, turn, role, coalesce(text, '') AS text, conv_id || ':' || turn AS message_id FROM conversations WHERE role <> 'system'), u AS (SELECT * FROM m WHERE role = 'user'),
+    h AS (SELECT u.message_id, string_agg(m.role || ': ' || m.text || chr(10), '' ORDER BY m.turn) AS said, sum(length(m.text)) AS n FROM u JOIN m ON m.conv_id = u.conv_id AND m.turn < u.turn GROUP BY 1),
+    p AS (SELECT document_id, string_agg('[d1c' || ordinal || '] (document: File ' || document_id || CASE WHEN ordinal % 2 = 1 THEN ' > Part ' || ordinal ELSE '' END || ')' || chr(10) || text, chr(10) || chr(10) ORDER BY ordinal) AS shown, sum(length(text)) AS letters FROM chunks GROUP BY 1)
+    SELECT message_id, {_number('message_id', 'message_id')} AS custom_id, (length('Be truthful.') // 4 + 400 + letters // 4 + coalesce(n, 0) // 4)::BIGINT AS request_tokens, conv_id::VARCHAR AS metadata,
+    md5('system: Be truthful.' || chr(10) || 'user: # Passages from the selected documents' || chr(10) || chr(10) || shown || chr(10) || coalesce(said, '') || 'user: Question: ' || text || chr(10) || chr(10) || 'Answer from the passages above only, with numbered markers and verbatim quotes.') AS content
+    FROM u JOIN p ON document_id = conv_id LEFT JOIN h USING (message_id)""",
 )
-def requests(spark, d):
-    asked = a.questions(spark, d).groupBy("review_id").agg(F.array_sort(F.collect_list(F.struct("question_id", "question")))["question"].alias("questions"))
-    plan = a.documents(spark, d).select("document_id", "review_id", F.lit(0).alias("group_no")).join(asked, "review_id")
-    lines = files.batch_requests(plan, a.page_chunks(spark, d), "run-0001-x", "Be truthful.")
-    return lines.select("document_id", "custom_id", "request_tokens", F.md5(F.get_json_object("line", "$.body.input[1].content")).alias("content"))
+def chat_requests(spark, d):
+    """Every turn of a user asks the document that has the thread's number, after all earlier turns."""
+    said = a.messages(spark, d)
+    earlier = Window.partitionBy("thread_id").orderBy("position").rowsBetween(Window.unboundedPreceding, -1)
+    turns = said.withColumn("messages", F.collect_list(F.struct("position", "role", F.coalesce("content", F.lit("")).alias("content"))).over(earlier)).where("role = 'user'")
+    turns = turns.withColumn("message_id", F.concat_ws(":", F.col("thread_id").cast("string"), F.col("position").cast("string")))
+    named = _passages(spark, d).withColumns({"label": F.format_string("d1c%d", "ordinal"), "filename": F.concat(F.lit("File "), F.col("document_id").cast("string"))})
+    passages = turns.select("message_id", F.col("thread_id").alias("document_id")).join(named, "document_id")
+    lines = requests.chat_requests(turns.select("thread_id", "message_id", F.col("content").alias("question")), passages, turns.select("message_id", "messages"), "run0001-abcdef-1", "Be truthful.", model="m")
+    return lines.select("message_id", "custom_id", "request_tokens", *_contents("line"))
 
 
 @register("s8_st6_batch_output", "SELECT event_id::VARCHAR AS custom_id, CASE event_id % 5 WHEN 0 THEN 'failed' WHEN 1 THEN 'failed' WHEN 2 THEN 'failed' ELSE 'done' END AS status, CASE event_id % 5 WHEN 0 THEN 'no result for this request' WHEN 1 THEN 'status 500' WHEN 2 THEN 'boom' END AS error FROM events")

@@ -1,8 +1,8 @@
-"""Sources and sinks: raw files, replaceable tables, grid exports, batch requests and results."""
+"""Sources and sinks: raw files, replaceable tables, grid exports and batch results."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lexspan.sources import versions
@@ -37,18 +37,6 @@ def export_grid_csv(table: DataFrame, path: str) -> None:
     table.withColumnRenamed(first, "﻿" + first).select("﻿" + first, *rest).write.mode("overwrite").csv(path, header=True, lineSep="\n", encoding="UTF-8")
 
 
-def batch_requests(plan: DataFrame, passages: DataFrame, run_id: str, system: str) -> DataFrame:
-    """One JSON line per request of a plan (document_id, group_no, questions): system, passages, questions last."""
-    shown = passages.groupBy("document_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("ordinal", F.format_string("[c%d] %s", "ordinal", "text").alias("p"))))["p"], "\n\n").alias("_passages"))
-    joined = plan.join(shown, "document_id")
-    number = F.row_number().over(Window.partitionBy("document_id").orderBy("group_no")) - 1
-    custom = F.format_string(f"{run_id[:8]}-%s-%05d", F.col("document_id").cast("string"), number)
-    message = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
-    body = F.struct(F.array(message("system", F.lit(system)), message("user", F.concat("_passages", F.lit("\n\n"), F.array_join("questions", "\n")))).alias("input"))
-    tokens = F.floor((F.char_length(F.lit(system)) + F.char_length("_passages") + F.aggregate("questions", F.lit(0), lambda s, q: s + F.char_length(q))) / 4) + 500
-    return joined.select("document_id", "group_no", custom.alias("custom_id"), F.to_json(F.struct(custom.alias("custom_id"), body.alias("body"))).alias("line"), tokens.cast("long").alias("request_tokens"))
-
-
 ANSWERS = "answers array<struct<column_id:string,value:string,quotes:array<struct<chunk_id:string,text:string>>,confidence:string,not_found:boolean>>"
 OUTPUT = "custom_id string, response struct<status_code:int,body:struct<model:string,output:array<struct<type:string,content:array<struct<type:string,text:string>>>>>>, error struct<message:string>"
 
