@@ -1,8 +1,11 @@
 import difflib
 
 import numpy as np
+from pyspark.sql import functions as F
 
+from lexspan.functions import helpers
 from lexspan.functions.helpers import _closest
+from lexspan.operators.verify import verify_quotes
 
 
 def plain(haystack, needle, threshold):
@@ -28,3 +31,49 @@ def test_closest_window_is_the_plain_search():
             needle[rng.integers(len(needle))] = "~"
         needle = "".join(needle)
         assert _closest(hay, needle, 0.8) == plain(hay, needle, 0.8)
+
+
+def test_dates_are_read_alike_with_and_without_python(spark):
+    """Built-in functions and the parser agree on every text that the former take."""
+    rng = np.random.default_rng(3)
+    months = [*helpers.MONTHS, "Jan", "SEPT", "Dec", "May"]
+    before = ["", "signed on ", "may be due on ", "Effective Date: ", "on Monday, ", "(", "a lease of ", "v.", "between A and B, at ", "1 copy, ", "T "]
+    after = ["", ".", ", as amended", " at noon", " (the Date)", " 10 pm", " h", "/", "-", " or May", " s 4", "é", ", 5"]
+    texts = [None, "", "no date", "in 2020", "5 March", "March 2020", "31 April 2020", "31st of December 1999", "1/2/2020 and 3/4/2021", "5 March 2020 and 6 March 2020", "٣ March"]
+    for _ in range(1500):
+        day, year, month = int(rng.integers(0, 34)), int(rng.integers(1000, 3000)), str(rng.choice(months))
+        th = str(rng.choice(["", "th", "st"]))
+        core = [f"{day}{th} {month} {year}", f"{month} {day}{th}, {year}", f"{day}/{int(rng.integers(0, 14))}/{year}", f"{day:02d}{th} of {month}, {year}", f"{day}-{month}-{year}"][rng.integers(5)]
+        texts.append(str(rng.choice(before)) + core + str(rng.choice(after)))
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, s string").repartition(1)
+    sure, value = helpers.plain_date(F.col("s"))
+    got = rows.select("s", sure.alias("sure"), value.alias("value"), helpers._fuzzy_date("2000-01-01")(F.col("s")).alias("right"), helpers.parse_written_date()(F.col("s")).alias("read")).collect()
+    assert sum(r.sure for r in got) > 100
+    assert [r for r in got if r.sure and r.value != r.right] == []
+    assert [r for r in got if r.read != r.right] == []
+
+
+def test_plain_texts_are_searched_as_they_are(spark):
+    rng = np.random.default_rng(4)
+    bits = ["a", "b.", "(c)", "\\E", "$1", "^", " ", "  ", "\n", "\t\x1c", "x+", "é", "“q”", "ﬁ"]
+    pairs = [("".join(rng.choice(bits, rng.integers(0, 12))), "".join(rng.choice(bits, rng.integers(1, 4)))) for _ in range(600)] + [(None, "a"), ("", "b")]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, s string, q string").repartition(2)
+    got = rows.select("i", helpers.normalized(F.col("s")).alias("n"), helpers.place_in_plain(F.col("s"), helpers.normalized(F.col("q"))).alias("p")).collect()
+    for r in got:
+        text, places = helpers._normalised(pairs[r.i][0] or "")
+        needle = helpers._normalised(pairs[r.i][1])[0]
+        assert r.n == text, pairs[r.i]
+        if needle and (pairs[r.i][0] or "").isascii() and needle.isascii():
+            at = text.find(needle)
+            want = (int(places[at]), int(places[at + len(needle) - 1]) + 1) if at >= 0 else None
+            assert (tuple(r.p) if r.p else None) == want, pairs[r.i]
+
+
+def test_quotes_in_both_kinds_of_texts(spark):
+    texts = {1: "The  fee\nis due (net).\n\nIt renews.", 2: "The “fee” is due.\n\nNothing else – at all.", 3: None}
+    documents = spark.createDataFrame(list(texts.items()), "document_id long, text string")
+    chunks = spark.createDataFrame([(1, 0, 0, 22, texts[1][:22]), (1, 1, 24, 34, texts[1][24:]), (2, 0, 0, 17, texts[2][:17]), (2, 1, 19, 42, texts[2][19:]), (3, 0, 0, 0, None)], "document_id long, ordinal int, char_start int, char_end int, text string")
+    quotes = [("a", 1, 0, "fee is due (net)."), ("b", 1, 0, "It  renews."), ("c", 2, 0, '"fee" is due'), ("d", 2, 0, "else - at all"), ("e", 1, 0, "The fee is duo (net)."), ("f", 1, 0, "not there at all, never"), ("g", 3, 0, "none"), ("h", 1, None, "renews"), ("i", 1, 0, None), ("j", 1, 1, "renews.*")]
+    found = verify_quotes(spark.createDataFrame(quotes, "quote_id string, document_id long, ordinal int, quote string"), chunks, documents)
+    got = {r.quote_id: (r.match_kind, r.ordinal, texts[r.document_id][r.char_start : r.char_end]) for r in found.collect()}
+    assert got == {"a": ("exact", 0, "fee\nis due (net)."), "b": ("relocated", 1, "It renews."), "c": ("exact", 0, "“fee” is due"), "d": ("relocated", 1, "else – at all"), "e": ("fuzzy", 0, "The  fee\nis due (net)."), "h": ("relocated", 1, "renews"), "j": ("fuzzy", 1, "renews.")}  # marks of patterns are letters like others
