@@ -12,7 +12,7 @@ from lexspan.llm.prefix_trie import OP11_SQL, op11_prefix_trie
 from lexspan.llm.quality_grades import op6_quality_grades
 from lexspan.llm.quality_rules import op1_quality_rules
 from lexspan.llm.repeats import op2_repeats
-from lexspan.llm.segmentation import op3_segmentation
+from lexspan.llm.segmentation import OP3_DECODED_SQL, op3_decoded, op3_segmentation
 from lexspan.llm.toxicity import op4_toxicity
 from lexspan.llm.warc import OP7_SQL, op7_warc
 
@@ -20,6 +20,7 @@ QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op2_repeats": op2_repeats,
     "op3_segmentation": op3_segmentation,
+    "op3_decoded": op3_decoded,
     "op4_toxicity": op4_toxicity,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_quality_grades": op6_quality_grades,
@@ -33,6 +34,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op3_decoded": OP3_DECODED_SQL,
     "op5_exact_dedup": OP5_SQL,
     "op7_warc": OP7_SQL,
     "op11_prefix_trie": OP11_SQL,

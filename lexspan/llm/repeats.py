@@ -178,7 +178,7 @@ def _gather(raw: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.Array:
     return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(sizes), [None, pa.py_buffer(edges.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
-PLACE = "key long, start int, anchor long, digest long, windows long, sent boolean, data binary"
+PLACE = "key long, doc_id long, start int, anchor long, digest long, windows long, sent boolean, data binary"
 
 
 def _cut(shipped):
@@ -206,7 +206,8 @@ def _cut(shipped):
                 data = _gather(raw, starts, sizes)
                 columns = [keys[low + text], (starts - offsets[text]).astype(np.int32), anchor, digest, windows, sent]
                 arrays = [*[pa.array(c) for c in columns], pc.if_else(pa.array(with_bytes), data, pa.scalar(None, pa.binary()))]
-                yield pa.RecordBatch.from_arrays(arrays, ["key", "start", "anchor", "digest", "windows", "sent", "data"])
+                arrays.insert(1, batch.column("doc_id").take(pa.array(low + text)))
+                yield pa.RecordBatch.from_arrays(arrays, ["key", "doc_id", "start", "anchor", "digest", "windows", "sent", "data"])
 
     return run
 
@@ -437,15 +438,16 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, w
     """
     spark = docs.sparkSession
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
-    text = keyed.select("key", "text")
+    text = keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text")
     shipped = spark.sparkContext.broadcast(_scan_for(text.select("text"), length, gram))
     cut = staged(map_batches(text, _cut(shipped), PLACE))
     sent = cut.where("sent").select("anchor", "digest", "windows", "data")
     marks = staged(map_batches(sent.repartition("anchor").sortWithinPartitions("anchor", "digest"), _index(length), "anchor long, digest long, cuts array<int>"))
-    places = cut.select("key", "start", "anchor", "digest").distinct()
-    cuts = places.join(marks, ["anchor", "digest"]).select("key", F.transform("cuts", lambda c: c + F.col("start")).alias("cuts"))
-    cuts = staged(cuts.groupBy("key").agg(F.flatten(F.collect_list("cuts")).alias("cuts")))
-    return map_batches(keyed.join(cuts, "key", "left").select("doc_id", "text", "cuts"), _cut_out(with_text), RESULT + (", kept binary" if with_text else ""))
+    places = cut.select("key", F.col("doc_id").alias("_id"), "start", "anchor", "digest").distinct()
+    cuts = places.join(marks, ["anchor", "digest"]).select("key", "_id", F.transform("cuts", lambda c: c + F.col("start")).alias("cuts"))
+    cuts = staged(cuts.groupBy("key", "_id").agg(F.flatten(F.collect_list("cuts")).alias("cuts")))
+    # Rows of one number and one text share their cuts; the hash alone does not decide whose they are.
+    return map_batches(keyed.join(cuts, (keyed["key"] == cuts["key"]) & keyed["doc_id"].eqNullSafe(cuts["_id"]), "left").select("doc_id", "text", "cuts"), _cut_out(with_text), RESULT + (", kept binary" if with_text else ""))
 
 
 def op2_repeats(spark, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lexspan.llm.shared import map_batches
 from lexspan.llm.textbytes import chunks, eights, equal_spans, mix, prefix_hash, span_ids, text_column
@@ -526,3 +527,17 @@ def op3_segmentation(spark, sf_dir: str) -> DataFrame:
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").withColumnRenamed("doc_id", "key")
     return sample_segmentations(docs, public_tokenizers.path("piece_bpe_32k.model")).withColumnRenamed("key", "doc_id")
+
+
+def op3_decoded(spark, sf_dir: str) -> DataFrame:
+    """Every sampled segmentation decoded again: the hash of the text, and whether all samples give the same one."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("key"), "text")
+    decoded = decode_segmentations(sample_segmentations(docs, path, with_ids=True), path).select("key", F.sha2("text", 256).alias("sha"))
+    return decoded.groupBy(F.col("key").alias("doc_id")).agg(F.min("sha").alias("decoded_sha256"), (F.min("sha") == F.max("sha")).alias("all_equal"))
+
+
+#: The space mark itself decodes to a space.
+OP3_DECODED_SQL = "SELECT doc_id, sha256(replace(coalesce(text, ''), chr(9601), ' ')) AS decoded_sha256, true AS all_equal FROM documents"

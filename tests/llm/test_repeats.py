@@ -86,3 +86,14 @@ def test_repeated_rows_and_empty_table(spark):
     none = hashlib.sha256(b"").hexdigest()
     assert got == [(1, 280, 280, 1, none), (1, 280, 280, 1, none), (2, 5, 0, 0, hashlib.sha256(b"short").hexdigest())]
     assert remove_repeats(docs.limit(0)).count() == 0
+
+
+def test_equal_keys_of_different_documents(spark, monkeypatch):
+    """The hash of a row alone does not decide whose cuts are whose."""
+    import lexspan.llm.repeats as repeats
+
+    monkeypatch.setattr(repeats.F, "xxhash64", lambda *columns: repeats.F.lit(7).cast("long"))
+    texts = ["once " + "shared words " * 3, "shared words " * 3 + "twice", "alone", None]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts[:3])] + [(None, texts[3])], "doc_id long, text string").repartition(2)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in remove_repeats(docs, length=12, gram=4).collect()}
+    assert [got[i] for i in (0, 1, 2, None)] == brute(texts, 12)
