@@ -18,11 +18,12 @@ an earlier round, so found instances make further contexts. An instance's score
 that no base span touches and that have the kind's rough shape. Every count is combined
 before it is shuffled, so a frequent context is no hot spot.
 
-Defined results: null text counts as empty and has no spans. Repeated rows get equal
+Defined results: null text counts as empty and has no spans; an empty table gives an empty table. Repeated rows get equal
 results and count once as an instance. Extra columns are ignored. The possessive
 quantifiers match what the greedy ones of the contract match, without recursion, and the
 heads let a match begin only where a run of its first class begins or the last match
-ended, so long runs take linear time; the matches are the same.
+ended, so long runs take linear time; the matches are the same. Many matches in one text are
+placed block by block; contexts are read as far back as their two words stand.
 """
 
 from __future__ import annotations
@@ -45,13 +46,14 @@ NEEDS = {"email": "@", "ip": ".", "phone": "+"}
 CANDIDATE = r"(?<!\S)[^\s0-9@(\[{]*+[0-9@(\[{]\S*+"
 #: Rough shapes of identifiers that the fixed patterns miss, by kind.
 SHAPES = {
-    "email": r"(?i)^[a-z0-9._%+-]+(?:@|\(at\)|\[at\]|\{at\})[a-z0-9-]+(?:(?:\.|\(dot\)|\[dot\]|\{dot\})[a-z0-9-]+)*$",
+    "email": r"(?i)^[a-z0-9._%+-]++(?:@|\(at\)|\[at\]|\{at\})[a-z0-9-]++(?:(?:\.|\(dot\)|\[dot\]|\{dot\})[a-z0-9-]++)*+$",
     "ip": r"^[0-9a-fA-F]*:[0-9a-fA-F:]+:[0-9a-fA-F]*$",
     "card": r"^[0-9](?:(?:[./_\x20-]|\x20-\x20)?[0-9]){13,18}$",
     "phone": r"^\(?[0-9](?:(?:[().-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){6,14}$",
 }
 #: Marks before and after a token, which do not belong to it.
 LEAD = r"[\"'<\[,;:]"
+TRAIL = r"(?<![\"'>\],;:.!?])[\"'>\],;:.!?]++$"
 EDGE = r"(?=[\"'>\],;:.!?)]*+(?:\s|\z))"
 #: Where digit groups with spaces between them begin: marks and the first character.
 RUN = rf"(?<!\S){LEAD}*+(?=[0-9()./_-]++\x20)(?=\(?[0-9](?:(?:[()./_-]|\)?[\x20-]\(?|\x20-\x20)?[0-9]){{6,18}}{EDGE})[(0-9]"
@@ -66,20 +68,48 @@ FEWEST = 3
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
+#: Elements that one pass copies from step to step; longer arrays are cut into blocks of so many.
+BLOCK = 64
+FOUND = "array<struct<start:int,end:int,value:string>>"
+
+
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _blocks(values: Column) -> Column:
+    last = F.greatest(F.floor((F.size(values) - 1) / BLOCK).cast("int"), F.lit(0))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.slice(values, i * BLOCK + 1, F.lit(BLOCK)))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """Array of (start, end, value) of the pattern's matches; code points, end exclusive."""
+    """Array of (start, end, value) of the pattern's matches; code points, end exclusive.
+
+    Positions are sums over the pieces before; they are formed block by block, so that many
+    matches in one text cost little more than their number.
+    """
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    between = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(values))
-    parts = F.arrays_zip(F.transform(between, lambda x: F.char_length(x)).alias("gap"), values.alias("value"))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found"))
+    # Each piece with its gap, its size and itself; the text after the last match is no piece.
+    parts = _let(values, lambda v: F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(v)), v, lambda g, x: F.struct(F.char_length(g).alias("gap"), F.char_length(x).alias("size"), x.alias("value"))))
+    none = F.array().cast(FOUND)
+
+    def place(pieces, begin):
+        def step(state, p):
+            start = state["at"] + p["gap"]
+            span = F.struct(start.alias("start"), (start + p["size"]).alias("end"), p["value"].alias("value"))
+            return F.struct((start + p["size"]).alias("at"), F.concat(state["found"], F.array(span)).alias("found"))
 
-    def step(state, part):
-        begin = state["at"] + part["0"]
-        end = begin + F.char_length(part["1"])
-        return F.struct(end.alias("at"), F.concat(state["found"], F.array(F.struct(begin.alias("start"), end.alias("end"), part["1"].alias("value")))).alias("found"))
+        return F.aggregate(pieces, F.struct(begin.alias("at"), none.alias("found")), step, lambda state: state["found"])
 
-    zipped = F.transform(parts, lambda p: F.struct(p["gap"].alias("0"), p["value"].alias("1")))
-    return F.aggregate(zipped, start, step, lambda s: s["found"])
+    def by_block(blocks):
+        def on(begins, block):
+            return F.concat(begins, F.array(F.element_at(begins, -1) + F.aggregate(block, F.lit(0), lambda n, p: n + p["gap"] + p["size"])))
+
+        begins = F.aggregate(blocks, F.array(F.lit(0)), on)
+        return F.flatten(_let(begins, lambda at: F.zip_with(blocks, F.slice(at, F.lit(1), F.size(blocks)), place)))
+
+    return _let(parts, lambda p: F.when(F.size(p) <= BLOCK, place(p, F.lit(0))).otherwise(_let(_blocks(p), by_block)))
 
 
 def _luhn(digits: Column) -> Column:
@@ -132,16 +162,44 @@ def in_order(spans: Column) -> Column:
     return F.transform(F.array_sort(keyed), lambda k: F.struct(k["a"].alias("start"), k["c"].alias("end"), k["d"].alias("kind"), k["e"].alias("value")))
 
 
-def _context(text: Column, start: Column) -> Column:
-    """The two words before a place, in lower case and without marks."""
-    before = F.substring(text, F.greatest(start - 80, F.lit(0)) + 1, F.least(start, F.lit(80)))
-    words = F.slice(F.reverse(F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")), 1, 2)
-    return F.array_join(F.reverse(words), " ")
+#: Code points of a page; a place is reached through its page instead of from the text's beginning.
+PAGE = 2048
+#: Letters before a place in which its context is looked for first (at most a page); each next try reads more, the last one all.
+LOOKS = (80, 1280)
+
+
+def _pages(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PAGE}}}"), F.lit(0))
+
+
+def _cut(pages: Column, start: Column, size: Column) -> Column:
+    """At most a page of code points from a place on."""
+    first = F.floor(start / PAGE).cast("int")
+    two = F.concat(F.coalesce(F.get(pages, first), F.lit("")), F.coalesce(F.get(pages, first + 1), F.lit("")))
+    return F.substring(two, start - first * PAGE + 1, size)
+
+
+def _context(text: Column, pages: Column, start: Column) -> Column:
+    """The two words before a place, in lower case and without marks, however far back they stand."""
+
+    def words(before):
+        return F.filter(F.split(F.lower(before), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def last_two(found):
+        return F.array_join(F.reverse(F.slice(F.reverse(found), 1, 2)), " ")
+
+    context = last_two(words(F.substring(text, F.lit(1), start)))
+    for look in reversed(LOOKS):
+        near = words(_cut(pages, F.greatest(start - look, F.lit(0)), F.least(start, F.lit(look))))
+        wider = context
+        # With a third word in sight the last two are whole.
+        context = _let(near, lambda w: F.when((start <= look) | (F.size(w) > 2), last_two(w)).otherwise(wider))  # noqa: B023
+    return context
 
 
 def seeds_of(text: Column) -> Column:
     """The base spans, each with its context."""
-    return F.transform(base_spans(text), lambda s: s.withField("context", _context(text, s["start"])))
+    return _let(_pages(text), lambda pages: F.transform(base_spans(text), lambda s: s.withField("context", _context(text, pages, s["start"]))))
 
 
 def candidates(text: Column) -> Column:
@@ -151,17 +209,20 @@ def candidates(text: Column) -> Column:
     Marks at a token's edges do not belong to it. Runs are taken from each group on, so they
     may overlap.
     """
+    return _let(_pages(text), lambda pages: _candidates(text, pages))
+
 
+def _candidates(text: Column, pages: Column) -> Column:
     def placed(s):
-        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), s["whole"].alias("whole"), _context(text, s["start"]).alias("context"))
+        return F.struct(s["start"].alias("start"), (s["start"] + F.char_length(s["value"])).alias("end"), s["value"].alias("value"), s["whole"].alias("whole"), _context(text, pages, s["start"]).alias("context"))
 
     def trimmed(s):
-        core = F.regexp_replace(F.regexp_replace(s["value"], f"^{LEAD}+", ""), r"[\"'>\],;:.!?]+$", "")
+        core = F.regexp_replace(F.regexp_replace(s["value"], f"^{LEAD}+", ""), TRAIL, "")
         lead = F.char_length(s["value"]) - F.char_length(F.regexp_replace(s["value"], f"^{LEAD}+", ""))
         return F.struct((s["start"] + lead).alias("start"), core.alias("value"))
 
     def ahead(start):
-        return F.substring(text, start + 1, F.lit(100))  # a run has at most 19 digits and 3 characters between two
+        return _cut(pages, start, F.lit(100))  # a run has at most 19 digits and 3 characters between two
 
     def judged(s):
         longer = F.lit(False)
@@ -181,11 +242,11 @@ def candidates(text: Column) -> Column:
 
 
 def _any_shape(value: Column) -> Column:
-    """Short enough to be an identifier, and either a base match's shape or a rough one."""
+    """Either a base match's shape or a rough one, of any length."""
     shape = F.lit(False)
     for pattern in (*PATTERNS.values(), *SHAPES.values()):
         shape = shape | value.rlike(pattern if pattern.startswith(("^", "(?i)^")) else f"^(?:{pattern})$")
-    return (F.char_length(value) <= 128) & shape
+    return shape
 
 
 def _shaped(kind: Column, value: Column) -> Column:
@@ -196,8 +257,14 @@ def _shaped(kind: Column, value: Column) -> Column:
     return shaped
 
 
-def _touches(spans: Column, c: Column) -> Column:
-    return F.exists(spans, lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"]))
+def _untouched(tokens: Column, spans: Column) -> Column:
+    """The tokens that no span touches. Spans come in order, so most of their blocks are passed over at once."""
+    bounds = F.transform(_blocks(spans), lambda b: F.struct(b.alias("b"), F.array_min(b["start"]).alias("low"), F.array_max(b["end"]).alias("high")))
+
+    def touched(blocks, c):
+        return F.exists(blocks, lambda k: (k["low"] < c["end"]) & (c["start"] < k["high"]) & F.exists(k["b"], lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+
+    return _let(bounds, lambda blocks: F.filter(tokens, lambda c: ~touched(blocks, c)))
 
 
 def _widest(spans: Column) -> Column:
@@ -234,7 +301,8 @@ def find_pii(docs: DataFrame) -> DataFrame:
     slim = staged(slim)  # spans and candidates only: the texts are read once
     seeds = slim.select(F.explode("seeds").alias("s")).where("s.context != ''").select("s.context", "s.value", "s.kind")
     slim = slim.withColumn("base", F.transform("seeds", lambda s: s.dropFields("context"))).drop("seeds")
-    seen = slim.select("doc_id", "text_mark", "base", F.explode("tokens").alias("c")).where(~_touches(F.col("base"), F.col("c")))
+    seen = slim.select("doc_id", "text_mark", F.explode(_untouched(F.col("tokens"), F.col("base"))).alias("c"))
+    slim = slim.drop("tokens")
     occurrences = seeds.union(seen.where("c.whole").select("c.context", "c.value", F.lit(None).cast("string").alias("kind")))
     best = context_scores(occurrences).where(F.col("score") >= CONFIDENT).groupBy("context").agg(F.max_by("kind", F.struct("score", "kind")).alias("kind"))
     fresh = (

@@ -111,3 +111,24 @@ def test_masked_keeps_columns_of_any_name(spark):
     assert out.columns == docs.columns
     got = sorted(map(tuple, out.collect()), key=str)
     assert got == sorted([(1, "mail [EMAIL] now", 16, "a", "b", "c", "d", "e"), (2, None, None, "a", "b", "c", "d", "e"), (None, "plain", 5, "a", "b", "c", "d", "e")], key=str)
+
+
+def test_long_candidates_and_far_contexts(spark):
+    long = "a" * 140 + "(at)mail.example.org"
+    rows = [f"please write to user{i}@mail.example.org" for i in range(20)]
+    rows += [f"please write to {long}", "please write" + " -" * 60 + "to " + "-" * 100 + " eve(at)corp(dot)example", "please write to" + " ." * 3000 + " mia(at)corp(dot)example", "supercalifragilistic" * 6 + "please write to zoe(at)corp(dot)example"]
+    rows += ["write" + "x" * 90 + " to kim(at)corp(dot)example", "to amy(at)corp(dot)example"]  # other contexts than "write to"
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r.doc_id: [s.value for s in r.spans] for r in find_pii(docs).collect()}
+    assert [got[i] for i in range(20, 26)] == [[long], ["eve(at)corp(dot)example"], ["mia(at)corp(dot)example"], ["zoe(at)corp(dot)example"], [], []]
+
+
+def test_many_matches_in_one_text(spark):
+    """Places are right across blocks and pages, whatever the number of matches."""
+    for n in (1, 63, 64, 65, 128, 129, 3000):
+        text = "".join(f"\U0001f600 é user{i}@mail.example.org, {i}.2.3.4 " for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        row = docs.select(written(pii.base_spans(pii.F.col("text"))).alias("s"), pii.seeds_of(pii.F.col("text")).alias("x")).first()
+        assert row.s == brute(text)
+        want = [" ".join(re.findall(r"[^\W_]+", text[: x.start].lower())[-2:]) for x in row.x] if n < 200 else None
+        assert want is None or [x.context for x in row.x] == want
