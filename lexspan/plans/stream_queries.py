@@ -57,7 +57,8 @@ PARTS = f"{PAGES}, {QUESTIONS}, sh AS ({PASSAGE}), ol AS (SELECT doc_id AS docum
 
 
 def _number(key, order):
-    return f"'run0001abcde-' || lpad((row_number() OVER (ORDER BY md5({key}::VARCHAR)[1:3], {order}) - 1)::VARCHAR, 5, '0')"
+    """Five digits at least; numbers from 100 000 on have more (``lpad`` would cut them)."""
+    return f"printf('run0001abcde-%05d', row_number() OVER (ORDER BY md5({key}::VARCHAR)[1:3], {order}) - 1)"
 
 
 def _passages(spark, d):

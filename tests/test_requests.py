@@ -74,3 +74,12 @@ def test_single_cells_and_runs_of_a_document(spark):
     known = spark.createDataFrame([(10, 4)], "document_id long, matter_id long")
     assert sorted((r.run_id, r.place) for r in playbook.list_runs(runs, known, "document_id").collect()) == [(1, 2), (2, 1), (3, 1)]
     assert sorted(r.run_id for r in playbook.list_runs(runs, known).collect()) == [1, 2]
+
+
+def test_sql_numbers_past_five_digits():
+    import duckdb
+
+    from lexspan.plans.stream_queries import _number
+
+    made = duckdb.connect().execute(f"SELECT {_number('k', 'k')} FROM range(100002) r(k) ORDER BY 1").fetchall()
+    assert len(set(made)) == 100002 and ("run0001abcde-100001",) in made and ("run0001abcde-00000",) in made
