@@ -53,3 +53,23 @@ def test_normalised():
     assert out == 'Supplier shall indemnify "Customer" first.'
     assert text[places[out.index("indemnify")] :].startswith("indemnify") and text[places[out.index("irst") + 1] :].startswith("rst")
     assert F is not None
+
+
+def test_documents_packed_together(spark, monkeypatch):
+    """Documents share batches, which must not show; status needs the chunks once."""
+    one = pages_of(spark, SECTIONS * 6)
+    many = one.crossJoin(spark.range(7).select(F.concat(F.lit("d"), "id").alias("n"))).select(F.col("n").alias("document_id"), "page_number", "text", "char_offset").coalesce(1)
+    monkeypatch.setattr(i, "PACKED_BLOCKS", 100)
+    held = ["ordinal", "char_start", "char_end", "section_path", "token_count", "text"]
+    alone = [tuple(r) for r in i.chunk_documents(one, 60, 120).select(*held).orderBy("ordinal").collect()]
+    together = i.chunk_documents(many, 60, 120).cache()
+    for k in range(7):
+        assert [tuple(r) for r in together.where(f"document_id = 'd{k}'").select(*held).orderBy("ordinal").collect()] == alone
+    bad = together.withColumn("text", F.when(F.col("document_id") == "d1", "no slice").otherwise(F.col("text"))).where("document_id <> 'd2'")
+    wrong = many.withColumn("char_offset", F.when(F.col("document_id") == "d3", F.col("char_offset") + 1).otherwise(F.col("char_offset")))
+    got = {r.document_id: (r.status, r.error) for r in i.document_status(wrong, bad).collect()}
+    assert got.pop("d1") == ("failed", "chunk slice") and got.pop("d2") == ("failed", "no chunks")
+    assert got.pop("d3")[1] == "page offset" and set(got.values()) == {("ready", None)}
+    read = spark.sparkContext.accumulator(0)
+    counted = together.rdd.map(lambda r: (read.add(1), r)[1]).toDF(together.schema)
+    assert len(i.document_status(many, counted).collect()) == 7 and read.value == together.count()
