@@ -41,8 +41,7 @@ def paragraph_pages(spark, d):
     """The words are cut from the page at their offsets."""
     rows = a.lines(spark, d).select(F.col("doc_id").alias("document_id"), F.col("ln").alias("position"), F.when(F.col("ln") % 4 == 0, "tr").otherwise("p").alias("kind"), F.col("line").alias("text"), F.array("line", F.col("ln").cast("string")).alias("cells"))
     page = ingest.page_from_paragraphs(rows)
-    cut = F.transform("words", lambda w: F.substring(F.col("text"), w["start"] + 1, w["end"] - w["start"]))
-    page = page.withColumn("cut", cut)  # before ``text`` gets another meaning
+    page = page.withColumn("cut", helpers.cut_spans(F.col("text"), F.col("words")))  # before ``text`` gets another meaning
     return page.select("document_id", F.md5("text").alias("text"), F.size("words").cast("long").alias("n_words"), F.md5(F.array_join("cut", "|")).alias("words"))
 
 

@@ -1,6 +1,8 @@
 import difflib
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lexspan.functions import helpers
@@ -77,3 +79,19 @@ def test_quotes_in_both_kinds_of_texts(spark):
     found = verify_quotes(spark.createDataFrame(quotes, "quote_id string, document_id long, ordinal int, quote string"), chunks, documents)
     got = {r.quote_id: (r.match_kind, r.ordinal, texts[r.document_id][r.char_start : r.char_end]) for r in found.collect()}
     assert got == {"a": ("exact", 0, "fee\nis due (net)."), "b": ("relocated", 1, "It renews."), "c": ("exact", 0, "“fee” is due"), "d": ("relocated", 1, "else – at all"), "e": ("fuzzy", 0, "The  fee\nis due (net)."), "h": ("relocated", 1, "renews"), "j": ("fuzzy", 1, "renews.")}  # marks of patterns are letters like others
+
+
+def test_word_places_and_pieces(spark, monkeypatch):
+    """Places of words need no row a word; results leave a few at a time, whatever a batch holds."""
+    texts = ["", " ", None, "ab  cd ", " é😀 x\n\ny", "z"] * 30
+    rows = spark.createDataFrame(list(enumerate(texts)), "i long, text string").coalesce(1)
+    page = rows.select("i", "text", helpers.word_spans(F.col("text")).alias("w"))
+    for r in page.select("*", helpers.cut_spans(F.col("text"), F.col("w")).alias("cut")).collect():
+        assert r.cut == [x for x in (r.text or "").split(" ") if x]
+    assert "Window" not in page._jdf.queryExecution().toString() and "Generate" not in page._jdf.queryExecution().toString()
+    sizes = [len(b) for b in helpers._normalise_batches(iter([pa.array(["a  b"] * 200)]))]
+    assert sum(sizes) == 200 and max(sizes) == helpers.PIECE
+    called = helpers.embed_batches(helpers.hash_vectors(4), 4, 50).func(iter([pd.Series(["a"] * 120)]))
+    assert [len(x) for x in called] == [50, 50, 20]
+    vectors = rows.select(helpers.hash_embed(4)(F.col("text")).alias("v"), "text").collect()
+    assert [list(r.v) for r in vectors] == [v.tolist() for v in helpers.hash_vectors(4)([r.text for r in vectors])]
