@@ -95,3 +95,50 @@ def test_word_places_and_pieces(spark, monkeypatch):
     assert [len(x) for x in called] == [50, 50, 20]
     vectors = rows.select(helpers.hash_embed(4)(F.col("text")).alias("v"), "text").collect()
     assert [list(r.v) for r in vectors] == [v.tolist() for v in helpers.hash_vectors(4)([r.text for r in vectors])]
+
+
+def test_long_quotes_and_latin_letters_are_found_where_they_lie(spark):
+    """A needle of thousands of words is no pattern of as many parts, and Latin letters need no map back to the source."""
+    words = " ".join(f"wört{i}" for i in range(6000))
+    text = "“Préface”  –\n\n" + words.replace(" ", "\n\n") + " end"
+    rows = spark.createDataFrame([(text, words), (text, '"Préface" - wört0'), (text, "wört1 wört3")], "s string, q string")
+    got = [r.p and (r.p.start, r.p.end) for r in rows.select(helpers.is_plain(F.col("s")).alias("plain"), helpers.place_in_plain(F.col("s"), F.col("q")).alias("p")).collect()]
+    first = text.index("wört0")
+    assert got == [(first, len(text) - 4), (0, first + 5), None]
+
+
+def test_close_matches_compare_few_windows(monkeypatch):
+    """One changed letter in a long page: most windows are ruled out before they are compared."""
+    rng = np.random.default_rng(5)
+    page = " ".join(rng.choice(["the", "supplier", "shall", "pay", "fees", "within", "days", "of", "notice", "term"], 400))
+    needle = page[900:910] + "~" + page[911:1060]
+    calls, common = [], helpers._common
+    monkeypatch.setattr(helpers, "_common", lambda *a: calls.append(1) or common(*a))
+    assert _closest(page, needle, 0.9) == plain(page, needle, 0.9)
+    assert len(calls) <= 20
+
+
+def test_matched_letters_are_those_of_the_blocks():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        a = "".join(rng.choice(list("abc d"), rng.integers(0, 60)))
+        b = list(a) if rng.random() < 0.7 else list("abcd" * 9)
+        for _ in range(min(len(b), 3)):
+            b[rng.integers(len(b))] = "~"
+        blocks = difflib.SequenceMatcher(None, a, "".join(b), autojunk=False)
+        assert helpers._matched(a, "".join(b)) == sum(m.size for m in blocks.get_matching_blocks())
+        longest = blocks.find_longest_match()
+        assert helpers._longest(a, "".join(b))[2] == longest.size
+
+
+def test_documents_are_split_into_pages_where_they_lie(spark, tmp_path):
+    from lexspan.operators.ingest import assemble_text
+    from lexspan.plans import adapters
+
+    texts = ["", None, "a\n\nb", "\n" * 12, "\n".join(f"é{i}" * (i % 3) for i in range(23)), "one"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    split, whole = adapters.split_pages(spark, str(tmp_path)), adapters.assembled(spark, str(tmp_path))
+    columns = ["document_id", "page_number", "text", "char_offset"]
+    assert sorted(map(tuple, split.select(*columns).collect())) == sorted(map(tuple, adapters.pages(spark, str(tmp_path)).select(*columns).collect()))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, assemble_text(adapters.pages(spark, str(tmp_path))).collect()))
+    assert "Exchange" not in split._jdf.queryExecution().toString()
