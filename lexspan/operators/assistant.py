@@ -35,10 +35,10 @@ def chat_sentences(passages: DataFrame, questions: DataFrame, *on: str, most: in
     return with_sentence(picked, passages)
 
 
-def chat_answers(passages: DataFrame, questions: DataFrame, *on: str) -> DataFrame:
-    """Per question its two best sentences with marks; none: insufficient."""
+def chat_answers(passages: DataFrame, questions: DataFrame, *on: str, picked: DataFrame | None = None) -> DataFrame:
+    """Per question its two best sentences with marks (``picked``, if they are known); none: insufficient."""
     said = F.format_string("In %s: %s [%d]", F.col("document_id").cast("string"), F.col("sentence"), F.col("marker"))
-    picked = chat_sentences(passages, questions, *on)
+    picked = chat_sentences(passages, questions, *on) if picked is None else picked
     joined = picked.groupBy("question_id").agg(F.array_join(F.array_sort(F.collect_list(F.struct("marker", said.alias("said"))))["said"], " ").alias("answer"), F.count(F.lit(1)).alias("n_citations"))
     every = questions.select("question_id").join(joined, "question_id", "left")
     return every.withColumns({"insufficient": F.col("answer").isNull(), "answer": F.coalesce("answer", F.lit(NO_ANSWER)), "n_citations": F.coalesce("n_citations", F.lit(0))})
