@@ -219,10 +219,7 @@ def registrations(spark, d):
 def ingested_stream(spark, d):
     """All documents as a stream of pages, through chunks, vectors and status."""
     path = jobs.work_dir(spark)
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    numbers = F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 5).cast("int"))
-    page = F.transform(numbers, lambda i: F.struct((i + 1).alias("page_number"), F.array_join(F.slice(lines, i * 5 + 1, F.lit(5)), "\n\n").alias("text")))
-    pages = _stream(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.explode(page).alias("p")).select("document_id", "p.page_number", "p.text")
+    pages = _stream(spark, d, "documents").select(F.col("doc_id").alias("document_id"), F.posexplode(a.page_texts()).alias("n", "text")).select("document_id", (F.col("n") + 1).alias("page_number"), "text")
     jobs.ingest_stream(pages, path, f"{path}/c", target=200, most=400, embedder=helpers.hash_vectors(64), dim=64)
     done = files.read_documents(spark, f"{path}/documents")
     ready = (F.col("status") == "ready") & (F.col("n_vectors") == F.col("n_chunks")) & (F.col("n_chunks") > 0)
