@@ -2,6 +2,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from lexspan.llm.quality_rules import COUNTS, quality_verdicts, statistics
 
@@ -42,3 +43,14 @@ def test_verdicts(spark):
     assert all(out[i].base_failed and not out[i].kept for i in (900, 901, 902))
     empty = quality_verdicts(docs.limit(0), labels.limit(0))
     assert empty.count() == 0
+
+
+def test_every_labelled_row_counts(spark):
+    """Good rows of a style of their own come last in the order by which 20 000 labelled rows once were drawn."""
+    ids = spark.range(20_200).withColumnRenamed("id", "doc_id")
+    odd = F.col("doc_id").isin(*[r.doc_id for r in ids.orderBy(F.xxhash64("doc_id", F.lit(0)).desc(), F.desc("doc_id")).limit(200).collect()])
+    plain, marked = (" ".join(f"word{i}{end}" for i in range(60)) for end in ("", "#$"))
+    tail = F.concat(F.lit(" "), F.repeat(F.lit("x"), (F.col("doc_id") % 50).cast("int")), F.repeat(F.lit("."), F.pmod(F.xxhash64("doc_id"), F.lit(7)).cast("int")))
+    docs = ids.select("doc_id", F.concat(F.when(odd, marked).otherwise(plain), tail).alias("text"))
+    verdicts = quality_verdicts(docs, ids.select("doc_id", F.lit(1).alias("quality")))
+    assert verdicts.where("NOT kept").count() <= 0.005 * 20_200
