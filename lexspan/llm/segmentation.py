@@ -45,6 +45,8 @@ SAMPLES = 3
 FALLBACK = 1 << 24  # pieces from here on stand for a character written as bytes
 #: Bits of the hash by which a piece is looked up first.
 LOOK_BITS = 20
+#: Bytes of text that are worked on at once: few enough that a chunk's lattice stays in a core's cache.
+CHUNK_BYTES = 1 << 19
 
 
 class Vocabulary:
@@ -162,7 +164,7 @@ class Lattice:
         turn.append(out_of[node])
         out_of[node] += 1
         source, target, piece, score, turn = (np.concatenate(x) for x in (source, target, piece, score, turn))
-        ranked = np.argsort(level * np.int64(nodes) + np.arange(nodes))
+        ranked = np.argsort(level.astype(np.uint16) if int(chars.max(initial=0)) < 1 << 16 else level, kind="stable")
         self.rank = np.empty(nodes, np.int64)
         self.rank[ranked] = np.arange(nodes)
         # Edges by the rank of the node they leave, and there in the order in which they were found.
@@ -188,12 +190,13 @@ class Lattice:
             back[source[a:b][heads]] = most + np.log(np.add.reduceat(np.exp(value - np.repeat(most, width)), heads))
         self.log_p = score + back[self.target] - back[source]
         p = np.exp(self.log_p)
+        each = np.diff(np.append(first_of_source, len(p)))
         running = np.cumsum(p)
-        begin = np.repeat(running[first_of_source] - p[first_of_source], np.diff(np.append(first_of_source, len(p)))) if len(p) else p
-        share = (running - begin) / np.maximum(np.repeat(np.add.reduceat(p, first_of_source), np.diff(np.append(first_of_source, len(p)))), 1e-300) if len(p) else p
+        begin = np.repeat(running[first_of_source] - p[first_of_source], each) if len(p) else p
+        share = (running - begin) / np.maximum(np.repeat(np.add.reduceat(p, first_of_source), each), 1e-300) if len(p) else p
         # What the siblings of an edge have: a likely edge's siblings are summed, not taken from 1.
         small = np.where(p > 0.5, 0.0, p)
-        others = np.repeat(np.add.reduceat(small, first_of_source), np.diff(np.append(first_of_source, len(p)))) if len(p) else p
+        others = np.repeat(np.add.reduceat(small, first_of_source), each) if len(p) else p
         self.log_rest = np.log(np.maximum(np.where(p > 0.5, others, 1 - p), 1e-300))
         closing = np.append(first_of_source[1:], len(p)) - 1 if len(p) else []
         share[closing] = 1.0
@@ -469,7 +472,7 @@ def _sample(path: str, k: int, seed: int, alpha: float, with_ids: bool):
             keys = np.array([x or 0 for x in batch.column("key").to_pylist()], np.int64) ^ np.int64(seed)
             marked = pa.array([(MARK + t.replace(" ", MARK)) if t else "" for t in texts], pa.large_string())
             plain = np.array([MARK not in t for t in texts], bool)
-            for low, high, raw, offsets in chunks(marked, 1 << 21):
+            for low, high, raw, offsets in chunks(marked, CHUNK_BYTES):
                 sampler = Sampler(vocab, raw, offsets, keys[low:high], k)
                 rows = list(sampler.run())
                 text = np.array([r[0] for r in rows], np.int64)

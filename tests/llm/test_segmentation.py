@@ -88,3 +88,18 @@ def test_table(spark, vocab):
     assert {r.text for r in decode_segmentations(frame, PATH).collect()} == {rows[5][1]}
     assert Decoder(vocab)(np.array([], np.int64)) == b""
     assert sample_segmentations(df.limit(0), PATH).count() == 0
+
+
+def test_results_do_not_depend_on_the_bytes_worked_on_at_once(spark, monkeypatch):
+    from lexspan.llm import segmentation
+
+    rows = spark.createDataFrame([(i, f"some words of row {i} " * (i % 4) + "漢字 é") for i in range(40)], "key long, text string").coalesce(1).toArrow()
+    batch = rows.combine_chunks().to_batches()[0]
+
+    def ids(limit):
+        monkeypatch.setattr(segmentation, "CHUNK_BYTES", limit)
+        found = list(segmentation._sample(PATH, 3, 0, 1.0, True)(iter([batch])))
+        return len(found), sorted((k, s, i) for b in found for k, s, i in zip(*(b.column(c).to_pylist() for c in ("key", "sample", "ids")), strict=True))
+
+    (few, want), (many, got) = ids(1 << 20), ids(64)
+    assert few == 1 and many > 10 and got == want
