@@ -24,11 +24,13 @@ linked; the result is each document's component.
    the lesser counts, which rules most pairs out for good. The texts of the rest follow, once
    to a block, and their sets are compared there in full. Each block returns the links as a
    star.
-5. *Contraction.* Long lists first pair each document with the next ``NEAR`` and with the
-   smallest one. Links merge nodes into components. Then every long list that still holds
-   more than one component gives all pairs between components that meet the condition, each
-   in the first list that the two share; nodes outside the largest component of a divided
-   list visit all its parts. Pairs inside a component need no check, so no link between
+5. *Contraction.* Long lists first pair each document with those ``BEST`` of the next
+   ``NEAR`` that share most of its prefix and with the one that shares most with all. Links
+   merge nodes into components. Then every long list that still holds more than one component pairs each
+   node outside the largest one with the ``BEST`` of other components, which merges most of
+   them; last, it gives all pairs between components that meet the condition, each in the
+   first list that the two share; nodes outside the largest component of a divided list
+   visit all its parts. Pairs inside a component need no check, so no link between
    components is lost and a large group of near copies never expands into all its pairs.
 
 Defined results: null, empty or word-free text has an empty set and links to nothing. A
@@ -59,6 +61,8 @@ BLOCK = 4096
 FULL = 33
 #: Distances that a longer list gives first.
 NEAR = 16
+#: Of these, and of the members of other components, so many with the most shared are verified before all that are left.
+BEST = 2
 MOST_MATCHES = 4
 #: Estimated postings from which a list is divided into parts of about that length.
 HOT = 4096
@@ -339,11 +343,25 @@ class _Prefixes:
         return whole, whole[:, first]
 
 
-def _long_pairs(near: int):
+def _central(whole: np.ndarray) -> np.ndarray:
+    """How much of their prefixes rows share with all others, from 0 to below 1; of near copies those with few changes share most."""
+    total = whole @ whole.sum(axis=0)
+    return total / (total.max(initial=0) + 1)
+
+
+def _first_of_each(x: np.ndarray, y: np.ndarray, value: np.ndarray, most: int) -> np.ndarray:
+    """Which pairs are among the ``most`` of their ``x`` with the highest ``value``, the earlier ``y`` first."""
+    order = np.lexsort((y, -value, x))
+    heads = _heads(x[order]) if len(order) else order
+    return order[np.arange(len(order)) - np.repeat(heads, np.diff(np.append(heads, len(order)))) < most]
+
+
+def _long_pairs(near: int, best: int | None = None):
     """Pairs of long lists that share enough of their prefixes.
 
-    ``near`` above 0: those at so many distances and with the smallest node. 0: all pairs
-    of different components, each in the first list that both are in.
+    ``near`` above 0: those at so many distances and with the most central node. 0: all pairs
+    of different components, each in the first list that both are in. ``best``: of these
+    the ones that share most, so many for each node.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -358,25 +376,34 @@ def _long_pairs(near: int):
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if near:
                     whole, _ = prefix.dense(np.arange(s, e), 0)
-                    x = np.concatenate([*[np.arange(e - s - step) for step in range(1, near + 1)], np.zeros(max(e - s - near - 1, 0), np.int64)])
-                    y = np.concatenate([*[np.arange(step, e - s) for step in range(1, near + 1)], np.arange(near + 1, e - s)])
+                    central = _central(whole)
+                    hub = int(np.argmax(central))
+                    x = np.concatenate([*[np.arange(step, e - s) for step in range(1, near + 1)], np.delete(np.arange(e - s), hub)])
+                    y = np.concatenate([*[np.arange(max(e - s - step, 0)) for step in range(1, near + 1)], np.full(e - s - 1, hub)])
                     least, fits = _least(n, asked, rest, s + x, s + y)
-                    x, y, least = x[fits], y[fits], least[fits]
-                    for at in range(0, len(x), 4096):
-                        shared = np.einsum("ij,ij->i", whole[x[at : at + 4096]], whole[y[at : at + 4096]])
-                        good = at + np.flatnonzero(shared >= least[at : at + 4096])
-                        found.append((s + x[good], s + y[good]))
+                    shared = np.concatenate([np.zeros(0), *[np.einsum("ij,ij->i", whole[x[at : at + 4096]], whole[y[at : at + 4096]]) for at in range(0, len(x), 4096)]])
+                    good = np.flatnonzero(fits & (shared >= least))
+                    x, y, value = x[good], y[good], (shared + central[y])[good]
+                    chosen = np.union1d(_first_of_each(x, y, value, best or near), np.flatnonzero(y == hub))
+                    found.append((s + x[chosen], s + y[chosen]))
                     continue
                 own, outside = s + np.flatnonzero(~guest[s:e]), s + np.flatnonzero(outer[s:e])
                 for i in range(0, len(outside), 512):
+                    top = []
                     for j in range(0, len(own), 2048):
                         x, y = outside[i : i + 512], own[j : j + 2048]
                         whole, early = prefix.dense(np.concatenate([x, y]), int(key[s]))
                         least, fits = _least(n, asked, rest, x[:, None], y[None, :])
                         fits &= (group[x][:, None] != group[y]) & (guest[x][:, None] | ~outer[y] | (x[:, None] < y))
-                        fits &= (whole[: len(x)] @ whole[len(x) :].T >= least) & (early[: len(x)] @ early[len(x) :].T == 0)
+                        shared = whole[: len(x)] @ whole[len(x) :].T
+                        fits &= (shared >= least) & (early[: len(x)] @ early[len(x) :].T == 0)
                         at = np.nonzero(fits)
-                        found.append((x[at[0]], y[at[1]]))
+                        top.append((x[at[0]], y[at[1]], shared[at] + _central(whole[len(x) :])[at[1]]))
+                        if best:
+                            top = [tuple(np.concatenate([t[k] for t in top]) for k in range(3))]
+                            chosen = _first_of_each(*top[0], best)
+                            top = [tuple(t[chosen] for t in top[0])]
+                    found += [t[:2] for t in top]
             if found:
                 a, b = (node[np.concatenate([f[k] for f in found])] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
@@ -592,15 +619,17 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH, hot: int | None = N
 
     together = map_batches(_by_list(short.drop("in_list", "parts")), _short_pairs, "a long, b long, asked int")
     together = together.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked")).where("shared >= asked").select("a", "b")
-    near = map_batches(_by_list(long.join(prefix, "node")), _long_pairs(NEAR), "a long, b long")
+    near = map_batches(_by_list(long.join(prefix, "node")), _long_pairs(NEAR, BEST), "a long, b long")
     pairs = staged(together.union(near).distinct())
     outline = _of_nodes(text, _nodes(pairs).union(long.select("node")), width, name, _give_outline, "n long, outline binary")
     links = _links(text, outline, pairs, width, name)
     roots = components(links)
-    rest = _by_list(_grouped(long.where("part >= 0"), roots).join(prefix, "node"))
-    more = staged(map_batches(rest, _long_pairs(0), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        roots = components(links.union(_links(text, outline, more, width, name)))
+    for best in (BEST, None):
+        rest = _by_list(_grouped(long.where("part >= 0"), roots).join(prefix, "node"))
+        more = staged(map_batches(rest, _long_pairs(0, best), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
+        if not more.isEmpty():
+            links, pairs = links.union(_links(text, outline, more, width, name)), pairs.union(more)
+            roots = components(links)
 
     labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = labelled.where("n > 0").groupBy("root").agg(F.min("doc_id").alias("_smallest"))

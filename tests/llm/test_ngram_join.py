@@ -1,6 +1,7 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 
 from lexspan.llm import ngram_join
 from lexspan.llm.ngram_join import ngram_components, one_of_each_group
@@ -106,3 +107,14 @@ def test_outlines_never_rule_out_a_link():
                 assert ngram_join.may_link(*counts, len(x) + len(y))
             elif kept == 0.5 and size == 3000:
                 assert not ngram_join.may_link(*counts, len(x) + len(y))
+
+
+def test_a_long_list_gives_a_few_pairs_a_node():
+    """Three hundred near copies: each meets an unchanged one and BEST others, not all of the next NEAR."""
+    rng, size = np.random.default_rng(6), 300
+    shared = [[m for m in range(40) if m == 0 or rng.random() < 0.95] for i in range(size)]
+    columns = {"shingle": np.zeros(size, np.int64), "part": np.zeros(size, np.int32), "node": np.arange(1, size + 1), "n": np.full(size, 40), "asked": np.ones(size, np.int8), "rest": np.zeros(size, np.int32)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()} | {"longs": pa.array(shared, pa.list_(pa.int64())), "shorts": pa.array([[]] * size, pa.list_(pa.int64()))})
+    pairs = {p for out in ngram_join._long_pairs(ngram_join.NEAR, ngram_join.BEST)(iter([batch])) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
+    assert len(pairs) <= (ngram_join.BEST + 1) * size
+    assert np.bincount(np.array(sorted(pairs)).ravel()).max() >= 0.8 * size  # the first of those without a change
