@@ -15,8 +15,10 @@ linked; the result is each document's component.
 3. *Candidates.* Postings meet by shingle, in lists ordered by size. A list of at most
    ``FULL`` gives all its pairs; those that meet in short lists alone must share as many
    prefix shingles as the smaller of their two ``l``, or more where their sizes demand it.
-   The postings of longer lists carry their node's whole prefix, so there the shared ones are
-   counted at once and the same condition holds. A list whose estimate is above ``HOT`` is
+   Where two nodes that meet in short lists share too few there, the long lists that both are
+   in count too. The postings of longer lists carry their node's long lists, so there the
+   shared ones are counted at once and the same condition holds for those that share enough
+   of them; a prefix as a whole never travels twice. A list whose estimate is above ``HOT`` is
    divided by the node's key into parts of about that length, whichever tasks they fall to;
    the smallest document of every part stands for it in one list more.
 4. *Verification.* First the outlines of candidates travel to blocks of pairs: how many
@@ -25,7 +27,7 @@ linked; the result is each document's component.
    to a block, and their sets are compared there in full. Each block returns the links as a
    star.
 5. *Contraction.* Long lists first pair each document with those ``BEST`` of the next
-   ``NEAR`` that share most of its prefix and with the one that shares most with all. Links
+   ``NEAR`` that share most of its long lists and with the one that shares most with all. Links
    merge nodes into components. Then every long list that still holds more than one component pairs each
    node outside the largest one with the ``BEST`` of other components, which merges most of
    them; last, it gives all pairs between components that meet the condition, each in the
@@ -312,39 +314,29 @@ def _least(n, asked, rest, a, b) -> tuple[np.ndarray, np.ndarray]:
     return np.maximum(np.minimum(asked[a], asked[b]), overlap - np.maximum(rest[a], rest[b])), 100 * np.minimum(x, y) >= PERCENT * np.maximum(x, y)
 
 
-class _Prefixes:
-    """Prefix members of the rows of a run of lists, as rows of 0 and 1 over those that two rows share."""
+class _LongLists:
+    """The long lists that the rows of a run of lists are in, as rows of 0 and 1 over those that two rows share."""
 
     def __init__(self, table: pa.Table):
-        self.parts = []
-        for name in ("longs", "shorts"):
-            column = table.column(name).combine_chunks()
-            column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-            self.parts.append((column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()))
-
-    def _of(self, part: int, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        edges, values = self.parts[part]
-        size = edges[rows + 1] - edges[rows]
-        at = np.arange(int(size.sum())) + np.repeat(edges[rows] - (np.cumsum(size) - size), size)
-        return np.repeat(np.arange(len(rows)), size), values[at]
+        column = table.column("longs").combine_chunks()
+        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+        self.edges, self.values = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy()
 
     def dense(self, rows: np.ndarray, below: int) -> tuple[np.ndarray, np.ndarray]:
-        """(matrix over all members, matrix over those whose long lists come before ``below``)."""
-        pairs = [self._of(k, rows) for k in (0, 1)]
-        row, value = np.concatenate([pairs[0][0], pairs[1][0]]), np.concatenate([pairs[0][1], pairs[1][1]])
-        early = np.concatenate([pairs[0][1] < below, np.zeros(len(pairs[1][1]), bool)])
+        """(matrix over all lists, matrix over those before ``below``)."""
+        size = self.edges[rows + 1] - self.edges[rows]
+        value = self.values[np.arange(int(size.sum())) + np.repeat(self.edges[rows] - (np.cumsum(size) - size), size)]
+        row = np.repeat(np.arange(len(rows)), size)
         names, which, times = np.unique(value, return_inverse=True, return_counts=True)
         place = np.cumsum(times > 1) - 1
         kept = times[which] > 1
         whole = np.zeros((len(rows), int((times > 1).sum())), np.float32)
         whole[row[kept], place[which[kept]]] = 1
-        first = np.zeros(whole.shape[1], bool)
-        first[place[which[kept & early]]] = True
-        return whole, whole[:, first]
+        return whole, whole[:, names[times > 1] < below]
 
 
 def _central(whole: np.ndarray) -> np.ndarray:
-    """How much of their prefixes rows share with all others, from 0 to below 1; of near copies those with few changes share most."""
+    """How many of their long lists rows share with all others, from 0 to below 1; of near copies those with few changes share most."""
     total = whole @ whole.sum(axis=0)
     return total / (total.max(initial=0) + 1)
 
@@ -357,7 +349,7 @@ def _first_of_each(x: np.ndarray, y: np.ndarray, value: np.ndarray, most: int) -
 
 
 def _long_pairs(near: int, best: int | None = None):
-    """Pairs of long lists that share enough of their prefixes.
+    """Pairs of long lists that share enough of these.
 
     ``near`` above 0: those at so many distances and with the most central node. 0: all pairs
     of different components, each in the first list that both are in. ``best``: of these
@@ -367,7 +359,7 @@ def _long_pairs(near: int, best: int | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_lists(batches, 20_000):
             key, part, node, n, asked, rest = (table.column(c).to_numpy() for c in ("shingle", "part", "node", "n", "asked", "rest"))
-            prefix = _Prefixes(table)
+            lists = _LongLists(table)
             starts = _heads(key, part)
             ends = np.append(starts[1:], len(key))
             found = []
@@ -375,7 +367,7 @@ def _long_pairs(near: int, best: int | None = None):
                 group, outer, guest = (table.column(c).to_numpy(zero_copy_only=False) for c in ("group", "outer", "guest"))
             for s, e in zip(starts.tolist(), ends.tolist(), strict=True):
                 if near:
-                    whole, _ = prefix.dense(np.arange(s, e), 0)
+                    whole, _ = lists.dense(np.arange(s, e), 0)
                     central = _central(whole)
                     hub = int(np.argmax(central))
                     x = np.concatenate([*[np.arange(step, e - s) for step in range(1, near + 1)], np.delete(np.arange(e - s), hub)])
@@ -392,7 +384,7 @@ def _long_pairs(near: int, best: int | None = None):
                     top = []
                     for j in range(0, len(own), 2048):
                         x, y = outside[i : i + 512], own[j : j + 2048]
-                        whole, early = prefix.dense(np.concatenate([x, y]), int(key[s]))
+                        whole, early = lists.dense(np.concatenate([x, y]), int(key[s]))
                         least, fits = _least(n, asked, rest, x[:, None], y[None, :])
                         fits &= (group[x][:, None] != group[y]) & (guest[x][:, None] | ~outer[y] | (x[:, None] < y))
                         shared = whole[: len(x)] @ whole[len(x) :].T
@@ -614,18 +606,22 @@ def ngram_components(docs: DataFrame, *, width: int = WIDTH, hot: int | None = N
     live = staged(map_batches(_by_list(postings), _keep_lists, POSTING + ", in_list long"))
     is_long = (F.col("in_list") > FULL) | (F.col("parts") > 1)
     short, long = live.where(~is_long), live.where(is_long).drop("in_list")
-    lists = live.where("part >= 0").groupBy("node").agg(F.collect_list(F.when(is_long, F.col("shingle"))).alias("longs"), F.collect_list(F.when(~is_long, F.col("shingle"))).alias("shorts"))
-    prefix = staged(lists.where(F.size("longs") > 0))
-
-    together = map_batches(_by_list(short.drop("in_list", "parts")), _short_pairs, "a long, b long, asked int")
-    together = together.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked")).where("shared >= asked").select("a", "b")
-    near = map_batches(_by_list(long.join(prefix, "node")), _long_pairs(NEAR, BEST), "a long, b long")
+    longs = staged(long.where("part >= 0").groupBy("node").agg(F.collect_list("shingle").alias("longs")))
+
+    met = map_batches(_by_list(short.drop("in_list", "parts")), _short_pairs, "a long, b long, asked int")
+    met = staged(met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.max("asked").alias("asked")))
+    both = met.where("shared < asked")
+    for c in ("a", "b"):
+        both = both.join(longs.select(F.col("node").alias(c), F.col("longs").alias(f"longs_{c}")), c)
+    both = both.where(F.col("shared") + F.size(F.array_intersect("longs_a", "longs_b")) >= F.col("asked"))
+    together = met.where("shared >= asked").select("a", "b").union(both.select("a", "b"))
+    near = map_batches(_by_list(long.join(longs, "node")), _long_pairs(NEAR, BEST), "a long, b long")
     pairs = staged(together.union(near).distinct())
     outline = _of_nodes(text, _nodes(pairs).union(long.select("node")), width, name, _give_outline, "n long, outline binary")
     links = _links(text, outline, pairs, width, name)
     roots = components(links)
     for best in (BEST, None):
-        rest = _by_list(_grouped(long.where("part >= 0"), roots).join(prefix, "node"))
+        rest = _by_list(_grouped(long.where("part >= 0"), roots).join(longs, "node"))
         more = staged(map_batches(rest, _long_pairs(0, best), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
         if not more.isEmpty():
             links, pairs = links.union(_links(text, outline, more, width, name)), pairs.union(more)

@@ -118,3 +118,15 @@ def test_a_long_list_gives_a_few_pairs_a_node():
     pairs = {p for out in ngram_join._long_pairs(ngram_join.NEAR, ngram_join.BEST)(iter([batch])) for p in zip(out.column("a").to_pylist(), out.column("b").to_pylist(), strict=True)}
     assert len(pairs) <= (ngram_join.BEST + 1) * size
     assert np.bincount(np.array(sorted(pairs)).ravel()).max() >= 0.8 * size  # the first of those without a change
+
+
+def test_long_lists_carry_long_lists_only(spark, monkeypatch):
+    """The disk of a long list follows its own members: what they have in short lists stays there and is counted there."""
+    seen, by_list = [], ngram_join._by_list
+    monkeypatch.setattr(ngram_join, "FULL", 8)
+    monkeypatch.setattr(ngram_join, "_by_list", lambda df: seen.append(df) or by_list(df))
+    _compare(spark, corpus(7, 120, 60))
+    rows = [df for df in seen if "longs" in df.columns]
+    assert rows and all("shorts" not in df.columns for df in rows)
+    long = {r.shingle for r in rows[0].select("shingle").distinct().collect()}
+    assert {m for r in rows[0].select("longs").collect() for m in r.longs} <= long
