@@ -68,6 +68,8 @@ FEWEST = 3
 SPAN = "array<struct<start:int,end:int,kind:string,value:string>>"
 
 
+#: Bits of the table that keeps documents without a span out of a shuffle.
+FILTER_BITS = 23
 #: Elements that one pass copies from step to step; longer arrays are cut into blocks of so many.
 BLOCK = 64
 FOUND = "array<struct<start:int,end:int,value:string>>"
@@ -322,15 +324,33 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _with_filter(rows: DataFrame, found: DataFrame, doc_id: Column, mark: Column) -> DataFrame:
+    """``rows`` with ``_maybe``: true for all whose text is among ``found``, false for nearly all others.
+
+    The table of 2**FILTER_BITS bits is broadcast: 2 MB, whatever the input.
+    """
+
+    def slot(*key):
+        return F.shiftrightunsigned(F.xxhash64(*key), 64 - FILTER_BITS)
+
+    bits = found.select(slot("_id", "_mark").alias("_slot")).select((F.shiftright("_slot", 6)).alias("_word"), F.expr("shiftleft(1L, CAST(_slot & 63 AS INT))").alias("_bit"))
+    words = staged(bits.groupBy("_word").agg(F.bit_or("_bit").alias("_bits")))
+    placed = rows.withColumn("_slot", slot(doc_id, mark)).withColumn("_word", F.shiftright("_slot", 6)).join(F.broadcast(words), "_word", "left")
+    return placed.withColumn("_maybe", F.coalesce(F.getbit("_bits", F.col("_slot").bitwiseAND(63)) == 1, F.lit(False)))
+
+
 def masked(docs: DataFrame) -> DataFrame:
     """``docs`` with every found span replaced by its kind in brackets; n_chars follows the new text.
 
-    All other columns stay as they are, whatever their names.
+    All other columns stay as they are, whatever their names. Only documents that a fixed-size
+    table of the found ones lets through meet their spans in a shuffle.
     """
     found = find_pii(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"), "spans").dropDuplicates(["_id", "_mark"])
-    text = F.coalesce("text", F.lit(""))
-    whole = docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    joined = whole.join(staged(found), whole["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left")
+    found = staged(found)
+    text = F.coalesce("_row.text", F.lit(""))
+    whole = _with_filter(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")), found, F.col("_row.doc_id"), F.xxhash64(text))
+    untouched = whole.where("NOT _maybe").select("_row", F.lit(None).cast(found.schema["spans"].dataType).alias("spans"))
+    joined = whole.where("_maybe").select("_row").join(found, F.col("_row.doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_mark")), "left").select("_row", "spans").unionByName(untouched)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state, s):
@@ -342,7 +362,7 @@ def masked(docs: DataFrame) -> DataFrame:
     def close(state):
         return F.concat(state["out"], F.substring(text, state["at"] + 1, F.char_length(text)))
 
-    new = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step, close)).otherwise(F.col("text"))
+    new = F.when(F.col("spans").isNotNull(), F.aggregate("spans", start, step, close)).otherwise(F.col("_row.text"))
     size = F.when(F.col("spans").isNotNull(), F.char_length("_new")).otherwise(F.col("_row.n_chars")).cast("long") if "n_chars" in docs.columns else None
     fields = {"text": F.col("_new"), "n_chars": size}
     return joined.withColumn("_new", new).select(*[fields.get(c, F.col(f"_row.`{c}`")).alias(c) for c in docs.columns])
