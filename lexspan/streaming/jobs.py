@@ -298,6 +298,12 @@ def _hex(digits: str) -> int:
         return 0xFFFD
 
 
+def in_order(frames: list[pd.DataFrame]) -> str:
+    """The pieces of one message in the order of ``seq``, as one text: it decodes to what they decode to one by one."""
+    seq, delta = (np.concatenate([f[c].to_numpy() for f in frames]) for c in ("seq", "delta"))
+    return "".join(delta[np.argsort(seq, kind="stable")])
+
+
 def answer_field_stream(deltas: DataFrame) -> DataFrame:
     """What each batch adds to the answer of a message: (message_id, at, text, done), ``at`` the characters before it.
 
@@ -311,10 +317,11 @@ def answer_field_stream(deltas: DataFrame) -> DataFrame:
             state.remove()
             return
         mode, held, length = state.get if state.exists else (0, "", 0)
-        decoder, rows = AnswerDecoder(mode, held), pd.concat(list(batches)).sort_values("seq")
-        text = "".join(decoder.feed(d) for d in rows["delta"])
+        decoder, frames = AnswerDecoder(mode, held), list(batches)
+        text = decoder.feed(in_order(frames))
         state.update((decoder.mode, decoder.held, length + len(text)))
-        state.setTimeoutTimestamp(max(int(rows["event_time"].max().timestamp() * 1000), state.getCurrentWatermarkMs()) + 600_000)
+        latest = max(t for f in frames if (t := f["event_time"].max()) is not pd.NaT)
+        state.setTimeoutTimestamp(max(int(latest.timestamp() * 1000), state.getCurrentWatermarkMs()) + 600_000)
         yield pd.DataFrame({"message_id": [key[0]], "at": [length], "text": [text], "done": [decoder.mode == decoder.DONE]})
 
     return deltas.withWatermark("event_time", LATE).groupBy("message_id").applyInPandasWithState(advance, "message_id string, at long, text string, done boolean", "mode int, held string, length long", "update", "EventTimeTimeout")

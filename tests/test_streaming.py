@@ -139,3 +139,14 @@ def test_versions(spark, tmp_path):
     for k in range(4):
         versions.replace(make((9, str(k))), path, "document_id", compact_after=3)
     assert table() == [(1, "a"), (2, "c"), (9, "3")] and any("full" in s for s in versions.committed(spark, path).values())
+
+
+def test_pieces_of_a_batch_are_decoded_as_one_text():
+    import pandas as pd
+
+    text = json.dumps({"kind": "answer", "answer": 'one "two" \u00e9 three' * 5, "n": 1})
+    rows = [(i // 7, text[i : i + 7]) for i in range(0, len(text), 7)]
+    random.Random(2).shuffle(rows)
+    frames = [pd.DataFrame(part, columns=["seq", "delta"]) for part in (rows[:9], rows[9:10], [], rows[10:])]
+    assert jobs.in_order(frames) == text
+    assert AnswerDecoder().feed(jobs.in_order(frames)) == _decoded(text, 7)[0]
