@@ -353,9 +353,10 @@ def batch_answers(plan: DataFrame, results: DataFrame, failed: DataFrame) -> Dat
     were not asked drop out; of several answers to one label the last one counts.
     """
     asked = plan.select("run_id", "custom_id", "document_id", F.posexplode("column_ids").alias("_i", "column_id")).withColumn("label", F.concat(F.lit("q"), (F.col("_i") + 1).cast("string")))
-    given = results.select("custom_id", F.posexplode("answers").alias("_n", "a")).groupBy("custom_id", F.col("a.column_id").alias("label")).agg(F.max_by("a", "_n").alias("a"))
-    outcome = results.select("custom_id", F.col("error").alias("_error"), F.lit(True).alias("_came"))
-    rows = asked.join(outcome, "custom_id", "left").join(failed.select("run_id", "detail"), "run_id", "left").join(given, ["custom_id", "label"], "left")
+    outcome = results.select("custom_id", F.col("error").alias("_error"), F.lit(True).alias("_came"), F.col("answers").alias("_answers"))
+    mine = F.filter("_answers", lambda a: a["column_id"] == F.col("label"))
+    own = asked.join(outcome, "custom_id", "left").withColumn("a", F.get(mine, F.size(mine) - 1)).drop("_answers")
+    rows = own.join(failed.select("run_id", "detail"), "run_id", "left")
     error = (
         F.when(F.col("detail").isNotNull(), F.concat(F.lit("batch "), "detail"))
         .when(F.col("_came").isNull(), MISSING)

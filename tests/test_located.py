@@ -37,13 +37,16 @@ def test_long_quotes_are_located(spark, tmp_path):
     assert max(r[4] - r[3] for r in got) > 600
 
 
-def _exchanges(df):
-    """What each shuffle of the plan sends: the columns of its input."""
+def _sent(df):
+    """What each shuffle of a run sent: the columns of its input; one that is used again counts once."""
+    df.collect()
     found, todo = [], [df._jdf.queryExecution().executedPlan()]
     while todo:
         node = todo.pop()
         if node.getClass().getSimpleName() == "AdaptiveSparkPlanExec":
             node = node.executedPlan()
+        if node.getClass().getSimpleName().endswith("QueryStageExec"):
+            node = node.plan()
         if node.getClass().getSimpleName() == "ShuffleExchangeExec":
             found.append([node.output().apply(i).name() for i in range(node.output().size())])
         todo += [node.children().apply(i) for i in range(node.children().size())]
@@ -57,13 +60,31 @@ def test_texts_meet_their_quotes_once(spark, tmp_path):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
     try:
         got, want = _both(spark, d, "g8_v4_located")
-        sent = _exchanges(library.QUERIES["g8_v4_located"](spark, d))
+        sent = _sent(library.QUERIES["g8_v4_located"](spark, d))
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert got == want and got
-    assert not any(c in ("words", "_words", "n", "line") or c.startswith("pythonUDF") for columns in sent for c in columns), sent
-    whole = [columns for columns in sent if {"text", "_whole", "_text", "_texts"} & set(columns)]
-    assert len(whole) <= 4, whole
+    assert not any(c in ("words", "n", "line") or c.startswith("pythonUDF") for columns in sent for c in columns), sent
+    assert len(_whole(sent)) == 2, sent
+
+
+def _whole(sent):
+    """The shuffles of texts of documents or pages."""
+    return [columns for columns in sent if {"doc_id", "document_id"} & set(columns) and {"text", "_text", "_whole"} & set(columns)]
+
+
+def test_a_batch_reads_its_answers_once(spark, tmp_path):
+    """Lines of results are written where the answers lie and met by their cells once: texts are shuffled for the answers and for the quotes."""
+    texts = [f"The {w} one.\nThe notice of the {w} is due – “now” and ﬁnally.\n\nNothing." for w in WORDS * 2]
+    d = _tables(spark, tmp_path, texts, [f"notice of {w}" for w in WORDS])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got, want = _both(spark, d, "st6_batch_cells")
+        sent = _sent(library.QUERIES["st6_batch_cells"](spark, d))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == want and {r[2] for r in got} == {"done", "failed"} and len({r[3] for r in got}) > 4
+    assert len(_whole(sent)) == 2, sent
 
 
 def test_quotes_are_proved_from_offsets(spark):
